@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["corpus"]
+FAMILIES = ["corpus", "sampling"]
 
 
 def load_all() -> None:
