@@ -125,14 +125,13 @@ REVIEW_RULES = [("\\n", " "), ("\\", " ")]
 
 
 def _accent_maps() -> tuple[str, str]:
-    """Lower-case Latin letters whose canonical decomposition starts with an ASCII letter, and those letters."""
+    """Letters whose canonical decomposition is one base letter plus marks, and those base letters."""
     accented, plain = [], []
-    for code in range(0xC0, 0x250):
-        char = chr(code)
-        base = unicodedata.normalize("NFD", char)[0]
-        if base != char and base.isascii():
-            accented.append(char)
-            plain.append(base)
+    for code in range(0xC0, 0x2000):
+        base = [c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn"]
+        if len(base) == 1 and base[0] != chr(code):
+            accented.append(chr(code))
+            plain.append(base[0])
     return "".join(accented), "".join(plain)
 
 
@@ -211,13 +210,18 @@ def trim_field(text: Column, limit: int) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
+    """Remove combining marks, also those inside precomposed letters."""
+    return F.regexp_replace(F.translate(text, ACCENTED, UNACCENTED), r"\p{Mn}", "")
+
+
+def to_ascii(text: Column) -> Column:
     """ASCII spelling of Latin letters; other scripts stay as they are."""
-    return replace_all(F.translate(text, ACCENTED, UNACCENTED), LATIN_SPELLINGS)
+    return replace_all(strip_accents(text), LATIN_SPELLINGS)
 
 
 def normalize_answer(text: Column) -> Column:
     """Lower case, ASCII letters, no punctuation, no articles, single spaces."""
-    text = F.regexp_replace(strip_accents(F.lower(text)), ASCII_PUNCTUATION, "")
+    text = F.regexp_replace(to_ascii(F.lower(text)), ASCII_PUNCTUATION, "")
     return squeeze_spaces(F.regexp_replace(text, r"\b(a|an|the)\b", " "))
 
 

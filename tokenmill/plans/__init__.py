@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["corpus", "sampling"]
+FAMILIES = ["corpus", "sampling", "vocab"]
 
 
 def load_all() -> None:
