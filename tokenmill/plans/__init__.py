@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["corpus", "sampling", "vocab"]
+FAMILIES = ["corpus", "sampling", "vocab", "sequences"]
 
 
 def load_all() -> None:

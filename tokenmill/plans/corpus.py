@@ -228,9 +228,8 @@ def _(t):
 
 @query(
     "flt09_redundant_sentences",
-    f"""WITH sents AS (SELECT doc_id, (i - 1)::INTEGER AS pos, lines[i] AS sentence, list_distinct({words("lower(lines[i])")}) AS ws
-      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)
-      WHERE len({words("lines[i]")}) > 4),
+    f"""WITH raw AS (SELECT doc_id, unnest(range(len(lines)))::INTEGER AS pos, unnest(lines) AS sentence FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+    sents AS (SELECT *, list_distinct({words("lower(sentence)")}) AS ws FROM raw WHERE len({words("sentence")}) > 4),
     seen AS (SELECT doc_id, pos, w, min(pos) OVER (PARTITION BY doc_id, w) AS first_pos FROM (SELECT doc_id, pos, unnest(ws) AS w FROM sents)),
     share AS (SELECT doc_id, pos FROM seen GROUP BY doc_id, pos HAVING sum(CASE WHEN first_pos < pos THEN 1 ELSE 0 END) <= 0.7::DOUBLE * count(*))
     SELECT doc_id, pos, sentence FROM sents JOIN share USING (doc_id, pos)""",

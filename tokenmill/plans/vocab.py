@@ -82,7 +82,7 @@ def _pieces(t, basic):
         FROM walk w JOIN pieces p ON p.token = CASE WHEN w.nxt > 1 THEN '##' ELSE '' END || substr(w.word, w.nxt, length(replace(p.token, '##', '')))
         WHERE w.nxt <= length(w.word) GROUP BY w.word, w.nxt, w.ids)),
     dictionary AS (SELECT word, coalesce(max(ids) FILTER (WHERE nxt = length(word) + 1), [0]) AS ids FROM walk GROUP BY word),
-    placed AS (SELECT doc_id, i, ws[i] AS word FROM basic, unnest(range(1, len(ws) + 1)) AS u(i))
+    placed AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM basic)
     SELECT doc_id, string_agg({joined("ids")}, ' ' ORDER BY i) AS tokens FROM placed JOIN dictionary USING (word) GROUP BY doc_id""",
 )
 def _(t):
@@ -112,9 +112,8 @@ def _(t):
 
 @query(
     "voc05_byte_pair_words",
-    r"""SELECT doc_id, i::INTEGER - 1 AS pos, ws[i] AS word FROM (
-      SELECT doc_id, regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+') AS ws FROM documents),
-      unnest(range(1, len(ws) + 1)) AS u(i)""",
+    r"""SELECT doc_id, unnest(range(len(ws)))::INTEGER AS pos, unnest(ws) AS word FROM (
+      SELECT doc_id, regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+') AS ws FROM documents)""",
 )
 def _(t):
     text = F.regexp_replace("text", r"\s+", " ")
@@ -123,7 +122,7 @@ def _(t):
 
 @query(
     "voc06_decode_ids",
-    f"""WITH {TOP_SQL}, placed AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, {words("text")} AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i))
+    f"""WITH {TOP_SQL}, placed AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM (SELECT doc_id, {words("text")} AS ws FROM documents))
     SELECT doc_id, string_agg(coalesce(v.token, '[UNK]'), ' ' ORDER BY i) AS text FROM placed LEFT JOIN vocab v ON v.token = word GROUP BY doc_id""",
 )
 def _(t):
@@ -135,7 +134,7 @@ def _(t):
 
 @query(
     "voc06_encode_words",
-    f"""WITH {TOP_SQL}, placed AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, {words("text")} AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i)),
+    f"""WITH {TOP_SQL}, placed AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM (SELECT doc_id, {words("text")} AS ws FROM documents)),
     encoded AS (SELECT doc_id, string_agg(coalesce(v.id, -1)::VARCHAR, ' ' ORDER BY i) AS tokens FROM placed LEFT JOIN vocab v ON v.token = word GROUP BY doc_id)
     SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN encoded USING (doc_id)""",
 )
@@ -158,7 +157,7 @@ def _(t):
     "voc08_split_commands",
     f"""WITH marked AS (SELECT doc_id, regexp_replace(replace(replace(text, ' of ', ' [MASK] '), chr(10), '[SEP]'), '\\s+\\[MASK\\]', '[MASK]', 'g') AS text FROM documents),
     cut AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\\[MASK\\]|\\[SEP\\])', chr(31) || '\\1' || chr(31), 'g'), chr(31)), lambda p: p <> '') AS ps FROM marked)
-    SELECT doc_id, i::INTEGER - 1 AS pos, ps[i] AS piece FROM cut, unnest(range(1, len(ps) + 1)) AS u(i)""",
+    SELECT doc_id, unnest(range(len(ps)))::INTEGER AS pos, unnest(ps) AS piece FROM cut""",
 )
 def _(t):
     marked = T.replace_all(F.col("text"), [(" of ", " [MASK] "), ("\n", "[SEP]")])
@@ -210,7 +209,7 @@ def _(t):
     "voc12_sentences",
     f"""WITH lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: l <> '') AS ls FROM documents),
     sents AS (SELECT doc_id, flatten(list_transform(ls, lambda line: {SENTENCES_SQL.format("line")})) AS ss FROM lines)
-    SELECT doc_id, i::INTEGER - 1 AS pos, ss[i] AS sentence FROM sents, unnest(range(1, len(ss) + 1)) AS u(i)""",
+    SELECT doc_id, unnest(range(len(ss)))::INTEGER AS pos, unnest(ss) AS sentence FROM sents""",
 )
 def _(t):
     return t.documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
