@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once.
+
+    Inside a lambda an outer expression is evaluated again for every element; bound as a lambda variable it is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def indices(array: Column) -> Column:
     """0..n-1 for an array of n elements, empty for an empty one."""
     return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(F.array().cast("array<int>"))
@@ -74,7 +82,8 @@ def positions_where(array: Column, test: Callable[[Column], Column]) -> Column:
 
 def sublist_positions(array: Column, part: Column) -> Column:
     """All 0-based positions at which `part` occurs in `array`."""
-    return F.filter(indices(array), lambda i: F.slice(array, i + 1, F.size(part)) == part)
+    return let(F.struct(array.alias("a"), part.alias("p")), lambda v: F.filter(
+        indices(v["a"]), lambda i: (v["a"][i] == v["p"][0]) & (F.slice(v["a"], i + 1, F.size(v["p"])) == v["p"])))
 
 
 def running_sums(array: Column) -> Column:

@@ -94,20 +94,22 @@ def first_share(df: DataFrame, order: str, numerator: int = 2, denominator: int
     return ordered.filter(F.col("pos") < F.floor(F.col("__n") * numerator / denominator)).drop("__n")
 
 
-def weighted_draws(
-    draws: DataFrame, draw_keys: Sequence[str], docs: DataFrame, order: str, weight: Column, seed: str | int, width: int
-) -> DataFrame:
+def weight_line(docs: DataFrame, order: str, weight: Column) -> DataFrame:
+    """(order, lo, hi): documents own consecutive intervals of a line as long as all their weights."""
+    owned = running_total(docs.select(order, weight.cast("bigint").alias("__w")), order, F.col("__w"), "lo")
+    return owned.select(order, "lo", (F.col("lo") + F.col("__w")).alias("hi"))
+
+
+def weighted_draws(draws: DataFrame, draw_keys: Sequence[str], line: DataFrame, seed: str | int, width: int) -> DataFrame:
     """Join every draw to a document with probability proportional to its weight, with replacement.
 
-    Documents own consecutive intervals of a line as long as all weights; a draw is a uniform point on it. `width` is the
-    bucket width of the range join, best a small multiple of the mean weight.
+    A draw is a uniform point on the weight line. `width` is the bucket width of the range join, best a small multiple of the
+    mean weight.
     """
-    owned = running_total(docs.withColumn("__w", weight.cast("bigint")), order, F.col("__w"), "lo")
-    owned = owned.withColumn("hi", F.col("lo") + F.col("__w")).drop("__w")
-    total = docs.agg(F.sum(weight).cast("bigint").alias("__total"))
+    total = line.agg(F.max("hi").alias("__total"))
     points = draws.crossJoin(F.broadcast(total))  # one row
     points = points.withColumn("point", hash_below(F.col("__total"), seed, *draw_keys)).drop("__total")
-    return range_join(points, "point", owned, "lo", "hi", width)
+    return range_join(points, "point", line, "lo", "hi", width)
 
 
 def uniform_draws(draws: DataFrame, draw_keys: Sequence[str], docs: DataFrame, order: str, seed: str | int) -> DataFrame:

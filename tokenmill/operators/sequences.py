@@ -15,9 +15,10 @@ from pyspark.sql.window import Window
 from tokenmill.functions import arrays as A
 from tokenmill.functions.hashing import hash_below, hash_uniform
 from tokenmill.operators.prefix import position, running_total
-from tokenmill.operators.sampling import weighted_draws
+from tokenmill.operators.sampling import weight_line, weighted_draws
 from tokenmill.session import cut_lineage
 
+PAIR_TRIES = 4  # sentence-pair attempts per round; the first good one counts
 FIRST_DRAWS = 4  # draws per sample in the first round; unfilled samples get four times as many in each further round
 
 
@@ -93,14 +94,14 @@ def _enough_draws(
     The number of draws is not known in advance. Draw k of a sample is a hash of (sample, k), so drawing more for the samples
     that are not full yet continues the same sequence; the rounds end because every draw costs at least one token.
     """
-    sizes = docs.select(order, F.size("tokens").alias("__size"))
+    line = cut_lineage(weight_line(docs, order, F.size("tokens")))
     open_samples = samples.select(sample, F.lit(0).cast("bigint").alias("__have"))
     first, count, parts = 0, FIRST_DRAWS, []
     while True:
         draws = open_samples.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))))
-        drawn = weighted_draws(draws, [sample, "draw"], sizes, order, F.col("__size"), seed, width)
+        drawn = weighted_draws(draws, [sample, "draw"], line, seed, width)
         before = Window.partitionBy(sample).orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
-        drawn = drawn.withColumn("__cost", cost(F.col("__size")).cast("bigint"))
+        drawn = drawn.withColumn("__cost", cost(F.col("hi") - F.col("lo")).cast("bigint"))
         drawn = drawn.withColumn("before", F.col("__have") + F.coalesce(F.sum("__cost").over(before), F.lit(0)))
         drawn = cut_lineage(drawn.select(sample, "draw", order, "before", (F.col("before") + F.col("__cost")).alias("after")))
         parts.append(drawn.filter(F.col("before") < budget))
@@ -244,15 +245,16 @@ def sentence_pairs(
     target = F.when(
         hash_uniform(f"{seed}-short", sample) < short_prob, 2 + hash_below(length - 1, f"{seed}-length", sample)
     ).otherwise(length).cast("int")
-    numbered = position(docs, order, "__pos")
-    others = numbered.select(F.col("__pos").alias("__other"), F.col("sentences").alias("other_sentences"))
-    total = docs.agg(F.count("*").alias("__n"))
+    line = cut_lineage(position(weight_line(docs, order, F.col("weight")), order, "__pos"))
+    texts = docs.select(order, "sentences")
+    others = line.select(F.col("__pos").alias("__other"), order).join(texts, order).select("__other", F.col("sentences").alias("other_sentences"))
+    total = line.agg(F.count("*").alias("__n"))
     waiting = samples.select(sample)
     parts, attempt = [], 0
     while True:
-        key = F.lit(attempt)
-        drawn = weighted_draws(waiting.withColumn("__try", key), [sample, "__try"], numbered.drop("sentences"), order, F.col("weight"), seed, width)
-        drawn = drawn.select(sample, "__try", order, "__pos").join(docs.select(order, "sentences"), order).crossJoin(F.broadcast(total))
+        tries = waiting.withColumn("__try", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + PAIR_TRIES - 1))))
+        drawn = weighted_draws(tries, [sample, "__try"], line, seed, width).select(sample, "__try", order, "__pos")
+        drawn = drawn.join(texts, order).crossJoin(F.broadcast(total))
         drawn = drawn.withColumns({"target": target, "sizes": F.transform("sentences", lambda s: F.size(s))})
         drawn = drawn.withColumn("start", hash_below(F.size("sentences"), f"{seed}-a", sample, "__try").cast("int"))
         drawn = drawn.withColumn("taken", _until(F.col("sizes"), F.col("start"), F.col("target")))
@@ -271,13 +273,14 @@ def sentence_pairs(
         count_b = _until(sizes_b, F.col("start_b"), F.col("target") - F.size("tokens_a"))
         other_b = F.flatten(A.take(F.col("other_sentences"), F.col("start_b"), count_b))
         drawn = drawn.withColumn("tokens_b", F.when(F.col("is_random"), other_b).otherwise(F.col("next_b")))
-        drawn = cut_lineage(drawn.select(sample, "is_random", "tokens_a", "tokens_b"))
         good = (F.size("tokens_a") >= 1) & (F.size("tokens_b") >= 1)
-        parts.append(drawn.filter(good))
-        waiting = drawn.filter(~good).select(sample)
+        first = F.min_by(F.struct("is_random", "tokens_a", "tokens_b"), "__try").alias("pair")
+        found = cut_lineage(drawn.filter(good).groupBy(sample).agg(first).select(sample, "pair.*"))
+        parts.append(found)
+        waiting = cut_lineage(waiting.join(found, sample, "left_anti"))
         if waiting.isEmpty():
             break
-        attempt += 1
+        attempt += PAIR_TRIES
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -423,10 +426,11 @@ def pad_batch(df: DataFrame, batch: str, column: str, pad: int) -> DataFrame:
 
 def segments(tokens: Column, eos: int) -> Column:
     """Segment number and position inside the segment of every token; a segment ends with its eos."""
-    ends = A.positions_where(tokens, lambda x: x == eos)
-
-    def place(i: Column) -> Column:
-        before = F.filter(ends, lambda e: e < i)
-        return F.struct(F.size(before).alias("segment"), (i - F.coalesce(F.array_max(before) + 1, F.lit(0))).cast("int").alias("position"))
-
-    return F.transform(A.indices(tokens), place)
+    # One entry per segment, so the work is linear: [first token, first token of the next segment).
+    def spread(starts: Column, size: Column) -> Column:
+        return F.flatten(F.transform(starts, lambda first, k: A.let(
+            F.coalesce(F.get(starts, k + 1), size) - first,
+            lambda count: F.transform(A.counting(0, count), lambda j: F.struct(k.cast("int").alias("segment"), j.cast("int").alias("position"))))))
+
+    ends = F.transform(A.positions_where(tokens, lambda x: x == eos), lambda i: i + 1)
+    return A.let(F.concat(F.array(F.lit(0)), ends), lambda starts: A.let(F.size(tokens), lambda size: spread(starts, size)))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["corpus", "sampling", "vocab", "sequences"]
+FAMILIES = ["corpus", "sampling", "vocab", "sequences", "blanks"]
 
 
 def load_all() -> None:

@@ -7,6 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenmill.sources.readers import spread
+
+
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 
 class Tables:
     """Lazy access to the parquet tables of one scale-factor folder."""
@@ -18,7 +23,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
 
 @dataclass(frozen=True)

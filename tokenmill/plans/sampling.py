@@ -57,8 +57,8 @@ OWNED = """owned AS (SELECT doc_id, length(text) AS len, sum(length(text)) OVER
     SELECT draw, point, o.doc_id, lo::BIGINT AS lo, hi::BIGINT AS hi FROM points JOIN owned o ON point >= lo AND point < hi""",
 )
 def _(t):
-    docs = t.documents.select("doc_id", F.length("text").alias("len"))
-    return S.weighted_draws(t.documents.select(F.col("doc_id").alias("draw")), ["draw"], docs, "doc_id", F.col("len"), "weighted", 16384).drop("len")
+    line = S.weight_line(t.documents, "doc_id", F.length("text"))
+    return S.weighted_draws(t.documents.select(F.col("doc_id").alias("draw")), ["draw"], line, "weighted", 16384)
 
 
 @query(
@@ -67,9 +67,9 @@ def _(t):
     SELECT o.doc_id, count(*) AS n FROM points JOIN owned o ON point >= lo AND point < hi GROUP BY o.doc_id""",
 )
 def _(t):
-    docs = t.documents.select("doc_id", F.length("text").alias("len"))
+    line = S.weight_line(t.documents, "doc_id", F.length("text"))
     draws = t.documents.select(F.col("doc_id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("rep"))
-    return S.weighted_draws(draws, ["draw", "rep"], docs, "doc_id", F.col("len"), "weighted", 16384).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return S.weighted_draws(draws, ["draw", "rep"], line, "weighted", 16384).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 POSITIONED = "positioned AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), n AS (SELECT count(*) AS n FROM documents)"
