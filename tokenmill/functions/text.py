@@ -244,7 +244,7 @@ def highlights_as_list(text: Column) -> Column:
 
 
 def strip_final_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, r"[!-/:-@\[-`{-~]+$", "")
+    return F.regexp_replace(text, r"[!-/:-@\[-`{-~]+\z", "")
 
 
 def lower_first(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["corpus", "sampling", "vocab", "sequences", "blanks"]
+FAMILIES = ["corpus", "sampling", "vocab", "sequences", "blanks", "tasks"]
 
 
 def load_all() -> None:
