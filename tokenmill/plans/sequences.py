@@ -240,12 +240,15 @@ def _(t):
 
 @query(
     "seq11_pad_batch",
-    f"""WITH {TOKS}, heads AS (SELECT doc_id, doc_id // 16 AS batch, list_slice(tokens, 1, 600) AS tokens FROM toks)
-    SELECT doc_id, batch, {joined("list_resize(tokens, max(len(tokens)) OVER (PARTITION BY batch), 50000)")} AS tokens FROM heads""",
+    f"""WITH raw AS (SELECT doc_id, unnest(range(len(ls)))::INTEGER AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    enc AS (SELECT doc_id, line_no, {codes("line")} AS tokens FROM raw)
+    SELECT doc_id, line_no, {joined("list_resize(tokens, max(len(tokens)) OVER (PARTITION BY doc_id, line_no // 8), 50000)")} AS tokens FROM enc""",
 )
 def _(t):
-    df = _tokens(t).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), A.head(F.col("tokens"), 600).alias("tokens"))
-    return _show(S.pad_batch(df, "batch", "tokens", SP.pad), "tokens")
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    batch = F.concat_ws("-", F.col("doc_id").cast("string"), F.floor(F.col("line_no") / 8).cast("string"))
+    df = lines.select("doc_id", "line_no", batch.alias("batch"), encode_chars(F.col("line")).alias("tokens"))
+    return _show(S.pad_batch(df, "batch", "tokens", SP.pad).drop("batch"), "tokens")
 
 
 @query(

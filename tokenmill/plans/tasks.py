@@ -164,17 +164,18 @@ def _(t):
     df = E.TASKS["race"].build(raw, "train")
     return df.select("*", F.array_join("meta.choices", "|").alias("choices")).drop("meta").withColumn("text_a", F.md5("text_a"))
 
-# Entities are the four characters behind every fiftieth position; the answers of a question are two of them.
-RECORD = f"""{BASE}, ents AS (SELECT doc_id, text, ls, list_sort(list_distinct(list_transform(range(0, least(length(text), 2000), 50), lambda s: substr(text, s + 1, 4)))) AS ents,
-  list_transform(range(0, least(length(text), 2000), 50), lambda s: substr(text, s + 1, 4)) AS raw FROM base WHERE text <> ''),
-qs AS (SELECT *, unnest(range(least(len(ls), 3)))::INTEGER AS q, unnest(ls[1:3]) AS question FROM ents),
+# Entities are four characters at up to forty-one evenly spaced places; the answers of a question are two of them.
+RECORD = f"""{BASE}, spots AS (SELECT doc_id, text, ls, list_transform(range(0, length(text), greatest(50, length(text) // 40)), lambda s: substr(text, s + 1, 4)) AS raw FROM base WHERE text <> ''),
+ents AS (SELECT *, list_sort(list_distinct(raw)) AS ents FROM spots),
+qs AS (SELECT *, unnest(range(len(ls)))::INTEGER AS q, unnest(ls) AS question FROM ents),
 ans AS (SELECT *, list_sort(list_distinct([raw[q % len(raw) + 1], raw[(q + 7) % len(raw) + 1]])) AS ans FROM qs)"""
 
 def _record(t):
-    starts = F.expr("sequence(0, least(length(text), 2000) - 1, 50)")
+    step = "cast(greatest(50, length(text) div 40) as int)"
+    starts = F.expr(f"sequence(0, length(text) - 1, {step})")
     entities = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + 3).alias("end")))
-    at = lambda k: F.substring("text", 1, 0) if k is None else F.col("text").substr((k % F.size("starts")) * 50 + 1, F.lit(4))
-    qas = F.transform(F.slice("ls", 1, 3), lambda line, i: F.struct(
+    at = lambda k: F.col("text").substr((k % F.size("starts")) * F.expr(step) + 1, F.lit(4))
+    qas = F.transform("ls", lambda line, i: F.struct(
         i.alias("idx"), line.alias("query"), F.array(F.struct(at(i).alias("text")), F.struct(at(i + 7).alias("text"))).alias("answers")))
     return _base(t).filter("text <> ''").withColumn("starts", starts).select(
         F.col("doc_id").alias("idx"), F.struct("text", entities.alias("entities")).alias("passage"), qas.alias("qas"))
@@ -337,13 +338,13 @@ def _(t):
 
 @query(
     "tsk34_multiple_choice",
-    f"""WITH {BASE}, raw AS (SELECT doc_id, {codes("text")} || [50003] AS inputs, list_transform(ls[1:4], lambda l: {codes("l")}) AS cs FROM base),
+    f"""WITH {BASE}, raw AS (SELECT doc_id, {codes("text")} || [50003] AS inputs, list_transform(ls, lambda l: {codes("l")}) AS cs FROM base),
     room AS (SELECT *, 510 - list_max(list_transform(cs, lambda c: len(c))) AS room FROM raw),
     cut AS (SELECT *, CASE WHEN len(inputs) > room THEN inputs[len(inputs) - greatest(room, 0) + 1 :] ELSE inputs END AS kept FROM room)
     SELECT doc_id, unnest(range(len(cs)))::INTEGER AS choice_no, {joined("kept")} AS inputs, unnest(list_transform(cs, lambda c: {joined("c")})) AS choice, 0 AS label FROM cut""",
 )
 def _(t):
-    raw = _base(t).select("doc_id", F.col("text").alias("inputs_pretokenized"), F.slice("ls", 1, 4).alias("choices_pretokenized"), F.lit(None).cast("int").alias("label"))
+    raw = _base(t).select("doc_id", F.col("text").alias("inputs_pretokenized"), F.col("ls").alias("choices_pretokenized"), F.lit(None).cast("int").alias("label"))
     return _show(E.multiple_choice(raw, ["doc_id"], encode_chars, 50003, 512), "inputs", "choice")
 
 @query("tsk36_label_distribution", "SELECT CASE WHEN doc_id % 5 > 0 THEN lang END AS label, count(*) AS n FROM documents GROUP BY 1")
