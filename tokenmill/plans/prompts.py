@@ -281,12 +281,10 @@ def _(t):
 
 @query(
     "prm33_answer_source",
-    f"""WITH s AS (SELECT doc_id, {codes("rtrim(text, ' ' || chr(10)) || ' Question:'")} AS src, {codes("' Answer: ' || " + words("text") + "[3]")} AS ans, {codes("' ' || " + words("text") + "[3]")} AS pat
-      FROM documents WHERE len({words("text")}) >= 3),
-    room AS (SELECT *, 300 - len(ans) - 2 AS room FROM s),
-    hits AS (SELECT *, list_min(list_filter(range(len(src)), lambda i: src[i + 1] = pat[1] AND src[i + 1 : i + len(pat)] = pat)) AS hit FROM room),
-    st AS (SELECT *, CASE WHEN hit IS NULL THEN 0 ELSE greatest(hit - room // 2, 0) END AS start FROM hits)
-    SELECT doc_id, {joined("[50002] || CASE WHEN len(src) > room THEN src[start + 1 : start + room] ELSE src END || [50003] || ans")} AS source FROM st""",
+    f"""WITH s AS (SELECT doc_id, rtrim(text, ' ' || chr(10)) || ' Question:' AS source, {words("text")}[3] AS w FROM documents WHERE len({words("text")}) >= 3),
+    enc AS (SELECT doc_id, {codes("source")} AS src, {codes("' Answer: ' || w")} AS ans, instr(source, ' ' || w) - 1 AS hit FROM s),
+    room AS (SELECT *, 300 - len(ans) - 2 AS room, CASE WHEN hit < 0 THEN 0 ELSE greatest(hit - (300 - len(ans) - 2) // 2, 0) END AS start FROM enc)
+    SELECT doc_id, {joined("[50002] || CASE WHEN len(src) > room THEN src[start + 1 : start + room] ELSE src END || [50003] || ans")} AS source FROM room""",
 )
 def _(t):
     ws = T.split_words(F.col("text"))
