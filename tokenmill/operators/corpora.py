@@ -208,3 +208,8 @@ def concat_corpora(parts: dict[str, DataFrame]) -> DataFrame:
 def source_totals(df: DataFrame, length: Column) -> DataFrame:
     """Emitted rows and length per source; map-side combined, so a dominant source costs one row per task."""
     return df.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum(length).cast("bigint").alias("total_length"))
+
+
+def with_hook(df: DataFrame, hook: Callable[[Column], Column], column: str = "text") -> DataFrame:
+    """Apply a caller's text rule; a column expression, so the plan stays inside the JVM."""
+    return df.withColumn(column, hook(F.col(column)))

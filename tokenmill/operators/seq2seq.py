@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokenmill.functions import arrays as A
-from tokenmill.functions.text import strip
+from tokenmill.functions.text import repair_span_answer, strip
 from tokenmill.operators.sequences import around_answer
 from tokenmill.operators.special import Special
 
@@ -41,3 +41,16 @@ def source_tokens(task: str, encode: Callable[[Column], Column], special: Specia
         question = F.when(F.size(question) >= length - 2, A.head(question, length // 4)).otherwise(question)
         return F.concat(one(special.cls), question, one(special.mask), A.head(encode(_rstrip(text)), F.lit(length - 2) - F.size(question)))
     raise ValueError(f"no source layout for {task}")
+
+
+def span_text(context: Column, tokens: Column, offsets: Column, predicted: Column, decoded: Column) -> Column:
+    """Text of a predicted token run in its context: the characters under its first occurrence.
+
+    `offsets` are (start, end) characters per token. A not-answerable mark is kept, and a run that does not occur falls back
+    to the decoded text with its spacing repaired.
+    """
+    at = F.get(A.sublist_positions(tokens, predicted), F.lit(0))
+    start, end = F.get(offsets, at)["start"], F.get(offsets, at + F.size(predicted) - 1)["end"]
+    found = context.substr(start + 1, end - start)
+    blank = F.lower(F.replace(decoded, F.lit(" "), F.lit(""))) == "n/a"
+    return F.when(blank, decoded).when(at.isNotNull(), found).otherwise(repair_span_answer(decoded))

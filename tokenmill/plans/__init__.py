@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["corpus", "sampling", "vocab", "sequences", "blanks", "tasks", "prompts", "layouts", "metrics", "files"]
+FAMILIES = ["corpus", "sampling", "vocab", "sequences", "blanks", "tasks", "prompts", "layouts", "metrics", "files", "scalars"]
 
 
 def load_all() -> None:

@@ -37,9 +37,10 @@ def _(t):
 @query("src02_json_records", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
 def _(t):
     path = _folder(t)
-    # A file holds one JSON document over several lines; the records of a document's lines share one file here.
-    document = F.concat(F.lit('{"RECORDS":\n'), F.to_json(F.array(F.struct("source", "text"))), F.lit("\n}"))
-    t.documents.select("doc_id", document.alias("value")).write.partitionBy("doc_id").text(path)
+    # A file holds one JSON document over several lines, here with the records of a hundred neighbouring ids.
+    records = t.documents.groupBy(F.floor(F.col("doc_id") / 100).alias("part")).agg(F.collect_list(F.struct("source", "text")).alias("r"))
+    document = F.concat(F.lit('{"RECORDS":\n'), F.to_json("r"), F.lit("\n}"))
+    records.select("part", document.alias("value")).write.partitionBy("part").text(path)
     rows = R.json_records(t.spark, f"{path}/*/*.txt", "source: STRING, text: STRING")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -130,11 +131,11 @@ def _(t):
 def _(t):
     path = _folder(t)
     clean = t.documents.filter("text not like '%\\n %' and text not like '% \\n%' and text not like '%\\n\\n%'")
-    value = F.concat(F.lit("[SN]URL[SN]\nhttp\n[SN]FIRST-SENTENCE[SN]\n"), "source", F.lit("\n"), "lang", F.lit("\n[SN]RESTBODY[SN]\n"), "text", F.lit("\n"))
-    # One file per document, named by its id.
-    clean.select(F.col("doc_id").alias("id"), value.alias("value")).write.partitionBy("id").text(path)
-    files = t.spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    files = files.select(F.regexp_extract("_metadata.file_path", r"id=(\d+)/", 1).alias("id"), "value")
+    value = F.concat(
+        F.col("doc_id").cast("string"), F.lit("\n[SN]URL[SN]\nhttp\n[SN]FIRST-SENTENCE[SN]\n"), "source", F.lit("\n"), "lang", F.lit("\n[SN]RESTBODY[SN]\n"), "text", F.lit("\n"))
+    # The format has one small file per document; many of them share a file here, behind a separator.
+    clean.select(value.alias("value")).write.option("lineSep", "\x1e").text(path)
+    files = t.spark.read.option("lineSep", "\x1e").text(path).select(F.regexp_extract("value", r"^\d+", 0).alias("id"), "value")
     wanted = t.documents.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("id"))
     return R.sections_of(files).join(wanted, "id", "left_semi")
 

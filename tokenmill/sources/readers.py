@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,13 +60,18 @@ def text_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool =
     return spark.read.option("recursiveFileLookup", recursive).text(path).select(F.col("value").alias("text"))
 
 
-def labelled_csv(spark: SparkSession, path: str, text: str, label: str | None, columns: Sequence[str], sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """Text and label columns of a latin-1 table; `.tsv` in the path means tabs, rows with nulls are dropped."""
+def labelled_csv(spark: SparkSession, path: str, text: str, label: str | None, columns: Sequence[str], sep: str = ",", multi_line: bool = False, preprocess: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Text and label columns of a latin-1 table; `.tsv` in the path means tabs, rows with nulls are dropped.
+
+    `preprocess` is a hook on the text, as a column expression.
+    """
     sep = "\t" if ".tsv" in path else sep
     schema = ", ".join(f"`{c}` STRING" for c in columns)
     df = spark.read.schema(schema).csv(path, sep=sep, header=True, encoding="ISO-8859-1", multiLine=multi_line, escape='"')
     value = F.col(label) if label in columns else F.lit(MISSING_LABEL)
     df = df.select(F.col(text).alias("text"), value.alias("label")).dropna()
+    if preprocess:
+        df = df.withColumn("text", preprocess(F.col("text")))
     return df.select("text", F.length("text").alias("length"), "label")
 
 
