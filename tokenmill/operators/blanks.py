@@ -199,15 +199,17 @@ def blank_layout(
     def rank(s: Column) -> Column:
         return hash_hex(f"{seed}-order", key, s["start"]) if shuffle else F.lpad(s["start"].cast("string"), 12, "0")
 
-    df = df.withColumn("__by_place", F.array_sort("spans"))
-    shrink = A.running_sums(F.transform("__by_place", lambda s: s["end"] - s["start"] - 1))
-    df = df.withColumn("__shrink", shrink)
-    df = df.withColumn("__by_place", F.transform("__by_place", lambda s, k: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
-        F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("__by_place"), k - 1)["end"]).alias("before"),
-        (s["start"] - F.when(k == 0, F.lit(0)).otherwise(F.get("__shrink", k - 1))).cast("int").alias("at"),
-        rank(s).alias("rank"),
-    )))
+    def placed(v: Column) -> Column:
+        # How much shorter the source gets by each span and those before it.
+        shrink = A.running_sums(F.transform(v, lambda s: s["end"] - s["start"] - 1))
+        return A.let(shrink, lambda less: F.transform(v, lambda s, k: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"),
+            F.when(k == 0, F.lit(0)).otherwise(F.get(v, k - 1)["end"]).alias("before"),
+            (s["start"] - F.when(k == 0, F.lit(0)).otherwise(F.get(less, k - 1))).cast("int").alias("at"),
+            rank(s).alias("rank"),
+        )))
+
+    df = df.withColumn("__by_place", A.let(F.array_sort("spans"), placed))
     by_rank = F.array_sort(F.transform("__by_place", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["at"].alias("at"))))
     df = df.withColumn("__by_rank", by_rank)
     tokens = F.col("tokens")
@@ -271,7 +273,7 @@ def blank_layout(
             F.flatten(F.transform("__by_rank", lambda s: A.repeat(position(s).cast("int"), size(s))))),
         "block_position": F.concat(A.repeat(0, F.col("sep")), F.flatten(F.transform("__by_rank", counted))),
         "loss_mask": F.concat(A.repeat(0, F.col("sep")), F.flatten(F.transform("__by_rank", lambda s: A.repeat(1, size(s))))),
-    }).drop("__by_place", "__shrink", "__by_rank", "__source", "__bias", "__near")
+    }).drop("__by_place", "__by_rank", "__source", "__bias", "__near")
 
 
 def encoder_decoder_layout(df: DataFrame, special: Special) -> DataFrame:
@@ -418,12 +420,13 @@ def word_blanks(df: DataFrame, key: str, words: Column, ratio: float, seed: str
     source = F.filter(F.transform("__w", lambda w, i: F.when(~F.get("__m", i), w).when(~before(i), "[MASK]")), lambda w: w.isNotNull())
     opens = F.filter(F.transform("__m", lambda m, i: F.when(m & ~before(i), i)), lambda i: i.isNotNull())
     closes = F.filter(F.transform("__m", lambda m, i: F.when(m & ~F.coalesce(F.get("__m", i + 1), F.lit(False)), i)), lambda i: i.isNotNull())
-    df = df.withColumns({"__opens": opens, "__closes": closes})
-    targets = F.transform("__opens", lambda o, k: F.concat(F.lit(" "), F.array_join(A.take(F.col("__w"), o, F.get("__closes", k) - o + 1), " ")))
+    runs = F.struct(opens.alias("opens"), closes.alias("closes"))
+    targets = A.let(runs, lambda r: F.transform(r["opens"], lambda o, k: F.concat(
+        F.lit(" "), F.array_join(A.take(F.col("__w"), o, F.get(r["closes"], k) - o + 1), " "))))
     return df.withColumns({
         "source": F.when(F.size("__w") > 0, F.concat(F.lit(" "), F.array_join(source, " "))).otherwise(""),
         "targets": targets,
-    }).drop("__w", "__m", "__opens", "__closes")
+    }).drop("__w", "__m")
 
 
 def multi_blank_layout(df: DataFrame, special: Special, source_length: int, total_length: int) -> DataFrame:

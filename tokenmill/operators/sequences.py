@@ -128,12 +128,14 @@ def packed_sequences(
     joined = draws.join(docs, order)
     surplus = F.size("tokens") + 1 - budget
     start = F.when((F.col("draw") == 0) & (surplus > 0), hash_below(F.greatest(surplus, F.lit(0)) + 1, f"{seed}-start", sample)).otherwise(0)
-    count = F.lit(budget) - F.col("before")
-    pieces = joined.select(
-        sample, "draw",
-        A.take(F.concat("tokens", F.array(F.lit(eos))), start, count).alias("tokens"),
-        A.take(F.concat(F.col("loss_mask").cast("array<int>"), F.array(F.lit(1))), start, count).alias("loss"),
-    )
+    joined = joined.withColumns({"__start": start, "__count": F.lit(budget) - F.col("before")})
+
+    def piece(name: str, last: int) -> Column:
+        closes = F.col("__start") + F.col("__count") > F.size("tokens")
+        return F.concat(
+            A.take(F.col(name).cast("array<int>"), F.col("__start"), F.col("__count")), F.when(closes, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")))
+
+    pieces = joined.select(sample, "draw", piece("tokens", eos).alias("tokens"), piece("loss_mask", 1).alias("loss"))
     ordered = F.array_sort(F.collect_list(F.struct("draw", "tokens", "loss")))  # at most `length`+1 tokens per sample
     grouped = pieces.groupBy(sample).agg(ordered.alias("ps"))
     return grouped.select(
@@ -184,34 +186,38 @@ def block_samples(
     """
     half = length // 2
     draws = _enough_draws(samples, sample, docs, order, length, lambda n: n + 2, seed, width)
-    joined = draws.join(docs, order).withColumns({
-        "tokens": F.concat("tokens", F.array(F.lit(eos))),
-        "loss_mask": F.concat(F.col("loss_mask").cast("array<int>"), F.array(F.lit(1))),
-    })
-    size = F.size("tokens")
-    long = (F.col("draw") == 0) & (size >= length)
-    joined = joined.withColumns({
-        "ends": A.positions_where(F.col("tokens"), lambda x: in_ids(x, sentence_ends)),
-        "start": hash_below(F.greatest(size - length + 1, F.lit(1)), f"{seed}-start", sample).cast("int"),
-    })
-    left = F.greatest(_ends_before(F.col("ends"), F.col("start")), F.col("start") - half)
-    right = F.least(F.coalesce(_ends_after(F.col("ends"), F.col("start")), size), F.col("start") + half, size)
+    joined = draws.join(docs, order).withColumn("__size", F.size("tokens") + 1)
+    long = (F.col("draw") == 0) & (F.col("__size") >= length)
+    entry = hash_below(F.greatest(F.col("__size") - length + 1, F.lit(1)), f"{seed}-start", sample).cast("int")
+    joined = joined.withColumns({"__long": long, "__entry": F.when(long, entry).otherwise(0)})
+    # Only tokens within half a sample before the entry and one and a half behind it can matter.
+    joined = joined.withColumn("__lo", F.greatest(F.col("__entry") - half - 1, F.lit(0)))
+    span = 2 * half + length + 2
+
+    def window(name: str, last: int) -> Column:
+        whole = F.col("__lo") + span >= F.col("__size")
+        return F.concat(A.take(F.col(name).cast("array<int>"), F.col("__lo"), span), F.when(whole, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")))
+
+    joined = joined.select(sample, "draw", "before", "__size", "__long", "__entry", "__lo", window("tokens", eos).alias("tokens"), window("loss_mask", 1).alias("loss"))
+    joined = joined.withColumn("ends", F.transform(A.positions_where(F.col("tokens"), lambda x: in_ids(x, sentence_ends)), lambda p: (p + F.col("__lo")).cast("int")))
+    at, size = F.col("__entry"), F.col("__size")
+    left = F.greatest(_ends_before(F.col("ends"), at), at - half)
+    right = F.least(F.coalesce(_ends_after(F.col("ends"), at), size), at + half, size)
     moved = F.when(hash_uniform(f"{seed}-side", sample) < 0.5, left).otherwise(right)
-    moved = F.when(hash_uniform(f"{seed}-move", sample) > non_sentence_start, moved).otherwise(F.col("start"))
-    joined = joined.withColumn("start", F.when(long, moved).otherwise(0))
+    moved = F.when(hash_uniform(f"{seed}-move", sample) > non_sentence_start, moved).otherwise(at)
+    joined = joined.withColumn("start", F.when(F.col("__long"), moved).otherwise(0))
     # Positions shift by the cls token in front; what the sample has room for is what earlier documents left.
     joined = joined.withColumns({
-        "room": F.when(long, F.lit(length)).otherwise(F.lit(length) - F.col("before")).cast("int"),
-        "full": F.size("tokens") - F.col("start") + 1,
+        "room": F.when(F.col("__long"), F.lit(length)).otherwise(F.lit(length) - F.col("before")).cast("int"),
+        "full": size - F.col("start") + 1,
         "ends": F.transform(F.filter("ends", lambda p: p >= F.col("start")), lambda p: p - F.col("start") + 1),
+        "from": F.col("start") - F.col("__lo"),
     })
     kept = sentence_cut(F.col("ends"), F.col("full"), F.col("room")) - 1
-    only_eos = long & (F.col("full") == 2) & (A.take(F.col("tokens"), F.col("start"), 1)[0] == eos)
-    pieces = joined.withColumn("kept", kept).select(
-        sample, "draw",
-        F.when(only_eos, F.array().cast("array<int>")).otherwise(F.concat(F.array(F.lit(cls)), A.take(F.col("tokens"), F.col("start"), F.col("kept")))).alias("tokens"),
-        F.when(only_eos, F.array().cast("array<int>")).otherwise(F.concat(F.array(F.lit(0)), A.take(F.col("loss_mask"), F.col("start"), F.col("kept")))).alias("loss"),
-    )
+    only_eos = F.col("__long") & (F.col("full") == 2)  # nothing but the closing eos is left
+    none = F.array().cast("array<int>")
+    part = lambda name, first: F.when(only_eos, none).otherwise(F.concat(F.array(F.lit(first)), A.take(F.col(name), F.col("from"), F.col("kept"))))
+    pieces = joined.withColumn("kept", kept).select(sample, "draw", part("tokens", cls).alias("tokens"), part("loss", 0).alias("loss"))
     ordered = F.array_sort(F.collect_list(F.struct("draw", "tokens", "loss")))
     grouped = pieces.groupBy(sample).agg(ordered.alias("ps"))
     return grouped.select(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tokenmill.functions import arrays as A
 from tokenmill.functions import text as T
 from tokenmill.operators import examples as E
 from tokenmill.operators.vocab import encode_chars
@@ -171,14 +172,17 @@ qs AS (SELECT *, unnest(range(len(ls)))::INTEGER AS q, unnest(ls) AS question FR
 ans AS (SELECT *, list_sort(list_distinct([raw[q % len(raw) + 1], raw[(q + 7) % len(raw) + 1]])) AS ans FROM qs)"""
 
 def _record(t):
-    step = "cast(greatest(50, length(text) div 40) as int)"
-    starts = F.expr(f"sequence(0, length(text) - 1, {step})")
-    entities = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + 3).alias("end")))
-    at = lambda k: F.col("text").substr((k % F.size("starts")) * F.expr(step) + 1, F.lit(4))
-    qas = F.transform("ls", lambda line, i: F.struct(
-        i.alias("idx"), line.alias("query"), F.array(F.struct(at(i).alias("text")), F.struct(at(i + 7).alias("text"))).alias("answers")))
-    return _base(t).filter("text <> ''").withColumn("starts", starts).select(
-        F.col("doc_id").alias("idx"), F.struct("text", entities.alias("entities")).alias("passage"), qas.alias("qas"))
+    starts = F.expr("sequence(0, length(text) - 1, cast(greatest(50, length(text) div 40) as int))")
+    spots = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + 3).alias("end"), F.col("text").substr(s + 1, F.lit(4)).alias("text")))
+
+    def questions(v):
+        at = lambda k: F.struct(v[k % F.size(v)]["text"].alias("text"))
+        return F.transform("ls", lambda line, i: F.struct(i.alias("idx"), line.alias("query"), F.array(at(i), at(i + 7)).alias("answers")))
+
+    both = A.let(spots, lambda v: F.struct(F.transform(v, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("entities"), questions(v).alias("qas")))
+    rows = _base(t).filter("text <> ''").select("doc_id", "text", both.alias("b"))
+    return rows.select(F.col("doc_id").alias("idx"), F.struct("text", "b.entities").alias("passage"), "b.qas")
+
 
 def _record_flat(df):
     meta = [F.array_join("meta.candidates", "|").alias("candidates"), F.array_join("meta.answers", "|").alias("answers")]
