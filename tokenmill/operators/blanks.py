@@ -293,8 +293,9 @@ def encoder_decoder_layout(df: DataFrame, special: Special) -> DataFrame:
 
 def masked_layout(df: DataFrame, special: Special) -> DataFrame:
     """Masks in place: tokens inside spans become the mask, targets are the text, loss is inside the spans."""
-    inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
-    df = df.withColumn("__in", F.transform(A.indices(F.col("tokens")), lambda i: inside(i)))
+    inside = A.let(F.col("spans"), lambda spans: F.transform(
+        A.indices(F.col("tokens")), lambda i: F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"]))))
+    df = df.withColumn("__in", inside)
     return df.withColumns({
         "text": F.transform("tokens", lambda x, i: F.when(F.get("__in", i), special.mask).otherwise(x)),
         "target": F.col("tokens"),
