@@ -4,7 +4,6 @@ Raw formats the tables lack (question/answer votes, encyclopedia fields, spaced
 """
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tokenmill.functions import text as T
 from tokenmill.operators import corpora as C
@@ -119,9 +118,9 @@ def _(t):
     SELECT conv_id, turn, text AS prompt, answer AS text FROM turns WHERE role = 'user' AND next_role = 'assistant'""",
 )
 def _(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("prompt"), F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("text"))
-    return C.prompt_text(turns.filter("role = 'user' and next_role = 'assistant'"), keys=("conv_id", "turn"))
+    asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    answered = t.conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    return C.prompt_text(asked.join(answered, ["conv_id", "turn"]), keys=("conv_id", "turn"))
 
 
 @query(

@@ -157,9 +157,10 @@ pairs AS (SELECT conv_id, turn, text AS reference, answer AS prediction FROM tur
 
 
 def _pairs(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("reference"), F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("prediction"))
-    return turns.filter("role = 'user' and next_role = 'assistant'").drop("role", "next_role")
+    # A join on the next turn, not a window over the conversation: a huge conversation spreads over all tasks.
+    asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))
+    answered = t.conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
+    return asked.join(answered, ["conv_id", "turn"])
 
 
 def _rouge_sql(n):

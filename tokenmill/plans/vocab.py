@@ -6,6 +6,7 @@ from tokenmill.functions import text as T
 from tokenmill.operators import vocab as V
 from tokenmill.plans.registry import query
 from tokenmill.plans.sqltext import codes, joined, words
+from tokenmill.session import cut_lineage
 
 VOCAB_SIZE = 400
 TOP_SQL = f"""freq AS (SELECT word, count(*) AS n FROM (SELECT unnest({words("text")}) AS word FROM documents) GROUP BY word),
@@ -86,8 +87,10 @@ def _pieces(t, basic):
     SELECT doc_id, string_agg({joined("ids")}, ' ' ORDER BY i) AS tokens FROM placed JOIN dictionary USING (word) GROUP BY doc_id""",
 )
 def _(t):
-    basic = t.documents.select("doc_id", V.basic_tokens(F.col("text")).alias("ws"))
-    dictionary = V.wordpiece_dictionary(V.distinct_words(basic, F.col("ws")), _pieces(t, basic), unk=0)
+    # The words are read four times, so they are written once; so is the vocabulary.
+    basic = cut_lineage(t.documents.select("doc_id", V.basic_tokens(F.col("text")).alias("ws")))
+    pieces = F.broadcast(cut_lineage(_pieces(t, basic)))
+    dictionary = V.wordpiece_dictionary(V.distinct_words(basic, F.col("ws")), pieces, unk=0)
     return V.expand_words(basic, ["doc_id"], F.col("ws"), dictionary).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
