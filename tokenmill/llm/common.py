@@ -52,3 +52,45 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     """A list column from flat values and the number of values in each row."""
     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers over all bits, one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _FACTOR)
+
+
+class Words:
+    """Words of UTF-8 texts, as runs of the wanted bytes, each as a 64-bit hash of its bytes with A-Z in lower case."""
+
+    def __init__(self, wanted: np.ndarray):
+        self.wanted = wanted
+        fold = np.arange(256)
+        fold[65:91] += 32
+        self.value = _BYTE[fold]
+        self.power = np.ones(1, np.uint64)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all rows in order, and the number of words of each row."""
+        rows = len(offsets) - 1
+        mask = self.wanted[data]
+        at = np.flatnonzero(mask)
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
+        first = mask.copy()
+        first[1:] &= ~mask[:-1]
+        edge = offsets[:-1][offsets[:-1] < len(data)]
+        first[edge] = mask[edge]
+        starts = np.flatnonzero(first[at])
+        lengths = np.diff(starts, append=len(at))
+        if lengths.max() > len(self.power):
+            self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()), _FACTOR)]))
+        place = np.arange(len(at)) - np.repeat(starts, lengths)
+        hashes = mixed(np.add.reduceat(self.value[data[at]] * self.power[place], starts))
+        begin = at[starts]
+        return hashes, np.diff(np.searchsorted(begin, offsets))

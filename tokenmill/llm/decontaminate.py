@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import stored
+from tokenmill.llm.common import Words, pieces, stored, utf8
 
 WIDTH = 10
 SHINGLE = 3
 SLICE_WORDS = 4096  # of an item, plus the overlap that keeps every window whole
 BLOCK_WORDS = 200_000  # of the benchmark, sent to the executors at once
+WORD_BYTES = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -45,7 +46,12 @@ class Block:
 
     def __init__(self, rows: list[tuple[str, list[str]]], width: int):
         self.items = [item for item, _ in rows]
-        self.number = {w: k for k, w in enumerate(sorted({w for _, words in rows for w in words}))}
+        vocabulary = sorted({w for _, words in rows for w in words})
+        self.number = {w: k for k, w in enumerate(vocabulary)}
+        data, offsets = utf8(pa.array(vocabulary, pa.string()))
+        hashes = Words(WORD_BYTES)(data, offsets)[0]
+        order = np.argsort(hashes)
+        self.hashes, self.of_hash = hashes[order], order
         self.words = [[self.number[w] for w in words] for _, words in rows]
         self.least = [min(width, len(words)) for _, words in rows]
         self.size = [min(SHINGLE, k) for k in self.least]
@@ -63,6 +69,26 @@ class Block:
             code, bad = code * base + part, bad | (part < 0)
         return np.where(bad, -1, code)
 
+    def shingles(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size that the block has: the rows and codes of the shingles made of its words, found by the words' hashes."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        words = np.where(self.hashes[at] == hashes, self.of_hash[at], -1) if len(self.hashes) else np.full(len(hashes), -1)
+        row = np.repeat(np.arange(len(counts)), counts)
+        for s, keys in self.codes.items():
+            if len(keys):
+                codes = self.coded(words, s)
+                some = np.flatnonzero(codes >= 0)
+                some = some[row[some] == row[some + s - 1]]
+                yield s, row[some], codes[some]
+
+    def suspects(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Flags of the rows that hold an entry's shingle; words are compared only there."""
+        flags = np.zeros(len(counts), bool)
+        for s, row, codes in self.shingles(hashes, counts):
+            keys = self.entries[s][0]
+            flags[row[keys[np.minimum(np.searchsorted(keys, codes), len(keys) - 1)] == codes]] = True
+        return flags
+
     def numbers(self, text: str | None) -> np.ndarray:
         get = self.number.get
         return np.array([get(w, -1) for w in re.findall(WORD, text.translate(LOWER))] if text else [], np.int64)
@@ -126,17 +152,15 @@ def count_shingles(docs: DataFrame, text_col: str, block: Block) -> dict[tuple[i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = sent.value
-        totals = {s: np.zeros(len(c) + 1, np.int64) for s, c in b.codes.items()}
+        totals, split = {s: np.zeros(len(c) + 1, np.int64) for s, c in b.codes.items()}, Words(WORD_BYTES)
         for batch in batches:
-            for text in batch.column(0):
-                words = b.numbers(text.as_py())
-                for s, keys in b.codes.items():
-                    if len(keys):
-                        codes = b.coded(words, s)
-                        codes = codes[codes >= 0]
-                        at = np.searchsorted(keys, codes)
-                        known = keys[np.minimum(at, len(keys) - 1)] == codes
-                        totals[s] += np.bincount(at[known], minlength=len(keys) + 1)
+            data, offsets = utf8(batch.column(0))
+            for first, last in pieces(offsets):
+                words = split(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+                for s, _, codes in b.shingles(*words):
+                    keys = b.codes[s]
+                    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+                    totals[s] += np.bincount(at[keys[at] == codes], minlength=len(keys) + 1)
         for s, keys in b.codes.items():
             some = np.flatnonzero(totals[s][:-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(keys[some], pa.int64()), pa.array(totals[s][some], pa.int64())], ["s", "code", "n"])
@@ -155,17 +179,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def search(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b = sent.value if sent else Block([], width)
+            b, split = sent.value if sent else Block([], width), Words(WORD_BYTES)
             for batch in batches:
-                n_words, hits, items = [], [], []
-                for text, old_hits, old_items in zip(batch.column("t"), batch.column("hits"), batch.column("items")):
-                    words = b.numbers(text.as_py())
-                    runs, found = b.match(words)
-                    n_words.append(len(words))
-                    hits.append(np.concatenate([runs.ravel(), np.array(old_hits.as_py(), np.int64)]))
-                    items.append(sorted({*found, *old_items.as_py()}))
+                texts, hits, items, n_words = batch.column("t"), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), []
+                data, offsets = utf8(texts)
+                for first, last in pieces(offsets):
+                    hashes, counts = split(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+                    n_words.append(counts)
+                    for k in (first + np.flatnonzero(b.suspects(hashes, counts))).tolist():
+                        runs, found = b.match(b.numbers(texts[k].as_py()))
+                        hits[k] += runs.ravel().tolist()
+                        items[k] = sorted({*found, *items[k]})
                 own = [batch.column(f"k{i}") for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*own, batch.column("t"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(n_words, pa.int64())], [*[f"k{i}" for i in range(len(keep))], "t", "hits", "items", "n_words"])
+                yield pa.RecordBatch.from_arrays([*own, batch.column("t"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(np.concatenate([*n_words, np.zeros(0, np.int64)]), pa.int64())], [*[f"k{i}" for i in range(len(keep))], "t", "hits", "items", "n_words"])
 
         return run
 

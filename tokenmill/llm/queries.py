@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tokenmill.llm import decontaminate, quality, secrets
+from tokenmill.llm import decontaminate, jaccard, quality, secrets
 
 REGISTERED = {
     "op1_secret_scans": (secrets.op1, secrets.OP1_SQL),
     "op4_benchmark_decontamination": (decontaminate.op4, decontaminate.OP4_SQL),
     "op6_quality_rules": (quality.op6, quality.OP6_SQL),
+    "op9_ngram_jaccard_join": (jaccard.op9, None),
 }
