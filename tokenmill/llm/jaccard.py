@@ -5,7 +5,9 @@ to equality of 64-bit hashes of shingles.
 
 Routing. Linked sets share a shingle among the first n - ceil(share * n) + 1 of each in any common order. Shingles go by their
 hash, those that many documents hold last (blocks report what several of their documents hold; the order decides the work only,
-never the result). Sets that meet in such a shingle make a component, and only sets of one component can link.
+never the result). The sets that hold one of these shingles are a list; equal lists count once. In a list of up to 64 sets, pairs
+whose hashed bitmaps leave room for the overlap that they need are joined; longer lists, which come from large groups of near copies,
+are joined whole. Only sets of one component of these edges can link.
 Trees. Components are dealt into bins of bounded size, and one that is larger into chunks whose pairs are bins. A bin numbers the
 shingles that two of its sets hold and gives each set a bitmap over them. A tree stands on the sets, neighbours of one component
 side by side: a node holds the OR of its bitmaps and the range of its sizes. Pairs of nodes are traversed from the root; the
@@ -38,6 +40,7 @@ SHARE = (3, 4)  # of the union
 COMMON_TOKENS = 1 << 18  # most frequent shingles that go last
 COMMON_IN_BLOCK = 4  # documents of a block that hold a shingle it reports
 FILTER_BITS = 26  # log2 of the bits of the filter before sets are shuffled
+SHORT_LIST = 64  # sets; longer lists skip the test of their hashed bitmaps
 BIN_TOKENS, BIN_SETS = 300_000, 1_500
 FANOUT = 8
 NOT_SPACE = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
@@ -134,8 +137,16 @@ def _prefixes(docs: DataFrame, common: np.ndarray, rank: np.ndarray, width: int,
     return docs.select("t").mapInArrow(run, "token long, k long")
 
 
-def _sets(docs: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
-    """(k, h, tokens) of the documents whose class and id hash pass the filter."""
+def _payload(docs: DataFrame, classes: DataFrame, width: int, kind: str, make_column) -> DataFrame:
+    """The classes' columns and a `payload` made of their sets, read again from one document of each class.
+
+    A bitmap of fixed size over class and document keeps most other documents out of the shuffle; the join decides.
+    """
+    bit = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.col("k")), 64 - FILTER_BITS) + 1
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for row in classes.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).collect():
+        own = np.unpackbits(np.frombuffer(bytes(row["map"]), np.uint8), bitorder="little").astype(bool)
+        bits[(row["at"] - 1) * len(own):row["at"] * len(own)] = own  # Spark counts buckets and the values in them from 1
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
     shift = np.uint64(64 - FILTER_BITS)
 
@@ -143,17 +154,114 @@ def _sets(docs: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
         make, wanted = Shingles(width), np.unpackbits(sent.value).view(bool)
         for batch in batches:
             ids = np.asarray(batch.column("h"))
-            keys, rows, tokens = [], [], []
+            keys, rows, sets = [], [], []
             for row, own in enumerate(make(batch.column("t"))):
                 key = class_of(own)
                 if wanted[(np.int64(key) ^ ids[row]).view(np.uint64) >> shift]:
                     keys.append(key)
                     rows.append(row)
-                    tokens.append(own)
-            flat = np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[rows], pa.int64()), list_array(flat, np.array([len(t) for t in tokens], np.int64), pa.int64())], ["k", "h", "tokens"])
+                    sets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[rows], pa.int64()), make_column(sets)], ["k", "h", "payload"])
+
+    return docs.select("h", "t").mapInArrow(run, f"k long, h long, payload {kind}").join(classes, ["k", "h"])
+
+
+def token_column(sets: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+    return list_array(flat, np.array([len(s) for s in sets], np.int64), pa.int64())
+
+
+def bitmap_width(n: int) -> int:
+    return max(64, 1 << (2 * n - 1).bit_length())
 
-    return docs.select("h", "t").mapInArrow(run, "k long, h long, tokens array<long>")
+
+def bitmap_column(sets: list[np.ndarray]) -> pa.Array:
+    """Hashed bitmaps of at least two bits for each shingle; the low bits of a hash choose."""
+    out = []
+    for own in sets:
+        bits = np.zeros(bitmap_width(len(own)), bool)
+        bits[own & np.uint64(len(bits) - 1)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return pa.array(out, pa.binary())
+
+
+def may_link(a: tuple[int, int], b: tuple[int, int], share: tuple[int, int]) -> bool:
+    """Of two sets as (size, bitmap): whether the bitmaps leave room for the overlap. A set has size - bits shingles beyond its bits."""
+    (n, x), (m, y) = sorted([a, b])
+    if share[1] * n < share[0] * m:
+        return False
+    for width in range(bitmap_width(m).bit_length() - 2, bitmap_width(n).bit_length() - 2, -1):
+        y = (y >> (1 << width)) | (y & ((1 << (1 << width)) - 1))
+    most = min(n, (x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count()))
+    return (share[0] + share[1]) * most >= share[0] * (n + m)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and class: (list, a, 0) for each set of a short list, (0, a, b) from a long list's first set to its others."""
+    tokens, keys, long = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def rows(tokens, keys):
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        sizes = np.diff(starts, append=len(tokens))
+        names = mixed(np.add.reduceat(mixed(keys.view(np.uint64)), starts)).view(np.int64) | 1 if len(starts) else starts
+        size, name, first = (np.repeat(x, sizes) for x in (sizes, names, keys[starts]))
+        short, over = (size > 1) & (size <= SHORT_LIST), (size > SHORT_LIST) & (first != keys)
+        zeros = np.zeros(len(keys), np.int64)
+        return [np.concatenate([x[short], y[over]]) for x, y in ((name, zeros), (keys, first), (zeros, keys))]
+
+    def out(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "a", "b"])
+
+    for batch in batches:
+        tokens, keys = (np.concatenate([x, np.asarray(batch.column(k))]) for k, x in enumerate((tokens, keys)))
+        if not len(tokens):
+            continue
+        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])])
+        tokens, keys = tokens[new], keys[new]
+        if long:  # the first row stands for a long list that began in an earlier batch
+            n = int(np.searchsorted(tokens != tokens[0], True))
+            yield out([np.zeros(n - 1, np.int64), np.full(n - 1, keys[0]), keys[1:n]])
+            if n == len(tokens):
+                tokens, keys = tokens[:1], keys[:1]
+                continue
+            tokens, keys, long = tokens[n:], keys[n:], False
+        last = int(np.flatnonzero(tokens == tokens[-1])[0])
+        yield out(rows(tokens[:last], keys[:last]))
+        tokens, keys = tokens[last:], keys[last:]
+        if len(tokens) > SHORT_LIST:
+            yield out(rows(tokens, keys))
+            tokens, keys, long = tokens[:1], keys[:1], True
+    if not long:
+        yield out(rows(tokens, keys))
+
+
+def _possible(share: tuple[int, int]):
+    """Of rows (list, k, n, payload) that lie together by list: edges that join the sets which may link, a tree for each component."""
+
+    def edges(members: dict[int, tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        left = list(members)
+        while left:
+            reached = [left.pop(0)]
+            for k in reached:
+                for other in [o for o in left if may_link(members[k], members[o], share)]:
+                    left.remove(other)
+                    reached.append(other)
+                    yield k, other
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, members, found = None, {}, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("list", "k", "n", "payload"))):
+                if row[0] != name:
+                    found += edges(members)
+                    name, members = row[0], {}
+                members[row[1]] = (row[2], int.from_bytes(row[3], "little"))
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            found = []
+        found += edges(members)
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
 
 
 class Tree:
@@ -239,28 +347,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = narrow.drop("common", "held")
 
     met = _prefixes(docs, common[order], held["held"].to_numpy(np.int64)[order], width, share)
-    by_token = met.repartition("token").sortWithinPartitions("token", "k").mapInArrow(_meetings, "a long, b long")
-    parts = components(by_token)
-
+    met = met.repartition("token").sortWithinPartitions("token", "k").mapInArrow(_lists, "list long, a long, b long")
+    met = stored(met.distinct(), "jaccard-lists")
     classes = narrow.where("n > 0").groupBy("k").agg(F.min("h").alias("h"), F.min("id").alias("least"), F.count("*").alias("weight"), F.first("n").alias("n"))
+    members = met.where("list <> 0").select("list", F.col("a").alias("k"))
+    tested = stored(members.select("k").distinct().join(classes.select("k", "h", "n"), "k"), "jaccard-tested")
+    bitmaps = _payload(docs, tested, width, "binary", bitmap_column)
+    possible = members.join(bitmaps, "k").select("list", "k", "n", "payload").repartition("list").sortWithinPartitions("list").mapInArrow(_possible(share), "a long, b long")
+    parts = components(met.where("list = 0").select("a", "b").unionByName(possible))
+
     found = parts.withColumnRenamed("node", "k").join(classes.select("k", "h", "weight", "n"), "k")
     size = found.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / BIN_TOKENS), F.ceil(F.count("*") / BIN_SETS)).alias("chunks"))
     found = stored(found.join(size, "label"), "jaccard-candidates")
     total = found.where("chunks = 1").agg(F.sum("n").alias("n"), F.count("*").alias("c")).first()
     bins = max(1, -(-(total["n"] or 0) // BIN_TOKENS), -(-total["c"] // BIN_SETS))
-
-    bit = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.col("k")), 64 - FILTER_BITS) + 1
-    maps = found.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).collect()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for row in maps:  # Spark counts buckets and the values in them from 1
-        own = np.unpackbits(np.frombuffer(bytes(row["map"]), np.uint8), bitorder="little").astype(bool)
-        bits[(row["at"] - 1) * len(own):row["at"] * len(own)] = own
-    sets = _sets(docs, bits, width).join(found, ["k", "h"])
+    sets = _payload(docs, found, width, "array<long>", token_column)
 
     own_bin = F.array(F.struct(F.lit(-1).cast("bigint").alias("root"), F.pmod(F.xxhash64("label"), F.lit(bins)).alias("i"), F.lit(0).cast("bigint").alias("j")))
     chunk = F.pmod(F.xxhash64("k"), F.col("chunks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda j: F.struct(F.col("label").alias("root"), F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
-    dealt = sets.select("k", "label", "weight", "tokens", chunk.alias("chunk"), (F.col("chunks") > 1).alias("large"), F.explode(F.when(F.col("chunks") == 1, own_bin).otherwise(pairs)).alias("bin"))
+    dealt = sets.select("k", "label", "weight", F.col("payload").alias("tokens"), chunk.alias("chunk"), (F.col("chunks") > 1).alias("large"), F.explode(F.when(F.col("chunks") == 1, own_bin).otherwise(pairs)).alias("bin"))
     dealt = dealt.select("k", "label", "weight", "tokens", "chunk", "large", "bin.root", "bin.i", "bin.j")
 
     def run(key, table):
@@ -286,25 +392,5 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(lone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and class: edges from a token's least class to its others. A token may go on in the next batch."""
-    token, least = None, None
-    for batch in batches:
-        tokens, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(tokens):
-            continue
-        new = np.concatenate([[token is None or tokens[0] != token], tokens[1:] != tokens[:-1]])
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        firsts = keys[starts]
-        first = np.where(group >= 0, firsts[np.maximum(group, 0)], 0) if len(firsts) else np.zeros(len(keys), np.int64)
-        if least is not None:
-            first = np.where(group < 0, least, first)
-        some = np.flatnonzero(first != keys)
-        edges = np.unique(np.stack([first[some], keys[some]]), axis=1) if len(some) else np.zeros((2, 0), np.int64)
-        token, least = tokens[-1], first[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(edges[0], pa.int64()), pa.array(edges[1], pa.int64())], ["a", "b"])
-
-
 def op9(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
