@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tokenmill.session import shared_dir
 
-PIECE_BYTES = 4 << 20  # text that numpy handles at once
+PIECE_BYTES = 1 << 20  # text that numpy handles at once
 
 
 def folder(spark: SparkSession, name: str) -> str:

@@ -44,7 +44,7 @@ SHORT_LIST = 64  # sets; longer lists skip the test of their hashed bitmaps
 BIN_TOKENS, BIN_SETS = 300_000, 1_500
 FANOUT = 8
 NOT_SPACE = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
-STEP_BYTES = 32 << 20  # of bitmaps that are compared at once
+STEP_BYTES = 8 << 20  # of bitmaps that are compared at once
 
 
 class Shingles:
@@ -143,21 +143,22 @@ def _payload(docs: DataFrame, classes: DataFrame, width: int, kind: str, make_co
     A bitmap of fixed size over class and document keeps most other documents out of the shuffle; the join decides.
     """
     bit = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.col("k")), 64 - FILTER_BITS) + 1
-    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
     for row in classes.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).collect():
-        own = np.unpackbits(np.frombuffer(bytes(row["map"]), np.uint8), bitorder="little").astype(bool)
+        own = np.frombuffer(bytes(row["map"]), np.uint8)
         bits[(row["at"] - 1) * len(own):row["at"] * len(own)] = own  # Spark counts buckets and the values in them from 1
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
     shift = np.uint64(64 - FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, wanted = Shingles(width), np.unpackbits(sent.value).view(bool)
+        make, wanted = Shingles(width), sent.value
         for batch in batches:
             ids = np.asarray(batch.column("h"))
             keys, rows, sets = [], [], []
             for row, own in enumerate(make(batch.column("t"))):
                 key = class_of(own)
-                if wanted[(np.int64(key) ^ ids[row]).view(np.uint64) >> shift]:
+                at = int((np.int64(key) ^ ids[row]).view(np.uint64) >> shift)
+                if wanted[at >> 3] >> (at & 7) & 1:
                     keys.append(key)
                     rows.append(row)
                     sets.append(own)
