@@ -3,8 +3,8 @@
 Subwords are the 3- and 4-byte pieces of words with their edges marked, hashed into buckets. A text is the mean of its buckets'
 vectors. Training is a fit on a bounded sample: at most about SAMPLE_ROWS rows, spread evenly over the MOST_LANGUAGES most frequent
 languages and chosen by a hash of the row; a row reaches the driver as its bucket counts, so the bound in bytes is rows x
-buckets x 6. A fifth of the sample calibrates: a temperature that minimizes the loss, then the rejection threshold, the largest score
-below which at most LOST of the rows that are predicted rightly fall. Prediction runs over all documents and whole texts.
+buckets x 6. A fifth of the sample calibrates: a temperature that minimizes the loss, then the rejection threshold, the smallest score
+above which PRECISION of the rows are predicted rightly, and FLOOR times an even spread over the languages at least. Prediction runs over all documents and whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; so is everything if no language
 could be learned; equal scores go to the language first in order; repeated rows repeat; only the columns asked for are carried on.
@@ -26,7 +26,8 @@ BUCKETS = 1 << 14
 DIM = 16
 SAMPLE_ROWS = 4_000
 MOST_LANGUAGES = 200
-LOST = 0.001
+PRECISION = 0.99
+FLOOR = 1.5
 EPOCHS, BATCH, RATE = 8, 32, 8.0
 UNKNOWN = "und"
 
@@ -150,8 +151,12 @@ def train(docs: DataFrame, eligible: Column | None = None, id_col: str = "doc_id
 
         model.temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
         scores = model.scores(logits)
-        right = np.sort(scores.max(axis=1)[scores.argmax(axis=1) == y])
-        model.threshold = float(right[int(LOST * len(right))]) if len(right) else 0.0
+        top, right = scores.max(axis=1), scores.argmax(axis=1) == y
+        order = np.argsort(-top, kind="stable")
+        good = np.cumsum(right[order]) >= PRECISION * np.arange(1, len(order) + 1)
+        accepted = int(np.flatnonzero(good)[-1]) + 1 if good.any() else 0
+        model.threshold = 0.0 if accepted == len(order) else float(top[order[accepted]]) + 1e-9
+        model.threshold = max(model.threshold, min(0.99, FLOOR / len(languages)))
     return model
 
 
