@@ -358,8 +358,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = components(met.where("list = 0").select("a", "b").unionByName(possible))
 
     found = parts.withColumnRenamed("node", "k").join(classes.select("k", "h", "weight", "n"), "k")
+    found = stored(found, "jaccard-found")
     size = found.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / BIN_TOKENS), F.ceil(F.count("*") / BIN_SETS)).alias("chunks"))
-    found = stored(found.join(size, "label"), "jaccard-candidates")
+    found = stored(found.join(stored(size, "jaccard-sizes"), "label"), "jaccard-candidates")  # aggregates by themselves, so that a hot group's join can be split
     total = found.where("chunks = 1").agg(F.sum("n").alias("n"), F.count("*").alias("c")).first()
     bins = max(1, -(-(total["n"] or 0) // BIN_TOKENS), -(-total["c"] // BIN_SETS))
     sets = _payload(docs, found, width, "array<long>", token_column)
@@ -384,8 +385,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = stored(linked, "jaccard-links")
     reached = components(linked.select(F.col("k").alias("a"), F.col("reached").alias("b"))).withColumnRenamed("node", "k")
     links = linked.groupBy("k").agg(F.sum("links").alias("links"))
-    named = classes.join(reached, "k", "left").join(links, "k", "left").withColumn("label", F.coalesce("label", "k"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = stored(classes.join(reached, "k", "left").join(links, "k", "left").withColumn("label", F.coalesce("label", "k")), "jaccard-reached")
+    least = stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "jaccard-least")
     named = stored(named.join(least, "label").select("k", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "jaccard-named")
     lone = F.col("n") == 0
     return narrow.join(named, "k", "left").select(

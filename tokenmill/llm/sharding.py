@@ -39,8 +39,8 @@ def propagate(linked: DataFrame, total: int, others: dict[int, int], shards: int
         load = {r["shard"]: r["n"] + others.get(r["shard"], 0) for r in cells.groupBy("shard").agg(F.sum("count").alias("n")).collect()}
         # shards by the number of a text's documents there; as many are kept as the text needs
         ranked = cells.groupBy("g").agg(F.sum("count").alias("n"), F.reverse(F.array_sort(F.collect_list(F.struct("count", F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 30)).alias("tie"), "shard")))).alias("s"))
-        wanted = ranked.select("g", F.slice(F.transform("s", lambda x: x["shard"]), 1, F.ceil(F.col("n") / capacity).cast("int")).alias("to"))
-        wanted = wanted.join(ranked.where(F.size("s") > 1).select("g"), "g", "left_semi")
+        wanted = ranked.select("g", F.slice(F.transform("s", lambda x: x["shard"]), 1, F.ceil(F.col("n") / capacity).cast("int")).alias("to"), (F.size("s") > 1).alias("spread"))
+        wanted = cut_lineage(wanted.where("spread").drop("spread"))
         asks = linked.join(wanted, "g", "left").withColumn("target", F.when(F.col("to").isNull() | F.array_contains("to", F.col("shard")), F.col("shard")).otherwise(F.get("to", F.pmod(F.xxhash64("row", F.lit(step)), F.size("to")).cast("int"))))
         asks = cut_lineage(asks.drop("to"))
         moves = asks.where("target <> shard").groupBy("shard", "target").count().collect()
@@ -65,7 +65,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     rows = stored(rows.withColumn("row", F.xxhash64("id", "g")), "shard-rows")
     total = rows.count()
     start = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")
-    groups = rows.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1")
+    groups = stored(rows.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1"), "shard-groups")  # by itself, so that a hot group's join can be split
     rows = stored(rows.join(groups, "g", "left").withColumn("linked", F.col("copies").isNotNull()).drop("copies").withColumn("shard", start), "shard-linked")
     others = {r["shard"]: r["count"] for r in rows.where("not linked").groupBy("shard").count().collect()}
     labels = propagate(rows.where("linked").select("row", "g", "shard"), total, others, shards, rounds).groupBy("row").agg(F.min("shard").alias("label"))
