@@ -85,6 +85,18 @@ def class_of(tokens: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def held_often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the sets hold, and in how many; counted by parts of the hashes' range."""
+    edges = np.arange(1, 8, dtype=np.uint64) << np.uint64(61)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    out = []
+    for k in range(len(edges) + 1):
+        tokens, counts = np.unique(np.concatenate([*(s[c[k]:c[k + 1]] for s, c in zip(sets, cuts)), np.zeros(0, np.uint64)]), return_counts=True)
+        some = counts >= COMMON_IN_BLOCK
+        out.append((tokens[some], counts[some]))
+    return np.concatenate([t for t, _ in out]), np.concatenate([c for _, c in out])
+
+
 def prefix_length(n: int, share: tuple[int, int]) -> int:
     return n + share[0] * -n // share[1] + 1
 
@@ -96,13 +108,12 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
         make = Shingles(width)
         for batch in batches:
             sets = list(make(batch.column("t")))
-            tokens, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            some = counts >= COMMON_IN_BLOCK
+            tokens, counts = held_often(sets)
             at_first = np.zeros(len(sets), np.int64)
-            at_first[:1] = some.sum()
+            at_first[:1] = len(tokens)
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()),
-                list_array(tokens[some].view(np.int64), at_first, pa.int64()), list_array(counts[some], at_first, pa.int64())], ["id", "h", "n", "k", "common", "held"])
+                list_array(tokens.view(np.int64), at_first, pa.int64()), list_array(counts, at_first, pa.int64())], ["id", "h", "n", "k", "common", "held"])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, k long, common array<long>, held array<long>")
 

@@ -16,7 +16,8 @@ text is a space afterwards, as the library has it); texts of any length are enco
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.llm.common import pieces, utf8
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_PENALTY = 10.0
 GATHERED = 1 << 19  # words whose ids are put together at once
-PAIRS_KEPT = 1 << 19  # answers on neighbouring pieces that a worker remembers
+PAIRS_KEPT = 1 << 18  # answers on neighbouring pieces that a worker remembers
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -100,9 +103,9 @@ class Encoder:
             known = self.pairs[u, t] = self.merged("".join(own)) == own
         return known
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of sorted distinct words; the states of the common prefix with the word before are used again."""
-        out, before = [], ""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of sorted distinct words, one after the other, and the number of each; the states of the common prefix with the word before are used again."""
+        out, sizes, before = array("i"), array("i"), ""
         states: list[tuple[float, int, int]] = [(0.0, 0, -1)]  # score, start of the last piece, its id (-1: none)
         starts: list[list[int]] = [[]]  # where pieces that may go on began, for each prefix
         known, scores, pairs, free = self.known, self.score, self.pairs, not self.merges
@@ -135,41 +138,43 @@ class Encoder:
                 _, start, piece = states[end]
                 ids += [piece] if piece >= 0 else [self.bytes.get(b, self.unknown) for b in reversed(word[start:end].encode())] if self.bytes else [self.unknown]
                 end = start
-            out.append(ids[::-1])
+            out.extend(reversed(ids))
+            sizes.append(len(ids))
             before = word
-        return out
+        return np.array(out, np.int32), np.array(sizes, np.int64)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the number of ids of each."""
         number: dict[str, int] = {}
         words, counts = [], []
         for text in texts:
             own = WORD.findall(self.library.normalize(text)) if text else []
-            words.append(np.array([number.setdefault(w, len(number)) for w in own], np.int64))
+            words.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
             counts.append(len(own))
         order = sorted(number)
-        coded = self.encode_words(order)
-        sizes = np.zeros(len(number), np.int64)
+        flat, coded = self.encode_words(order)
+        sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         at = np.array([number[w] for w in order], np.int64)
-        sizes[at] = [len(c) for c in coded]
-        flat = np.array([i for c in coded for i in c], np.int32)
-        starts = np.zeros(len(number), np.int64)
-        starts[at] = np.cumsum(sizes[at]) - sizes[at]
-        word = np.concatenate([*words, np.zeros(0, np.int64)])
-        parts = []
+        sizes[at], starts[at] = coded, np.cumsum(coded) - coded
+        number.clear()
+        word = np.concatenate([*words, np.zeros(0, np.int32)])
+        words.clear()
+        ids, done = np.zeros(int(sizes[word].sum()), np.int32), 0
         for part in np.array_split(word, len(word) // GATHERED + 1):
             size = sizes[part]
             ends = np.cumsum(size)
-            parts.append(flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - starts[part], size)])
+            n = int(ends[-1]) if len(ends) else 0
+            ids[done:done + n] = flat[np.arange(n) - np.repeat(ends - size - starts[part], size)]
+            done += n
         edges = np.concatenate([[0], np.cumsum(sizes[word])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return np.concatenate(parts), np.diff(edges)
+        return ids, np.diff(edges)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
-BLOCK_CHARS = 24 << 20  # text whose words share a trie
+BLOCK_BYTES = 12 << 20  # text whose words share a trie
 
 
 def _model(path: str) -> bytes:
@@ -187,19 +192,14 @@ def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
         coder = Encoder(sent.value)
         for batch in batches:
             column = batch.column("t")
-            start = 0
-            while start < len(column):
-                texts, chars = [], 0
-                while start + len(texts) < len(column) and (not texts or chars < BLOCK_CHARS):
-                    texts.append(column[start + len(texts)].as_py())
-                    chars += len(texts[-1] or "")
-                ids, counts = coder.encode(texts)
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                whole = [t is None or coder.decode(ids[a:b]) == t.replace(MARK, " ") for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist())]
-                lists = pa.ListArray.from_arrays(pa.array([None if t is None else int(e) for t, e in zip(texts, ends[:-1])] + [int(ends[-1])], pa.int32()), pa.array(ids, pa.int32()))
-                part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*[part.column(f"k{i}") for i in range(len(keep))], lists, pa.array(whole)], [*[f"k{i}" for i in range(len(keep))], "ids", "whole"])
-                start += len(texts)
+            for first, last in pieces(utf8(column)[1], BLOCK_BYTES):
+                part = batch.slice(first, last - first)
+                texts = part.column("t")
+                ids, counts = coder.encode(t.as_py() for t in texts)
+                ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                whole = [not t.is_valid or coder.decode(ids[a:b]) == t.as_py().replace(MARK, " ") for t, a, b in zip(texts, ends, ends[1:])]
+                lists = pa.ListArray.from_arrays(pa.array([e if t.is_valid else None for t, e in zip(texts, ends)] + [ends[-1]], pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[part.column(f"k{i}") for i in range(len(keep))], lists, pa.array(whole, pa.bool_())], [*[f"k{i}" for i in range(len(keep))], "ids", "whole"])
 
     out = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t")).mapInArrow(run, f"{head}{', ' if head else ''}ids array<int>, whole boolean")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "whole")
