@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import Words, pieces, stored, utf8
+from tokenmill.llm.common import Words, pieces, released, stored, utf8
 
 WIDTH = 10
 SHINGLE = 3
@@ -165,10 +165,18 @@ def count_shingles(docs: DataFrame, text_col: str, block: Block) -> dict[tuple[i
             some = np.flatnonzero(totals[s][:-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(keys[some], pa.int64()), pa.array(totals[s][some], pa.int64())], ["s", "code", "n"])
 
-    counts = docs.select(text_col).mapInArrow(run, "s int, code long, n long").groupBy("s", "code").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_col).mapInArrow(released(run), "s int, code long, n long").groupBy("s", "code").agg(F.sum("n").alias("n"))
     return {(r["s"], r["code"]): r["n"] for r in counts.collect()}
 
 
+def covered(hits: list[int]) -> int:
+    """Words inside at least one run; starts and ends take turns."""
+    n = end = 0
+    for low, high in sorted(zip(hits[::2], hits[1::2])):
+        n, end = n + max(0, high - max(low, end)), max(end, high)
+    return n
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
     """Per document: the columns of `keep`, the id, n_words, n_hit (words inside contained windows) and items (their ids as text, sorted)."""
     keep = list(dict.fromkeys([*(keep or []), id_col]))
@@ -177,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     head = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
     texts = docs.select(F.col(text_col).alias("t"))
 
-    def search(sent):
+    def search(sent, last_pass):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b, split = sent.value if sent else Block([], width), Words(WORD_BYTES)
             for batch in batches:
@@ -191,21 +199,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         hits[k] += runs.ravel().tolist()
                         items[k] = sorted({*found, *items[k]})
                 own = [batch.column(f"k{i}") for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*own, batch.column("t"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(np.concatenate([*n_words, np.zeros(0, np.int64)]), pa.int64())], [*[f"k{i}" for i in range(len(keep))], "t", "hits", "items", "n_words"])
+                cells = [batch.column("t"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(np.concatenate([*n_words, np.zeros(0, np.int64)])), pa.array([covered(h) for h in hits], pa.int64())]
+                names = ["t", "hits", "items", "n_words", "n_hit"]
+                cells, names = (cells[2:], names[2:]) if last_pass else (cells, names)
+                yield pa.RecordBatch.from_arrays([*own, *cells], [*[f"k{i}" for i in range(len(keep))], *names])
 
         return run
 
-    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = []
-            for hits in batch.column("hits"):
-                n = end = 0
-                for low, high in sorted(np.array(hits.as_py(), np.int64).reshape(-1, 2).tolist()):
-                    n, end = n + max(0, high - max(low, end)), max(end, high)
-                total.append(n)
-            own = [batch.column(f"k{i}") for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*own, batch.column("n_words"), pa.array(total, pa.int64()), batch.column("items")], [*[f"k{i}" for i in range(len(keep))], "n_words", "n_hit", "items"])
-
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, width)
     for k, rows in enumerate(blocks or [None]):
         sent = None
@@ -213,11 +213,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             block = Block(rows, width)
             block.enter(count_shingles(texts, "t", block))
             sent = docs.sparkSession.sparkContext.broadcast(block)
-        carried = carried.mapInArrow(search(sent), f"{head}, t string, hits array<long>, items array<string>, n_words long")
-        if k + 1 < len(blocks):  # one block of the benchmark in memory at a time
-            carried = stored(carried.drop("n_words"), "contamination")
-    out = carried.drop("t").mapInArrow(covered, f"{head}, n_words long, n_hit long, items array<string>")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items")
+        last_pass = k + 1 >= len(blocks)
+        carried = carried.mapInArrow(released(search(sent, last_pass)), f"{head}, {'' if last_pass else 't string, hits array<long>, '}items array<string>, n_words long, n_hit long")
+        if not last_pass:  # one block of the benchmark in memory at a time
+            carried = stored(carried.drop("n_words", "n_hit"), "contamination")
+    return carried.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import Words, list_array, mixed, pieces, stored, utf8
+from tokenmill.llm.common import Words, list_array, mixed, pieces, released, stored, utf8
 from tokenmill.llm.components import components
 
 WIDTH = 5
@@ -115,7 +115,7 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
                 batch.column("id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()),
                 list_array(tokens.view(np.int64), at_first, pa.int64()), list_array(counts, at_first, pa.int64())], ["id", "h", "n", "k", "common", "held"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, k long, common array<long>, held array<long>")
+    return docs.mapInArrow(released(run), f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, k long, common array<long>, held array<long>")
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, rank: np.ndarray, width: int, share: tuple[int, int]) -> DataFrame:
@@ -145,7 +145,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, rank: np.ndarray, width: int,
             flat = np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), counts))], ["token", "k"])
 
-    return docs.select("t").mapInArrow(run, "token long, k long")
+    return docs.select("t").mapInArrow(released(run), "token long, k long")
 
 
 def _payload(docs: DataFrame, classes: DataFrame, width: int, kind: str, make_column) -> DataFrame:
@@ -175,7 +175,7 @@ def _payload(docs: DataFrame, classes: DataFrame, width: int, kind: str, make_co
                     sets.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[rows], pa.int64()), make_column(sets)], ["k", "h", "payload"])
 
-    return docs.select("h", "t").mapInArrow(run, f"k long, h long, payload {kind}").join(classes, ["k", "h"])
+    return docs.select("h", "t").mapInArrow(released(run), f"k long, h long, payload {kind}").join(classes, ["k", "h"])
 
 
 def token_column(sets: list[np.ndarray]) -> pa.Array:
@@ -359,13 +359,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = narrow.drop("common", "held")
 
     met = _prefixes(docs, common[order], held["held"].to_numpy(np.int64)[order], width, share)
-    met = met.repartition("token").sortWithinPartitions("token", "k").mapInArrow(_lists, "list long, a long, b long")
+    met = met.repartition("token").sortWithinPartitions("token", "k").mapInArrow(released(_lists), "list long, a long, b long")
     met = stored(met.distinct(), "jaccard-lists")
     classes = narrow.where("n > 0").groupBy("k").agg(F.min("h").alias("h"), F.min("id").alias("least"), F.count("*").alias("weight"), F.first("n").alias("n"))
     members = met.where("list <> 0").select("list", F.col("a").alias("k"))
     tested = stored(members.select("k").distinct().join(classes.select("k", "h", "n"), "k"), "jaccard-tested")
     bitmaps = _payload(docs, tested, width, "binary", bitmap_column)
-    possible = members.join(bitmaps, "k").select("list", "k", "n", "payload").repartition("list").sortWithinPartitions("list").mapInArrow(_possible(share), "a long, b long")
+    possible = members.join(bitmaps, "k").select("list", "k", "n", "payload").repartition("list").sortWithinPartitions("list").mapInArrow(released(_possible(share)), "a long, b long")
     parts = components(met.where("list = 0").select("a", "b").unionByName(possible))
 
     found = parts.withColumnRenamed("node", "k").join(classes.select("k", "h", "weight", "n"), "k")

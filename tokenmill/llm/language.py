@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import list_array, pieces, utf8
+from tokenmill.llm.common import list_array, pieces, released, utf8
 
 BUCKETS = 1 << 14
 DIM = 16
@@ -104,7 +104,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible
             flat = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (some, held)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("test"), batch.column("h"), list_array(flat[0].astype(np.int16), sizes, pa.int16()), list_array(flat[1].astype(np.float32), sizes, pa.float32())], ["lang", "test", "h", "buckets", "counts"])
 
-    table = chosen.mapInArrow(run, "lang string, test boolean, h long, buckets array<smallint>, counts array<float>").toArrow()
+    table = chosen.mapInArrow(released(run), "lang string, test boolean, h long, buckets array<smallint>, counts array<float>").toArrow()
     table = table.sort_by([("h", "ascending"), ("lang", "ascending")])
     number = {lang: k for k, lang in enumerate(languages)}
     cells = zip(*(table.column(c) for c in ("lang", "test", "buckets", "counts")))
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter")
     out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"), letter)
-    out = out.mapInArrow(run, f"{head}{', ' if head else ''}lang_pred string, score double, rejected boolean")
+    out = out.mapInArrow(released(run), f"{head}{', ' if head else ''}lang_pred string, score double, rejected boolean")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
 
 

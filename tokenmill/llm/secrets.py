@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.llm.common import pieces, utf8
+from tokenmill.llm.common import pieces, released, utf8
 
 ALL = ("all",)  # the query that any document meets
 MOST_STRINGS = 64  # alternatives of a literal part, beyond which it is taken as open
@@ -220,7 +220,7 @@ def scan_secrets(df: DataFrame, text_col: str = "text", keep: list[str] | None =
             out = [pa.array(texts, pa.string()) if redact and c == text_col else batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*out, pa.array(spans, _ARROW)], [*keep, "spans"])
 
-    return df.select(*asked).mapInArrow(run, T.StructType([*fields, T.StructField("spans", SPANS)]))
+    return df.select(*asked).mapInArrow(released(run), T.StructType([*fields, T.StructField("spans", SPANS)]))
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:

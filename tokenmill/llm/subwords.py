@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import pieces, utf8
+from tokenmill.llm.common import pieces, released, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -201,7 +201,7 @@ def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
                 lists = pa.ListArray.from_arrays(pa.array([e if t.is_valid else None for t, e in zip(texts, ends)] + [ends[-1]], pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(f"k{i}") for i in range(len(keep))], lists, pa.array(whole, pa.bool_())], [*[f"k{i}" for i in range(len(keep))], "ids", "whole"])
 
-    out = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t")).mapInArrow(run, f"{head}{', ' if head else ''}ids array<int>, whole boolean")
+    out = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t")).mapInArrow(released(run), f"{head}{', ' if head else ''}ids array<int>, whole boolean")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "whole")
 
 
@@ -217,7 +217,7 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: list[str] | None = None, m
             texts = [None if row.as_py() is None else coder.decode(np.asarray(row.values)) for row in batch.column("i")]
             yield pa.RecordBatch.from_arrays([*[batch.column(f"k{i}") for i in range(len(keep))], pa.array(texts, pa.string())], [*[f"k{i}" for i in range(len(keep))], "decoded"])
 
-    out = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(ids_col).alias("i")).mapInArrow(run, f"{head}{', ' if head else ''}decoded string")
+    out = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(ids_col).alias("i")).mapInArrow(released(run), f"{head}{', ' if head else ''}decoded string")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "decoded")
 
 

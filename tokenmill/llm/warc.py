@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import folder, stored
+from tokenmill.llm.common import folder, released, stored
 
 LEAST_BYTES = 1000
 FILE_BYTES = 32 << 20  # of records before compression
@@ -129,7 +129,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    found = stored(files.mapInArrow(run, "page_id long, url string, record_type string, record string, response string, digest string, n long"), "warc-read")
+    found = stored(files.mapInArrow(released(run), "page_id long, url string, record_type string, record string, response string, digest string, n long"), "warc-read")
     responses = found.where("record_type = 'response'")
     named = found.where("record_type = 'revisit'").select("response").distinct().join(
         responses.groupBy(F.col("record").alias("response")).agg(F.max("page_id").alias("refers_to"), F.first("digest").alias("payload_digest"), F.first("n").alias("payload_bytes")), "response")
