@@ -115,3 +115,11 @@ def test_empty_documents_survive_encoding(spark):
     df = spark.createDataFrame([(1, ["b", "a", "z"]), (2, [])], "d int, w array<string>")
     rows = {r["d"]: r["tokens"] for r in V.encode_words(df, ["d"], F.col("w"), vocab, unk=9).collect()}
     assert rows == {1: [1, 0, 9], 2: []}
+
+
+def test_decode_chars_in_all_planes(spark):
+    from tokenmill.operators.vocab import decode_chars, encode_chars
+
+    text = "aé€漢😀"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(decode_chars(encode_chars(F.col("t")))).first()[0] == text

@@ -5,7 +5,10 @@ Draws and orders are hashes of row keys, never of partitions, so a recomputed ta
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +24,10 @@ SPLIT_SEED = 1234
 
 def parse_split(spec: str, has_valid: bool = False, has_test: bool = False) -> list[float]:
     """Proportions from `949,50,1`, `8/1/1` or one number; separately given sets get nothing."""
-    separator = "," if "," in spec else "/"
-    shares = [float(part) for part in spec.split(separator)]
-    missing = 1.0 - sum(shares)
-    if missing > 0:
-        shares.append(missing)
-    shares = (shares + [0.0, 0.0, 0.0])[:3]
-    if has_valid:
-        shares[1] = 0.0
-    if has_test:
-        shares[2] = 0.0
-    total = sum(shares)
-    return [share / total for share in shares]
+    shares = [float(part) for part in re.findall(r"[^,/]+", spec)]
+    shares += [max(0.0, 1.0 - sum(shares)), 0.0, 0.0]
+    wanted = [share * given for share, given in zip(shares, (True, not has_valid, not has_test))]
+    return [share / sum(wanted) for share in wanted]
 
 
 def should_split(shares: Sequence[float]) -> bool:
@@ -41,25 +36,12 @@ def should_split(shares: Sequence[float]) -> bool:
 
 
 def split_bounds(n_rows: int, shares: Sequence[float]) -> list[tuple[int, int] | None]:
-    """Half-open position ranges per split.
+    """Half-open position ranges per split: the floors of the cumulative shares of the rows.
 
-    Fractions of a row are carried to the next split. A wanted split gets at least one row, and that row may also open the
-    next split, because the next start counts the unrounded size.
+    A wanted split gets at least one row, which may also be the first of the next split.
     """
-    total = sum(shares)
-    bounds: list[tuple[int, int] | None] = []
-    start, carried = 0, 0.0
-    for share in shares:
-        if share == 0:
-            bounds.append(None)
-            continue
-        exact = n_rows * (share / total)
-        carried += exact % 1
-        size = int(int(exact) + carried)
-        carried %= 1
-        bounds.append((start, min(start + max(size, 1), n_rows)))
-        start += size
-    return bounds
+    edges = [math.floor(n_rows * part / sum(shares) + 1e-9) for part in accumulate(shares, initial=0.0)]
+    return [(low, min(max(high, low + 1), n_rows)) if share else None for share, low, high in zip(shares, edges, edges[1:])]
 
 
 def split_rows(df: DataFrame, keys: Sequence[str], shares: Sequence[float], seed: int = SPLIT_SEED, shuffle: bool = True) -> DataFrame:

@@ -264,8 +264,8 @@ def encode_chars(text: Column) -> Column:
 
 
 def decode_chars(tokens: Column) -> Column:
-    """Text of character-level ids below 256."""
-    return F.array_join(F.transform(tokens, lambda t: F.char(t)), "")
+    """Text of character-level ids, in all planes."""
+    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(t), 8, "0")), "UTF-32")), "")
 
 
 def split_commands(text: Column, left_strip: Sequence[str] = tuple(COMMAND_TOKENS[n] for n in LEFT_STRIPPING), right_strip: Sequence[str] = ()) -> Column:

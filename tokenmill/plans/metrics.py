@@ -205,7 +205,7 @@ def _bleu_sql():
 def _(t):
     # Two references: the user turn, and the answer without its first three words.
     shorter = F.array_join(F.expr("slice(ws, 4, size(ws))"), " ")
-    pairs = _pairs(t).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "prediction", "reference", T.split_words(F.col("prediction")).alias("ws"))
+    pairs = _pairs(t).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "prediction", "reference", T.split_words(F.col("prediction")).alias("ws"))
     return _round(M.corpus_bleu(pairs, "id", F.col("prediction"), F.array(F.col("reference"), shorter), lower=True))
 
 

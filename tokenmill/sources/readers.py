@@ -14,10 +14,11 @@ from tokenmill.operators.sequences import sections
 MISSING_LABEL = "-1"  # fixed value: label of rows without one
 
 # Relations of the fact-completion set.
-RELATIONS = (
-    "P1001 P101 P103 P106 P108 P127 P1303 P131 P136 P1376 P138 P140 P1412 P159 P17 P176 P178 P19 P190 P20 P264 P27 P276 P279 "
-    "P30 P31 P36 P361 P364 P37 P39 P407 P413 P449 P463 P47 P495 P527 P530 P740 P937"
-).split()
+RELATIONS = [
+    "P1001", "P101", "P103", "P106", "P108", "P127", "P1303", "P131", "P136", "P1376", "P138", "P140", "P1412", "P159",
+    "P17", "P176", "P178", "P19", "P190", "P20", "P264", "P27", "P276", "P279", "P30", "P31", "P36", "P361",
+    "P364", "P37", "P39", "P407", "P413", "P449", "P463", "P47", "P495", "P527", "P530", "P740", "P937",
+]
 
 
 def spread(df: DataFrame) -> DataFrame:
