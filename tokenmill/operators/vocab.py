@@ -251,11 +251,12 @@ def byte_pair_dictionary(words: DataFrame, merges: Sequence[tuple[str, str]], by
 
 
 def decode_ids(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame, out: str = "text") -> DataFrame:
-    """Ids back to text: surface forms joined by spaces, `##` pieces glued to the piece before; unknown ids vanish."""
+    """Ids back to text: surface forms joined by spaces, `##` pieces glued to the piece before; unknown ids vanish, rows without ids are empty."""
     surface = vocab.select("id", "token").dropDuplicates(["id"])
     placed = df.select(*keys, F.posexplode(tokens).alias("pos", "id")).join(surface, "id")
     joined = gather(placed, keys, "pos", "token", "__tokens")
-    return joined.select(*keys, F.regexp_replace(F.array_join("__tokens", " "), " ##", "").alias(out))
+    text = F.coalesce(F.regexp_replace(F.array_join("__tokens", " "), " ##", ""), F.lit(""))
+    return df.select(*keys).join(joined, list(keys), "left").select(*keys, text.alias(out))
 
 
 def encode_chars(text: Column) -> Column:
