@@ -8,13 +8,13 @@ from tokenmill.operators import metrics as M
 from tokenmill.plans.registry import query
 from tokenmill.plans.sqltext import words
 
-# Ten scores per vector, the first ten components; the prediction is the highest one.
-SCORES = """scores AS (SELECT vec_id, label, unnest(range(10))::INTEGER AS choice, unnest(embedding[1:10])::DOUBLE AS score FROM embeddings),
+# A score for every component of a vector; the prediction is the highest one.
+SCORES = """scores AS (SELECT vec_id, label, unnest(range(len(embedding)))::INTEGER AS choice, unnest(embedding)::DOUBLE AS score FROM embeddings),
 preds AS (SELECT vec_id, label, arg_max(choice, (score, -choice)) AS prediction FROM scores GROUP BY vec_id, label)"""
 
 
 def _scores(t):
-    return t.embeddings.select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 10)).alias("choice", "score")).withColumn("score", F.col("score").cast("double"))
+    return t.embeddings.select("vec_id", "label", F.posexplode("embedding").alias("choice", "score")).withColumn("score", F.col("score").cast("double"))
 
 
 def _predictions(t):
