@@ -28,10 +28,10 @@ def test_records(spark, tmp_path):
 
 def test_labelled_csv(spark, tmp_path):
     path = put(tmp_path / "a.csv", 'label,sentence\npos,"café, ""x"""\n,gone\nneg,ok\n', "latin-1")
-    rows = R.labelled_csv(spark, path, "sentence", "label", ["label", "sentence"], preprocess=F.upper).collect()
+    rows = R.labelled_csv(spark, path, "sentence", "label", preprocess=F.upper).collect()
     assert [(r["text"], r["length"], r["label"]) for r in rows] == [('CAFÉ, "X"', 9, "pos"), ("OK", 2, "neg")]
     path = put(tmp_path / "b.tsv", "sentence\nx y\n")
-    assert R.labelled_csv(spark, path, "sentence", "label", ["sentence"]).first()["label"] == "-1"
+    assert R.labelled_csv(spark, path, "sentence", "label").first()["label"] == "-1"
 
 
 def test_labelled_json_tight(spark, tmp_path):
@@ -43,6 +43,7 @@ def test_plain_tsv_keeps_quotes_and_nulls(spark, tmp_path):
     path = put(tmp_path / "a.tsv", 'sentence\tlabel\n"open\tNA\nnull\t\n')
     rows = sorted(R.plain_tsv(spark, path, ["sentence", "label"]).collect(), key=lambda r: r["line_no"])
     assert [tuple(r) for r in rows] == [('"open', "NA", 0), ("null", "", 1)]
+    assert [tuple(r) for r in R.plain_tsv(spark, path, ["label", "sentence"]).orderBy("line_no").collect()] == [("NA", '"open', 0), ("", "null", 1)]
 
 
 def test_line_numbers_over_several_blocks(spark, tmp_path):
@@ -63,6 +64,21 @@ def test_paired_lines(spark, tmp_path):
     assert R.unpaired(pairs).count() == 1
 
 
+def test_paired_lines_over_part_files(spark, tmp_path):
+    for side in "ab":
+        put(tmp_path / side / "part-1", f"{side}0\n{side}1\n")
+        put(tmp_path / side / "part-2", f"{side}2\n{side}3\n")
+    pairs = R.paired_lines(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert sorted(tuple(r) for r in pairs.collect()) == [(i, f"a{i}", f"b{i}") for i in range(4)]
+
+
+def test_parallel_text_keeps_rows_together(spark, tmp_path):
+    rows = [(k % 3, f"p{k}", f"r{k}") for k in range(60)]
+    W.write_parallel_text(spark.createDataFrame(rows, "k int, prediction string, ref string").repartition(5), str(tmp_path / "x"), "k")
+    got = R.paired_lines(spark, str(tmp_path / "x.hyps"), str(tmp_path / "x.refs")).orderBy("line_no").collect()
+    assert [(r["source"], r["target"]) for r in got] == [(p, q) for _, p, q in sorted(rows)]
+
+
 def test_sectioned_documents(spark, tmp_path):
     for i in (1, 2):
         put(tmp_path / f"{i}.summary", f"[SN]URL[SN]\nhttp://x\n[SN]FIRST-SENTENCE[SN]\n one {i} \n[SN]RESTBODY[SN]\nb1\n\n b2\n")
@@ -109,6 +125,8 @@ def test_write_once_keeps_the_first(spark, tmp_path):
     path = str(tmp_path / "t")
     assert W.write_once(spark.range(3), path).count() == 3
     assert W.write_once(spark.range(9), path).count() == 3
+    (tmp_path / "broken").mkdir()
+    assert W.write_once(spark.range(4), str(tmp_path / "broken")).count() == 4
 
 
 def test_shards(spark, tmp_path):

@@ -31,15 +31,24 @@ def test_split_rows_overlap(spark):
 
 def test_positions_with_gaps_and_hot_group(spark):
     df = spark.range(3000).select((F.col("id") * 7919 % 100_003).alias("k"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"))
-    rows = position(df, "k", within=["g"], block_rows=100).collect()
+    rows = position(df, "k", within=["g"]).collect()
     for group in {r["g"] for r in rows}:
         mine = sorted((r["k"], r["pos"]) for r in rows if r["g"] == group)
         assert [p for _, p in mine] == list(range(len(mine)))
 
 
+def test_positions_of_sparse_ids(spark):
+    df = spark.range(2000).select(F.xxhash64("id").alias("k"), F.when(F.col("id") % 2 == 0, "g").alias("g"), F.lit("x").alias("other"))
+    for within in ([], ["g"]):
+        rows = position(df, "k", within=within).collect()
+        for group in {r["g"] if within else 0 for r in rows}:
+            mine = sorted((r["k"], r["pos"]) for r in rows if not within or r["g"] == group)
+            assert [p for _, p in mine] == list(range(len(mine))) and len(mine) == (1000 if within else 2000)
+
+
 def test_running_total(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
-    before = {r["id"]: r["before"] for r in running_total(df, "id", F.col("v"), block_rows=10).collect()}
+    before = {r["id"]: r["before"] for r in running_total(df, "id", F.col("v")).collect()}
     total = 0
     for i in range(1000):
         assert before[i] == total

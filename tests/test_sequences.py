@@ -42,8 +42,10 @@ def drawn(docs, total_line, seed, sample, k):
     return docs[bisect_right(total_line, below(total_line[-1], seed, sample, k))]
 
 
-def test_packed_sequences(spark):
-    docs, size, n = documents([2, 3, 60, 1, 9]), 40, 60
+@pytest.mark.parametrize("lengths", [[2, 3, 60, 1, 9], [120, 5, 40, 3, 72]])
+def test_packed_sequences(spark, monkeypatch, lengths):
+    monkeypatch.setattr(S, "PIECE_TOKENS", 8)
+    docs, size, n = documents(lengths), 40, 60
     line = list(accumulate(len(d[1]) for d in docs))
     samples = spark.range(n).withColumnRenamed("id", "sample")
     rows = S.packed_sequences(samples, "sample", spark.createDataFrame(docs, SCHEMA), "doc_id", size, EOS, PAD, "s", width=4).collect()
@@ -74,8 +76,9 @@ def right_strip(tokens, loss, limit):
 
 
 @pytest.mark.parametrize("non_start", [0.0, 0.5])
-def test_block_samples(spark, non_start):
-    docs, size, n = documents([2, 3, 90, 1, 9, 31]), 32, 80
+def test_block_samples(spark, monkeypatch, non_start):
+    monkeypatch.setattr(S, "PIECE_TOKENS", 8)
+    docs, size, n = documents([2, 3, 90, 1, 9, 31, 45]), 32, 80
     line = list(accumulate(len(d[1]) for d in docs))
     samples = spark.range(n).withColumnRenamed("id", "sample")
     df = S.block_samples(samples, "sample", spark.createDataFrame(docs, SCHEMA), "doc_id", size, CLS, EOS, [END], "b", non_start, width=4)
@@ -129,6 +132,13 @@ def test_sentence_pairs(spark):
     assert kinds == {True, False}
 
 
+def test_sentence_pairs_end(spark):
+    for sentences, length in (([[1, 2]], 12), ([[1, 2], []], 12)):
+        one = spark.createDataFrame([(1, 1, sentences)], "doc_id long, weight long, sentences array<array<int>>")
+        with pytest.raises(ValueError):
+            S.sentence_pairs(spark.range(2).withColumnRenamed("id", "sample"), "sample", one, "doc_id", length, "p", width=8)
+
+
 def test_truncate_pair_matches_one_by_one(spark):
     rows = [(a * 20 + b, list(range(a)), list(range(100, 100 + b))) for a in range(14) for b in range(14)]
     df = S.truncate_pair(spark.createDataFrame(rows, "k int, tokens_a array<int>, tokens_b array<int>"), "k", 9, "t")

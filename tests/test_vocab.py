@@ -95,6 +95,10 @@ def test_split_commands(spark):
     assert split("[CLS]x") == ["[CLS]", "x"]
     assert split("  ") == []
     assert split("[MASK][MASK]") == ["[MASK]", "[MASK]"]
+    df = spark.createDataFrame([("a [MASK1]b <|startofpiece1|> c",)], "t string")
+    assert df.select(V.split_commands(F.col("t"), sentinels=2)).first()[0] == ["a", "[MASK1]", "b ", "<|startofpiece1|>", " c"]
+    ids = df.select(V.encode_with_commands(F.col("t"), V.encode_chars, 1000, sentinels=2, fixed_ids=True)).first()[0]
+    assert ids == [97, 1011, 98, 32, 1012, 32, 99]
 
 
 def test_command_ids():
@@ -110,6 +114,13 @@ def test_decode_glues_pieces(spark):
     assert V.decode_ids(df, ["d"], "tokens", vocab).first()["text"] == "undo [SEP] un"
 
 
+def test_decode_shared_ids(spark):
+    words = spark.createDataFrame([("a", 0)], "token string, id int")
+    table = V.assemble_vocab(words, 1)  # eop and gMASK share an id, as pad and eos do
+    df = spark.createDataFrame([(1, [0, 8, 1]), (2, [])], "d int, tokens array<int>")
+    assert {r["d"]: r["text"] for r in V.decode_ids(df, ["d"], "tokens", table).collect()} == {1: "a [gMASK] <|endoftext|>", 2: ""}
+
+
 def test_empty_documents_survive_encoding(spark):
     vocab = V.top_words(spark.createDataFrame([("a", 3), ("b", 2)], "word string, n long"), 10)
     df = spark.createDataFrame([(1, ["b", "a", "z"]), (2, [])], "d int, w array<string>")

@@ -1,7 +1,9 @@
 """Benchmark rows to the common example table `(guid, text_a, text_b, label, idx, num_choices, meta)`.
 
 Every builder is row-local: nested questions and answers are exploded where they stand, so no builder shuffles. `raw` has the
-fields of the task's file; `line_no` is the 0-based line (or row) number where the file has no id of its own.
+fields of the task's file; `line_no` is the 0-based line (or row) number where the file has no id of its own. Passages are normalized
+once, before their questions are exploded; `carry` says what each of their examples holds of the passage: all of it, or for
+instance a digest by which it is joined later.
 """
 
 from __future__ import annotations
@@ -47,6 +49,10 @@ def _example(guid: Column, text_a: Column, text_b: Column | None = None, label:
     return columns + ([meta.alias("meta")] if meta is not None else [])
 
 
+def _whole(passage: Column) -> Column:
+    return passage
+
+
 def labelled_or_first(examples: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Unlabelled rows get the first label, so that they can be laid out like the others."""
     return examples.withColumn("label", F.coalesce("label", F.lit(str(labels[0]))))
@@ -176,9 +182,10 @@ def cause_and_effect_layout_text(examples: DataFrame) -> DataFrame:
     return examples.select("guid", text_a.alias("text_a"), "label", F.posexplode(choices).alias("choice_no", "text_b"))
 
 
-def answer_sentences(raw: DataFrame, set_type: str) -> DataFrame:
+def answer_sentences(raw: DataFrame, set_type: str, carry: Callable[[Column], Column] = _whole) -> DataFrame:
     """Passage, question and one answer per row."""
-    questions = raw.select("idx", _std("passage.text").alias("text"), F.explode("passage.questions").alias("q"))
+    passages = raw.select("idx", carry(_std("passage.text")).alias("text"), "passage.questions")
+    questions = passages.select("idx", "text", F.explode("questions").alias("q"))
     answers = questions.select("idx", "text", "q", F.explode("q.answers").alias("a"))
     meta = F.struct(F.col("idx").alias("passage_idx"), F.col("q.idx").alias("question_idx"), F.col("a.idx").alias("answer_idx"), _std("a.text").alias("answer"))
     guid = F.format_string(f"{set_type}-p%d-q%d-a%d", F.col("idx"), F.col("q.idx"), F.col("a.idx"))
@@ -191,20 +198,22 @@ def answer_sentences_text(examples: DataFrame) -> DataFrame:
     return examples.withColumn("text_b", F.concat_ws(" ", "text_b", F.lit("answer:"), "meta.answer"))
 
 
-def reading_choice(raw: DataFrame, set_type: str) -> DataFrame:
+def reading_choice(raw: DataFrame, set_type: str, carry: Callable[[Column], Column] = _whole) -> DataFrame:
     """One row per question of an article, with its options."""
-    rows = raw.select("id", clean_spaces(F.col("article")).alias("text"), F.posexplode(F.arrays_zip("questions", "options", "answers")).alias("q_no", "q"))
+    articles = raw.select("id", carry(clean_spaces(F.col("article"))).alias("text"), F.arrays_zip("questions", "options", "answers").alias("qs"))
+    rows = articles.select("id", "text", F.posexplode("qs").alias("q_no", "q"))
     meta = F.struct(F.col("q.options").alias("choices"))
     idx = F.concat_ws(",", F.lit(set_type), F.col("id").cast("string"), F.col("q_no").cast("string"))
     guid = F.concat(F.lit(f"{set_type}-p"), F.col("id").cast("string"), F.lit("-q"), F.col("q_no").cast("string"))
     return rows.select(_example(guid, F.col("text"), F.col("q.questions"), F.col("q.answers"), idx, meta=meta))
 
 
-def entity_cloze(raw: DataFrame, set_type: str, seed: str | int = 42) -> DataFrame:
+def entity_cloze(raw: DataFrame, set_type: str, seed: str | int = 42, carry: Callable[[Column], Column] = _whole) -> DataFrame:
     """Entity cloze. Training: a row per answer with up to nine random wrong entities; else one row with all candidates."""
     df = raw.withColumn("__text", _std("passage.text"))
     entities = F.array_sort(F.array_distinct(F.transform("passage.entities", lambda e: _std(F.col("__text").substr(e["start"] + 1, e["end"] - e["start"] + 1)))))
-    df = df.select("idx", highlights_as_list(F.col("__text")).alias("text"), entities.alias("entities"), F.explode("qas").alias("q"))
+    df = df.select("idx", carry(highlights_as_list(F.col("__text"))).alias("text"), entities.alias("entities"), "qas")
+    df = df.select("idx", "text", "entities", F.explode("qas").alias("q"))
     answers = F.array_sort(F.array_distinct(F.transform(F.coalesce("q.answers", F.array().cast("array<struct<text:string>>")), lambda a: _std(a["text"]))))
     df = df.select("idx", "text", "entities", F.col("q.idx").alias("q_idx"), _std("q.query").alias("question"), answers.alias("answers"))
     base = F.format_string(f"{set_type}-p%d-q%d", F.col("idx"), F.col("q_idx"))
@@ -258,26 +267,27 @@ def pronoun_by_character(raw: DataFrame, set_type: str) -> DataFrame:
     return raw.select(_example(_guid(set_type, idx), F.col("text"), F.col("target.span1_index").cast("string"), _optional(raw, "label"), idx, meta=meta))
 
 
-def _questions(raw: DataFrame) -> DataFrame:
+def _questions(raw: DataFrame, carry: Callable[[Column], Column]) -> DataFrame:
     paragraphs = raw.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p"))
-    return paragraphs.select(F.col("p.context").alias("context"), F.explode("p.qas").alias("qa"))
+    return paragraphs.select(carry(F.col("p.context")).alias("context"), "p.qas").select("context", F.explode("qas").alias("qa"))
 
 
-def passage_cloze(raw: DataFrame, set_type: str) -> DataFrame:
+def passage_cloze(raw: DataFrame, set_type: str, carry: Callable[[Column], Column] = _whole) -> DataFrame:
     """First answer of every question, or the mark of an unanswerable one."""
     first = F.coalesce(F.get("qa.answers", F.lit(0))["text"], F.lit(NOT_ANSWERABLE))
     meta = F.struct(first.alias("answer"), F.transform("qa.answers", lambda a: a["text"]).alias("answers"))
-    return _questions(raw).select(_example(F.col("qa.id"), F.col("context"), F.col("qa.question"), F.lit("0"), meta=meta))
+    return _questions(raw, carry).select(_example(F.col("qa.id"), F.col("context"), F.col("qa.question"), F.lit("0"), meta=meta))
 
 
 # Length of the split prefix in front of the number in a context id.
 CONTEXT_PREFIX = {"train": 6, "dev": 4, "test": 6}
 
 
-def passage_cloze_numbered(raw: DataFrame, set_type: str) -> DataFrame:
+def passage_cloze_numbered(raw: DataFrame, set_type: str, carry: Callable[[Column], Column] = _whole) -> DataFrame:
     """Question rows of a passage whose number stands behind a prefix in its id."""
     number = F.expr(f"cast(substring(context_id, {CONTEXT_PREFIX[set_type] + 1}) as bigint)").cast("string")
-    rows = raw.select(number.alias("number"), "context_text", F.posexplode("qas").alias("q_no", "q"))
+    passages = raw.select(number.alias("number"), carry(F.col("context_text")).alias("context_text"), "qas")
+    rows = passages.select("number", "context_text", F.posexplode("qas").alias("q_no", "q"))
     guid = _guid(set_type, F.col("number"), F.col("q_no").cast("string"))
     return rows.select(_example(guid, F.col("context_text"), F.col("q.query_text"), F.lit("0"), meta=F.struct(F.get("q.answers", F.lit(0)).alias("answer"))))
 
@@ -290,18 +300,18 @@ def paired_texts(pairs: DataFrame, set_type: str, source_rule: Callable[[Column]
     return pairs.select(_example(_guid(set_type, F.col("line_no").cast("string")), source_rule(form(F.col("source"))), target, meta=F.struct(target.alias("ref"))))
 
 
-def answer_generation(raw: DataFrame, set_type: str, fake_answer: str = "FAKE_ANSWER") -> DataFrame:
+def answer_generation(raw: DataFrame, set_type: str, fake_answer: str = "FAKE_ANSWER", carry: Callable[[Column], Column] = _whole) -> DataFrame:
     """One row per distinct answer of a question; the test set gets one placeholder answer."""
     answers = F.array(F.lit(fake_answer)) if set_type == "test" else F.array_distinct(F.transform("qa.answers", lambda a: a["text"]))
-    rows = _questions(raw).select("context", "qa", F.explode(answers).alias("answer"))
+    rows = _questions(raw, carry).select("context", "qa", F.explode(answers).alias("answer"))
     meta = F.struct(F.col("qa.question").alias("question"), "answer", F.col("answer").alias("ref"))
     guid = _guid(set_type, F.col("qa.id"), F.col("answer"))
     return rows.select(_example(guid, F.col("context"), None, idx=F.col("qa.id"), meta=meta))
 
 
-def question_generation(raw: DataFrame, set_type: str) -> DataFrame:
+def question_generation(raw: DataFrame, set_type: str, carry: Callable[[Column], Column] = _whole) -> DataFrame:
     """One row per distinct answer text; of several start positions of one text the last counts."""
-    rows = _questions(raw).select("context", "qa", F.explode(F.array_distinct(F.transform("qa.answers", lambda a: a["text"]))).alias("answer"))
+    rows = _questions(raw, carry).select("context", "qa", F.explode(F.array_distinct(F.transform("qa.answers", lambda a: a["text"]))).alias("answer"))
     start = F.element_at(F.filter("qa.answers", lambda a: a["text"] == F.col("answer")), -1)["answer_start"]
     meta = F.struct(F.col("qa.question").alias("question"), "answer", start.alias("answer_start"))
     return rows.select(_example(_guid(set_type, F.col("qa.id"), F.col("answer")), F.col("context"), None, idx=F.col("qa.id"), meta=meta))

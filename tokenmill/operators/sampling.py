@@ -175,12 +175,7 @@ def strided_plan(steps: DataFrame, step: str, n_rows: Column, lanes: int) -> Dat
 
 def order_by_choices(df: DataFrame, choices: str, order: str) -> DataFrame:
     """Add the stable position by number of choices, so that batches are uniform."""
-    counts = df.groupBy(choices).agg(F.count("*").alias("__n"))
-    # One row per distinct number of choices, which is a small bounded set.
-    before = Window.orderBy(choices).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(choices, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = position(df, order, "__inside", within=[choices])
-    return inside.join(F.broadcast(counts), choices).withColumn("pos", F.col("__offset") + F.col("__inside")).drop("__offset", "__inside")
+    return position(df, [choices, order])
 
 
 def save_order(df: DataFrame, keys: Sequence[str], seed: str | int, path: str) -> None:

@@ -19,6 +19,8 @@ from tokenmill.operators.sampling import weight_line, weighted_draws
 from tokenmill.session import cut_lineage
 
 PAIR_TRIES = 4  # sentence-pair attempts per round; the first good one counts
+MOST_PAIR_TRIES = 4096  # of one sample, after which the documents are taken to hold no pair
+PIECE_TOKENS = 1024  # of a document that a draw joins with; a draw reads the pieces that it needs
 FIRST_DRAWS = 4  # draws per sample in the first round; unfilled samples get four times as many in each further round
 
 
@@ -101,9 +103,10 @@ def _enough_draws(
         draws = open_samples.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))))
         drawn = weighted_draws(draws, [sample, "draw"], line, seed, width)
         before = Window.partitionBy(sample).orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
-        drawn = drawn.withColumn("__cost", cost(F.col("hi") - F.col("lo")).cast("bigint"))
+        drawn = drawn.withColumn("size", F.col("hi") - F.col("lo"))
+        drawn = drawn.withColumn("__cost", cost(F.col("size")).cast("bigint"))
         drawn = drawn.withColumn("before", F.col("__have") + F.coalesce(F.sum("__cost").over(before), F.lit(0)))
-        drawn = cut_lineage(drawn.select(sample, "draw", order, "before", (F.col("before") + F.col("__cost")).alias("after")))
+        drawn = cut_lineage(drawn.select(sample, "draw", order, "size", "before", (F.col("before") + F.col("__cost")).alias("after")))
         parts.append(drawn.filter(F.col("before") < budget))
         open_samples = drawn.groupBy(sample).agg(F.max("after").alias("__have")).filter(F.col("__have") < budget)
         if open_samples.isEmpty():
@@ -115,6 +118,27 @@ def _enough_draws(
     return result.drop("after")
 
 
+def _parts(draws: DataFrame, docs: DataFrame, order: str, start: Column, stop: Column) -> DataFrame:
+    """Draws once for each piece of their document that holds some of the tokens in [start, stop), with those tokens and their losses.
+
+    Adds piece and last (whether it is the draw's last one). A draw without tokens keeps one row. Pieces are equally likely
+    to be drawn, however long their documents are.
+    """
+    draws = draws.withColumns({"__start": start.cast("bigint"), "__stop": stop.cast("bigint")})
+    end = F.floor((F.greatest(F.col("__stop"), F.col("__start") + 1) - 1) / PIECE_TOKENS)
+    draws = draws.withColumn("__end", end).withColumn("piece", F.explode(F.sequence(F.floor(F.col("__start") / PIECE_TOKENS), F.col("__end"))))
+    number = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("tokens") - 1) / PIECE_TOKENS))
+    cut = lambda name, i: A.take(F.col(name).cast("array<int>"), i * PIECE_TOKENS, PIECE_TOKENS)
+    pieces = F.transform(number, lambda i: F.struct(i.alias("piece"), cut("tokens", i).alias("tokens"), cut("loss_mask", i).alias("loss")))
+    table = docs.filter(F.size("tokens") > 0).select(order, F.explode(pieces).alias("__p")).select(order, "__p.*")
+    joined = draws.join(table, [order, "piece"], "left")
+    low = F.greatest(F.col("__start") - F.col("piece") * PIECE_TOKENS, F.lit(0))
+    count = F.col("__stop") - F.col("piece") * PIECE_TOKENS - low
+    part = lambda name: F.coalesce(A.take(F.col(name), low, count), F.array().cast("array<int>"))
+    joined = joined.withColumns({"tokens": part("tokens"), "loss": part("loss"), "last": F.col("piece") == F.col("__end")})
+    return joined.drop("__start", "__stop", "__end")
+
+
 def packed_sequences(
     samples: DataFrame, sample: str, docs: DataFrame, order: str, length: int, eos: int, pad: int, seed: str | int, width: int = 16_384
 ) -> DataFrame:
@@ -125,19 +149,14 @@ def packed_sequences(
     """
     budget = length + 1
     draws = _enough_draws(samples, sample, docs, order, budget, lambda n: n + 1, seed, width)
-    joined = draws.join(docs, order)
-    surplus = F.size("tokens") + 1 - budget
+    surplus = F.col("size") + 1 - budget
     start = F.when((F.col("draw") == 0) & (surplus > 0), hash_below(F.greatest(surplus, F.lit(0)) + 1, f"{seed}-start", sample)).otherwise(0)
-    joined = joined.withColumns({"__start": start, "__count": F.lit(budget) - F.col("before")})
-
-    def piece(name: str, last: int) -> Column:
-        closes = F.col("__start") + F.col("__count") > F.size("tokens")
-        return F.concat(
-            A.take(F.col(name).cast("array<int>"), F.col("__start"), F.col("__count")), F.when(closes, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")))
-
-    pieces = joined.select(sample, "draw", piece("tokens", eos).alias("tokens"), piece("loss_mask", 1).alias("loss"))
-    ordered = F.array_sort(F.collect_list(F.struct("draw", "tokens", "loss")))  # at most `length`+1 tokens per sample
-    grouped = pieces.groupBy(sample).agg(ordered.alias("ps"))
+    draws = draws.withColumn("from", start).withColumn("to", F.col("from") + budget - F.col("before"))
+    parts = _parts(draws, docs, order, F.col("from"), F.least("to", "size"))
+    closing = lambda last: F.when(F.col("last") & (F.col("to") > F.col("size")), F.array(F.lit(last))).otherwise(F.array().cast("array<int>"))
+    parts = parts.withColumns({"tokens": F.concat("tokens", closing(eos)), "loss": F.concat("loss", closing(1))})
+    ordered = F.array_sort(F.collect_list(F.struct("draw", "piece", "tokens", "loss")))  # at most `length`+1 tokens per sample
+    grouped = parts.groupBy(sample).agg(ordered.alias("ps"))
     return grouped.select(
         sample,
         A.pad(F.flatten(F.transform("ps", lambda p: p["tokens"])), budget, pad).alias("tokens"),
@@ -186,19 +205,22 @@ def block_samples(
     """
     half = length // 2
     draws = _enough_draws(samples, sample, docs, order, length, lambda n: n + 2, seed, width)
-    joined = draws.join(docs, order).withColumn("__size", F.size("tokens") + 1)
+    joined = draws.withColumn("__size", F.col("size") + 1)
     long = (F.col("draw") == 0) & (F.col("__size") >= length)
     entry = hash_below(F.greatest(F.col("__size") - length + 1, F.lit(1)), f"{seed}-start", sample).cast("int")
     joined = joined.withColumns({"__long": long, "__entry": F.when(long, entry).otherwise(0)})
     # Only tokens within half a sample before the entry and one and a half behind it can matter.
     joined = joined.withColumn("__lo", F.greatest(F.col("__entry") - half - 1, F.lit(0)))
     span = 2 * half + length + 2
+    fields = [sample, "draw", "before", "__size", "__long", "__entry", "__lo"]
+    parts = _parts(joined.select(*fields, order, "size"), docs, order, F.col("__lo"), F.least(F.col("__lo") + span, F.col("size")))
+    joined = parts.groupBy(*fields).agg(F.array_sort(F.collect_list(F.struct("piece", "tokens", "loss"))).alias("ps"))  # at most `span` tokens
 
     def window(name: str, last: int) -> Column:
         whole = F.col("__lo") + span >= F.col("__size")
-        return F.concat(A.take(F.col(name).cast("array<int>"), F.col("__lo"), span), F.when(whole, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")))
+        return F.concat(F.flatten(F.transform("ps", lambda p: p[name])), F.when(whole, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")))
 
-    joined = joined.select(sample, "draw", "before", "__size", "__long", "__entry", "__lo", window("tokens", eos).alias("tokens"), window("loss_mask", 1).alias("loss"))
+    joined = joined.select(*fields, window("tokens", eos).alias("tokens"), window("loss", 1).alias("loss"))
     joined = joined.withColumn("ends", F.transform(A.positions_where(F.col("tokens"), lambda x: in_ids(x, sentence_ends)), lambda p: (p + F.col("__lo")).cast("int")))
     at, size = F.col("__entry"), F.col("__size")
     left = F.greatest(_ends_before(F.col("ends"), at), at - half)
@@ -246,8 +268,12 @@ def sentence_pairs(
 
     `docs` has (order, weight, sentences array<array<int>>), at least one sentence each. A pair starts at a random sentence of
     a weighted document; its second part is the continuation, or a passage of another document half of the time. Pairs with
-    an empty part are drawn again.
+    an empty part are drawn again; documents that hold no pair are an error.
     """
+    full = F.size(F.filter("sentences", lambda s: F.size(s) > 0))
+    found = docs.agg(F.count_if(full > 0).alias("n"), F.max(full).alias("most")).first()
+    if found["n"] < 2 and (found["most"] or 0) < 2:
+        raise ValueError("sentence pairs need two documents, or one of two sentences")
     target = F.when(
         hash_uniform(f"{seed}-short", sample) < short_prob, 2 + hash_below(length - 1, f"{seed}-length", sample)
     ).otherwise(length).cast("int")
@@ -287,6 +313,8 @@ def sentence_pairs(
         if waiting.isEmpty():
             break
         attempt += PAIR_TRIES
+        if attempt >= MOST_PAIR_TRIES:
+            raise ValueError("no sentence pair found; the documents are too few or their sentences too long")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

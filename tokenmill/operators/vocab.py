@@ -8,7 +8,7 @@ be broadcast; distinct words are not bounded and are shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +19,6 @@ from tokenmill.functions.arrays import gather
 from tokenmill.functions.text import sentences, split_words, strip_accents
 from tokenmill.session import cut_lineage
 
-BROADCAST_ROWS = 1_000_000  # a vocabulary up to this size is a few tens of megabytes
-
 # Surface forms of the command tokens.
 COMMAND_TOKENS = {
     "pad": "<|endoftext|>",
@@ -37,6 +35,7 @@ COMMAND_TOKENS = {
 }
 # Command tokens that absorb the white space to their left.
 LEFT_STRIPPING = ("MASK", "gMASK", "sMASK")
+MASK = COMMAND_TOKENS["MASK"]
 # Words that basic tokenization keeps whole.
 PROTECTED_WORDS = ("[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]")
 # Characters that end a sentence, per use.
@@ -44,6 +43,7 @@ SENTENCE_END_BLOCK = ".?!;:\n"
 SENTENCE_END_MASKING = ".?!;:。？！；…\n"
 SENTENCE_END_CAUSAL = ".?!"
 
+# Characters that basic tokenization drops, splits off as CJK, or takes as punctuation.
 CONTROL = r"[\x00�]|[\p{C}&&[^\t\n\r]]"
 CJK = (
     r"([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}"
@@ -79,8 +79,7 @@ def top_words(frequencies: DataFrame, size: int) -> DataFrame:
     top = frequencies.orderBy(F.col("n").desc(), "word").limit(size)  # the vocabulary size is the feature
     # The window sees `size` rows, which the limit has brought to one place already.
     number = F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) - 1
-    vocab = top.select(F.col("word").alias("token"), number.alias("id"), "n")
-    return F.broadcast(vocab) if size <= BROADCAST_ROWS else vocab
+    return top.select(F.col("word").alias("token"), number.alias("id"), "n")
 
 
 def basic_tokens(text: Column) -> Column:
@@ -251,8 +250,14 @@ def byte_pair_dictionary(words: DataFrame, merges: Sequence[tuple[str, str]], by
 
 
 def decode_ids(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame, out: str = "text") -> DataFrame:
-    """Ids back to text: surface forms joined by spaces, `##` pieces glued to the piece before; unknown ids vanish, rows without ids are empty."""
-    surface = vocab.select("id", "token").dropDuplicates(["id"])
+    """Ids back to text: surface forms joined by spaces, `##` pieces glued to the piece before; unknown ids vanish, rows without ids are empty.
+
+    Where two tokens share an id, a command goes before text and the later name of the command list before the earlier.
+    """
+    last = F.lit(0)
+    if "name" in vocab.columns:
+        last = F.coalesce(F.array_position(F.array(*map(F.lit, COMMAND_TOKENS)), F.col("name")), F.lit(0))
+    surface = vocab.groupBy("id").agg(F.max_by("token", F.struct(last, "token")).alias("token"))
     placed = df.select(*keys, F.posexplode(tokens).alias("pos", "id")).join(surface, "id")
     joined = gather(placed, keys, "pos", "token", "__tokens")
     text = F.coalesce(F.regexp_replace(F.array_join("__tokens", " "), " ##", ""), F.lit(""))
@@ -269,20 +274,33 @@ def decode_chars(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(t), 8, "0")), "UTF-32")), "")
 
 
-def split_commands(text: Column, left_strip: Sequence[str] = tuple(COMMAND_TOKENS[n] for n in LEFT_STRIPPING), right_strip: Sequence[str] = ()) -> Column:
-    """Cut text around command tokens; some of them absorb the white space at one side."""
+def split_commands(
+    text: Column, left_strip: Sequence[str] = tuple(COMMAND_TOKENS[n] for n in LEFT_STRIPPING), right_strip: Sequence[str] = (), sentinels: int = 0
+) -> Column:
+    """Cut text around command tokens, numbered sentinels among them; some of them absorb the white space at one side."""
     def alternation(tokens):
         return "|".join(re.escape(token) for token in sorted(set(tokens)))
 
+    if MASK in left_strip:
+        left_strip = (*left_strip, *(surface for name, surface, _ in command_rows(0, sentinels=sentinels) if name.startswith("MASK")))
+
     if left_strip:
         text = F.regexp_replace(text, rf"\s+(?={alternation(left_strip)})", "")
     if right_strip:
         text = F.regexp_replace(text, rf"(?<={alternation(right_strip)})\s+", "")
-    commands = alternation(COMMAND_TOKENS.values())
+    commands = alternation(surface for _, surface, _ in command_rows(0, sentinels=sentinels))
     cut = F.filter(F.split(text, f"(?={commands})|(?<={commands})"), lambda piece: piece != "")
     return F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(cut)
 
 
+def encode_with_commands(text: Column, encode: Callable[[Column], Column], first_id: int, sentinels: int = 0, **options) -> Column:
+    """Ids of a text: commands by their table, the pieces between them by `encode`."""
+    ids = {surface: number for _, surface, number in command_rows(first_id, sentinels=sentinels, **options)}  # of two names for a surface the later counts
+    table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    pieces = split_commands(text, sentinels=sentinels)
+    return F.flatten(F.transform(pieces, lambda p: F.when(p.isin(*ids), F.array(F.try_element_at(table, p))).otherwise(encode(p))))
+
+
 def token_stats(df: DataFrame, tokens: str, original: Column) -> DataFrame:
     """Document count, tokens, and tokens before tokenization."""
     return df.agg(

@@ -1,7 +1,7 @@
 """Masked and blank-filling examples from character-level samples of `documents`.
 
 A sample is cls and 255 character ids of one document, where line ends stand for document ends (eos), so that most samples
-hold several documents. Sixteen samples of a document make a batch.
+hold several documents. Sixteen samples of a document make a batch. Keys are text, `doc_id-piece`, so no two samples share one.
 """
 
 from dataclasses import replace
@@ -30,8 +30,8 @@ def _samples(t):
     cuts = F.transform(A.counting(0, F.ceil(F.size("ids") / SAMPLE).cast("int")), lambda w: F.concat(F.array(F.lit(SP.cls)), A.take(F.col("ids"), w * SAMPLE, SAMPLE)))
     pieces = docs.select("doc_id", F.posexplode(cuts).alias("piece", "tokens"))
     return pieces.select(
-        (F.col("doc_id") * 1024 + F.col("piece")).alias("sample"),
-        (F.col("doc_id") * 1024 + F.floor(F.col("piece") / 16)).alias("batch"),
+        F.concat_ws("-", "doc_id", "piece").alias("sample"),
+        F.concat_ws("-", "doc_id", F.floor(F.col("piece") / 16)).alias("batch"),
         "tokens",
         F.concat(F.array(F.lit(0)), A.repeat(1, F.size("tokens") - 1)).alias("loss_mask"),
     )
@@ -39,7 +39,7 @@ def _samples(t):
 
 SAMPLES = f"""toks AS (SELECT doc_id, list_transform({codes("text")}, lambda c: CASE WHEN c = 10 THEN 50000 ELSE c END) AS ids FROM documents),
 cuts AS (SELECT doc_id, unnest(range((len(ids) + 254) // 255)) AS piece, unnest(list_transform(range((len(ids) + 254) // 255), lambda w: [50002] || ids[w * 255 + 1 : w * 255 + 255])) AS tokens FROM toks),
-samples AS (SELECT doc_id * 1024 + piece AS sample, doc_id * 1024 + piece // 16 AS batch, tokens, len(tokens)::INTEGER AS n FROM cuts)"""
+samples AS (SELECT doc_id || '-' || piece AS sample, doc_id || '-' || piece // 16 AS batch, tokens, len(tokens)::INTEGER AS n FROM cuts)"""
 
 
 def _with_spans(df):

@@ -84,7 +84,7 @@ def _(t):
 
 @query(
     "cor05_best_and_other_answers",
-    f"""WITH qa AS (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN source END AS title, substr(text, 1, 150) AS content,
+    f"""WITH qa AS (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN source END AS title, text AS content,
       list_filter(string_split(text, chr(10)), lambda l: l <> '') AS lines FROM documents),
     answers AS (SELECT doc_id, title, content, list_concat(list_filter(lines[1:1], lambda a: length(a) > 10), list_filter(lines[2:], lambda a: length(a) > 100)) AS answers
       FROM qa WHERE title IS NOT NULL)
@@ -96,7 +96,7 @@ def _(t):
     return C.best_and_other_answers(lines.select(
         "doc_id",
         F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("title"),
-        F.substring("text", 1, 150).alias("content"),
+        F.col("text").alias("content"),
         F.struct(F.try_element_at("lines", F.lit(1)).alias("content")).alias("best_answer"),
         F.transform(F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))"), lambda x: F.struct(x.alias("content"))).alias("other_answers"),
     ))
@@ -134,7 +134,7 @@ def _(t):
 
 @query(
     "cor11_news",
-    """WITH raw AS (SELECT doc_id, ' ' || source || ' ' AS title, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 30) WHEN doc_id % 3 = 0 THEN ' ' || lang || ' ' END AS description,
+    """WITH raw AS (SELECT doc_id, ' ' || source || ' ' AS title, CASE WHEN doc_id % 2 = 0 THEN text WHEN doc_id % 3 = 0 THEN ' ' || lang || ' ' END AS description,
       CASE WHEN doc_id % 5 > 0 THEN text END AS maintext FROM documents),
     glued AS (SELECT doc_id, trim(title) || ' ' || CASE WHEN coalesce(description, '') <> '' AND (coalesce(maintext, '') = '' OR NOT starts_with(maintext, description))
       THEN regexp_replace(description, '^\\s+|\\s+$', '', 'g') || ' ' ELSE '' END || coalesce(maintext, '') AS text FROM raw)
@@ -144,7 +144,7 @@ def _(t):
     return C.news(t.documents.select(
         "doc_id",
         F.concat(F.lit(" "), F.col("source"), F.lit(" ")).alias("title"),
-        F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 30)).when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.col("lang"), F.lit(" "))).alias("description"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("text")).when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.col("lang"), F.lit(" "))).alias("description"),
         F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("maintext"),
     ))
 

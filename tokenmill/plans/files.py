@@ -21,6 +21,11 @@ def _folder(t):
     return f"{shared_dir(t.spark)}/files-{uuid.uuid4().hex}"
 
 
+def _ordered(df):
+    """Rows in the order of their ids over all part files, for formats that count lines."""
+    return df.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+
+
 def _flat(t):
     """Documents with their line ends replaced, for formats of one document per line."""
     return t.documents.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
@@ -37,11 +42,11 @@ def _(t):
 @query("src02_json_records", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
 def _(t):
     path = _folder(t)
-    # A file holds one JSON document over several lines, here with the records of a hundred neighbouring ids.
-    records = t.documents.groupBy(F.floor(F.col("doc_id") / 100).alias("part")).agg(F.collect_list(F.struct("source", "text")).alias("r"))
+    # A file holds one JSON document over several lines, here with the records of up to a thousand neighbouring ids.
+    records = t.documents.groupBy(F.floor(F.col("doc_id") / 1000)).agg(F.collect_list(F.struct("source", "text")).alias("r"))
     document = F.concat(F.lit('{"RECORDS":\n'), F.to_json("r"), F.lit("\n}"))
-    records.select("part", document.alias("value")).write.partitionBy("part").text(path)
-    rows = R.json_records(t.spark, f"{path}/*/*.txt", "source: STRING, text: STRING")
+    records.select(document.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = R.json_records(t.spark, path, "source: STRING, text: STRING")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -64,7 +69,7 @@ def _(t):
     path = _folder(t) + ".tsv"
     rows = _flat(t).select(F.col("source"), F.when(F.col("doc_id") % 9 > 0, F.col("lang")).alias("label"), F.col("text").alias("sentence"))
     rows.write.csv(path, sep="\t", header=True, encoding="ISO-8859-1", escape='"')
-    return R.labelled_csv(t.spark, path, "sentence", "label", ["source", "label", "sentence"])
+    return R.labelled_csv(t.spark, path, "sentence", "label")
 
 
 @query("src06_labelled_json", "SELECT text, length(text)::INTEGER AS length, CASE WHEN doc_id % 4 = 0 THEN '-1' ELSE lang END AS label FROM documents")
@@ -74,19 +79,19 @@ def _(t):
     return R.labelled_json(t.spark, path, "text", "label")
 
 
-@query("src07_plain_tsv", f"SELECT {FLAT} AS sentence1, source AS sentence2, lang AS gold_label FROM documents")
+@query("src07_plain_tsv", f"SELECT {FLAT} AS sentence1, source AS sentence2, lang AS gold_label, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents")
 def _(t):
     path = _folder(t)
-    lines = _flat(t).select(F.concat_ws("\t", "text", "source", "lang").alias("value"))
+    lines = _ordered(_flat(t)).select(F.concat_ws("\t", "text", "source", "lang").alias("value"))
     lines.write.text(path)
-    return R.plain_tsv(t.spark, path, ["sentence1", "sentence2", "gold_label"], header=False).drop("line_no")
+    return R.plain_tsv(t.spark, path, ["sentence1", "sentence2", "gold_label"], header=False)
 
 
-@query("src08_quoted_csv", "SELECT lang AS label, source AS headline, text AS body FROM documents")
+@query("src08_quoted_csv", "SELECT lang AS label, source AS headline, text AS body, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents")
 def _(t):
     path = _folder(t)
-    t.documents.select("lang", "source", "text").write.csv(path, quoteAll=True, escape='"')
-    return R.quoted_csv(t.spark, path, ["label", "headline", "body"]).drop("line_no")
+    _ordered(t.documents).select("lang", "source", "text").write.csv(path, quoteAll=True, escape='"')
+    return R.quoted_csv(t.spark, path, ["label", "headline", "body"], multi_line=True)
 
 
 PAIRS = f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, trim({FLAT}) AS source, lang || ' ' || source AS target FROM documents"
@@ -94,8 +99,7 @@ PAIRS = f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, trim({FLAT}
 
 def _paired(t):
     path = _folder(t)
-    ordered = _flat(t).select("doc_id", "text", F.concat_ws(" ", "lang", "source").alias("target")).coalesce(1).sortWithinPartitions("doc_id")
-    # Line files are ordered by nature; one file each is the format.
+    ordered = _ordered(_flat(t).select("doc_id", "text", F.concat_ws(" ", "lang", "source").alias("target")))
     ordered.select(F.col("text").alias("value")).write.text(f"{path}.source")
     ordered.select(F.col("target").alias("value")).write.text(f"{path}.target")
     return R.paired_lines(t.spark, f"{path}.source", f"{path}.target")
@@ -118,8 +122,10 @@ def _(t):
 )
 def _(t):
     path = _folder(t)
-    _squad(t).write.json(path)
-    data = t.spark.read.schema(R.QA_SCHEMA).json(path)
+    # A file holds one JSON document, here with the articles of up to a thousand neighbouring ids.
+    articles = _squad(t, "doc_id").groupBy(F.floor(F.col("doc_id") / 1000)).agg(F.flatten(F.collect_list("data")).alias("data"))
+    articles.select(F.to_json(F.struct("data")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    data = R.nested_qa(t.spark, path)
     qas = data.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p")).select(F.explode("p.qas").alias("qa"))
     return qas.select("qa.id", "qa.question", F.size("qa.answers").alias("n_answers"))
 
@@ -189,13 +195,13 @@ def _(t):
 
 @query(
     "src15_multiple_choice_files",
-    f"SELECT text AS inputs_pretokenized, array_to_string(string_split(text, chr(10)), '|') AS choices, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::INTEGER AS label FROM documents",
+    f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR AS idx, text AS inputs_pretokenized, array_to_string(string_split(text, chr(10)), '|') AS choices, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::INTEGER AS label FROM documents",
 )
 def _(t):
     path = _folder(t)
-    t.documents.select(
+    _ordered(t.documents).select(
         F.col("text").alias("inputs_pretokenized"), F.split("text", "\n").alias("choices_pretokenized"), F.when(F.col("doc_id") % 2 == 0, 1).alias("label")).write.json(path)
-    return R.multiple_choice_files(t.spark, path).select("inputs_pretokenized", F.array_join("choices_pretokenized", "|").alias("choices"), "label")
+    return R.multiple_choice_files(t.spark, path, across=True).select("idx", "inputs_pretokenized", F.array_join("choices_pretokenized", "|").alias("choices"), "label")
 
 
 @query("src16_run_results", "SELECT 'run=' || user_id AS run, round(max(value), 6) AS accuracy FROM events GROUP BY user_id")
@@ -285,7 +291,7 @@ def _(t):
 def _(t):
     questions = _multirc(t).select(F.col("idx").alias("passage_idx"), F.explode("passage.questions").alias("q"))
     answers = questions.select("passage_idx", F.col("q.idx").alias("question_idx"), F.explode("q.answers").alias("a"))
-    rows = answers.select("passage_idx", "question_idx", F.col("a.idx").alias("answer_idx"), F.col("a.label").alias("label"), (F.col("question_idx").cast("bigint") * 8 + F.col("a.idx")).alias("pos"))
+    rows = answers.select("passage_idx", "question_idx", F.col("a.idx").alias("answer_idx"), F.col("a.label").alias("label"), F.struct(F.col("question_idx"), F.col("a.idx")).alias("pos"))
     path = _folder(t)
     W.nested_predictions(rows).write.json(path)
     return t.spark.read.text(path).select(F.get_json_object("value", "$.idx").cast("bigint").alias("idx"), F.get_json_object("value", "$.passage").alias("passage"))
@@ -294,7 +300,9 @@ def _(t):
 @query("snk07_candidate_predictions", f"SELECT doc_id AS idx, {words('text')}[(doc_id % 3 + 1)::INT] AS label FROM documents WHERE len({words('text')}) >= 3")
 def _(t):
     rows = t.documents.select(F.col("doc_id").alias("idx"), T.split_words(F.col("text")).alias("candidates"), (F.col("doc_id") % 3).cast("int").alias("prediction"))
-    return W.candidate_predictions(rows.filter(F.size("candidates") >= 3))
+    path = _folder(t)
+    W.candidate_predictions(rows.filter(F.size("candidates") >= 3)).write.json(path)
+    return t.spark.read.schema("idx BIGINT, label STRING").json(path)
 
 
 @query("snk08_sorted_predictions", "SELECT doc_id AS idx, quality AS label FROM labels")
@@ -304,9 +312,11 @@ def _(t):
     return t.spark.read.schema("idx BIGINT, label INT").json(path)
 
 
-@query("snk09_span_predictions", "SELECT doc_id AS id, string_split(text, chr(10))[1] AS answer FROM documents")
+@query("snk09_span_predictions", "SELECT doc_id AS id, text AS answer FROM documents")
 def _(t):
-    return W.span_predictions(t.documents.select(F.col("doc_id").alias("guid"), F.split("text", "\n")[0].alias("prediction")))
+    path = _folder(t)
+    W.span_predictions(t.documents.select(F.col("doc_id").alias("guid"), F.col("text").alias("prediction"))).write.json(path)
+    return t.spark.read.schema("id BIGINT, answer STRING").json(path)
 
 
 @query(
@@ -321,6 +331,18 @@ def _(t):
     return W.best_answers(lines.select("doc_id", "i", F.when(F.col("i") % 3 == 0, blank).otherwise(F.col("line")).alias("prediction")), "doc_id", "i")
 
 
+@query(
+    "snk10_parallel_text",
+    f"SELECT row_number() OVER (ORDER BY lang, text, source) - 1 AS line_no, trim(text) AS prediction, lang || ' ' || source AS ref FROM (SELECT doc_id, lang, source, {FLAT} AS text FROM documents)",
+)
+def _(t):
+    path = _folder(t)
+    rows = _flat(t).select("lang", F.col("text").alias("prediction"), F.concat_ws(" ", "lang", "source").alias("ref"))
+    W.write_parallel_text(rows, path, "lang")
+    pairs = R.paired_lines(t.spark, f"{path}.hyps", f"{path}.refs")
+    return pairs.select("line_no", F.col("source").alias("prediction"), F.col("target").alias("ref"))
+
+
 @query(
     "snk11_word_frequencies",
     f"SELECT word, count(*) AS n FROM (SELECT unnest({words('text')}) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 1000",

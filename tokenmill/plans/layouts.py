@@ -11,7 +11,7 @@ from tokenmill.plans.blanks import SAMPLES, _samples
 from tokenmill.plans.registry import query
 from tokenmill.plans.sequences import _show
 from tokenmill.plans.sqltext import codes, joined, words
-from tokenmill.plans.tasks import BASE, _copa
+from tokenmill.plans.tasks import BASE, _base, _copa
 
 SP = special_tokens()
 WIDTH = 200
@@ -95,13 +95,12 @@ def _(t):
 
 @query(
     "lay05_padded_choices",
-    f"""WITH ch AS (SELECT doc_id, doc_id // 8 AS batch, list_slice({words("text")}, 1, 1 + (doc_id % 6)::INT) AS cs FROM documents WHERE text <> ''),
+    f"""WITH ch AS (SELECT doc_id, doc_id // 8 AS batch, {words("text")} AS cs FROM documents WHERE len({words("text")}) > 0),
     w AS (SELECT *, max(len(cs)) OVER (PARTITION BY batch) AS w FROM ch)
     SELECT doc_id, batch, {joined("list_resize(cs, w, cs[1])")} AS choices, {joined("list_resize(list_transform(cs, lambda c: 1), w, 0)")} AS choice_mask FROM w""",
 )
 def _(t):
-    choices = F.slice(T.split_words(F.col("text")), F.lit(1), (F.col("doc_id") % 6 + 1).cast("int"))
-    df = t.documents.filter("text <> ''").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), choices.alias("choices"))
+    df = t.documents.select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), T.split_words(F.col("text")).alias("choices")).filter(F.size("choices") > 0)
     return _show(L.pad_choices(df, "batch", "choices"), "choices", "choice_mask")
 
 
@@ -145,7 +144,7 @@ def _(t):
 
 @query(
     "lay08_choice_pairs",
-    f"""WITH {BASE}, c AS (SELECT 'dev-' || doc_id AS guid, [ls[1], head] AS cs, (doc_id % 2)::VARCHAR AS label, {codes("text || CASE WHEN doc_id % 2 = 0 THEN ' because' ELSE ' so' END")} AS a FROM base),
+    f"""WITH {BASE}, c AS (SELECT 'dev-' || doc_id AS guid, [ls[1], rest] AS cs, (doc_id % 2)::VARCHAR AS label, {codes("text || CASE WHEN doc_id % 2 = 0 THEN ' because' ELSE ' so' END")} AS a FROM base),
     rows AS (SELECT guid, label, a, unnest(range(2))::INTEGER AS choice_no, unnest(list_transform(cs, lambda c: {codes("c")})) AS b FROM c),
     capped AS (SELECT *, [50002] || a || [50001] || b AS c FROM rows),
     ids AS (SELECT *, CASE WHEN len(c) >= 399 THEN c[1 : 399] ELSE c END || [50000] AS ids FROM capped)
@@ -160,11 +159,11 @@ def _(t):
 
 @query(
     "lay09_gold_choice",
-    f"WITH {BASE} SELECT doc_id, (doc_id % 2)::INTEGER AS choice_no, CASE WHEN doc_id % 2 = 0 THEN ls[1] ELSE head END AS choice FROM base",
+    f"WITH {BASE} SELECT doc_id, (doc_id % 2)::INTEGER AS choice_no, CASE WHEN doc_id % 2 = 0 THEN ls[1] ELSE rest END AS choice FROM base",
 )
 def _(t):
-    choices = F.array(F.split("text", "\n")[0], F.substring("text", 1, 40))
-    rows = t.documents.select("doc_id", (F.col("doc_id") % 2).alias("label"), F.posexplode(choices).alias("choice_no", "choice"))
+    choices = F.array(F.get("ls", F.lit(0)), F.col("rest"))
+    rows = _base(t).select("doc_id", (F.col("doc_id") % 2).alias("label"), F.posexplode(choices).alias("choice_no", "choice"))
     return L.gold_choice(rows).select("doc_id", "choice_no", "choice")
 
 

@@ -31,7 +31,7 @@ def _examples(t, text_b=None, pronoun_at=1):
         F.col("lang").alias("word"), F.col("source").alias("answer"),
         F.substring(text, 1, 3).alias("span1_text"), F.lit(0).alias("span1_index"), F.lit(3).alias("span1_length"),
         F.substring(text, 11, 2).alias("span2_text"), F.lit(pronoun_at).alias("span2_index"), F.lit(2).alias("span2_length"),
-        F.slice(ws, 1, 4).alias("candidates"), F.slice(ws, 1, 4).alias("choices"),
+        ws.alias("candidates"), ws.alias("choices"),
     )
     return t.documents.select(
         F.col("doc_id").alias("guid"), text.alias("text_a"), (line if text_b is None else text_b(line)).alias("text_b"), "lang", "source", "doc_id", meta.alias("meta"))

@@ -29,7 +29,7 @@ def _(t):
 
 @query("smp03_global_shuffle", f"WITH {SHUFFLED.format(h_hex('epoch-0', 'doc_id'))} SELECT doc_id, pos FROM shuffled")
 def _(t):
-    return shuffled_position(S.shuffle_rows(t.documents.select("doc_id"), "epoch-0", ["doc_id"]), "epoch-0", ["doc_id"])
+    return shuffled_position(t.documents.select("doc_id"), "epoch-0", ["doc_id"])
 
 
 @query(
@@ -165,17 +165,17 @@ def _(t):
 
 @query(
     "smp14_order_by_choices",
-    "SELECT doc_id, choices, row_number() OVER (ORDER BY choices, doc_id) - 1 AS pos FROM (SELECT doc_id, least(len(string_split(text, chr(10))), 10)::INTEGER AS choices FROM documents)",
+    "SELECT doc_id, choices, row_number() OVER (ORDER BY choices, doc_id) - 1 AS pos FROM (SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS choices FROM documents)",
 )
 def _(t):
-    examples = t.documents.select("doc_id", F.least(F.size(F.split("text", "\n")), F.lit(10)).alias("choices"))
+    examples = t.documents.select("doc_id", F.size(F.split("text", "\n")).alias("choices"))
     return S.order_by_choices(examples, "choices", "doc_id")
 
 
 @query("win01_running_total", "SELECT doc_id, (sum(length(text)) OVER (ORDER BY doc_id) - length(text))::BIGINT AS before FROM documents")
 def _(t):
     docs = t.documents.select("doc_id", F.length("text").alias("len"))
-    return running_total(docs, "doc_id", F.col("len"), block_rows=100).drop("len")
+    return running_total(docs, "doc_id", F.col("len")).drop("len")
 
 
 @query(

@@ -129,11 +129,11 @@ def _(t):
 
 @query(
     "sca15_number_casts",
-    f"WITH {WS} SELECT doc_id, coalesce(try_cast(nullif(regexp_replace(ws[1], '[^0-9x]', '', 'g'), '') AS BIGINT), 0) AS n FROM ws",
+    f"WITH {WS}, n AS (SELECT doc_id, unnest(ws) AS w FROM ws) SELECT doc_id, w, coalesce(try_cast(nullif(regexp_replace(w, '[^0-9x]', '', 'g'), '') AS BIGINT), 0) AS n FROM n",
 )
 def _(t):
-    digits = F.regexp_replace(F.coalesce(F.get("ws", F.lit(0)), F.lit("")), "[^0-9x]", "")
-    return _ws(t).select("doc_id", F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(0)).alias("n"))
+    digits = F.regexp_replace("w", "[^0-9x]", "")
+    return _ws(t).select("doc_id", F.explode("ws").alias("w")).select("doc_id", "w", F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(0)).alias("n"))
 
 
 @query("sca16_json_fields", "SELECT event_id, (props->>'k')::BIGINT AS k, coalesce(props->>'missing', '') AS missing FROM events")

@@ -12,12 +12,12 @@ from tokenmill.plans.sqltext import codes, h_hex, joined, words
 
 STD = "translate({}, '“”’‘–', '\"\"''''-')"
 # The pieces of a document that stand for the fields of a benchmark row.
-BASE = f"""base AS (SELECT *, string_split(text, chr(10)) AS ls, {words("text")} AS ws, substr(text, 1, 40) AS head,
+BASE = f"""base AS (SELECT *, string_split(text, chr(10)) AS ls, {words("text")} AS ws, substr(text, length(string_split(text, chr(10))[1]) + 2) AS rest,
   CASE WHEN doc_id % 5 > 0 THEN lang END AS tag FROM documents)"""
 
 def _base(t):
     return t.documents.select(
-        "*", F.split("text", "\n").alias("ls"), T.split_words(F.col("text")).alias("ws"), F.substring("text", 1, 40).alias("head"),
+        "*", F.split("text", "\n").alias("ls"), T.split_words(F.col("text")).alias("ws"), F.expr("substring(text, length(split(text, '\\n')[0]) + 2)").alias("rest"),
         F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("tag"))
 
 def _line(i):
@@ -58,10 +58,9 @@ def _(t):
     return E.word_in_context_text(E.TASKS["wic"].build(raw, "train")).select("*", "meta.word").drop("meta")
 
 # The first span is the third word, the pronoun the fifth; their indexes are off by -1, 0 or 1, and a third of the pronouns
-# is only the start of its word.
+# is only the start of its word. The candidates are all words behind it. Texts are compared by digest, since each has many rows.
 WSC_BASE = f"""{BASE}, wsc AS (SELECT doc_id, text, ws, ws[3] AS s1, CASE WHEN doc_id % 3 = 0 THEN substr(ws[5], 1, 1) ELSE ws[5] END AS s2,
-  (2 + doc_id % 3 - 1)::INTEGER AS i1, (4 + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 3 - 1 END)::INTEGER AS i2, list_distinct(ws[6:29]) AS unordered,
-  ws[6:29] AS cands, CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS label FROM base WHERE len(ws) >= 8),
+  (2 + doc_id % 3 - 1)::INTEGER AS i1, (4 + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 3 - 1 END)::INTEGER AS i2, ws[6:] AS cands, CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS label FROM base WHERE len(ws) >= 8),
 wsc1 AS (SELECT *, list_filter(cands, lambda c, i: list_position(cands, c) = i) AS names,
   list_transform(ws, lambda w: lower(w)) AS low FROM wsc),
 shifted AS (SELECT *, CASE WHEN low[i1 + 1] = lower(s1) THEN i1 WHEN i1 >= 1 AND low[i1] = lower(s1) THEN i1 - 1 WHEN low[i1 + 2] = lower(s1) THEN i1 + 1 ELSE i1 END AS j1,
@@ -76,19 +75,19 @@ def _wsc(t):
         F.when(F.col("doc_id") % 3 == 0, F.substring(F.col("ws")[4], 1, 1)).otherwise(F.col("ws")[4]).alias("span2_text"),
         (F.lit(4) + F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 3 - 1)).cast("int").alias("span2_index"),
     )
-    candidates = F.transform(F.slice("ws", 6, 24), lambda w: F.struct(w.alias("text")))
+    candidates = F.transform(A.drop(F.col("ws"), 5), lambda w: F.struct(w.alias("text")))
     return base.select(F.col("doc_id").alias("idx"), "text", target.alias("target"), candidates.alias("candidates"), (F.col("doc_id") % 2 == 0).alias("label"))
 
 WSC_META = ", s1 AS span1_text, s2 AS span2_text, j1 AS span1_index, j2 AS span2_index, fw[j2 + 1] = s2 AS aligned"
 
 def _flat(df):
-    df = df.select("*", "meta.*").drop("meta")
+    df = df.select("*", "meta.*").drop("meta").withColumn("text_a", F.md5("text_a"))
     return df.withColumn("candidates", F.coalesce(F.array_join("candidates", "|"), F.lit("")))
 
 @query(
     "tsk04_pronoun_choice_train",
     f"""WITH {WSC_BASE}, groups AS (SELECT *, unnest(range(CASE WHEN len(names) > 9 THEN (len(names) + 8) // 9 ELSE 1 END)) AS g FROM fixed WHERE label = 'True')
-    SELECT 'train-' || doc_id::VARCHAR AS guid, array_to_string(fw, ' ') AS text_a, NULL::VARCHAR AS text_b, label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices, g::INTEGER AS group_no,
+    SELECT 'train-' || doc_id::VARCHAR AS guid, md5(array_to_string(fw, ' ')) AS text_a, NULL::VARCHAR AS text_b, label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices, g::INTEGER AS group_no,
       array_to_string(CASE WHEN len(names) > 9 THEN names[g * 9 + 1 : g * 9 + 9] || names[1 : 9 - len(names[g * 9 + 1 : g * 9 + 9])] ELSE names END, '|') AS candidates{WSC_META} FROM groups""",
 )
 def _(t):
@@ -96,7 +95,7 @@ def _(t):
 
 @query(
     "tsk04_pronoun_choice_dev",
-    f"""WITH {WSC_BASE} SELECT 'dev-' || doc_id::VARCHAR AS guid, array_to_string(fw, ' ') AS text_a, NULL::VARCHAR AS text_b, label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices,
+    f"""WITH {WSC_BASE} SELECT 'dev-' || doc_id::VARCHAR AS guid, md5(array_to_string(fw, ' ')) AS text_a, NULL::VARCHAR AS text_b, label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices,
       0 AS group_no, array_to_string(names, '|') AS candidates{WSC_META} FROM fixed""",
 )
 def _(t):
@@ -106,7 +105,7 @@ def _(t):
     "tsk04_pronoun_pairs",
     f"""WITH {WSC_BASE}, pairs AS (SELECT *, unnest([s1] || CASE WHEN label = 'True' THEN names ELSE []::VARCHAR[] END) AS b,
         unnest(range(CASE WHEN label = 'True' THEN len(names) + 1 ELSE 1 END)) AS k FROM fixed)
-    SELECT 'train-' || doc_id::VARCHAR AS guid, array_to_string(fw, ' ') AS text_a, b AS text_b, CASE WHEN k = 0 THEN label ELSE 'False' END AS label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices,
+    SELECT 'train-' || doc_id::VARCHAR AS guid, md5(array_to_string(fw, ' ')) AS text_a, b AS text_b, CASE WHEN k = 0 THEN label ELSE 'False' END AS label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices,
       '' AS candidates{WSC_META} FROM pairs""",
 )
 def _(t):
@@ -117,39 +116,38 @@ def _(t):
     label = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 2 == 0)
     return E.TASKS["boolq"].build(_base(t).select(F.col("doc_id").alias("idx"), F.col("text").alias("passage"), _line(0).alias("question"), label.alias("label")), "test")
 
-COPA = "'{c1}' || ws[1] AS x"
-
 def _copa(t):
     question = F.when(F.col("doc_id") % 2 == 0, "cause").otherwise("effect")
     return _base(t).select(
-        F.col("doc_id").alias("idx"), F.col("text").alias("premise"), _line(0).alias("choice1"), F.col("head").alias("choice2"), question.alias("question"), (F.col("doc_id") % 2).alias("label"))
+        F.col("doc_id").alias("idx"), F.col("text").alias("premise"), _line(0).alias("choice1"), F.col("rest").alias("choice2"), question.alias("question"), (F.col("doc_id") % 2).alias("label"))
 
 @query(
     "tsk06_cause_and_effect",
-    f"""WITH {BASE}, c AS (SELECT doc_id, text, ls[1] AS c1, head AS c2, CASE WHEN doc_id % 2 = 0 THEN 'cause' ELSE 'effect' END AS question FROM base)
+    f"""WITH {BASE}, c AS (SELECT doc_id, text, ls[1] AS c1, rest AS c2, CASE WHEN doc_id % 2 = 0 THEN 'cause' ELSE 'effect' END AS question FROM base)
     SELECT 'train-' || doc_id::VARCHAR AS guid, text AS text_a, NULL::VARCHAR AS text_b, (doc_id % 2)::VARCHAR AS label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices, c1 AS choice1, c2 AS choice2, question FROM c
     UNION ALL SELECT 'train-' || doc_id::VARCHAR || 'm', text, NULL, (1 - doc_id % 2)::VARCHAR, '-1', 1, c2, c1, question FROM c""",
 )
 def _(t):
     return E.TASKS["copa"].build(_copa(t), "train").select("*", "meta.*").drop("meta")
 
-# A document is a passage, its lines are questions, and the first words of a line are the answers.
+# A document is a passage, its lines are questions, and the words of a line are the answers.
 QUESTIONS = f"""{BASE}, questions AS (SELECT doc_id, text, unnest(range(len(ls)))::INTEGER AS q, unnest(ls) AS question FROM base),
-answers AS (SELECT *, {words("question")}[1:4] AS aw FROM questions)"""
+answers AS (SELECT *, {words("question")} AS aw FROM questions)"""
 
 def _multirc(t):
-    answers = lambda line: F.transform(F.slice(T.split_words(line), 1, 4), lambda w, i: F.struct(i.alias("idx"), w.alias("text"), (F.length(w) % 2).alias("label")))
+    answers = lambda line: F.transform(T.split_words(line), lambda w, i: F.struct(i.alias("idx"), w.alias("text"), (F.length(w) % 2).alias("label")))
     questions = F.transform("ls", lambda line, i: F.struct(i.alias("idx"), line.alias("question"), answers(line).alias("answers")))
     return _base(t).select(F.col("doc_id").alias("idx"), F.struct("text", questions.alias("questions")).alias("passage"))
 
 @query(
     "tsk07_answer_sentences",
-    f"""WITH {QUESTIONS}, a AS (SELECT *, unnest(range(len(aw)))::INTEGER AS k, unnest(aw) AS answer FROM answers)
-    SELECT 'dev-p' || doc_id || '-q' || q || '-a' || k AS guid, md5({STD.format("text")}) AS text_a, {STD.format("question")} || ' answer: ' || {STD.format("answer")} AS text_b,
-      (length(answer) % 2)::VARCHAR AS label, doc_id || ',' || q || ',' || k AS idx, 1::INTEGER AS num_choices FROM a""",
+    f"""WITH {QUESTIONS}, digests AS (SELECT doc_id, md5({STD.format("text")}) AS text_a FROM base),
+    a AS (SELECT doc_id, q, question, unnest(range(len(aw)))::INTEGER AS k, unnest(aw) AS answer FROM answers)
+    SELECT 'dev-p' || doc_id || '-q' || q || '-a' || k AS guid, text_a, {STD.format("question")} || ' answer: ' || {STD.format("answer")} AS text_b,
+      (length(answer) % 2)::VARCHAR AS label, doc_id || ',' || q || ',' || k AS idx, 1::INTEGER AS num_choices FROM a JOIN digests USING (doc_id)""",
 )
 def _(t):
-    return E.answer_sentences_text(E.TASKS["multirc"].build(_multirc(t), "dev")).drop("meta").withColumn("text_a", F.md5("text_a"))
+    return E.answer_sentences_text(E.TASKS["multirc"].build(_multirc(t), "dev", carry=F.md5)).drop("meta")
 
 @query(
     "tsk08_reading_choice",
@@ -160,19 +158,19 @@ def _(t):
     letters = F.array(*map(F.lit, "ABCD"))
     raw = _base(t).select(
         F.col("doc_id").alias("id"), F.col("text").alias("article"), F.col("ls").alias("questions"),
-        F.transform("ls", lambda line: F.slice(T.split_words(line), 1, 4)).alias("options"),
+        F.transform("ls", lambda line: T.split_words(line)).alias("options"),
         F.transform("ls", lambda line: F.get(letters, F.length(line) % 4)).alias("answers"))
-    df = E.TASKS["race"].build(raw, "train")
-    return df.select("*", F.array_join("meta.choices", "|").alias("choices")).drop("meta").withColumn("text_a", F.md5("text_a"))
+    df = E.TASKS["race"].build(raw, "train", carry=F.md5)
+    return df.select("*", F.array_join("meta.choices", "|").alias("choices")).drop("meta")
 
-# Entities are four characters at up to forty-one evenly spaced places; the answers of a question are two of them.
-RECORD = f"""{BASE}, spots AS (SELECT doc_id, text, ls, list_transform(range(0, length(text), greatest(50, length(text) // 40)), lambda s: substr(text, s + 1, 4)) AS raw FROM base WHERE text <> ''),
+# Entities are four characters at every fiftieth place; the answers of a question are two of them.
+RECORD = f"""{BASE}, spots AS (SELECT doc_id, text, ls, list_transform(range(0, length(text), 50), lambda s: substr(text, s + 1, 4)) AS raw FROM base WHERE text <> ''),
 ents AS (SELECT *, list_sort(list_distinct(raw)) AS ents FROM spots),
 qs AS (SELECT *, unnest(range(len(ls)))::INTEGER AS q, unnest(ls) AS question FROM ents),
 ans AS (SELECT *, list_sort(list_distinct([raw[q % len(raw) + 1], raw[(q + 7) % len(raw) + 1]])) AS ans FROM qs)"""
 
 def _record(t):
-    starts = F.expr("sequence(0, length(text) - 1, cast(greatest(50, length(text) div 40) as int))")
+    starts = F.expr("sequence(0, length(text) - 1, 50)")
     spots = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + 3).alias("end"), F.col("text").substr(s + 1, F.lit(4)).alias("text")))
 
     def questions(v):
@@ -186,7 +184,7 @@ def _record(t):
 
 def _record_flat(df):
     meta = [F.array_join("meta.candidates", "|").alias("candidates"), F.array_join("meta.answers", "|").alias("answers")]
-    return df.select("*", *meta).drop("meta").withColumn("text_a", F.md5("text_a"))
+    return df.select("*", *meta).drop("meta")
 
 @query(
     "tsk09_entity_cloze_train",
@@ -197,7 +195,7 @@ def _record_flat(df):
       (len(c) + 1)::INTEGER AS num_choices, array_to_string([answer] || c, '|') AS candidates, answer AS answers FROM cands""",
 )
 def _(t):
-    return _record_flat(E.TASKS["record"].build(_record(t), "train"))
+    return _record_flat(E.TASKS["record"].build(_record(t), "train", carry=F.md5))
 
 @query(
     "tsk09_entity_cloze_dev",
@@ -205,7 +203,7 @@ def _(t):
       len(ents)::INTEGER AS num_choices, array_to_string(ents, '|') AS candidates, array_to_string(ans, '|') AS answers FROM ans""",
 )
 def _(t):
-    return _record_flat(E.TASKS["record"].build(_record(t), "dev"))
+    return _record_flat(E.TASKS["record"].build(_record(t), "dev", carry=F.md5))
 
 def _table(name, task, columns, label=None, std=True, with_idx=False, two=True):
     """Register a table task: text columns are the whole text and the first line."""
@@ -232,14 +230,14 @@ CLEAN = "replace(replace({}, '\\n', ' '), '\\', ' ')"
 def _escaped(t):
     return _base(t).select("*", F.replace("text", F.lit("\n"), F.lit("\\n")).alias("esc"), F.col("doc_id").alias("line_no"))
 
-@query("tsk16_topic_news", _sql("'train-' || doc_id::VARCHAR", "head", f"replace({ESCAPED}, '\\', ' ')", "lang"))
+@query("tsk16_topic_news", _sql("'train-' || doc_id::VARCHAR", "replace(rest, '\\', ' ')", f"replace({ESCAPED}, '\\', ' ')", "lang"))
 def _(t):
-    raw = _escaped(t).select("line_no", F.col("lang").alias("label"), F.col("head").alias("headline"), F.col("esc").alias("body"))
+    raw = _escaped(t).select("line_no", F.col("lang").alias("label"), F.col("rest").alias("headline"), F.col("esc").alias("body"))
     return E.TASKS["agnews"].build(raw, "train")
 
-@query("tsk17_topic_question", _sql("'train-' || doc_id::VARCHAR", "source || ' ' || " + CLEAN.format(ESCAPED), CLEAN.format("replace(head, chr(10), '\\n')"), "lang"))
+@query("tsk17_topic_question", _sql("'train-' || doc_id::VARCHAR", "source || ' ' || " + CLEAN.format(ESCAPED), CLEAN.format("replace(rest, chr(10), '\\n')"), "lang"))
 def _(t):
-    raw = _escaped(t).select("line_no", F.col("lang").alias("label"), F.col("source").alias("title"), F.col("esc").alias("body"), F.replace("head", F.lit("\n"), F.lit("\\n")).alias("answer"))
+    raw = _escaped(t).select("line_no", F.col("lang").alias("label"), F.col("source").alias("title"), F.col("esc").alias("body"), F.replace("rest", F.lit("\n"), F.lit("\\n")).alias("answer"))
     return E.TASKS["yahoo"].build(raw, "train")
 
 @query("tsk18_review", _sql("'dev-' || doc_id::VARCHAR", CLEAN.format(ESCAPED), "NULL::VARCHAR", "lang"))
@@ -270,14 +268,14 @@ def _cluewsc(t):
 def _(t):
     return E.TASKS["cluewsc"].build(_cluewsc(t), "dev").select("*", "meta.*").drop("meta")
 
-# One article per document; each line asks for its first words, and every third question has no answer.
-def _squad(t):
+# One article per document; each line asks for its words, and every third question has no answer.
+def _squad(t, *keys):
     answers = lambda line, i: F.when((F.col("doc_id") + i) % 3 == 0, F.array().cast("array<struct<text:string,answer_start:int>>")).otherwise(
-        F.transform(F.slice(T.split_words(line), 1, 4), lambda w: F.struct(w.alias("text"), (F.instr("text", "a") + F.length(w)).cast("int").alias("answer_start"))))
+        F.transform(T.split_words(line), lambda w: F.struct(w.alias("text"), (F.instr("text", "a") + F.length(w)).cast("int").alias("answer_start"))))
     qas = F.transform("ls", lambda line, i: F.struct(
         F.concat_ws("-", F.col("doc_id").cast("string"), i.cast("string")).alias("id"), line.alias("question"), answers(line, i).alias("answers")))
     paragraph = F.struct(F.col("text").alias("context"), qas.alias("qas"))
-    return _base(t).select(F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data"))
+    return _base(t).select(*keys, F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data"))
 
 SQUAD = f"{QUESTIONS}, sq AS (SELECT doc_id, text, q, question, CASE WHEN (doc_id + q) % 3 = 0 THEN []::VARCHAR[] ELSE aw END AS aw FROM answers)"
 
@@ -286,17 +284,17 @@ SQUAD = f"{QUESTIONS}, sq AS (SELECT doc_id, text, q, question, CASE WHEN (doc_i
     f"""WITH {SQUAD} SELECT doc_id || '-' || q AS guid, md5(text) AS text_a, question AS text_b, '0' AS label, '-1' AS idx, 1::INTEGER AS num_choices, coalesce(aw[1], 'N/A') AS answer, array_to_string(aw, '|') AS answers FROM sq""",
 )
 def _(t):
-    df = E.TASKS["squad"].build(_squad(t), "dev")
-    return df.select("*", "meta.answer", F.array_join("meta.answers", "|").alias("answers")).drop("meta").withColumn("text_a", F.md5("text_a"))
+    df = E.TASKS["squad"].build(_squad(t), "dev", carry=F.md5)
+    return df.select("*", "meta.answer", F.array_join("meta.answers", "|").alias("answers")).drop("meta")
 
 @query(
     "tsk24_passage_cloze_numbered",
     f"""WITH {QUESTIONS} SELECT 'train-' || doc_id || '-' || q AS guid, md5(text) AS text_a, question AS text_b, '0' AS label, '-1' AS idx, 1::INTEGER AS num_choices, aw[1] AS answer FROM answers""",
 )
 def _(t):
-    qas = F.transform("ls", lambda line: F.struct(line.alias("query_text"), F.slice(T.split_words(line), 1, 4).alias("answers")))
+    qas = F.transform("ls", lambda line: F.struct(line.alias("query_text"), T.split_words(line).alias("answers")))
     raw = _base(t).select(F.concat(F.lit("TRAIN_"), F.col("doc_id").cast("string")).alias("context_id"), F.col("text").alias("context_text"), qas.alias("qas"))
-    return E.TASKS["qa-cn"].build(raw, "train").select("*", "meta.answer").drop("meta").withColumn("text_a", F.md5("text_a"))
+    return E.TASKS["qa-cn"].build(raw, "train", carry=F.md5).select("*", "meta.answer").drop("meta")
 
 def _pairs_of_lines(t):
     return _base(t).select(F.col("doc_id").alias("line_no"), F.col("text").alias("source"), _line(0).alias("target"))
@@ -318,7 +316,7 @@ def _(t):
     SELECT 'train-' || doc_id || '-' || q || '-' || answer AS guid, md5(text) AS text_a, NULL::VARCHAR AS text_b, NULL::VARCHAR AS label, doc_id || '-' || q AS idx, 1::INTEGER AS num_choices, question, answer FROM a""",
 )
 def _(t):
-    return E.answer_generation(_squad(t), "train").select("*", "meta.question", "meta.answer").drop("meta").withColumn("text_a", F.md5("text_a"))
+    return E.answer_generation(_squad(t), "train", carry=F.md5).select("*", "meta.question", "meta.answer").drop("meta")
 
 @query(
     "tsk28_question_generation",
@@ -326,7 +324,7 @@ def _(t):
     SELECT 'train-' || doc_id || '-' || q || '-' || answer AS guid, question, answer, (instr(text, 'a') + length(answer))::INTEGER AS answer_start FROM a""",
 )
 def _(t):
-    return E.question_generation(_squad(t), "train").select("guid", "meta.question", "meta.answer", "meta.answer_start")
+    return E.question_generation(_squad(t), "train", carry=F.md5).select("guid", "meta.question", "meta.answer", "meta.answer_start")
 
 @query("tsk30_plain_pairs", f"WITH {BASE} SELECT 'test-' || doc_id AS guid, text AS text_a, ls[1] AS text_b FROM base")
 def _(t):

@@ -158,13 +158,24 @@ def _(t):
 
 @query(
     "voc08_split_commands",
-    f"""WITH marked AS (SELECT doc_id, regexp_replace(replace(replace(text, ' of ', ' [MASK] '), chr(10), '[SEP]'), '\\s+\\[MASK\\]', '[MASK]', 'g') AS text FROM documents),
-    cut AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\\[MASK\\]|\\[SEP\\])', chr(31) || '\\1' || chr(31), 'g'), chr(31)), lambda p: p <> '') AS ps FROM marked)
+    f"""WITH marked AS (SELECT doc_id, regexp_replace(replace(replace(replace(text, ' of ', ' [MASK] '), ' the ', ' [MASK2] '), chr(10), '[SEP]'), '\\s+(\\[MASK2?\\])', '\\1', 'g') AS text FROM documents),
+    cut AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\\[MASK2?\\]|\\[SEP\\])', chr(31) || '\\1' || chr(31), 'g'), chr(31)), lambda p: p <> '') AS ps FROM marked)
     SELECT doc_id, unnest(range(len(ps)))::INTEGER AS pos, unnest(ps) AS piece FROM cut""",
 )
 def _(t):
-    marked = T.replace_all(F.col("text"), [(" of ", " [MASK] "), ("\n", "[SEP]")])
-    return V.word_positions(t.documents, ["doc_id"], V.split_commands(marked), "piece")
+    marked = T.replace_all(F.col("text"), [(" of ", " [MASK] "), (" the ", " [MASK2] "), ("\n", "[SEP]")])
+    return V.word_positions(t.documents, ["doc_id"], V.split_commands(marked, sentinels=3), "piece")
+
+
+@query(
+    "voc08_encode_commands",
+    f"""WITH cut AS (SELECT doc_id, string_split(replace(text, ' of ', chr(31)), chr(31)) AS ps FROM documents)
+    SELECT doc_id, {joined("flatten(list_transform(ps, lambda p, i: CASE WHEN i = 1 THEN [] ELSE [50013] END || " + codes("CASE WHEN i < len(ps) THEN regexp_replace(p, '\\s+$', '') ELSE p END") + "))")} AS ids FROM cut""",
+)
+def _(t):
+    marked = F.replace("text", F.lit(" of "), F.lit(" [MASK2]"))
+    ids = V.encode_with_commands(marked, V.encode_chars, 50_000, sentinels=3, fixed_ids=True)
+    return t.documents.select("doc_id", F.array_join(ids, " ").alias("ids"))
 
 
 @query(

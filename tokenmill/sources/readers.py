@@ -27,19 +27,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def numbered(df: DataFrame, out: str = "line_no") -> DataFrame:
+def numbered(df: DataFrame, out: str = "line_no", across: bool = False) -> DataFrame:
     """Add the file name and the 0-based row number inside the file to a freshly scanned file source.
 
     A file is read in blocks, each by one task in file order. The number is the size of the blocks before plus the place in
-    the block, so nothing is sorted and no task sees more than its block.
+    the block, so nothing is sorted and no task sees more than its block. With `across`, part files (shorter names first, then by
+    name) count as one file.
     """
     rows = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
     sizes = rows.groupBy("file", "__block").agg(F.count("*").alias("__n"))
     # One row per file block.
     before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    sizes = sizes.select("file", "__block", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    if across:
+        # One row per file.
+        earlier = Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
+        files = sizes.groupBy("file").agg(F.sum("__n").alias("__rows"))
+        files = files.select("file", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__files"))
+        sizes = sizes.join(files, "file").withColumn("__before", F.col("__before") + F.col("__files")).drop("__files")
     first = F.min("__id").over(Window.partitionBy("file", "__block"))
-    rows = rows.withColumn("__place", F.col("__id") - first).join(sizes, ["file", "__block"])
+    rows = rows.withColumn("__place", F.col("__id") - first).join(sizes.drop("__n"), ["file", "__block"])
     return rows.withColumn(out, F.col("__before") + F.col("__place")).drop("__block", "__id", "__place", "__before")
 
 
@@ -61,15 +68,16 @@ def text_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool =
     return spark.read.option("recursiveFileLookup", recursive).text(path).select(F.col("value").alias("text"))
 
 
-def labelled_csv(spark: SparkSession, path: str, text: str, label: str | None, columns: Sequence[str], sep: str = ",", multi_line: bool = False, preprocess: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Text and label columns of a latin-1 table; `.tsv` in the path means tabs, rows with nulls are dropped.
+def labelled_csv(spark: SparkSession, path: str, text: str, label: str | None, sep: str = ",", multi_line: bool = False, preprocess: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Text and label columns of a latin-1 table, found by their names; `.tsv` in the path means tabs, rows with nulls are dropped.
+
+    Of several files, all must have the columns in the same order; others are an error.
 
     `preprocess` is a hook on the text, as a column expression.
     """
     sep = "\t" if ".tsv" in path else sep
-    schema = ", ".join(f"`{c}` STRING" for c in columns)
-    df = spark.read.schema(schema).csv(path, sep=sep, header=True, encoding="ISO-8859-1", multiLine=multi_line, escape='"')
-    value = F.col(label) if label in columns else F.lit(MISSING_LABEL)
+    df = spark.read.csv(path, sep=sep, header=True, enforceSchema=False, encoding="ISO-8859-1", multiLine=multi_line, escape='"')
+    value = F.col(label) if label in df.columns else F.lit(MISSING_LABEL)
     df = df.select(F.col(text).alias("text"), value.alias("label")).dropna()
     if preprocess:
         df = df.withColumn("text", preprocess(F.col("text")))
@@ -84,21 +92,27 @@ def labelled_json(spark: SparkSession, path: str, text: str, label: str, loose:
 
 
 def plain_tsv(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
-    """Tab-separated strings without quoting or null markers, numbered by row."""
-    schema = ", ".join(f"`{c}` STRING" for c in columns)
-    df = spark.read.schema(schema).csv(path, sep="\t", header=header, quote="", nullValue="\u0000", emptyValue="")
-    return numbered(df).fillna("", list(columns)).drop("file")
+    """Tab-separated strings without quoting or null markers, numbered by row; a header names the columns, otherwise their order does."""
+    plain = spark.read if header else spark.read.schema(", ".join(f"`{c}` STRING" for c in columns))
+    df = plain.csv(path, sep="\t", header=header, enforceSchema=not header, quote="", nullValue="\u0000", emptyValue="")
+    return numbered(df, across=True).fillna("", list(columns)).select(*columns, "line_no")
+
 
+def quoted_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """Headerless quoted table of a fixed number of string columns, numbered by row.
 
-def quoted_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True) -> DataFrame:
-    """Headerless quoted table of a fixed number of string columns, numbered by row."""
+    A file whose fields hold line ends needs `multi_line`, and then one task.
+    """
     schema = ", ".join(f"`{c}` STRING" for c in columns)
-    return numbered(spark.read.schema(schema).csv(path, multiLine=multi_line, escape='"')).fillna("", list(columns)).drop("file")
+    return numbered(spark.read.schema(schema).csv(path, multiLine=multi_line, escape='"'), across=True).fillna("", list(columns)).drop("file")
 
 
 def paired_lines(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Line i of one file with line i of the other; a line without a partner keeps a null side (see `unpaired`)."""
-    lines = lambda path, name: numbered(spark.read.text(path)).select("line_no", F.trim("value").alias(name))
+    """Line i of one file with line i of the other; a line without a partner keeps a null side (see `unpaired`).
+
+    The part files of a side count as one.
+    """
+    lines = lambda path, name: numbered(spark.read.text(path), across=True).select("line_no", F.trim("value").alias(name))
     return lines(source, "source").join(lines(target, "target"), "line_no", "full")
 
 
@@ -179,10 +193,10 @@ def relation_facts(spark: SparkSession, folder: str, relation_file: str, set_typ
     return facts_in_templates(facts.withColumn("guid", guid), templates, ["guid"])
 
 
-def multiple_choice_files(spark: SparkSession, path: str) -> DataFrame:
-    """Inputs, choices and label (default 0) per line, with the file and the line number as id."""
+def multiple_choice_files(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """Inputs, choices and label (default 0) per line, with the file and the line number as id (over all part files with `across`)."""
     df = spark.read.schema("inputs_pretokenized STRING, choices_pretokenized ARRAY<STRING>, label INT").json(path)
-    return numbered(df).select("file", F.col("line_no").cast("string").alias("idx"), "inputs_pretokenized", "choices_pretokenized", F.coalesce("label", F.lit(0)).alias("label"))
+    return numbered(df, across=across).select("file", F.col("line_no").cast("string").alias("idx"), "inputs_pretokenized", "choices_pretokenized", F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def run_results(spark: SparkSession, pattern: str, metrics: Sequence[str]) -> DataFrame:

@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.operators.prefix import position
+from tokenmill.session import cut_lineage
 
 NOT_ANSWERABLE = "n/a"
 
 
 def write_once(df: DataFrame, path: str) -> DataFrame:
-    """Materialize a tokenized corpus unless it is there already, and read it back."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Materialize a tokenized corpus unless it is there already, and read it back.
+
+    Spark marks a finished write; a folder without the mark broke off and is written again.
+    """
+    spark = df.sparkSession
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", pieces: int = 8) -> None:
@@ -89,11 +96,15 @@ def best_answers(predictions: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def write_parallel_text(examples: DataFrame, path: str, order: str) -> None:
-    """Hypotheses, references and sources as parallel text folders in the same row order."""
-    for name, column in (("hyps", "prediction"), ("refs", "ref"), ("source", "source")):
-        if column in examples.columns:
-            line: Column = F.regexp_replace(column, r"\r?\n", " ").alias("value")
-            examples.orderBy(order).select(line).write.text(f"{path}.{name}")
+    """Hypotheses, references and sources as parallel text folders: line i of all part files, in name order, belongs to row i.
+
+    Rows are sorted once; equal keys go by their texts, and null texts are empty lines.
+    """
+    names = {name: column for name, column in (("hyps", "prediction"), ("refs", "ref"), ("source", "source")) if column in examples.columns}
+    lines = [F.coalesce(F.regexp_replace(column, r"\r?\n", " "), F.lit("")).alias(name) for name, column in names.items()]
+    rows = cut_lineage(examples.select(order, *lines).orderBy(order, *names))
+    for name in names:
+        rows.select(F.col(name).alias("value")).write.text(f"{path}.{name}")
 
 
 def write_frequencies(frequencies: DataFrame, path: str, limit: int) -> None:
