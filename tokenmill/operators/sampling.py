@@ -36,11 +36,13 @@ def should_split(shares: Sequence[float]) -> bool:
 
 
 def split_bounds(n_rows: int, shares: Sequence[float]) -> list[tuple[int, int] | None]:
-    """Half-open position ranges per split: the floors of the cumulative shares of the rows.
+    """Half-open position ranges per split: whole rows of every share, and a row more where the fractions so far reach one.
 
-    A wanted split gets at least one row, which may also be the first of the next split.
+    Fractions are added as doubles. A wanted split gets at least one row, which may also be the first of the next split.
     """
-    edges = [math.floor(n_rows * part / sum(shares) + 1e-9) for part in accumulate(shares, initial=0.0)]
+    exact = [n_rows * (share / sum(shares)) for share in shares]
+    whole, spare = (accumulate(parts, initial=0.0) for parts in zip(*((math.floor(x), x % 1) for x in exact)))
+    edges = [int(rows) + math.floor(fraction) for rows, fraction in zip(whole, spare)]
     return [(low, min(max(high, low + 1), n_rows)) if share else None for share, low, high in zip(shares, edges, edges[1:])]
 
 

@@ -21,10 +21,16 @@ RELATIONS = [
 ]
 
 
+INPUT_PARTITIONS = "spark.tokenmill.inputPartitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on inputs of fewer files than cores; larger inputs pass through without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The scan as it is, or in as many partitions as the session asks for by INPUT_PARTITIONS.
+
+    The setting is for tables of one row group, such as the bench's, which a scan can't split.
+    """
+    asked = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(asked)) if asked else df
 
 
 def numbered(df: DataFrame, out: str = "line_no", across: bool = False) -> DataFrame:
