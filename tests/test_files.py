@@ -131,7 +131,7 @@ def test_write_once_keeps_the_first(spark, tmp_path):
 
 def test_shards(spark, tmp_path):
     df = spark.range(100).select("id", (F.col("id") % 4).alias("shard"))
-    W.write_shards(df, str(tmp_path / "s"), pieces=2)
+    W.write_shards(df, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s" / "shard=1")).count() == 25
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.hashing import hash_uniform
 from tokenmill.functions.text import standardize_punctuation, strip, trim_field
+from tokenmill.operators.special import special_tokens
+from tokenmill.operators.vocab import encode_chars
 
 Keys = Sequence[str]
 
@@ -142,10 +144,12 @@ def mixed_sources(
     return kept.select(*keys, "source", F.lit("").alias("prompt"), "text")
 
 
-def key_and_content(df: DataFrame, encode: Callable[[Column], Column], end_of_piece: int, keys: Keys = ("doc_id",)) -> DataFrame:
+def key_and_content(
+    df: DataFrame, encode: Callable[[Column], Column] = encode_chars, end_of_piece: int = special_tokens().eop, keys: Keys = ("doc_id",)
+) -> DataFrame:
     """Two rows per article: all keys behind a summary prefix, and keys interleaved with their contents.
 
-    `key` and `content` are parallel text arrays; `encode` turns text into token ids. `runs` holds alternating lengths of
+    `key` and `content` are parallel text arrays; `encode` turns text into token ids, by characters unless told otherwise. `runs` holds alternating lengths of
     tokens without and with loss.
     """
     spaced = F.transform(F.col("key"), lambda k, i: F.when(i == 0, k).otherwise(F.concat(F.lit(" "), k)))
@@ -196,6 +200,16 @@ CORPORA: dict[str, Callable[..., DataFrame]] = {
 RESERVE_PUNCTUATION = frozenset({"zhihu", "zhidao", "baike", "wudao"})
 
 
+def prepare(name: str, df: DataFrame, keys: Keys = ("doc_id",), **options) -> DataFrame:
+    """A corpus of the registry, with standard punctuation unless it reserves its own; fields that become ids are standardized first."""
+    if name in RESERVE_PUNCTUATION:
+        return CORPORA[name](df, keys=keys, **options)
+    if name == "wikipedia-key":
+        each = lambda c: F.transform(F.col(c), standardize_punctuation)
+        return CORPORA[name](df.withColumns({"key": each("key"), "content": each("content")}), keys=keys, **options)
+    return standardized(CORPORA[name](df, keys=keys, **options))
+
+
 def concat_corpora(parts: dict[str, DataFrame]) -> DataFrame:
     """Bag union of prepared corpora, tagged with the corpus name."""
     tagged = [df.withColumn("corpus", F.lit(name)) for name, df in parts.items()]

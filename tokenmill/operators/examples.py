@@ -378,7 +378,3 @@ TASKS: dict[str, Task] = {
     "squad": Task(passage_cloze, ("0",)),
     "qa-cn": Task(passage_cloze_numbered, ("0",)),
 }
-
-# File of each split, and the files that few-shot runs use instead.
-SPLIT_FILES = {"train": "train.jsonl", "dev": "val.jsonl", "test": "test.jsonl", "unlabeled": "unlabeled.jsonl"}
-FEW_SHOT_FILES = {"train": "train.jsonl", "dev": "dev32.jsonl", "test": "val.jsonl", "unlabeled": "unlabeled.jsonl"}

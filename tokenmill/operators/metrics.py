@@ -7,6 +7,7 @@ averages combine before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -300,18 +301,61 @@ def run_summary(results: DataFrame, metrics: Sequence[str], run: str, target: st
         F.max_by("x.value", F.struct(F.col("__target"), F.col(run))).alias("at_best_run"))
 
 
-# Metrics of every task by name; a metric takes the joined predictions and gives one row.
-METRICS: dict[str, Callable[..., DataFrame]] = {
-    "accuracy": accuracy, "f1": f1_binary, "f1-macro": f1_macro, "f1a": f1_binary, "acc": accuracy, "em": all_answers_right,
-    "EM": best_over_truths, "F1": best_over_truths,
+def _truth_rows(df: DataFrame) -> DataFrame:
+    return df.select("question", "prediction", F.posexplode("truths").alias("truth_no", "truth"))
+
+
+def truths_matched(df: DataFrame) -> DataFrame:
+    """Exact match with the best of a question's truths, in percent."""
+    scored = _truth_rows(df).select("question", exact_match(F.col("prediction"), F.col("truth")).alias("em"))
+    return best_over_truths(scored, df, "question", "em")
+
+
+def truths_f1(df: DataFrame) -> DataFrame:
+    """Token F1 with the best of a question's truths, in percent."""
+    return best_over_truths(token_f1(_truth_rows(df), ["question", "truth_no"], "prediction", "truth"), df, "question", "f1")
+
+
+# Metrics by name. A metric takes joined predictions and gives one value: label metrics read (prediction, label), those over
+# questions (question) too, and text metrics one row per question with (question, prediction, truths).
+METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "accuracy": accuracy, "f1": f1_binary, "f1-macro": f1_macro, "f1a": f1_binary, "acc": accuracy,
+    "em": lambda df: all_answers_right(df, "question"), "EM": truths_matched, "F1": truths_f1,
 }
-_ACCURACY_TASKS = (
-    "copa", "rte", "boolq", "wic", "wsc", "mnli", "sst2", "qnli", "qqp", "mrpc", "cola", "squad", "afqmc", "tnews", "cluewsc", "cmrc", "multichoice")
+# The metrics of every task.
 TASK_METRICS: dict[str, tuple[str, ...]] = {
-    **dict.fromkeys(_ACCURACY_TASKS, ("accuracy",)), "record": ("EM", "F1"), "cb": ("accuracy", "f1-macro"), "multirc": ("f1a", "em", "acc"),
+    "copa": ("accuracy",),
+    "rte": ("accuracy",),
+    "boolq": ("accuracy",),
+    "wic": ("accuracy",),
+    "wsc": ("accuracy",),
+    "cb": ("accuracy", "f1-macro"),
+    "record": ("EM", "F1"),
+    "multirc": ("f1a", "em", "acc"),
+    "mnli": ("accuracy",),
+    "sst2": ("accuracy",),
+    "qnli": ("accuracy",),
+    "qqp": ("accuracy",),
+    "mrpc": ("accuracy",),
+    "cola": ("accuracy",),
+    "squad": ("accuracy",),
+    "afqmc": ("accuracy",),
+    "tnews": ("accuracy",),
+    "cluewsc": ("accuracy",),
+    "cmrc": ("accuracy",),
+    "multichoice": ("accuracy",),
 }
 
 
+def evaluate(predictions: DataFrame, task: str) -> DataFrame:
+    """(task, metric_no, metric, value): every metric of the task over its joined predictions."""
+    rows = []
+    for number, name in enumerate(TASK_METRICS[task]):
+        score = METRICS[name](predictions)
+        rows.append(score.select(F.lit(task).alias("task"), F.lit(number).alias("metric_no"), F.lit(name).alias("metric"), F.col(score.columns[0]).cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def task_metrics(examples: DataFrame, task: str = "task") -> DataFrame:
     """Examples under every metric of their task, in the task's order."""
     sets = F.create_map(*[x for name, metrics in TASK_METRICS.items() for x in (F.lit(name), F.array(*map(F.lit, metrics)))])

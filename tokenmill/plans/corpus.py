@@ -11,6 +11,7 @@ from tokenmill.operators.filters import drop_nulls, drop_redundant_sentences
 from tokenmill.plans.registry import query
 from tokenmill.plans.sqltext import codes, h_uniform, joined, words
 
+STD = "translate({}, '“”’‘–', '\"\"''''-')"
 CODE_POINTS = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
 
 
@@ -32,11 +33,11 @@ article AS (SELECT doc_id,
     f"""WITH {ARTICLE_SQL},
     spaced AS (SELECT doc_id, list_transform(key, lambda k, i: CASE WHEN i = 1 THEN k ELSE ' ' || k END) AS key,
       list_transform(content, lambda c: ' ' || c) AS content FROM article)
-    SELECT doc_id, 'summary' AS part, {joined("list_concat(" + codes("'Summary: '") + ", " + codes("array_to_string(key, '')") + ")")} AS tokens,
+    SELECT doc_id, 'summary' AS part, {joined("list_concat(" + codes("'Summary: '") + ", " + codes(STD.format("array_to_string(key, '')")) + ")")} AS tokens,
       '9 ' || length(array_to_string(key, ''))::VARCHAR AS runs FROM spaced
     UNION ALL
     SELECT doc_id, 'content',
-      {joined("flatten(list_transform(list_zip(key, content), lambda p: list_concat(" + codes("p[1]") + ", " + codes("p[2]") + ", [50007])))")},
+      {joined("flatten(list_transform(list_zip(key, content), lambda p: list_concat(" + codes(STD.format("p[1]")) + ", " + codes(STD.format("p[2]")) + ", [50007])))")},
       {joined("flatten(list_transform(list_zip(key, content), lambda p: [length(p[1]), length(p[2]) + 1]))")} FROM spaced""",
 )
 def _(t):
@@ -46,7 +47,7 @@ def _(t):
         F.transform("lines", lambda line: F.regexp_extract(line, r"^[^.]*", 0)).alias("key"),
         F.transform("lines", lambda line: F.regexp_replace(line, r"^[^.]*", "")).alias("content"),
     )
-    rows = C.key_and_content(article, CODE_POINTS, 50007)
+    rows = C.prepare("wikipedia-key", article)
     return rows.select("doc_id", "part", F.array_join("tokens", " ").alias("tokens"), F.array_join("runs", " ").alias("runs"))
 
 
@@ -280,6 +281,21 @@ _rule_set(
     lambda c: T.standardize_punctuation(F.translate(c, ".\"!", "’“–")),
     "translate(translate(text, '.\"!', '’“–'), '“”’‘–', '\"\"''''-')",
 )
+CURLY_SQL = "translate(text, '.\"!', '’“–')"
+
+
+@query(
+    "nrm01_prepared_corpora",
+    f"""SELECT doc_id, 'stories' AS corpus, '' AS prompt, translate({CURLY_SQL}, '“”’‘–', '""''''-') AS text FROM documents WHERE text <> ''
+    UNION ALL SELECT doc_id, 'wudao', '', source || ' ' || {CURLY_SQL} FROM documents WHERE length(source || ' ' || text) > 100""",
+)
+def _(t):
+    curly = F.translate("text", ".\"!", "’“–")
+    stories = C.prepare("stories", t.documents.select("doc_id", curly.alias("text")))
+    titled = C.prepare("wudao", t.documents.select("doc_id", F.col("source").alias("title"), curly.alias("content")))
+    return C.concat_corpora({"stories": stories, "wudao": titled}).select("doc_id", "corpus", "prompt", "text")
+
+
 _rule_set("nrm02_clean_spaces", lambda c: T.clean_spaces(_spaced(c)), _replace_sql(f"regexp_replace({SPACED}, '\\s+', ' ', 'g')", [(" . ", ". ")] * 3))
 _rule_set("nrm03_detokenize_ptb", lambda c: T.detokenize_ptb(_spaced(c)), _replace_sql(SPACED, T.PTB_RULES))
 _rule_set(

@@ -39,6 +39,18 @@ def _(t):
     return R.json_lines(t.spark, path, "doc_id BIGINT, text STRING, lang STRING")
 
 
+@query(
+    "src01_split_files",
+    "SELECT doc_id, text, 'dev' AS part FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, text, 'few-shot test' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, text, 'few-shot dev' FROM documents WHERE doc_id % 3 = 1",
+)
+def _(t):
+    path = _folder(t)
+    for file, rest in (("val.jsonl", 0), ("dev32.jsonl", 1)):
+        t.documents.filter(F.col("doc_id") % 3 == rest).select("doc_id", "text").write.json(f"{path}/{file}")
+    read = lambda split, few, part: R.split_lines(t.spark, path, split, "doc_id BIGINT, text STRING", few).withColumn("part", F.lit(part))
+    return read("dev", False, "dev").unionByName(read("test", True, "few-shot test")).unionByName(read("dev", True, "few-shot dev"))
+
+
 @query("src02_json_records", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
 def _(t):
     path = _folder(t)

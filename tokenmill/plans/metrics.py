@@ -1,8 +1,8 @@
 """Scores over the tables: embeddings stand for choice scores, events for loss logs, text pairs for answers."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tokenmill.functions import arrays as A
 from tokenmill.functions import text as T
 from tokenmill.operators import metrics as M
 from tokenmill.plans.registry import query
@@ -70,14 +70,14 @@ truths AS (SELECT a.doc_id, a.line_no, a.line AS prediction, b.line_no AS truth_
 
 
 def _truths(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    around = lines.withColumns({"before": F.lag("line").over(w), "after": F.lead("line").over(w)})
+    beside = A.let(F.split("text", "\n"), lambda ls: F.transform(
+        ls, lambda line, i: F.struct(line.alias("line"), F.get(ls, i - 1).alias("before"), F.get(ls, i + 1).alias("after"))))
+    around = t.documents.select("doc_id", F.posexplode(beside).alias("line_no", "x")).select("doc_id", "line_no", "x.*")
     both = F.array(
         F.struct((F.col("line_no") - 1).alias("truth_no"), F.col("before").alias("truth")),
         F.struct((F.col("line_no") + 1).alias("truth_no"), F.col("after").alias("truth")))
     rows = around.select("doc_id", "line_no", F.col("line").alias("prediction"), F.explode(both).alias("t")).select("doc_id", "line_no", "prediction", "t.*")
-    return lines, rows.filter(F.col("truth").isNotNull())
+    return around.select("doc_id", "line_no", "line"), rows.filter(F.col("truth").isNotNull())
 
 
 @query("agg06_exact_match", f"WITH {LINES} SELECT doc_id, line_no, truth_no, ({NORM.format('prediction')} = {NORM.format('truth')})::INT::DOUBLE AS em FROM truths")
@@ -316,6 +316,29 @@ def _(t):
     return M.task_metrics(t.documents.select("doc_id", task.alias("task")))
 
 
+@query(
+    "agg23_evaluated_tasks",
+    """WITH p AS (SELECT quality AS p, toxic AS l, doc_id % 50 AS q FROM labels),
+    f AS (SELECT 2.0::DOUBLE * count(*) FILTER (p = 1 AND l = 1) / (count(*) FILTER (p = 1) + count(*) FILTER (l = 1)) AS f1, 100.0::DOUBLE * avg((p = l)::INT) AS acc FROM p),
+    e AS (SELECT avg(r::INT)::DOUBLE AS em FROM (SELECT q, bool_and(p = l) AS r FROM p GROUP BY q)),
+    c AS (SELECT c, (SELECT count(*) FROM p WHERE p = c AND l = c) AS hits, (SELECT count(*) FROM p WHERE p = c) + (SELECT count(*) FROM p WHERE l = c) AS seen
+      FROM (SELECT DISTINCT unnest([p, l]) AS c FROM p)),
+    d AS (SELECT 100.0::DOUBLE * avg((doc_id % 3 = 0)::INT) AS em, 100.0::DOUBLE * avg(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2.0::DOUBLE / 3 END) AS f1 FROM documents)
+    SELECT task, metric_no::INTEGER AS metric_no, metric, round(value, 6) AS value FROM (
+      SELECT 'multirc' AS task, 0 AS metric_no, 'f1a' AS metric, (SELECT f1 FROM f) AS value UNION ALL SELECT 'multirc', 1, 'em', (SELECT em FROM e)
+      UNION ALL SELECT 'multirc', 2, 'acc', (SELECT acc FROM f) UNION ALL SELECT 'cb', 0, 'accuracy', (SELECT acc FROM f)
+      UNION ALL SELECT 'cb', 1, 'f1-macro', (SELECT avg(2.0::DOUBLE * hits / seen) FROM c) UNION ALL SELECT 'rte', 0, 'accuracy', (SELECT acc FROM f)
+      UNION ALL SELECT 'record', 0, 'EM', (SELECT em FROM d) UNION ALL SELECT 'record', 1, 'F1', (SELECT f1 FROM d))""",
+)
+def _(t):
+    labels = t.labels.select(F.col("quality").alias("prediction"), F.col("toxic").alias("label"), (F.col("doc_id") % 50).alias("question"))
+    said = F.concat_ws(" ", "source", "lang")
+    truths = F.when(F.col("doc_id") % 3 == 0, F.array("source", said)).otherwise(F.array("source"))
+    answers = t.documents.select(F.col("doc_id").alias("question"), said.alias("prediction"), truths.alias("truths"))
+    scores = M.evaluate(labels, "multirc").unionByName(M.evaluate(labels, "cb")).unionByName(M.evaluate(labels, "rte"))
+    return _round(scores.unionByName(M.evaluate(answers, "record")))
+
+
 @query(
     "jon01_predictions_to_examples",
     "SELECT d.doc_id, d.lang, l.quality AS prediction FROM documents d JOIN labels l USING (doc_id)",

@@ -63,6 +63,16 @@ def json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, recu
     return df.filter(F.coalesce(F.trim("_bad"), F.lit("x")) != "").drop("_bad")
 
 
+# File of each split, and the files that few-shot runs use instead.
+SPLIT_FILES = {"train": "train.jsonl", "dev": "val.jsonl", "test": "test.jsonl", "unlabeled": "unlabeled.jsonl"}
+FEW_SHOT_FILES = {"train": "train.jsonl", "dev": "dev32.jsonl", "test": "val.jsonl", "unlabeled": "unlabeled.jsonl"}
+
+
+def split_lines(spark: SparkSession, folder: str, split: str, schema: str, few_shot: bool = False) -> DataFrame:
+    """The JSON rows of a benchmark's split."""
+    return json_lines(spark, f"{folder}/{(FEW_SHOT_FILES if few_shot else SPLIT_FILES)[split]}", schema)
+
+
 def json_records(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
     """One JSON document whose RECORDS array holds the rows."""
     df = spark.read.schema(f"RECORDS ARRAY<STRUCT<{row_schema}>>").option("multiLine", True).json(path)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tokenmill.operators.corpora import CORPORA
+from tokenmill.operators import corpora
 from tokenmill.session import shared_dir
 
 
@@ -31,6 +31,6 @@ def ingest_corpus(
     Runs over what is there and stops; started again, it takes up the files that came since.
     """
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
-    projected = CORPORA[corpus](prepare(raw) if prepare else raw, keys=keys)
+    projected = corpora.prepare(corpus, prepare(raw) if prepare else raw, keys=keys)
     folder = checkpoint or f"{shared_dir(spark)}/ingest-{corpus}"
     return projected.writeStream.format("parquet").option("path", target).option("checkpointLocation", folder).trigger(availableNow=True).start()
