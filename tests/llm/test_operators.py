@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -57,6 +58,24 @@ def test_jaccard_tree_with_chunks(spark, monkeypatch):
     assert {k: r["n_links"] for k, r in got.items()} == links and {r["component_id"] for r in got.values()} == {0}
 
 
+def test_jaccard_links_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 400
+    place = rng.permutation(n)  # a chain of drifting copies: neighbours hold 7 of 8 places in common
+    sets = [np.arange(8 * p, 8 * p + 64, dtype=np.uint64) for p in place.tolist()]
+    linked = [[j for j in range(n) if j != i and 4 * max(0, 64 - 8 * abs(place[i] - place[j])) >= 3 * (64 + 8 * abs(place[i] - place[j]))] for i in range(n)]
+    assert max(map(len, linked)) == 2
+    whole = np.arange(n), np.zeros(n, np.int64), np.ones(n), sets, False, (3, 4)
+    for step in (1, 1 << 12, 1 << 16, 8 << 20):
+        monkeypatch.setattr(jaccard, "STEP_BYTES", step)
+        out = jaccard.join_bin(*whole)
+        assert out["links"].tolist() == [len(x) for x in linked] and set(out["reached"]) == {0}
+
+    monkeypatch.setattr(jaccard.Tree, "links", lambda *_: iter([(np.array([10, 10]), np.array([20, 30])), (np.array([3, 5]), np.array([30, 20]))]))
+    out = jaccard.join_bin(*(x[:40] if isinstance(x, (np.ndarray, list)) else x for x in whole))
+    assert dict(zip(out["k"], out["reached"])) == {k: 3 for k in (3, 5, 10, 20, 30)}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 101), (101, 102), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

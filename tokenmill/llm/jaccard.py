@@ -334,15 +334,10 @@ def join_bin(keys: np.ndarray, chunks: np.ndarray, weights: np.ndarray, tokens:
             other = chunks[a] != chunks[b]
             a, b = a[other], b[other]
         links += np.bincount(a, weights[b], len(tokens)).astype(np.int64) + np.bincount(b, weights[a], len(tokens)).astype(np.int64)
-        while True:
-            least = np.minimum(reached[a], reached[b])
-            if (reached[a] == least).all() and (reached[b] == least).all():
-                break
-            for x in (a, b):
-                np.minimum.at(reached, reached[x], least)
-                np.minimum.at(reached, x, least)
-            reached = reached[reached]
-    reached = np.minimum(reached, reached[reached])
+        while (reached[a] != reached[b]).any():  # `reached` holds roots, and only roots are hooked: no link of an earlier slice is lost
+            np.minimum.at(reached, np.maximum(reached[a], reached[b]), np.minimum(reached[a], reached[b]))
+            while (reached != reached[reached]).any():
+                reached = reached[reached]
     some = links > 0
     return pd.DataFrame({"k": keys[some], "links": links[some], "reached": keys[reached[some]]})
 
