@@ -1,5 +1,6 @@
 """The operators against brute force, the library or invariants, and on nulls, empty texts, repeated rows and empty tables."""
 
+import math
 import re
 from collections import Counter
 
@@ -151,6 +152,41 @@ def test_urls(spark):
     assert got == {1: ("a.example.net", "/en/x", "example.net/en/"), 2: ("b.net", "/q", "net/"), 3: ("example.com", "/de/", "example.com/de/"), 4: ("z.org", "/fr/1", "org/fr/"), 5: ("", "", None), 6: ("", "", None), 7: ("net", "", None), 8: ("other.example", "/", None)}
 
 
+def url_score(url, examples):
+    """By counts of all examples (url, rows) of each side, one context after another."""
+    total = {}
+    for side, rows in examples.items():
+        grams, after, total[side] = Counter(), {}, 0.0
+        for text, n in ((f"\x02{u}\x03", n) for u, n in rows):
+            for at in range(1, len(text)):
+                for k in range(min(urls.ORDER, at) + 1):
+                    grams[text[at - k:at + 1]] += n
+        for gram, n in grams.items():
+            after.setdefault(gram[:-1], []).append(n)
+        text = f"\x02{url}\x03"
+        for at in range(1, len(text)):
+            p = 1 / urls.ALPHABET
+            for k in range(min(urls.ORDER, at) + 1):
+                seen = after.get(text[at - k:at], [])
+                p = (grams[text[at - k:at + 1]] + len(seen) * p) / (sum(seen) + len(seen)) if seen else p
+            total[side] += math.log(p)
+    return (total["allow"] - total["block"]) / len(url)
+
+
+def test_urls_count_all_examples(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(urls, "BLOCK_URLS", 7)
+    examples = {"allow": [(f"http://a{k % 9}.org/fr/{k * k}", 1 + (k == 3)) for k in range(90)], "block": [(f"https://b{k % 7}.net/x{k * 31}é", 1) for k in range(80)]}
+    free = [f"http://{'ab'[k % 2]}{k}.com/{'fr' if k % 3 else 'x'}/{k * 17}" for k in range(40)] + ["z😀", "http://a3.com/"]
+    rows = [u for side in examples.values() for u, n in side for _ in range(n)] + free + free[:3] + ["", None]
+    got = {}
+    for r in urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect():
+        got.setdefault(rows[r["page_id"]], []).append((r["score"], r["verdict"]))
+    assert sum(map(len, got.values())) == len(rows) and got[""] == got[None] == [(0.0, "allow")] and len(got[free[0]]) == 2
+    assert {u: got[u][0][0] for u in free} == pytest.approx({u: url_score(u, examples) for u in free}, abs=1e-12)
+    assert all(v == (None, side) for side, own in examples.items() for u, _ in own for v in got[u])
+
+
 def test_token_counts(spark, docs):
     store = token_counts.Rollup(spark, folder(spark, "rollup-test"), {"w": r"\S+"})
     rows = docs.where("doc_id in (1, 7, 11)")
