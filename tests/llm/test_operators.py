@@ -121,6 +121,20 @@ def test_language(spark, docs):
     assert rows[1]["lang_pred"] in ("de", "en", "fr") and 0 <= rows[1]["score"] <= 1
 
 
+def test_language_keeps_frequent_languages(spark):
+    rng = np.random.default_rng(3)
+    words = {"en": "the of and house river hill dog when there which would people".split(), "de": "der und nicht haus katze schlafen ganzen wenn auch werden über straße".split()}
+    rows = [(lang, " ".join(rng.choice(words[lang], 30))) for lang in words for _ in range(400)]
+    rows += [(f"x{k}", " ".join(rng.choice(words["en" if k % 2 else "de"], 30))) for k in range(60) for _ in range(3)]  # can't be learned
+    rows += [("de", " ".join(rng.choice(words["en"], 30))) for _ in range(20)]  # a wrong label
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.train(df)
+    kept = Counter((r["lang"], r["lang_pred"]) for r in language.predict(df, model, keep=["doc_id"]).where("not rejected").join(df.where("doc_id < 800"), "doc_id").collect())
+    assert all(kept[lang, lang] >= 0.95 * 400 for lang in words)
+    junk = spark.createDataFrame([(1, "zqx jjkv wwpz 123 qqq vvvz", None)], "doc_id long, text string, lang string")
+    assert language.predict(junk, model).first()["rejected"]
+
+
 def test_quality(docs):
     rows = {r["doc_id"]: r for r in quality.quality(docs).collect()}
     assert rows[4]["n_words"] == 0 and rows[7]["n_words"] == 2 and rows[7]["word_chars"] == 8 and not rows[7]["kept"]

@@ -3,8 +3,12 @@
 Subwords are the 3- and 4-byte pieces of words with their edges marked, hashed into buckets. A text is the mean of its buckets'
 vectors. Training is a fit on a bounded sample: at most about SAMPLE_ROWS rows, spread evenly over the MOST_LANGUAGES most frequent
 languages and chosen by a hash of the row; a row reaches the driver as its bucket counts, so the bound in bytes is rows x
-buckets x 6. A fifth of the sample calibrates: a temperature that minimizes the loss, then the rejection threshold, the smallest score
-above which PRECISION of the rows are predicted rightly, and FLOOR times an even spread over the languages at least. Prediction runs over all documents and whole texts.
+buckets x 6. A fifth of the sample calibrates: a temperature that minimizes the loss, then a rejection threshold for each language. It comes
+from the scores of the rows that are rightly predicted to be of the language, so that neither wrong labels nor languages that can't be
+learned raise it: the score that the share MOST of them stay below, or the one SPREADS standard deviations of their log-odds below the mean
+where that is less (a few rows don't show their tail), and at most FLOOR times an even spread over the languages (over FLOOR_LANGUAGES of
+more). So about MOST of a language's rightly predicted rows are rejected at most, however the corpus spreads over the languages. A
+language with less than LEAST_ROWS such rows has FLOOR times an even spread at most. Prediction runs over all documents and whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; so is everything if no language
 could be learned; equal scores go to the language first in order; repeated rows repeat; only the columns asked for are carried on.
@@ -26,8 +30,9 @@ BUCKETS = 1 << 14
 DIM = 16
 SAMPLE_ROWS = 4_000
 MOST_LANGUAGES = 200
-PRECISION = 0.99
-FLOOR = 1.5
+MOST, SPREADS = 0.01, 3.0
+FLOOR, FLOOR_LANGUAGES = 1.5, 4
+LEAST_ROWS = 8
 EPOCHS, BATCH, RATE = 8, 32, 8.0
 UNKNOWN = "und"
 
@@ -65,8 +70,8 @@ class Model:
     languages: list[str]
     embeddings: np.ndarray
     weights: np.ndarray
+    thresholds: np.ndarray  # of the languages' scores
     temperature: float = 1.0
-    threshold: float = 0.0
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         mean = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
@@ -122,7 +127,7 @@ def train(docs: DataFrame, eligible: Column | None = None, id_col: str = "doc_id
     """A model of the languages of `lang_col`, from rows that are eligible and have a language and a letter."""
     languages, rows = _sample(docs, id_col, text_col, lang_col, F.lit(True) if eligible is None else eligible)
     rng = np.random.default_rng(seed)
-    model = Model(languages, rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), rng.uniform(-1, 1, (DIM, max(1, len(languages)))).astype(np.float32))
+    model = Model(languages, rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), rng.uniform(-1, 1, (DIM, max(1, len(languages)))).astype(np.float32), np.zeros(max(1, len(languages))))
     fit, test = ([r for r in rows if r[1] == flag] for flag in (False, True))
     fit, test = fit or test, test or fit
     steps = EPOCHS * -(-len(fit) // BATCH)
@@ -152,11 +157,14 @@ def train(docs: DataFrame, eligible: Column | None = None, id_col: str = "doc_id
         model.temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
         scores = model.scores(logits)
         top, right = scores.max(axis=1), scores.argmax(axis=1) == y
-        order = np.argsort(-top, kind="stable")
-        good = np.cumsum(right[order]) >= PRECISION * np.arange(1, len(order) + 1)
-        accepted = int(np.flatnonzero(good)[-1]) + 1 if good.any() else 0
-        model.threshold = 0.0 if accepted == len(order) else float(top[order[accepted]]) + 1e-9
-        model.threshold = max(model.threshold, min(0.99, FLOOR / len(languages)))
+        model.thresholds = np.full(len(languages), min(0.99, FLOOR / len(languages)))
+        floor = min(0.99, FLOOR / min(len(languages), FLOOR_LANGUAGES))
+        for k in np.unique(y[right]):
+            own = np.sort(top[right & (y == k)].astype(np.float64))
+            odds = np.log(np.maximum(own, 1e-6) / np.maximum(1 - own, 1e-6))
+            low = 1 / (1 + np.exp(SPREADS * odds.std() - odds.mean()))
+            level = floor if len(own) >= LEAST_ROWS else model.thresholds[k]
+            model.thresholds[k] = min(level, low, own[int(MOST * len(own))])
     return model
 
 
@@ -186,8 +194,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             known = letters & bool(model.languages)
             names = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
             score = np.where(known, np.minimum(score, 1.0), 0.0)
+            rejected = ~known | (score < model.thresholds[best])
             out = [batch.column(f"k{i}") for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~known | (score < model.threshold), pa.bool_())], [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score", "rejected"])
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter")
     out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"), letter)
