@@ -135,6 +135,18 @@ def test_language_keeps_frequent_languages(spark):
     assert language.predict(junk, model).first()["rejected"]
 
 
+def test_language_takes_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 100)
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(9)] for _ in range(230)]
+    rows = [(f"x{k}", " ".join(rng.choice(own, 20))) for k, own in enumerate(words) for _ in range(1 + (k < 20))]
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    languages, chosen = language._sample(df, "doc_id", "text", "lang", F.lit(True))
+    assert languages == sorted({lang for lang, _ in rows}) and {k for k, test, _, _ in chosen if not test} == set(range(230))
+    found = language.predict(df, language.train(df)).where("lang = lang_pred")
+    assert found.count() >= 0.9 * len(rows)
+
+
 def test_quality(docs):
     rows = {r["doc_id"]: r for r in quality.quality(docs).collect()}
     assert rows[4]["n_words"] == 0 and rows[7]["n_words"] == 2 and rows[7]["word_chars"] == 8 and not rows[7]["kept"]

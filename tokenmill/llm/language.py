@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax, trained by stochastic gradient descent.
 
 Subwords are the 3- and 4-byte pieces of words with their edges marked, hashed into buckets. A text is the mean of its buckets'
-vectors. Training is a fit on a bounded sample: at most about SAMPLE_ROWS rows, spread evenly over the MOST_LANGUAGES most frequent
-languages and chosen by a hash of the row; a row reaches the driver as its bucket counts, so the bound in bytes is rows x
+vectors. Training is a fit on a bounded sample: at most about SAMPLE_ROWS rows, spread evenly over all
+languages and chosen by a hash of the row, and one of each language at least, which does not calibrate; a row reaches the driver as its bucket counts, so the bound in bytes is rows x
 buckets x 6. A fifth of the sample calibrates: a temperature that minimizes the loss, then a rejection threshold for each language. It comes
 from the scores of the rows that are rightly predicted to be of the language, so that neither wrong labels nor languages that can't be
 learned raise it: the score that the share MOST of them stay below, or the one SPREADS standard deviations of their log-odds below the mean
@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import list_array, pieces, released, utf8
+from tokenmill.llm.common import list_array, pieces, released, stored, utf8
 
 BUCKETS = 1 << 14
 DIM = 16
 SAMPLE_ROWS = 4_000
-MOST_LANGUAGES = 200
 MOST, SPREADS = 0.01, 3.0
 FLOOR, FLOOR_LANGUAGES = 1.5, 4
 LEAST_ROWS = 8
@@ -90,14 +89,14 @@ def crc_part(id_col: str) -> Column:
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible: Column) -> tuple[list[str], list[tuple[int, bool, np.ndarray, np.ndarray]]]:
     """Languages, and of the chosen rows: language, whether it calibrates, buckets, counts."""
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    languages = sorted(counts)
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "language-sizes")
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not languages:
         return [], []
-    share = SAMPLE_ROWS // len(languages)
-    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, share / counts[lang]))])
     uniform = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
-    chosen = rows.where(uniform < F.element_at(limit, F.col("lang"))).select("lang", (F.pmod("h", F.lit(5)) == 0).alias("test"), "t", "h")
+    least = F.col("h") == F.col("least")
+    chosen = rows.join(F.broadcast(sizes), "lang").where((uniform < SAMPLE_ROWS // len(languages) / F.col("n")) | least)
+    chosen = chosen.dropDuplicates(["lang", "h"]).select("lang", ((F.pmod("h", F.lit(5)) == 0) & ~least).alias("test"), "t", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
