@@ -213,6 +213,25 @@ def test_urls_count_all_examples(spark, monkeypatch):
     assert all(v == (None, side) for side, own in examples.items() for u, _ in own for v in got[u])
 
 
+def test_urls_sample_is_of_distinct_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 100)
+    tested = []
+    monkeypatch.setattr(urls, "best_threshold", lambda rows: tested.extend(rows) or 0.0)
+    often = [f"http://a{k}.org/fr/often" for k in range(40)]
+    rows = [u for u in often for _ in range(100)] + [f"http://a.org/fr/{k}" for k in range(60)] + [f"https://b.net/{k}" for k in range(100)] + ["http://free.com/"]
+    assert urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).count() == len(rows)
+    assert all(n == (100 if accepted and n > 1 else 1) for _, accepted, n in tested) and 5 <= len(tested) <= 80
+    assert sum(n > 1 for _, _, n in tested) > 1  # a tenth of the urls' rows, yet one row each
+
+
+def test_threshold_weighs_rows():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        tested = [(float(s), bool(a), int(n)) for s, a, n in zip(rng.integers(0, 9, 12), rng.integers(0, 2, 12), rng.integers(1, 9, 12))]
+        one_by_one = [(s, a, 1) for s, a, n in tested for _ in range(n)]
+        assert urls.best_threshold(tested) == urls.best_threshold(one_by_one)
+
+
 def test_token_counts(spark, docs):
     store = token_counts.Rollup(spark, folder(spark, "rollup-test"), {"w": r"\S+"})
     rows = docs.where("doc_id in (1, 7, 11)")
