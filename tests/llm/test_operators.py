@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
@@ -243,6 +244,16 @@ def test_token_counts(spark, docs):
     assert {(r["lang"], r["documents"], r["tokens"]) for r in store.totals().collect()} == {("en", 1, 2), ("de", 1, 2)}
 
 
+def test_token_counts_of_every_row(spark):
+    long = "a text of more than 20 characters, with 7 numbers"
+    rows = [(1, "s", "en", long), (1, "s", "en", long), (1, "s", "en", long + " again"), (1, "t", None, "no numbers are in this one"), (None, "s", "en", long), (None, None, "en", long), (2, "s", "en", "short"), (2, "s", "en", None), (None, "t", None, "short")]
+    path = folder(spark, "token-count-rows")
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{path}/documents.parquet")
+    documents = spark.read.parquet(f"{path}/documents.parquet").toArrow()  # noqa: F841
+    want = duckdb.sql(token_counts.OP3_SQL).fetchall()
+    assert Counter(tuple(r) for r in token_counts.op3(spark, path).collect()) == Counter(want) and sum(r[3] for r in want) == 12
+
+
 def test_empty_tables(spark, docs):
     none, pages = docs.where("false"), spark.createDataFrame([], "page_id long, url string, html string")
     items = spark.createDataFrame([], "item_id long, text string")

@@ -9,6 +9,8 @@ left alone, one that broke off before its mark is written anew in a folder of it
 Defined results: null texts count zero tokens; a null source or language is a group of its own; a change without an id is left out;
 inserting a present id revises it; deleting or revising an absent one does nothing or inserts; of several rows for one id in a batch
 the one with the most tokens, then the last in order, counts, and a delete beats them. An empty batch is committed and changes nothing.
+A change may stand for several equal rows (`copies`, 1 without that column). The query counts every row: its ids are hashes of whole rows,
+so rows without an id and rows that share one are kept apart, and equal ones are copies.
 """
 
 from __future__ import annotations
@@ -62,15 +64,16 @@ class Rollup:
             return False
         attempt = folder(self.spark, "attempt").rpartition("-")[2]
         # one change for each document: the struct that is largest, a delete over all others
-        order = F.struct((F.col("action") == DELETE).alias("gone"), "counts", F.col("source"), F.col("lang"))
+        copies = F.col("copies") if "copies" in rows.columns else F.lit(1).cast("bigint").alias("copies")
+        order = F.struct((F.col("action") == DELETE).alias("gone"), "counts", F.col("source"), F.col("lang"), copies)
         last = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(order).alias("x")).select("doc_id", "x.*")
         versions = F.array(*[F.lit(v) for v in self.tokenizers])
         last = last.withColumn("t", F.explode(F.arrays_zip(versions.alias("tokenizer"), F.col("counts").alias("tokens"))))
-        last = last.select("doc_id", "gone", "source", "lang", F.col("t.tokenizer").alias("tokenizer"), F.col("t.tokens").alias("tokens"))
+        last = last.select("doc_id", "gone", "source", "lang", "copies", F.col("t.tokenizer").alias("tokenizer"), (F.col("t.tokens") * F.col("copies")).alias("tokens"))
         held = self.ledger().join(last.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
         held = held.groupBy("doc_id", "source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
         back = held.select("doc_id", "source", "lang", "tokenizer", (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens"))
-        new = last.where("not gone").select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("bigint").alias("documents"), "tokens")
+        new = last.where("not gone").select("doc_id", "source", "lang", "tokenizer", F.col("copies").alias("documents"), "tokens")
         back.unionByName(new).write.parquet(f"{self.path}/ledger/{batch}-{attempt}")
         written = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/{batch}-{attempt}")
         sums = written.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
@@ -84,12 +87,17 @@ class Rollup:
 def op3(spark, sf_dir: str) -> DataFrame:
     """Inserts all documents, deletes those of fewer than 20 characters, revises those with numbers, which are masked; one batch comes twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    docs = docs.withColumn("doc_id", F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]))
     rollup = Rollup(spark, folder(spark, "token-counts"))
     size = F.coalesce(F.length("text"), F.lit(0))
-    rollup.commit("1-insert", changes(docs, INSERT, rollup.tokenizers))
+
+    def with_copies(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+
+    rollup.commit("1-insert", with_copies(changes(docs, INSERT, rollup.tokenizers)))
     for _ in range(2):
-        rollup.commit("2-delete", changes(docs.where(size < 20), DELETE, rollup.tokenizers))
-    rollup.commit("3-revise", changes(docs.where((size >= 20) & F.col("text").rlike("[0-9]")), REVISE, rollup.tokenizers, F.regexp_replace("text", "[0-9]+", " ")))
+        rollup.commit("2-delete", with_copies(changes(docs.where(size < 20), DELETE, rollup.tokenizers)))
+    rollup.commit("3-revise", with_copies(changes(docs.where((size >= 20) & F.col("text").rlike("[0-9]")), REVISE, rollup.tokenizers, F.regexp_replace("text", "[0-9]+", " "))))
     return rollup.totals().select("source", "lang", "tokenizer", "documents", "tokens")
 
 
