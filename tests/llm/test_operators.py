@@ -268,3 +268,10 @@ def test_pipeline_stages(spark, docs):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 4, 5, 6, 7, 9, 10, 11, 12]
     assert kept.columns == corpus_pipeline.COLUMNS
+
+
+def test_pipeline_searches_items_without_id(spark, docs):
+    path = folder(spark, "benchmark-test")
+    spark.createDataFrame([(None, BASE), (5, "not to be found in any of the texts"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminate(spark, docs, path)
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [4, 5, 6, 7, 8, 10, 11, 12]
