@@ -11,7 +11,7 @@ from tokenmill.session import cut_lineage
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Each node hands its larger (large star) or smaller (small star) neighbours, and then itself, to its least neighbour."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # by itself, so that the join of a hub's edges can be split
     out = both.join(least, "a")
     if small:
         out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))

@@ -14,7 +14,7 @@ side by side: a node holds the OR of its bitmaps and the range of its sizes. Pai
 largest possible overlap of a pair is the number of common bits, or the largest size, and where that cannot reach the share of the
 smallest possible union the pair and all below it are left out. Pairs of leaves are counted exactly.
 
-Equal sets are one class with a weight. A bin gives back one row per set - its weighted number of links and the least set that it
+Equal sets, told apart by a 64-bit hash of their size and hashes, are one class with a weight. A bin gives back one row per set - its weighted number of links and the least set that it
 reaches - so pairs never leave their task, and classes are joined to components by another round over those rows.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and make a component of their own; texts with
@@ -342,10 +342,18 @@ def join_bin(keys: np.ndarray, chunks: np.ndarray, weights: np.ndarray, tokens:
     return pd.DataFrame({"k": keys[some], "links": links[some], "reached": keys[reached[some]]})
 
 
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
+
+
+def classes_of(narrow: DataFrame) -> DataFrame:
+    """Per set of documents (id, h, n, k): its size and weight, the least id and a document to read it from."""
+    return narrow.where("n > 0").groupBy("k").agg(F.min("h").alias("h"), F.min("id").alias("least"), F.count("*").alias("weight"), F.first("n").alias("n"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """Per input row: id, n_shingles, n_links (documents that it links with) and component_id (the least id reachable)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
+    docs = rows_of(docs, id_col, text_col)
     narrow = stored(_classes(docs, width), "jaccard-classes")
     held = narrow.select(F.explode(F.arrays_zip("common", "held")).alias("c")).groupBy(F.col("c.common").alias("token")).agg(F.sum("c.held").alias("held"))
     held = held.orderBy(F.desc("held"), "token").limit(COMMON_TOKENS).toPandas()
@@ -356,13 +364,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = _prefixes(docs, common[order], held["held"].to_numpy(np.int64)[order], width, share)
     met = met.repartition("token").sortWithinPartitions("token", "k").mapInArrow(released(_lists), "list long, a long, b long")
     met = stored(met.distinct(), "jaccard-lists")
-    classes = narrow.where("n > 0").groupBy("k").agg(F.min("h").alias("h"), F.min("id").alias("least"), F.count("*").alias("weight"), F.first("n").alias("n"))
+    classes = classes_of(narrow)
     members = met.where("list <> 0").select("list", F.col("a").alias("k"))
     tested = stored(members.select("k").distinct().join(classes.select("k", "h", "n"), "k"), "jaccard-tested")
     bitmaps = _payload(docs, tested, width, "binary", bitmap_column)
     possible = members.join(bitmaps, "k").select("list", "k", "n", "payload").repartition("list").sortWithinPartitions("list").mapInArrow(released(_possible(share)), "a long, b long")
     parts = components(met.where("list = 0").select("a", "b").unionByName(possible))
+    return confirmed(docs, narrow, parts, width, share).withColumnRenamed("id", id_col)
+
 
+def confirmed(docs: DataFrame, narrow: DataFrame, parts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """Links between sets of the same part (node, label), counted on the whole sets: id, n_shingles, n_links, component_id of each document."""
+    classes = classes_of(narrow)
     found = parts.withColumnRenamed("node", "k").join(classes.select("k", "h", "weight", "n"), "k")
     found = stored(found, "jaccard-found")
     size = found.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / BIN_TOKENS), F.ceil(F.count("*") / BIN_SETS)).alias("chunks"))
@@ -396,7 +409,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = stored(named.join(least, "label").select("k", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "jaccard-named")
     lone = F.col("n") == 0
     return narrow.join(named, "k", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(lone, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"),
+        "id", F.col("n").alias("n_shingles"), F.when(lone, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"),
         F.when(lone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenmill.llm import decontaminate, jaccard, language, quality, runs, secrets, sharding, subwords, token_counts, urls, warc, whitening
+from tokenmill.llm import decontaminate, jaccard, language, minhash, quality, runs, secrets, sharding, subwords, token_counts, urls, warc, whitening
 
 REGISTERED = {
     "op1_secret_scans": (secrets.op1, secrets.OP1_SQL),
@@ -15,6 +15,7 @@ REGISTERED = {
     "op8_sharding": (sharding.op8, None),
     "op9_ngram_jaccard_join": (jaccard.op9, None),
     "op10_url_filters": (urls.op10, None),
+    "op11_minhash_near_dedup": (minhash.op11, None),
     "op12_embedding_whitening": (whitening.op12, None),
     "op13_periodic_runs": (runs.op13, None),
 }
