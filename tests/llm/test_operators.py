@@ -98,10 +98,12 @@ def test_secrets(docs):
 
 
 def test_contamination(spark, docs, monkeypatch):
-    items = spark.createDataFrame([(1, "There was a DOG that ran over the hill and back to"), (2, "two, words!"), (3, None), (4, ""), (None, BASE), (5, "not to be found in any of the texts")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "There was a DOG that ran over the hill and back to"), (2, "two, words!"), (3, None), (4, ""), (None, BASE.replace("dog", "cat")), (5, "not to be found in any of the texts")], "item_id long, text string")
     whole = {tuple(r) for r in decontaminate.contamination(docs, items).select("doc_id", "n_hit", F.array_join("items", ",")).collect()}
-    assert {(1, 12, "1"), (3, 12, "1"), (9, 0, ""), (7, 2, "2"), (8, 2, "2"), (4, 0, ""), (5, 0, "")} <= whole
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
+    n = len(BASE.split())  # the item without an id: its windows before and after the replaced word are in the other texts too
+    assert {(1, n, "1"), (3, n, "1"), (9, n, ""), (7, 2, "2"), (8, 2, "2"), (4, 0, ""), (5, 0, "")} <= whole
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)  # three blocks
+    assert len(list(decontaminate.benchmark_blocks(items, "item_id", "text", 10))) == 3
     blocks = {tuple(r) for r in decontaminate.contamination(docs, items).select("doc_id", "n_hit", F.array_join("items", ",")).collect()}
     assert blocks == whole
 
@@ -272,6 +274,6 @@ def test_pipeline_stages(spark, docs):
 
 def test_pipeline_searches_items_without_id(spark, docs):
     path = folder(spark, "benchmark-test")
-    spark.createDataFrame([(None, BASE), (5, "not to be found in any of the texts"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(None, BASE.replace("dog", "cat")), (5, "not to be found in any of the texts"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     kept = corpus_pipeline.decontaminate(spark, docs, path)
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [4, 5, 6, 7, 8, 10, 11, 12]

@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tokenmill.session import shared_dir
 
 PIECE_BYTES = 1 << 20  # text that numpy handles at once
+HELD_BITS = 26  # log2 of the bits of the map in may_hold
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -29,6 +31,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def may_hold(rows: DataFrame, value: Column, keys: DataFrame, key: Column, out: str = "maybe") -> DataFrame:
+    """`rows` with a flag: false only where no `key` equals `value` (64-bit hashes).
+
+    The map of 2^HELD_BITS bits (8 MB) is broadcast whatever the number of keys is; rows without the flag need no shuffle to learn that they have no partner.
+    """
+    bit = F.shiftrightunsigned(key, 64 - HELD_BITS) + 1  # Spark counts buckets, and the values in them, from 1
+    maps = keys.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__map"))
+    own = F.shiftrightunsigned(value, 64 - HELD_BITS) + 1
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("__map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    flag = F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("__bucket", F.bitmap_bucket_number(own)).join(F.broadcast(maps), "__bucket", "left").withColumn(out, flag).drop("__bucket", "__map")
+
+
 def released(run: Callable) -> Callable:
     """A function for mapInArrow that hands memory back at its end; Spark uses Python workers again, and they would keep their peak."""
 

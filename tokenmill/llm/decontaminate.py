@@ -7,10 +7,12 @@ have to lie, the bounds of both texts cut that place short, and words are compar
 the item's window size or more is a contained window, a shorter one is not.
 
 The benchmark is the stated query set: it is cut into blocks of a bounded number of words, and every block is sent to all documents in a
-pass of its own. Nothing about the documents is collected but the counts of a block's own shingles.
+pass of its own; the driver holds one block at a time. Nothing about the documents is collected but the counts of a block's own shingles.
+A pass writes what it found, by 128 bits of hashes of the text, and no texts. At the end a bitmap of these hashes tells most documents that
+they have no hits; the others are joined with theirs.
 
-Defined results: null and empty texts have no words; items without words or without an id are left out; an id that occurs
-twice counts once; repeated document rows give repeated results; columns other than id and text are ignored.
+Defined results: null and empty texts have no words; items without words are left out; items without an id are searched like others, but
+have no id to report; an id that occurs twice counts once; repeated document rows give repeated results; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import Words, pieces, released, stored, utf8
+from tokenmill.llm.common import Words, may_hold, pieces, released, stored, utf8
 
 WIDTH = 10
 SHINGLE = 3
@@ -44,7 +47,7 @@ def words_of(text: Column) -> Column:
 class Block:
     """Slices of items with their words as numbers; entries: for shingles of 1, 2 and 3 words, code -> places (slice, place in it)."""
 
-    def __init__(self, rows: list[tuple[str, list[str]]], width: int):
+    def __init__(self, rows: list[tuple[str | None, list[str]]], width: int):
         self.items = [item for item, _ in rows]
         vocabulary = sorted({w for _, words in rows for w in words})
         self.number = {w: k for k, w in enumerate(vocabulary)}
@@ -130,20 +133,21 @@ class Block:
                     seen[k, at - place] = at + high
                     if low + high >= self.least[k]:
                         runs.append((at - low, at + high))
-                        items.add(self.items[k])
+                        items |= {self.items[k]} - {None}
         return np.array(sorted(runs), np.int64).reshape(-1, 2), sorted(items)
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> list[list[tuple[str, list[str]]]]:
-    """Distinct slices of items, in blocks of bounded size."""
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> Iterator[list[tuple[str | None, list[str]]]]:
+    """Distinct slices of items, a block of bounded size at a time."""
     step = lambda i: F.struct(F.slice("w", (i * SLICE_WORDS + 1).cast("int"), SLICE_WORDS + width - 1).alias("w"), i.alias("i"))
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where((F.size("w") > 0) & F.col("item").isNotNull())
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     last = F.floor(F.greatest(F.size("w") - width, F.lit(0)) / SLICE_WORDS).cast("int")
     rows = rows.select("item", F.explode(F.transform(F.sequence(F.lit(0), last), step)).alias("s")).select("item", "s.w").distinct()
     rows = stored(rows.withColumn("h", F.xxhash64("item", "w")), "benchmark")
     total = rows.agg(F.sum(F.size("w"))).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS)
-    return [sorted((r["item"], r["w"]) for r in rows.where(F.pmod("h", F.lit(blocks)) == k).collect()) for k in range(blocks)]
+    for k in range(blocks):
+        yield sorted(((r["item"], r["w"]) for r in rows.where(F.pmod("h", F.lit(blocks)) == k).collect()), key=lambda r: (r[0] is not None, r))
 
 
 def count_shingles(docs: DataFrame, text_col: str, block: Block) -> dict[tuple[int, int], int]:
@@ -177,47 +181,70 @@ def covered(hits: list[int]) -> int:
     return n
 
 
+def search(texts: DataFrame, block: Block) -> DataFrame:
+    """(k1, k2, hits, items): starts and ends of contained windows and their items, for the texts that have some."""
+    sent = texts.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, split = sent.value, Words(WORD_BYTES)
+        for batch in batches:
+            column, k1, k2, out, seen = batch.column("t"), np.asarray(batch.column("k1")), np.asarray(batch.column("k2")), [], set()
+            data, offsets = utf8(column)
+            for first, last in pieces(offsets):
+                hashes, counts = split(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+                for k in (first + np.flatnonzero(b.suspects(hashes, counts))).tolist():
+                    key = int(k1[k]), int(k2[k])
+                    if key not in seen:
+                        seen.add(key)
+                        runs, found = b.match(b.numbers(column[k].as_py()))
+                        if len(runs):
+                            out.append((*key, runs.ravel().tolist(), found))
+            columns = [list(c) for c in zip(*out)] if out else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["k1", "k2", "hits", "items"])
+
+    return texts.mapInArrow(released(run), "k1 long, k2 long, hits array<long>, items array<string>").dropDuplicates(["k1", "k2"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words covered by the hits of all blocks."""
+    for batch in batches:
+        n_hit = [covered(h) for h in batch.column("hits").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(n_hit, pa.int64()), batch.column("items")], ["k1", "k2", "n_hit", "items"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
     """Per document: the columns of `keep`, the id, n_words, n_hit (words inside contained windows) and items (their ids as text, sorted)."""
     keep = list(dict.fromkeys([*(keep or []), id_col]))
-    fields = [docs.schema[c] for c in keep]
-    carried = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    head = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    texts = docs.select(F.col(text_col).alias("t"))
-
-    def search(sent, last_pass):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b, split = sent.value if sent else Block([], width), Words(WORD_BYTES)
-            for batch in batches:
-                texts, hits, items, n_words = batch.column("t"), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), []
-                data, offsets = utf8(texts)
-                for first, last in pieces(offsets):
-                    hashes, counts = split(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
-                    n_words.append(counts)
-                    for k in (first + np.flatnonzero(b.suspects(hashes, counts))).tolist():
-                        runs, found = b.match(b.numbers(texts[k].as_py()))
-                        hits[k] += runs.ravel().tolist()
-                        items[k] = sorted({*found, *items[k]})
-                own = [batch.column(f"k{i}") for i in range(len(keep))]
-                cells = [batch.column("t"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(np.concatenate([*n_words, np.zeros(0, np.int64)])), pa.array([covered(h) for h in hits], pa.int64())]
-                names = ["t", "hits", "items", "n_words", "n_hit"]
-                cells, names = (cells[2:], names[2:]) if last_pass else (cells, names)
-                yield pa.RecordBatch.from_arrays([*own, *cells], [*[f"k{i}" for i in range(len(keep))], *names])
-
-        return run
-
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, width)
-    for k, rows in enumerate(blocks or [None]):
-        sent = None
-        if rows is not None:
-            block = Block(rows, width)
-            block.enter(count_shingles(texts, "t", block))
-            sent = docs.sparkSession.sparkContext.broadcast(block)
-        last_pass = k + 1 >= len(blocks)
-        carried = carried.mapInArrow(released(search(sent, last_pass)), f"{head}, {'' if last_pass else 't string, hits array<long>, '}items array<string>, n_words long, n_hit long")
-        if not last_pass:  # one block of the benchmark in memory at a time
-            carried = stored(carried.drop("n_words", "n_hit"), "contamination")
-    return carried.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items")
+    head = [f"c{i}" for i in range(len(keep))]
+    text = F.col(text_col)
+    rows = docs.select(*[F.col(c).alias(name) for c, name in zip(keep, head)], text.alias("t"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
+    texts = rows.select("t", "k1", "k2")
+
+    found = []
+    for own in benchmark_blocks(benchmark, item_col, item_text_col, width):
+        block = Block(own, width)
+        block.enter(count_shingles(texts, "t", block))
+        found.append(stored(search(texts, block), "contamination-hits"))
+    none = docs.sparkSession.createDataFrame([], "k1 long, k2 long, hits array<long>, items array<string>")
+    hits = reduce(DataFrame.unionByName, found, none).groupBy("k1", "k2").agg(
+        F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = stored(hits.mapInArrow(_merged, "k1 long, k2 long, n_hit long, items array<string>"), "contamination-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Words(WORD_BYTES)
+        for batch in batches:
+            data, offsets = utf8(batch.column("t"))
+            sizes = [split(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[1] for a, b in pieces(offsets)]
+            own = [batch.column(c) for c in (*head, "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]))], [*head, "k1", "k2", "n_words"])
+
+    kinds = ", ".join(f"{name} {docs.schema[c].dataType.simpleString()}" for c, name in zip(keep, head))
+    marked = may_hold(rows, F.col("k1"), hits, F.col("k1"))
+    clear, rest = (marked.where(side).drop("maybe").mapInArrow(released(count), f"{kinds}, k1 long, k2 long, n_words long") for side in ("not maybe", "maybe"))
+    rest = rest.join(hits, ["k1", "k2"], "left").select(*head, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    clear = clear.select(*head, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    return clear.unionByName(rest).withColumnsRenamed(dict(zip(head, keep)))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -228,14 +255,14 @@ def op4(spark, sf_dir: str) -> DataFrame:
 _SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_SQL_WORDS} AS w FROM documents),
-b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark),
 v AS (SELECT item, w, least(len(w), {WIDTH}) AS k FROM b WHERE len(w) > 0),
 iw AS (SELECT DISTINCT item, k, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS z FROM v),
 ks AS (SELECT DISTINCT k FROM v),
 dw AS (SELECT r, k, unnest(list_transform(range(len(w) - k + 1), lambda i: {{'p': i, 'z': array_to_string(w[i + 1:i + k], ' ')}})) AS s FROM d, ks WHERE len(w) >= k),
 h AS (SELECT dw.r, dw.s.p AS p, dw.k AS k, iw.item FROM dw JOIN iw ON iw.k = dw.k AND iw.z = dw.s.z),
 n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS p FROM h) GROUP BY r),
-i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
