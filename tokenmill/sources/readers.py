@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tokenmill.functions.text import sentences
 from tokenmill.operators.sequences import sections
+from tokenmill.sources.quoted import quoted_table
 
 MISSING_LABEL = "-1"  # fixed value: label of rows without one
 
@@ -115,12 +116,11 @@ def plain_tsv(spark: SparkSession, path: str, columns: Sequence[str], header: bo
 
 
 def quoted_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Headerless quoted table of a fixed number of string columns, numbered by row.
-
-    A file whose fields hold line ends needs `multi_line`, and then one task.
-    """
+    """Headerless quoted table of a fixed number of string columns, numbered by row; `multi_line` if fields hold line ends."""
+    if multi_line:
+        return quoted_table(spark, path, columns).fillna("", list(columns))
     schema = ", ".join(f"`{c}` STRING" for c in columns)
-    return numbered(spark.read.schema(schema).csv(path, multiLine=multi_line, escape='"'), across=True).fillna("", list(columns)).drop("file")
+    return numbered(spark.read.schema(schema).csv(path, escape='"'), across=True).fillna("", list(columns)).drop("file")
 
 
 def paired_lines(spark: SparkSession, source: str, target: str) -> DataFrame:
