@@ -1,5 +1,6 @@
 """Sequence operators against step-by-step models on small documents."""
 
+import random
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -133,10 +134,59 @@ def test_sentence_pairs(spark):
 
 
 def test_sentence_pairs_end(spark):
-    for sentences, length in (([[1, 2]], 12), ([[1, 2], []], 12)):
-        one = spark.createDataFrame([(1, 1, sentences)], "doc_id long, weight long, sentences array<array<int>>")
+    kind = "doc_id long, weight long, sentences array<array<int>>"
+    samples = spark.range(40).withColumnRenamed("id", "sample")
+    for sentences, length in (([[1, 2]], 12), ([[1, 2], []], 12), ([list(range(20)), [1] * 30, [1]], 12)):
         with pytest.raises(ValueError):
-            S.sentence_pairs(spark.range(2).withColumnRenamed("id", "sample"), "sample", one, "doc_id", length, "p", width=8)
+            S.sentence_pairs(samples, "sample", spark.createDataFrame([(1, 1, sentences)], kind), "doc_id", length, "p", width=8)
+    # one document with a single good start among many: no number of tries ends the search
+    long = [[10 * k + j for j in range(9)] for k in range(700)]
+    long[400] = [4000]
+    rows = S.sentence_pairs(samples, "sample", spark.createDataFrame([(1, 1, long)], kind), "doc_id", 9, "p", short_prob=0, width=64).collect()
+    assert len(rows) == 40 and all(r["tokens_a"] == [4000] and r["tokens_b"] == long[401] and not r["is_random"] for r in rows)
+
+
+def test_sentence_pairs_follow_their_definition(spark):
+    """Against whole documents step by step; one document holds half of the corpus and reaches over many pieces."""
+    rng = random.Random(8)
+    sizes = [1500] + [rng.randrange(1, 12) for _ in range(200)]
+    docs, token = [], 0
+    for d, m in enumerate(sizes):
+        sentences = []
+        for _ in range(m):
+            n = rng.choice([0, 1, 3, 3, 8, 30])
+            sentences.append(list(range(token, token + n)))
+            token += n
+        docs.append((d, 1 + sum(map(len, sentences)), sentences))
+    where = {t: (d, j) for d, _, ss in docs for j, s in enumerate(ss) for t in s}
+    full = {d: [s for s in ss if s] for d, _, ss in docs}
+    frame = spark.createDataFrame(docs, "doc_id long, weight long, sentences array<array<int>>")
+    rows = S.sentence_pairs(spark.range(400).withColumnRenamed("id", "sample"), "sample", frame, "doc_id", 40, "p", 0.2, width=50).collect()
+    assert sorted(r["sample"] for r in rows) == list(range(400))
+    big = 0
+    for r in rows:
+        target = 2 + below(39, "p-length", r["sample"]) if uniform("p-short", r["sample"]) < 0.2 else 40
+        a, b = r["tokens_a"], r["tokens_b"]
+        ss = full[where[a[0]][0]]
+        start = next(j for j, s in enumerate(ss) if s[0] == a[0])
+        taken, total = 0, 0
+        while start + taken < len(ss) and (taken == 0 or total < target):
+            total += len(ss[start + taken])
+            taken += 1
+        num_a = next(n for n in range(1, taken + 1) if sum(ss[start:start + n], []) == a)
+        if r["is_random"]:
+            assert where[b[0]][0] != where[a[0]][0]
+            other = full[where[b[0]][0]]
+            first = next(j for j, s in enumerate(other) if s[0] == b[0])
+            count, total = 0, 0
+            while first + count < len(other) and (count == 0 or total < target - len(a)):
+                total += len(other[first + count])
+                count += 1
+            assert b == sum(other[first:first + count], [])
+        else:
+            assert b == sum(ss[start + num_a:start + taken], [])
+        big += where[a[0]][0] == 0
+    assert 100 < big < 300
 
 
 def test_truncate_pair_matches_one_by_one(spark):

@@ -7,6 +7,7 @@ pieces before the explode; no row ever carries a whole document next to each of
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,12 @@ from pyspark.sql.window import Window
 from tokenmill.functions import arrays as A
 from tokenmill.functions.hashing import hash_below, hash_uniform
 from tokenmill.operators.prefix import position, running_total
+from tokenmill.operators.rangejoin import range_join
 from tokenmill.operators.sampling import weight_line, weighted_draws
 from tokenmill.session import cut_lineage
 
 PAIR_TRIES = 4  # sentence-pair attempts per round; the first good one counts
-MOST_PAIR_TRIES = 4096  # of one sample, after which the documents are taken to hold no pair
+PAIR_SENTENCES = 64  # of a document that a pair joins with
 PIECE_TOKENS = 1024  # of a document that a draw joins with; a draw reads the pieces that it needs
 FIRST_DRAWS = 4  # draws per sample in the first round; unfilled samples get four times as many in each further round
 
@@ -249,76 +251,139 @@ def block_samples(
 # --- sentence pairs --------------------------------------------------------------------------------------------------
 
 
-def _until(sizes: Column, start: Column, target: Column) -> Column:
-    """Number of sentences from `start` whose summed size first reaches `target`; at least one, at most all."""
-    begin = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("count"))
-    walked = F.aggregate(
-        A.drop(sizes, start),
-        begin,
-        lambda acc, n: F.when((acc["count"] > 0) & (acc["total"] >= target), acc).otherwise(
-            F.struct((acc["total"] + n).cast("bigint").alias("total"), (acc["count"] + 1).alias("count"))),
-    )
-    return walked["count"]
+def _sentence_pieces(docs: DataFrame, order: str) -> DataFrame:
+    """(order, piece, sentences): PAIR_SENTENCES sentences of a document at a time, those without tokens left out."""
+    full = docs.select(order, F.filter("sentences", lambda s: F.size(s) > 0).alias("__s")).filter(F.size("__s") > 0)
+    number = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("__s") - 1) / PAIR_SENTENCES))
+    cut = F.transform(number, lambda i: F.struct(i.alias("piece"), A.take(F.col("__s"), i * PAIR_SENTENCES, PAIR_SENTENCES).alias("sentences")))
+    return full.select(order, F.explode(cut).alias("p")).select(order, "p.*")
+
+
+class SentenceIndex:
+    """Where sentences begin and end on the line of all documents' tokens. It holds sizes, not tokens."""
+
+    def __init__(self, docs: DataFrame, order: str):
+        self.order = order
+        self.pieces = _sentence_pieces(docs, order)
+        sizes = self.pieces.select(order, "piece", F.transform("sentences", lambda s: F.size(s)).alias("sizes"))
+        total = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda n, s: n + s)
+        placed = running_total(sizes.withColumn("__n", total), [order, "piece"], F.col("__n"), "lo")
+        self.rows = cut_lineage(placed.select(order, "piece", "sizes", "lo", (F.col("lo") + F.col("__n")).alias("hi")))
+
+    def documents(self) -> DataFrame:
+        """(order, first, end, sentences) of documents that have some."""
+        return self.rows.groupBy(self.order).agg(F.min("lo").alias("first"), F.max("hi").alias("end"), F.sum(F.size("sizes")).alias("sentences"))
+
+    def bounds(self, rows: DataFrame, doc: str, number: str, start: str | None, stop: str | None) -> DataFrame:
+        """`rows` with the tokens' places at which the numbered sentence starts and stops."""
+        table = self.rows.select(F.col(self.order).alias(doc), F.col("piece").alias("__piece"), "sizes", F.col("lo").alias("__lo"))
+        joined = rows.withColumn("__piece", F.floor(F.col(number) / PAIR_SENTENCES)).join(table, [doc, "__piece"])
+        before = lambda n: F.col("__lo") + F.aggregate(A.head(F.col("sizes"), n), F.lit(0).cast("bigint"), lambda t, s: t + s)
+        place = F.col(number) % PAIR_SENTENCES
+        added = {name: before(n) for name, n in ((start, place), (stop, place + 1)) if name}
+        return joined.withColumns(added).drop("__piece", "sizes", "__lo")
+
+    def holding(self, rows: DataFrame, point: str, width: int, number: str, stop: str) -> DataFrame:
+        """`rows` with the number of the sentence that holds the token at `point`, and where it stops."""
+        table = self.rows.select(F.col("piece").alias("__piece"), "sizes", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+        joined = range_join(rows, point, table, "__lo", "__hi", width)
+        begin = F.struct(F.col("__lo").alias("at"), F.lit(0).alias("n"))
+        walked = F.aggregate("sizes", begin, lambda acc, s: F.when(acc["at"] > F.col(point), acc).otherwise(F.struct((acc["at"] + s).alias("at"), (acc["n"] + 1).alias("n"))))
+        return joined.withColumn("__w", walked).withColumns({number: F.col("__piece") * PAIR_SENTENCES + F.col("__w.n") - 1, stop: F.col("__w.at")}).drop("__piece", "sizes", "__lo", "__hi", "__w")
+
+    def tokens(self, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Tokens of `ranges` (keys, order, from, to, lo, hi): places lo to hi, in the sentences numbered from .. to."""
+        numbers = F.sequence(F.floor(F.col("from") / PAIR_SENTENCES), F.floor(F.col("to") / PAIR_SENTENCES))
+        parts = ranges.withColumn("piece", F.explode(numbers)).join(self.rows.select(self.order, "piece", F.col("lo").alias("__lo")), [self.order, "piece"])
+        joined = parts.join(self.pieces.select(self.order, "piece", F.flatten("sentences").alias("__t")), [self.order, "piece"])
+        low = F.greatest(F.col("lo") - F.col("__lo"), F.lit(0))
+        part = A.take(F.col("__t"), low, F.col("hi") - F.col("__lo") - low)
+        grouped = joined.select(*keys, F.struct("piece", part.alias("t")).alias("__p")).groupBy(*keys).agg(F.array_sort(F.collect_list("__p")).alias("__ps"))
+        return grouped.select(*keys, F.flatten(F.transform("__ps", lambda p: p["t"])).alias("tokens"))
+
+
+def _pair_starts(samples: DataFrame, sample: str, docs: DataFrame, order: str, index: SentenceIndex, seed: str | int, width: int) -> DataFrame:
+    """A good start for every sample: (sample, target, order, number, lo, last, stop, num_a, is_random, pos).
+
+    Sentences number .. last reach the target from place lo to stop; num_a of them are the first part. Whatever the documents are, at least every
+    second start is good when there are two of them, so the rounds end; the starts of a single document are drawn among its good ones.
+    """
+    kept = docs.select(order, "weight").join(index.documents(), order)
+    heads = cut_lineage(position(weight_line(kept, order, F.col("weight")).join(kept, order).drop("weight"), order, "pos"))
+    found = heads.count()
+    taken = F.col("last") - F.col("number") + 1
+
+    def reached(starts: DataFrame) -> DataFrame:
+        placed = index.bounds(starts, order, "number", "lo_a", None)
+        placed = placed.withColumn("__point", F.least(F.col("lo_a") + F.col("target"), F.col("end")) - 1)
+        return index.holding(placed, "__point", width, "last", "stop").drop("__point")
+
+    columns = [sample, "target", order, "number", F.col("lo_a").alias("lo"), "last", "stop", "num_a", "is_random", "pos"]
+    if found < 2:
+        follows = index.rows.select(order, "piece", F.posexplode("sizes").alias("__i", "__size")).join(heads, order)
+        follows = follows.withColumn("number", F.col("piece") * PAIR_SENTENCES + F.col("__i")).filter(F.col("number") < F.col("sentences") - 1)
+        ranked = position(follows.select(order, "number", "__size", "end", "pos"), ["__size", "number"], "__rank")
+        # A row for each length of target: how many sentences leave room for another one.
+        sizes = follows.groupBy("__size").count()
+        lengths = samples.select("target").distinct()
+        room = lengths.join(sizes, F.col("__size") < F.col("target"), "left").groupBy("target").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("__room"))
+        if not room.filter("__room = 0").isEmpty():
+            raise ValueError("sentence pairs need two documents, or one with two sentences in reach of each other")
+        drawn = samples.join(F.broadcast(room), "target").withColumn("__rank", hash_below(F.col("__room"), f"{seed}-a", sample, F.lit(0)))
+        drawn = reached(drawn.join(ranked, "__rank"))
+        cut = 1 + hash_below(taken - 1, f"{seed}-cut", sample, F.lit(0))
+        return drawn.withColumns({"num_a": cut.cast("int"), "is_random": F.lit(False)}).select(*columns)
+    waiting, parts, attempt = samples, [], 0
+    while True:
+        tries = waiting.withColumn("__try", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + PAIR_TRIES - 1))))
+        drawn = weighted_draws(tries, [sample, "__try"], heads, seed, width)
+        drawn = reached(drawn.withColumn("number", hash_below(F.col("sentences"), f"{seed}-a", sample, "__try")))
+        drawn = drawn.withColumns({
+            "num_a": F.when(taken >= 2, hash_below(taken + 1, f"{seed}-cut", sample, "__try")).otherwise(1).cast("int"),
+            "is_random": (taken == 1) | (hash_uniform(f"{seed}-next", sample, "__try") < 0.5)})
+        good = drawn.filter((F.col("num_a") >= 1) & (F.col("is_random") | (F.col("num_a") < taken)))
+        chosen = cut_lineage(good.groupBy(sample).agg(F.min_by(F.struct(*columns[1:]), "__try").alias("__c"), F.min("__try").alias("__try")).select(sample, "__c.*", "__try"))
+        parts.append(chosen)
+        waiting = cut_lineage(waiting.join(chosen.select(sample), sample, "left_anti"))
+        if waiting.isEmpty():
+            break
+        attempt += PAIR_TRIES
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sentence_pairs(
     samples: DataFrame, sample: str, docs: DataFrame, order: str, length: int, seed: str | int, short_prob: float = 0.01, width: int = 16_384
 ) -> DataFrame:
-    """Pairs of texts for next-sentence prediction.
+    """Pairs of texts for next-sentence prediction: (sample, is_random, tokens_a, tokens_b).
 
-    `docs` has (order, weight, sentences array<array<int>>), at least one sentence each. A pair starts at a random sentence of
+    `docs` has (order, weight, sentences array<array<int>>); sentences without tokens are left out. A pair starts at a random sentence of
     a weighted document; its second part is the continuation, or a passage of another document half of the time. Pairs with
-    an empty part are drawn again; documents that hold no pair are an error.
+    an empty part are drawn again; a single document that holds no pair is an error. Draws work on an index of
+    sentence sizes; only the pieces of documents that a chosen pair needs are joined.
     """
-    full = F.size(F.filter("sentences", lambda s: F.size(s) > 0))
-    found = docs.agg(F.count_if(full > 0).alias("n"), F.max(full).alias("most")).first()
-    if found["n"] < 2 and (found["most"] or 0) < 2:
-        raise ValueError("sentence pairs need two documents, or one of two sentences")
-    target = F.when(
-        hash_uniform(f"{seed}-short", sample) < short_prob, 2 + hash_below(length - 1, f"{seed}-length", sample)
-    ).otherwise(length).cast("int")
-    line = cut_lineage(position(weight_line(docs, order, F.col("weight")), order, "__pos"))
-    texts = docs.select(order, "sentences")
-    others = line.select(F.col("__pos").alias("__other"), order).join(texts, order).select("__other", F.col("sentences").alias("other_sentences"))
-    total = line.agg(F.count("*").alias("__n"))
-    waiting = samples.select(sample)
-    parts, attempt = [], 0
-    while True:
-        tries = waiting.withColumn("__try", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + PAIR_TRIES - 1))))
-        drawn = weighted_draws(tries, [sample, "__try"], line, seed, width).select(sample, "__try", order, "__pos")
-        drawn = drawn.join(texts, order).crossJoin(F.broadcast(total))
-        drawn = drawn.withColumns({"target": target, "sizes": F.transform("sentences", lambda s: F.size(s))})
-        drawn = drawn.withColumn("start", hash_below(F.size("sentences"), f"{seed}-a", sample, "__try").cast("int"))
-        drawn = drawn.withColumn("taken", _until(F.col("sizes"), F.col("start"), F.col("target")))
-        drawn = drawn.withColumn(
-            "num_a", F.when(F.col("taken") >= 2, hash_below(F.col("taken") + 1, f"{seed}-cut", sample, "__try")).otherwise(1).cast("int"))
-        drawn = drawn.withColumns({
-            "is_random": (F.col("taken") == 1) | (hash_uniform(f"{seed}-next", sample, "__try") < 0.5),
-            "tokens_a": F.flatten(A.take(F.col("sentences"), F.col("start"), F.col("num_a"))),
-            "next_b": F.flatten(A.take(F.col("sentences"), F.col("start") + F.col("num_a"), F.col("taken") - F.col("num_a"))),
-        })
-        pick = hash_below(F.greatest(F.col("__n") - 1, F.lit(1)), f"{seed}-other", sample, "__try")
-        drawn = drawn.withColumn("__other", F.when(F.col("is_random"), pick + F.when(pick >= F.col("__pos"), 1).otherwise(0)))
-        drawn = drawn.select(sample, "__try", "target", "is_random", "tokens_a", "next_b", "__other").join(others, "__other", "left")
-        drawn = drawn.withColumn("start_b", hash_below(F.greatest(F.size("other_sentences"), F.lit(1)), f"{seed}-b", sample, "__try").cast("int"))
-        sizes_b = F.transform("other_sentences", lambda s: F.size(s))
-        count_b = _until(sizes_b, F.col("start_b"), F.col("target") - F.size("tokens_a"))
-        other_b = F.flatten(A.take(F.col("other_sentences"), F.col("start_b"), count_b))
-        drawn = drawn.withColumn("tokens_b", F.when(F.col("is_random"), other_b).otherwise(F.col("next_b")))
-        good = (F.size("tokens_a") >= 1) & (F.size("tokens_b") >= 1)
-        first = F.min_by(F.struct("is_random", "tokens_a", "tokens_b"), "__try").alias("pair")
-        found = cut_lineage(drawn.filter(good).groupBy(sample).agg(first).select(sample, "pair.*"))
-        parts.append(found)
-        waiting = cut_lineage(waiting.join(found, sample, "left_anti"))
-        if waiting.isEmpty():
-            break
-        attempt += PAIR_TRIES
-        if attempt >= MOST_PAIR_TRIES:
-            raise ValueError("no sentence pair found; the documents are too few or their sentences too long")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    short = hash_uniform(f"{seed}-short", sample) < short_prob
+    target = F.when(short, 2 + hash_below(length - 1, f"{seed}-length", sample)).otherwise(length).cast("int")
+    index = SentenceIndex(docs, order)
+    starts = _pair_starts(samples.select(sample, target.alias("target")), sample, docs, order, index, seed, width)
+    if "__try" not in starts.columns:
+        starts = starts.withColumn("__try", F.lit(0))
+    starts = index.bounds(starts.withColumn("to_a", F.col("number") + F.col("num_a") - 1), order, "to_a", None, "hi_a")
+    first = starts.select(sample, F.lit("a").alias("side"), order, F.col("number").alias("from"), F.col("to_a").alias("to"), "lo", F.col("hi_a").alias("hi"))
+    following = starts.filter(~F.col("is_random")).select(
+        sample, F.lit("b").alias("side"), order, (F.col("to_a") + 1).alias("from"), F.col("last").alias("to"), F.col("hi_a").alias("lo"), F.col("stop").alias("hi"))
+    heads = position(index.documents(), order, "__other")
+    total = heads.agg(F.count("*").alias("__n"))  # one row
+    other = starts.filter("is_random").drop(order).crossJoin(F.broadcast(total))
+    pick = hash_below(F.greatest(F.col("__n") - 1, F.lit(1)), f"{seed}-other", sample, "__try")
+    other = other.withColumn("__other", pick + F.when(pick >= F.col("pos"), 1).otherwise(0)).join(heads.select("__other", order, "end", "sentences"), "__other")
+    other = index.bounds(other.withColumn("from", hash_below(F.col("sentences"), f"{seed}-b", sample, "__try")), order, "from", "lo_b", None)
+    need = F.greatest(F.col("target") - (F.col("hi_a") - F.col("lo")), F.lit(1))
+    other = index.holding(other.withColumn("__point", F.least(F.col("lo_b") + need, F.col("end")) - 1), "__point", width, "to", "hi")
+    random = other.select(sample, F.lit("b").alias("side"), order, "from", "to", F.col("lo_b").alias("lo"), "hi")
+    ranges = cut_lineage(first.unionByName(following).unionByName(random))
+    texts = index.tokens(ranges, [sample, "side"])
+    sides = texts.groupBy(sample).agg(*[F.max(F.when(F.col("side") == side, F.col("tokens"))).alias(f"tokens_{side}") for side in "ab"])
+    return starts.select(sample, "is_random").join(sides, sample)
 
 
 def pair_losses(size_a: Column, size_b: Column, limit: int | Column) -> tuple[Column, Column]:

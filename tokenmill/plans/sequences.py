@@ -9,6 +9,7 @@ from tokenmill.operators.special import end_ids, special_tokens
 from tokenmill.operators.vocab import SENTENCE_END_BLOCK, encode_chars
 from tokenmill.plans.registry import query
 from tokenmill.plans.sqltext import codes, h_below, h_uniform, joined, words
+from tokenmill.plans.vocab import SENTENCES_SQL
 
 SP = special_tokens()
 L = 512
@@ -107,7 +108,31 @@ def _sentence_docs(t):
     return t.documents.select("doc_id", F.length("text").cast("bigint").alias("weight"), sents.alias("sentences")).filter(F.size("sentences") > 0)
 
 
-@query("seq04_sentence_pairs")
+# The first good one of 24 tries is taken; more are needed once in 2^24 samples.
+PAIRS_SQL = f"""sents AS (SELECT doc_id, unnest(range(len(ss))) AS j, unnest(ss) AS s FROM (
+      SELECT doc_id, flatten(list_transform(list_filter(string_split(text, chr(10)), lambda l: l <> ''), lambda line: {SENTENCES_SQL.format("line")})) AS ss FROM documents)),
+    sized AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY j) AS hi, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY j) - length(s) AS lo FROM sents),
+    ends AS (SELECT doc_id, count(*) AS m, max(hi) AS total FROM sized GROUP BY doc_id),
+    heads AS (SELECT doc_id AS doc, m, total, sum(length(text)) OVER (ORDER BY doc_id) AS whi, sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS wlo,
+      row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS docs FROM documents JOIN ends USING (doc_id)),
+    wanted AS (SELECT doc_id AS sample, CASE WHEN {h_uniform("pairs-short", "doc_id")} < 0.1 THEN 2 + {h_below(127, "pairs-length", "doc_id")} ELSE 128 END AS target FROM documents),
+    tries AS (SELECT *, unnest(range(24)) AS k FROM wanted),
+    points AS (SELECT t.*, {h_below("w", "pairs", "sample", "k")} AS p FROM tries t, (SELECT max(whi) AS w FROM heads)),
+    drawn AS (SELECT p.*, h.*, {h_below("m", "pairs-a", "sample", "k")} AS number FROM points p JOIN heads h ON h.wlo <= p.p AND p.p < h.whi),
+    placed AS (SELECT d.*, s.lo AS lo, least(s.lo + target, total) - 1 AS point FROM drawn d JOIN sized s ON s.doc_id = d.doc AND s.j = d.number),
+    reached AS (SELECT d.*, s.j AS last, s.j - d.number + 1 AS taken FROM placed d JOIN sized s ON s.doc_id = d.doc AND s.lo <= d.point AND d.point < s.hi),
+    parts AS (SELECT *, CASE WHEN taken >= 2 THEN {h_below("taken + 1", "pairs-cut", "sample", "k")} ELSE 1 END AS num_a, taken = 1 OR {h_uniform("pairs-next", "sample", "k")} < 0.5 AS is_random FROM reached),
+    good AS (SELECT * FROM parts WHERE num_a >= 1 AND (is_random OR num_a < taken) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY k) = 1),
+    firsts AS (SELECT g.sample, string_agg(s.s, '' ORDER BY s.j) AS a FROM good g JOIN sized s ON s.doc_id = g.doc AND s.j BETWEEN g.number AND g.number + g.num_a - 1 GROUP BY g.sample),
+    others AS (SELECT g.sample, g.k, g.target - length(a) AS need, h.doc AS other, h.total, {h_below("h.m", "pairs-b", "g.sample", "g.k")} AS from_b FROM good g JOIN firsts USING (sample)
+      JOIN heads h ON h.pos = {h_below("g.docs - 1", "pairs-other", "g.sample", "g.k")} + CASE WHEN {h_below("g.docs - 1", "pairs-other", "g.sample", "g.k")} >= g.pos THEN 1 ELSE 0 END WHERE is_random),
+    aimed AS (SELECT o.*, least(s.lo + greatest(need, 1), o.total) - 1 AS point FROM others o JOIN sized s ON s.doc_id = o.other AND s.j = o.from_b),
+    ranges AS (SELECT a.sample, a.other AS doc, a.from_b AS j0, s.j AS j1 FROM aimed a JOIN sized s ON s.doc_id = a.other AND s.lo <= a.point AND a.point < s.hi
+      UNION ALL SELECT sample, doc, number + num_a, last FROM good WHERE NOT is_random),
+    seconds AS (SELECT r.sample, string_agg(s.s, '' ORDER BY s.j) AS b FROM ranges r JOIN sized s ON s.doc_id = r.doc AND s.j BETWEEN r.j0 AND r.j1 GROUP BY r.sample)"""
+
+
+@query("seq04_sentence_pairs", f"WITH {PAIRS_SQL} SELECT sample, is_random, {joined(codes('a'))} AS tokens_a, {joined(codes('b'))} AS tokens_b FROM good JOIN firsts USING (sample) JOIN seconds USING (sample)")
 def _(t):
     samples = t.documents.select(F.col("doc_id").alias("sample"))
     return _show(S.sentence_pairs(samples, "sample", _sentence_docs(t), "doc_id", 128, "pairs", short_prob=0.1), "tokens_a", "tokens_b")
