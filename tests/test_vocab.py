@@ -134,3 +134,31 @@ def test_decode_chars_in_all_planes(spark):
     text = "aé€漢😀"
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(decode_chars(encode_chars(F.col("t")))).first()[0] == text
+
+
+def test_places_of_distinct_items(spark):
+    rows = [(1, "x", ["b", "a", "b", None, "a", "b"]), (2, "x", []), (3, "y", None), (1, "y", ["a"])]
+    frame = spark.createDataFrame(rows, "k int, l string, ws array<string>")
+    got = {(r["k"], r["l"], r["word"]): r["places"] for r in V.distinct_places(frame, ["k", "l"], F.col("ws")).collect()}
+    assert got == {(1, "x", "b"): [0, 2, 5], (1, "x", "a"): [1, 4], (1, "x", None): [3], (2, "x", None): [], (3, "y", None): [], (1, "y", "a"): [0]}
+
+
+@pytest.mark.parametrize("most, frequent", [(10**6, 1), (0, 1), (0, 3), (0, 10**4)])
+def test_encoding_by_distinct_words(spark, most, frequent):
+    rng = random.Random(5)
+    rows = [(k, [f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(0, 200))]) for k in range(300)]
+    frame = spark.createDataFrame(rows, "k int, ws array<string>")
+    table = {f"w{k}": [k] * (k % 4) for k in range(50)}
+    dictionary = spark.createDataFrame(list(table.items()), "word string, pieces array<int>")
+    found = V.answered(V.distinct_places(frame, ["k"], F.col("ws")), "word", dictionary, most, frequent)
+    got = V.assembled(found, ["k"], F.coalesce("pieces", F.array(F.lit(-1))), "tokens")
+    assert {r["k"]: r["tokens"] for r in got.collect()} == {k: [i for w in ws for i in table.get(w, [-1])] for k, ws in rows}
+
+
+def test_shuffled_rows_are_distinct_words(spark):
+    frame = spark.range(20).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), i % 7)).alias("ws"))
+    vocab = spark.createDataFrame([(f"w{k}", k) for k in range(5)], "token string, id int")
+    assert V.distinct_places(frame, ["k"], F.col("ws")).count() == 20 * 7
+    encoded = V.encode_words(frame, ["k"], F.col("ws"), vocab, unk=9)
+    assert all(r["tokens"] == [min(i % 7, 5) if i % 7 < 5 else 9 for i in range(1000)] for r in encoded.collect())
+    assert encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1

@@ -1,8 +1,8 @@
 """Vocabularies as tables, and encoding as joins.
 
 A tokenizer called row by row does the same work again for every copy of a word. Here each distinct word is encoded once and
-the result is joined back to the word's positions. Vocabularies are bounded by a size parameter, which is what allows them to
-be broadcast; distinct words are not bounded and are shuffled.
+the result is joined back to the distinct words of each row, which carry the places where they stand. Tables of bounded size are broadcast;
+of larger ones only the rows of the most frequent words are.
 """
 
 from __future__ import annotations
@@ -10,15 +10,21 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenmill.functions.arrays import gather
 from tokenmill.functions.text import sentences, split_words, strip_accents
 from tokenmill.session import cut_lineage
 
+BROADCAST_WORDS = 1 << 18  # rows of a table that is broadcast as a whole
+FREQUENT_WORDS = 1 << 14  # rows of a larger table that are
+PLACE_ROWS = 1024  # rows of an Arrow batch whose items are numbered at once
+
 # Surface forms of the command tokens.
 COMMAND_TOKENS = {
     "pad": "<|endoftext|>",
@@ -146,23 +152,73 @@ def padded_size(n_tokens: Column, multiple: int) -> Column:
 # --- encoding and decoding -------------------------------------------------------------------------------------------
 
 
+def distinct_places(df: DataFrame, keys: Sequence[str], items: Column, name: str = "word") -> DataFrame:
+    """(keys, name, places): a row for each distinct item of a row's array with the places where it stands; rows without items keep one without item.
+
+    Arrow batches are numbered and sorted as a whole, so Python sees no single item.
+    """
+    kind = df.select(items.alias("i")).schema["i"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, PLACE_ROWS):
+                batch = whole.slice(first, PLACE_ROWS)
+                column = batch.column("__items")
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+                coded = pc.dictionary_encode(column.flatten(), null_encoding="encode")
+                codes, n = np.asarray(coded.indices).astype(np.int64), max(1, len(coded.dictionary))
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                group = row * n + codes
+                order = np.argsort(group, kind="stable")
+                starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+                at = group[order][starts]
+                none = np.flatnonzero(sizes == 0)
+                rows = np.concatenate([at // n, none])
+                found = pa.concat_arrays([coded.dictionary.take(pa.array(at % n)), pa.nulls(len(none), coded.dictionary.type)])
+                offsets = np.concatenate([starts, np.full(len(none) + 1, len(codes))]).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows)) for k in keys), found, places], [*keys, name, "places"])
+
+    head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, items.alias("__items")).mapInArrow(run, f"{head}, `{name}` {kind}, places array<int>")
+
+
+def answered(places: DataFrame, name: str, table: DataFrame, most: int = BROADCAST_WORDS, frequent: int = FREQUENT_WORDS) -> DataFrame:
+    """`places` with the columns of `table(name, ...)`, null where it has no row.
+
+    A table of up to `most` rows is broadcast. Of a larger one the rows of the `frequent` items that most rows hold are broadcast;
+    any other item is in a share of 1/frequent of all rows at most, so none is a hot key of the shuffle join.
+    """
+    table = cut_lineage(table)
+    if table.count() <= most:
+        return places.join(F.broadcast(table), name, "left")
+    places = cut_lineage(places)
+    top = places.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), name).limit(frequent).select(name)
+    known = cut_lineage(top.join(table, name, "left").withColumn("__known", F.lit(True)))
+    marked = places.join(F.broadcast(known), name, "left")
+    here = F.col("__known").isNotNull() | F.col(name).isNull()
+    rest = marked.filter(~here).select(*places.columns).join(table, name, "left")
+    return marked.filter(here).drop("__known").unionByName(rest)
+
+
+def assembled(rows: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
+    """(keys, out): the arrays `value` of a row's items, put in order by their `places` and joined."""
+    grouped = rows.select(*keys, F.struct("places", value.alias("value")).alias("__i")).groupBy(*keys).agg(F.collect_list("__i").alias("__is"))
+    spread = F.flatten(F.transform("__is", lambda i: F.transform(i["places"], lambda p: F.struct(p.alias("p"), i["value"].alias("v")))))
+    return grouped.select(*keys, F.flatten(F.transform(F.array_sort(spread), lambda x: x["v"])).alias(out))
+
+
 def encode_words(df: DataFrame, keys: Sequence[str], words: Column, vocab: DataFrame, unk: int, out: str = "tokens") -> DataFrame:
     """Whole-word ids in text order; `vocab` is (token, id). Rows without words come back with an empty array."""
-    table = vocab.select(F.col("token").alias("word"), "id")
-    placed = word_positions(df, keys, words).join(table, "word", "left")
-    encoded = gather(placed, keys, "pos", F.coalesce(F.col("id"), F.lit(unk)).cast("int"), out)
-    return df.select(*keys).join(encoded, list(keys), "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+    table = vocab.select(F.col("token").alias("word"), F.col("id").cast("int").alias("id"))
+    return assembled(answered(distinct_places(df, keys, words), "word", table), keys, F.array(F.coalesce("id", F.lit(unk))), out)
 
 
 def expand_words(df: DataFrame, keys: Sequence[str], words: Column, dictionary: DataFrame, out: str = "tokens") -> DataFrame:
-    """Replace every word by its pieces from `dictionary(word, pieces)`.
-
-    The dictionary grows with the corpus, so this is a shuffle join; adaptive execution splits the partitions of very
-    frequent words.
-    """
-    placed = word_positions(df, keys, words).join(dictionary, "word")
-    encoded = gather(placed, keys, "pos", "pieces", "__pieces").select(*keys, F.flatten("__pieces").alias(out))
-    return df.select(*keys).join(encoded, list(keys), "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    """Replace every word by its pieces from `dictionary(word, pieces)`; words that it lacks give none."""
+    none = F.array().cast(dictionary.schema["pieces"].dataType)
+    return assembled(answered(distinct_places(df, keys, words), "word", dictionary), keys, F.coalesce("pieces", none), out)
 
 
 def distinct_words(df: DataFrame, words: Column) -> DataFrame:
@@ -258,10 +314,9 @@ def decode_ids(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame
     if "name" in vocab.columns:
         last = F.coalesce(F.array_position(F.array(*map(F.lit, COMMAND_TOKENS)), F.col("name")), F.lit(0))
     surface = vocab.groupBy("id").agg(F.max_by("token", F.struct(last, "token")).alias("token"))
-    placed = df.select(*keys, F.posexplode(tokens).alias("pos", "id")).join(surface, "id")
-    joined = gather(placed, keys, "pos", "token", "__tokens")
-    text = F.coalesce(F.regexp_replace(F.array_join("__tokens", " "), " ##", ""), F.lit(""))
-    return df.select(*keys).join(joined, list(keys), "left").select(*keys, text.alias(out))
+    found = answered(distinct_places(df, keys, F.col(tokens), "id"), "id", surface)
+    joined = assembled(found, keys, F.when(F.col("token").isNull(), F.array().cast("array<string>")).otherwise(F.array("token")), "__tokens")
+    return joined.select(*keys, F.regexp_replace(F.array_join("__tokens", " "), " ##", "").alias(out))
 
 
 def encode_chars(text: Column) -> Column:
