@@ -64,6 +64,37 @@ def test_byte_pair_encode(spark):
         assert r["pieces"] == symbols
 
 
+def by_definition(symbols, merges):
+    """All places of the lowest-ranked pair are merged from left to right, until no pair has a rank."""
+    ranks = {pair: k for k, pair in reversed(list(enumerate(merges)))}
+    while pairs := [p for p in zip(symbols, symbols[1:]) if p in ranks]:
+        symbols = merge(symbols, min(pairs, key=ranks.get))
+    return symbols
+
+
+def test_merges_that_feed_each_other():
+    rng = random.Random(11)
+    for _ in range(300):
+        pieces, merges = list("abc"), []
+        for _ in range(rng.randrange(12)):
+            merges.append((rng.choice(pieces), rng.choice(pieces)))
+            pieces.append("".join(merges[-1]))
+        if rng.random() < 0.5:
+            rng.shuffle(merges)  # ranks that no learning gives
+        apply = V.Merger(merges)
+        for _ in range(10):
+            word = [rng.choice("abc") for _ in range(rng.randrange(30))]
+            assert apply(word) == by_definition(word, merges)
+    assert V.Merger([("a", "a"), ("aa", "aa")])("a" * 200_001) == ["aaaa"] * 50_000 + ["a"]
+
+
+def test_byte_letters(spark):
+    every = "".join(map(chr, range(0x180))) + "漢😀"
+    row = spark.createDataFrame([(every,), ("",)], "word string").select(V.byte_letters(F.col("word")).alias("l"), "word")
+    letters = V._byte_letters()
+    assert {r["word"]: r["l"] for r in row.collect()} == {w: "".join(letters[b] for b in w.encode()) for w in (every, "")}
+
+
 def test_byte_level_letters(spark):
     row = V.byte_pair_dictionary(spark.createDataFrame([(" é",)], "word string"), []).first()
     assert row["pieces"] == ["Ġ", "Ã", "©"]

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenmill.functions.arrays import let
 from tokenmill.functions.text import sentences, split_words, strip_accents
 from tokenmill.session import cut_lineage
 
@@ -274,35 +275,64 @@ def byte_pair_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(BYTE_PAIR_WORDS), F.lit(0))
 
 
+def byte_letters(text: Column) -> Column:
+    """The text in letters of its UTF-8 bytes, one for each, so that merges can be learned on it."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
+    table = F.array(*map(F.lit, _byte_letters()))
+    return let(table, lambda letters: F.array_join(F.transform(pairs, lambda h: F.get(letters, F.conv(h, 16, 10).cast("int"))), ""))
+
+
+class Merger:
+    """Byte-pair merges of one word: symbols in a linked list, possible merges in a heap by rank and place.
+
+    All merges of the lowest rank are applied from left to right before the next rank is looked for; what they make possible goes
+    into the heap. A word of n letters takes in the order of n log n steps, however often merges feed each other.
+    """
+
+    def __init__(self, merges: Sequence[tuple[str, str]]):
+        self.ranks: dict[tuple[str, str], int] = {}
+        for rank, pair in enumerate(merges):
+            self.ranks.setdefault(tuple(pair), rank)
+
+    def __call__(self, letters: Sequence[str]) -> list[str]:
+        symbols: list[str | None] = list(letters)
+        n, ranks = len(symbols), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[pair], i) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
+        heapify(heap)
+        while heap:
+            rank, made = heap[0][0], []
+            while heap and heap[0][0] == rank:
+                _, i = heappop(heap)
+                j = after[i]
+                if symbols[i] is None or j >= n or ranks.get((symbols[i], symbols[j])) != rank:
+                    continue  # one of the two is part of another merge by now
+                symbols[i], symbols[j], after[i] = symbols[i] + symbols[j], None, after[j]
+                if after[j] < n:
+                    before[after[j]] = i
+                made.append(i)
+            for i in made:
+                for left in (before[i], i):
+                    if left >= 0 and symbols[left] is not None and after[left] < n and (own := ranks.get((symbols[left], symbols[after[left]]))) is not None:
+                        heappush(heap, (own, left))
+        return [s for s in symbols if s is not None]
+
+
 def byte_pair_dictionary(words: DataFrame, merges: Sequence[tuple[str, str]], byte_level: bool = True) -> DataFrame:
-    """Pieces of each distinct word after all merges, lowest rank first.
+    """(word, pieces) of each distinct word after all merges, lowest rank first.
 
     `merges` is bounded by the vocabulary size and shipped to the tasks once; Python sees distinct words in Arrow batches.
     """
-    ranks = words.sparkSession.sparkContext.broadcast({tuple(pair): i for i, pair in enumerate(merges)})
+    sent = words.sparkSession.sparkContext.broadcast(list(merges))
     letters = _byte_letters()
 
-    def pieces(word: str) -> list[str]:
-        symbols = [letters[b] for b in word.encode()] if byte_level else list(word)
-        while len(symbols) > 1:
-            ranked = [(ranks.value[pair], pair) for pair in zip(symbols, symbols[1:]) if pair in ranks.value]
-            if not ranked:
-                break
-            left, right = min(ranked)[1]
-            merged: list[str] = []
-            for symbol in symbols:
-                if merged and symbol == right and merged[-1] == left:
-                    merged[-1] = left + right
-                else:
-                    merged.append(symbol)
-            symbols = merged
-        return symbols
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = Merger(sent.value)
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "pieces": batch["word"].map(pieces)})
+            pieces = [merge([letters[b] for b in word.encode()] if byte_level else word) for word in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(pieces, pa.list_(pa.string()))], ["word", "pieces"])
 
-    return words.select("word").mapInPandas(encode, "word string, pieces array<string>")
+    return words.select("word").mapInArrow(encode, "word string, pieces array<string>")
 
 
 def decode_ids(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame, out: str = "text") -> DataFrame:

@@ -39,12 +39,6 @@ def _(t):
     return V.frequency_stats(t.documents)
 
 
-@query("voc02_learned_merges")
-def _(t):
-    merges = V.learn_merges(V.word_frequencies(t.documents), 24)
-    return t.spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
-
-
 BASIC_SQL = """list_filter(flatten(list_transform({}, lambda w: CASE WHEN w IN ('[UNK]', '[SEP]', '[PAD]', '[CLS]', '[MASK]') THEN [w]
   ELSE regexp_extract_all(strip_accents(lower(w)), '[[:punct:]]|[^[:punct:]]+') END)), lambda w: w <> '')"""
 MARKED = "replace(text, ' of ', ' [MASK] ')"
@@ -94,25 +88,58 @@ def _(t):
     return V.expand_words(basic, ["doc_id"], F.col("ws"), dictionary).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-# Merges of single letters: the 40 most frequent letter pairs, so that no merge feeds another.
+MERGES, ENCODED_MERGES = 24, 12
+
+
+def _learned_sql(source: str, merges: int) -> str:
+    """Merges learned step by step from `source` (word, n, s), in which every symbol of s has a space on both sides: m0, m1, ... and w1, w2, ..."""
+    steps = [f"w0 AS MATERIALIZED ({source})"]
+    for k in range(merges):
+        steps.append(f"""m{k} AS MATERIALIZED (SELECT l, r FROM (SELECT ss[i] AS l, ss[i + 1] AS r, sum(n) AS c FROM (SELECT n, string_split(trim(s), '  ') AS ss FROM w{k}), unnest(range(1, len(ss))) AS u(i) GROUP BY 1, 2)
+      ORDER BY c DESC, l, r LIMIT 1)""")
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT word, n, coalesce((SELECT replace(s, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ') FROM m{k}), s) AS s FROM w{k})")
+    return ", ".join(steps)
+
+
+SPACED = "list_reduce(list_prepend('', list_transform(list_filter(string_split({}, ''), lambda c: c <> ''), lambda c: ' ' || c || ' ')), lambda a, c: a || c)"
+RANKED = " UNION ALL ".join(f'SELECT {k}::INTEGER AS rank, l AS "left", r AS "right" FROM m{k}' for k in range(MERGES))
+
+
+@query("voc02_learned_merges", f"WITH {TOP_SQL}, {_learned_sql(f'SELECT word, n, {SPACED.format('word')} AS s FROM freq', MERGES)} {RANKED}")
+def _(t):
+    merges = V.learn_merges(V.word_frequencies(t.documents), MERGES)
+    return t.spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+
+
 @query(
     "voc05_byte_pair_encode",
-    f"""WITH {TOP_SQL}, letters AS (SELECT word, n, string_split(word, '') AS ls FROM freq),
-    pairs AS (SELECT ls[i] AS l, ls[i + 1] AS r, sum(n)::BIGINT AS n FROM letters, unnest(range(1, len(ls))) AS u(i) GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 40),
-    merges AS (SELECT list(' ' || l || '  ' || r || ' ' ORDER BY n DESC, l, r) AS ms FROM pairs)
-    SELECT word, trim(replace(list_reduce(list_prepend(array_to_string(list_transform(ls, lambda c: ' ' || c || ' '), ''), ms),
-      lambda acc, m: replace(acc, m, ' ' || replace(trim(m), '  ', '') || ' ')), '  ', ' ')) AS pieces FROM letters, merges""",
+    f"WITH {TOP_SQL}, {_learned_sql(f'SELECT word, n, {SPACED.format('word')} AS s FROM freq', ENCODED_MERGES)} SELECT word, replace(trim(s), '  ', ' ') AS pieces FROM w{ENCODED_MERGES}",
 )
 def _(t):
-    frequencies = V.word_frequencies(t.documents)
-    letters = frequencies.select("n", F.filter(F.split("word", ""), lambda c: c != "").alias("s")).filter(F.size("s") > 1)
-    pairs = F.arrays_zip(F.expr("slice(s, 1, size(s) - 1)").alias("l"), F.expr("slice(s, 2, size(s))").alias("r"))
-    top = letters.select("n", F.explode(pairs).alias("p")).groupBy("p.l", "p.r").agg(F.sum("n").alias("n"))
-    merges = [(row["l"], row["r"]) for row in top.orderBy(F.col("n").desc(), "l", "r").limit(40).collect()]  # bounded by the merge count
-    dictionary = V.byte_pair_dictionary(frequencies, merges, byte_level=False)
+    frequencies = cut_lineage(V.word_frequencies(t.documents))
+    dictionary = V.byte_pair_dictionary(frequencies, V.learn_merges(frequencies, ENCODED_MERGES), byte_level=False)
     return dictionary.select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
+BYTE_WORDS_SQL = r"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS word FROM documents) GROUP BY word"""
+# Bytes 33-126, 161-172 and 174-255 stand for themselves, the others follow from 256 in their order.
+BYTE_LETTERS_SQL = """list_transform(range(octet_length(encode(word))), lambda i: CASE WHEN b[i + 1] BETWEEN 33 AND 126 OR b[i + 1] BETWEEN 161 AND 172 OR b[i + 1] >= 174 THEN chr(b[i + 1])
+      ELSE chr(256 + CASE WHEN b[i + 1] <= 32 THEN b[i + 1] WHEN b[i + 1] <= 160 THEN b[i + 1] - 94 ELSE 67 END) END)"""
+
+
+@query(
+    "voc05_byte_level_encode",
+    f"""WITH counted AS ({BYTE_WORDS_SQL}), bytes AS (SELECT word, n, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::INTEGER) AS b FROM counted),
+    spelled AS (SELECT word, n, array_to_string({BYTE_LETTERS_SQL}, '') AS letters FROM bytes), {_learned_sql(f'SELECT word, n, {SPACED.format('letters')} AS s FROM spelled', ENCODED_MERGES)}
+    SELECT word, replace(trim(s), '  ', ' ') AS pieces FROM w{ENCODED_MERGES}""",
+)
+def _(t):
+    words = t.documents.select(F.explode(V.byte_pair_words(F.regexp_replace("text", r"\s+", " "))).alias("word"))
+    frequencies = cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")))
+    merges = V.learn_merges(frequencies.select(V.byte_letters(F.col("word")).alias("word"), "n"), ENCODED_MERGES)
+    return V.byte_pair_dictionary(frequencies, merges).select("word", F.array_join("pieces", " ").alias("pieces"))
+
+
 @query(
     "voc05_byte_pair_words",
     r"""SELECT doc_id, unnest(range(len(ws)))::INTEGER AS pos, unnest(ws) AS word FROM (
