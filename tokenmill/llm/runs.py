@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenmill.llm.common import mixed, released, stored
+from tokenmill.llm.common import mixed, pieces, released, stored, utf8
 
 MIN_LENGTH = 12
 TILE = 1 << 16  # words of a tile's core
@@ -117,13 +117,17 @@ def tile_intervals(blocks: Blocks, octave: int, first: int, last: int, least: in
         if skip + whole < rows and len(rest):
             hit[skip + whole, :len(rest)] |= rest == hashes[at]
     pairs = np.flatnonzero(hit)
+    if not len(pairs):
+        return np.zeros((0, 3), np.int64)
     place = first + pairs // octave * octave
     period = octave + pairs % octave
     right = blocks.extension(place, place + period)
     left = blocks.extension(place, place + period, left=True)
     fine = (left + right >= period) & (left + right + period >= least)
     found = np.stack([(place - left)[fine], (place + period + right)[fine], period[fine]], axis=1)
-    found = np.unique(found, axis=0) if len(found) else found
+    if not len(found):
+        return found
+    found = np.unique(found, axis=0)
     return found[smallest(blocks, found)]
 
 
@@ -149,11 +153,11 @@ def smallest(blocks: Blocks, found: np.ndarray) -> np.ndarray:
     return good
 
 
-def fragments(numbers: np.ndarray, least: int = MIN_LENGTH, tile: int = TILE) -> np.ndarray:
-    """Rows (start, end, period) of all tiles of a text."""
+def fragments(numbers: np.ndarray, longest: int, least: int = MIN_LENGTH, tile: int = TILE) -> np.ndarray:
+    """Rows (start, end, period) of all tiles of a text, or of texts of up to `longest` words with numbers of their own between them."""
     n, octave, window, blocks = len(numbers), 1, None, None
     found = [np.zeros((0, 3), np.int64)]
-    while n >= max(least, 2 * octave):
+    while longest >= max(least, 2 * octave):
         core, margin = max(tile, octave), 4 * octave + least
         for first in range(0, n, core):
             begin, end = max(0, first - margin), min(n, first + core + margin)
@@ -164,12 +168,31 @@ def fragments(numbers: np.ndarray, least: int = MIN_LENGTH, tile: int = TILE) ->
     return np.concatenate(found)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes]]:
-    for batch in batches:
-        column = batch.column("t")
-        for row in range(len(column)):
-            value = column[row]
-            yield batch, row, value.as_buffer().to_pybytes() if value.is_valid else b""
+def fragments_of(texts: list[bytes], least: int, tile: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, number of words, fragments) of every text. Texts of about the same length share a tile: a word of its own after each keeps them apart."""
+    numbers = [numbers_of(t) for t in texts]
+    todo, at = sorted(range(len(texts)), key=lambda k: len(numbers[k])), 0
+    while at < len(todo):
+        last, size = at + 1, len(numbers[todo[at]]) + 1
+        while last < len(todo) and size + len(numbers[todo[last]]) < tile:
+            size += len(numbers[todo[last]]) + 1
+            last += 1
+        own = todo[at:last]
+        flat = np.concatenate([part for k in own for part in (numbers[k], [-1 - k])])
+        starts = np.concatenate([[0], np.cumsum([len(numbers[k]) + 1 for k in own])])
+        found = fragments(flat, len(numbers[own[-1]]), least, tile)
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        cuts = np.searchsorted(found[:, 0], starts)
+        for i, k in enumerate(own):
+            yield k, len(numbers[k]), found[cuts[i]:cuts[i + 1]] - [starts[i], starts[i], 0]
+        at = last
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a column with the first one's row, nulls as empty, about CUT_BYTES at a time."""
+    data, offsets = utf8(column)
+    for first, last in pieces(offsets, CUT_BYTES):
+        yield first, [data[offsets[k]:offsets[k + 1]].tobytes() for k in range(first, last)]
 
 
 def _plain(least: int, tile: int):
@@ -177,14 +200,10 @@ def _plain(least: int, tile: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sizes, texts = [], [], []
-            for _, row, raw in _texts([batch]):
-                numbers = numbers_of(raw)
-                if not len(fragments(numbers, least, tile)):
-                    rows.append(row)
-                    sizes.append(len(numbers))
-                    texts.append(b" ".join(b" ".join(words) for words in words_of(raw) if words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], ["id", "n_words", "collapsed"])
+            for first, texts in _texts(batch.column("t")):
+                own = [(k, n) for k, n, found in fragments_of(texts, least, tile) if not len(found)]
+                joined = pa.array([b" ".join(b" ".join(words) for words in words_of(texts[k]) if words).decode() for k, _ in own], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([first + k for k, _ in own], pa.int64())), pa.array([n for _, n in own], pa.int64()), joined], ["id", "n_words", "collapsed"])
 
     return run
 
@@ -195,16 +214,11 @@ def _suspects(least: int, tile: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sizes, found = [], [], []
-            for _, row, raw in _texts([batch]):
-                numbers = numbers_of(raw)
-                own = fragments(numbers, least, tile)
-                if len(own):
-                    rows.append(row)
-                    sizes.append(len(numbers))
-                    found.append([dict(zip(("start", "end", "period"), r)) for r in own.tolist()])
-            kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("key", "id", "t")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(found, kind)], ["key", "id", "t", "n_words", "fragments"])
+            for first, texts in _texts(batch.column("t")):
+                own = [(first + k, n, [dict(zip(("start", "end", "period"), r)) for r in found.tolist()]) for k, n, found in fragments_of(texts, least, tile) if len(found)]
+                rows, sizes, found = zip(*own) if own else ([], [], [])
+                kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("key", "id", "t")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(found, kind)], ["key", "id", "t", "n_words", "fragments"])
 
     return run
 
@@ -213,7 +227,7 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words go if a run contains them after its first period."""
     for batch in batches:
         texts, runs, sizes = [], batch.column("runs"), np.asarray(batch.column("n_words"))
-        for _, row, raw in _texts([batch]):
+        for row, raw in ((first + k, raw) for first, part in _texts(batch.column("t")) for k, raw in enumerate(part)):
             own = runs[row].values
             start, length, period = (np.asarray(own.field(c)) for c in ("start", "length", "period"))
             step = np.zeros(sizes[row] + 1, np.int64)
