@@ -1,6 +1,7 @@
 """Metrics on hand cases and against step-by-step models."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,24 @@ def test_rouge_l(spark):
         assert got[k] == pytest.approx(want), k
 
 
+def test_common_subsequences_by_kept_rows():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd"[:rng.randint(1, 4)]) for _ in range(rng.randrange(40))] for _ in range(2))
+        assert M.lcs_positions(a, b) == sorted(lcs_positions(a, b))
+
+
+def test_long_sentences_in_linear_space():
+    rng = random.Random(7)
+    a, b = ([str(rng.randrange(2000)) for _ in range(50_000)] for _ in range(2))
+    tracemalloc.start()
+    found = M.lcs_positions(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rest = iter(b)
+    assert peak < 100 << 20 and all(a[i] in rest for i in found) and len(found) > 1500
+
+
 def test_best_choice_first_wins_and_padding_loses(spark):
     df = spark.createDataFrame([(1, 0, 2.0), (1, 1, 2.0), (2, 0, -1.0), (2, 1, 5.0)], "k int, choice int, score double")
     rows = {r["k"]: r["prediction"] for r in M.best_choice(df, ["k"], valid=~((F.col("k") == 2) & (F.col("choice") == 1))).collect()}

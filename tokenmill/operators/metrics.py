@@ -6,14 +6,14 @@ averages combine before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import accumulate
+from math import isqrt
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from tokenmill.functions import arrays as A
 from tokenmill.functions.text import normalize_answer, split_words
@@ -148,61 +148,71 @@ def rouge_n(df: DataFrame, keys: Sequence[str], prediction: str, reference: str,
     return bags.select(*keys, f1_of_overlap(F.col("matched"), F.col("n_left"), F.col("n_right")).alias("rouge"))
 
 
-def _union_lcs_udf():
-    """Arrow UDF for the part of ROUGE-L that no built-in expresses; the functions travel to the workers with the query."""
-
-    def positions(a: np.ndarray, b: np.ndarray) -> set[int]:
-        """Positions in `a` of one longest common subsequence with `b`, walking back from the ends, shortening `a` on a tie."""
-        if not len(a) or not len(b):
-            return set()
-        table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-        for i, x in enumerate(a):
-            stepped = np.where(b == x, table[i, :-1] + 1, 0)
-            table[i + 1, 1:] = np.maximum.accumulate(np.maximum(stepped, table[i, 1:]))
-        found, i, j = set(), len(a), len(b)
-        while i and j:
-            if a[i - 1] == b[j - 1]:
-                found.add(i - 1)
-                i, j = i - 1, j - 1
-            elif table[i, j - 1] > table[i - 1, j]:
-                j -= 1
-            else:
-                i -= 1
-        return found
-
-    def hits(target, prediction) -> int:
-        """Tokens of the target sentences inside the union of their common subsequences with all predicted sentences,
-        each token at most as often as it occurs on either side."""
-        numbers: dict[str, int] = {}
-        left, right = ([np.array([numbers.setdefault(w, len(numbers)) for w in s.split()], dtype=np.int64) for s in side] for side in (target, prediction))
-        left, right = list(left), list(right)
-        size = max(len(numbers), 1)
-        counts = [sum((np.bincount(s, minlength=size) for s in side), np.zeros(size, dtype=np.int64)) for side in (left, right)]
-        budget, total = np.minimum(*counts), 0
-        for sentence in left:
-            covered = set().union(*[positions(sentence, other) for other in right]) if right else set()
-            for position in sorted(covered):
-                if budget[sentence[position]] > 0:
-                    budget[sentence[position]] -= 1
-                    total += 1
-        return total
-
-    def batch(targets: pd.Series, predictions: pd.Series) -> pd.Series:
-        return pd.Series([hits(a, b) for a, b in zip(targets, predictions)], dtype="int64")
-
-    return F.pandas_udf(batch, LongType())
+def lcs_positions(a: Sequence[str], b: Sequence[str]) -> list[int]:
+    """Positions in `a` of one longest common subsequence with `b`, walking back from the ends, shortening `a` on a tie.
+
+    A row of the table of lengths is one whole number with a bit for each place of `b`, zero where the length grows. Only every
+    k-th row is kept, k about the root of the number of rows; the rows between two kept ones are made again for the walk back.
+    """
+    places: dict[str, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+
+    def below(row: int, x: str) -> int:
+        met = row & places.get(x, 0)
+        return (row + met | row - met) & full
+
+    step, row, kept = isqrt(len(a)) + 1, full, [full]
+    for i, x in enumerate(a, 1):
+        row = below(row, x)
+        if i % step == 0:
+            kept.append(row)
+    length = lambda row, j: j - (row & (1 << j) - 1).bit_count()
+    i, j, first, rows, found = len(a), len(b), len(a) + 1, [], []
+    while i and j:
+        if i - 1 < first:
+            first = (i - 1) // step * step
+            rows = list(accumulate(a[first:first + step], below, initial=kept[first // step]))
+        if a[i - 1] == b[j - 1]:
+            found.append(i - 1)
+            i, j = i - 1, j - 1
+        elif length(rows[i - first], j - 1) > length(rows[i - first - 1], j):
+            j -= 1
+        else:
+            i -= 1
+    return found[::-1]
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The positions of `a` that are common with `b`, for a batch of sentence pairs."""
+    for batch in batches:
+        pairs = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+        found = [[{"at": i, "token": a[i]} for i in lcs_positions(a, b)] for a, b in pairs]
+        column = pa.array(found, pa.list_(pa.struct([("at", pa.int64()), ("token", pa.string())])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("a", "b")), column], [*(c for c in batch.schema.names if c not in ("a", "b")), "met"])
 
 
 def rouge_l(df: DataFrame, keys: Sequence[str], prediction: Column, reference: Column) -> DataFrame:
-    """Summary-level longest-common-subsequence F1 per key over arrays of sentences.
+    """Summary-level longest-common-subsequence F1 per key (unique) over arrays of sentences.
 
-    The union of common subsequences runs over the prediction's sentences.
+    Every pair of sentences is a row. A predicted sentence's common tokens are the union over the reference's sentences; a
+    token counts at most as often as the reference has it.
     """
-    clean = lambda array: F.filter(F.transform(array, lambda s: F.array_join(rouge_tokens(s), " ")), lambda s: s != "")
-    df = df.select(*keys, clean(prediction).alias("p"), clean(reference).alias("r"))
-    size = lambda c: F.aggregate(c, F.lit(0), lambda acc, s: acc + F.size(F.split(s, " ")))
-    df = df.withColumn("hits", _union_lcs_udf()("p", "r"))
-    return df.select(*keys, f1_of_overlap(F.col("hits"), size("p"), size("r")).alias("rouge"))
+    clean = lambda array: F.filter(F.transform(array, rouge_tokens), lambda s: F.size(s) > 0)
+    sides = df.select(*keys, clean(prediction).alias("p"), clean(reference).alias("r"))
+    none, zero = F.lit(None).cast("string").alias("token"), F.lit(0).cast("bigint")
+    sizes = sides.select(*keys, none, zero.alias("met"), zero.alias("held"), F.size(F.flatten("p")).cast("bigint").alias("n_p"), F.size(F.flatten("r")).cast("bigint").alias("n_r"))
+    held = sides.select(*keys, F.explode(F.flatten("r")).alias("token")).select("*", zero.alias("met"), F.lit(1).cast("bigint").alias("held"), zero.alias("n_p"), zero.alias("n_r"))
+    pairs = sides.select(*keys, F.posexplode("p").alias("__i", "a"), "r").select(*keys, "__i", "a", F.explode("r").alias("b"))
+    head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    common = pairs.mapInArrow(_common, f"{head}, __i int, met array<struct<at:bigint,token:string>>")
+    common = common.select(*keys, "__i", F.explode("met").alias("m")).select(*keys, "__i", "m.at", "m.token").distinct()
+    met = common.select(*keys, "token", F.lit(1).cast("bigint").alias("met"), zero.alias("held"), zero.alias("n_p"), zero.alias("n_r"))
+    totals = ("met", "held", "n_p", "n_r")
+    tokens = sizes.unionByName(held).unionByName(met).groupBy(*keys, "token").agg(*[F.sum(c).alias(c) for c in totals])
+    found = tokens.groupBy(*keys).agg(F.sum(F.least("met", "held")).alias("hits"), F.sum("n_p").alias("n_p"), F.sum("n_r").alias("n_r"))
+    return found.select(*keys, f1_of_overlap(F.col("hits"), F.col("n_p"), F.col("n_r")).alias("rouge"))
 
 
 def corpus_bleu(df: DataFrame, key: str, hypothesis: Column, references: Column, lower: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from tokenmill.functions import text as T
 from tokenmill.operators import metrics as M
 from tokenmill.plans.registry import query
 from tokenmill.plans.sqltext import words
+from tokenmill.plans.vocab import SENTENCES_SQL
 
 # A score for every component of a vector; the prediction is the highest one.
 SCORES = """scores AS (SELECT vec_id, label, unnest(range(len(embedding)))::INTEGER AS choice, unnest(embedding)::DOUBLE AS score FROM embeddings),
@@ -181,7 +182,27 @@ def _(t):
     return _round(M.rouge_n(_pairs(t), ["conv_id", "turn"], "prediction", "reference", 2))
 
 
-@query("agg12_rouge_l")
+# A row of the table of common lengths is a number of up to 127 bits here; the walk back is a second recursion.
+_SIDE_SQL = "list_filter(list_transform({}, lambda s: regexp_extract_all(lower(s), '[a-z0-9]+')), lambda ws: len(ws) > 0)"
+ROUGE_L_SQL = f"""WITH RECURSIVE {PAIRS},
+    sides AS (SELECT conv_id, turn, {_SIDE_SQL.format(SENTENCES_SQL.format("prediction"))} AS p, {_SIDE_SQL.format(SENTENCES_SQL.format("reference"))} AS r FROM pairs),
+    ps AS (SELECT conv_id, turn, r, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS a FROM sides),
+    met AS (SELECT conv_id, turn, i, a, unnest(range(1, len(r) + 1)) AS k, unnest(r) AS b FROM ps),
+    rows AS (SELECT conv_id, turn, i, k, a, b, 0 AS n, [(1::HUGEINT << len(b)) - 1] AS vs FROM met
+      UNION ALL SELECT conv_id, turn, i, k, a, b, n + 1, list_append(vs, ((v + (v & m)) | (v & xor(m, o))) & o) FROM (
+        SELECT *, vs[n + 1] AS v, (1::HUGEINT << len(b)) - 1 AS o, list_sum(list_transform(range(len(b)), lambda j: CASE WHEN b[j + 1] = a[n + 1] THEN 1::HUGEINT << j ELSE 0::HUGEINT END))::HUGEINT AS m
+        FROM rows WHERE n < len(a))),
+    walk AS (SELECT conv_id, turn, i, k, a, b, vs, len(a) AS x, len(b) AS y, []::BIGINT[] AS found FROM rows WHERE n = len(a)
+      UNION ALL SELECT conv_id, turn, i, k, a, b, vs, CASE WHEN same OR NOT back THEN x - 1 ELSE x END, CASE WHEN same OR back THEN y - 1 ELSE y END, CASE WHEN same THEN list_append(found, x) ELSE found END FROM (
+        SELECT *, a[x] = b[y] AS same, y - 1 - bit_count(vs[x + 1] & ((1::HUGEINT << (y - 1)) - 1)) > y - bit_count(vs[x] & ((1::HUGEINT << y) - 1)) AS back FROM walk WHERE x > 0 AND y > 0)),
+    covered AS (SELECT DISTINCT conv_id, turn, i, pos, a[pos] AS token FROM (SELECT conv_id, turn, i, a, unnest(found) AS pos FROM walk WHERE x = 0 OR y = 0)),
+    c AS (SELECT conv_id, turn, token, count(*) AS c FROM covered GROUP BY ALL),
+    h AS (SELECT conv_id, turn, token, count(*) AS h FROM (SELECT conv_id, turn, unnest(flatten(r)) AS token FROM sides) GROUP BY ALL),
+    hits AS (SELECT conv_id, turn, sum(least(c, h)) AS hits FROM c JOIN h USING (conv_id, turn, token) GROUP BY ALL)
+    SELECT conv_id, turn, round(CASE WHEN hits IS NULL THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * hits / (len(flatten(p)) + len(flatten(r))) END, 6) AS rouge FROM sides LEFT JOIN hits USING (conv_id, turn)"""
+
+
+@query("agg12_rouge_l", ROUGE_L_SQL)
 def _(t):
     df = M.rouge_l(_pairs(t), ["conv_id", "turn"], T.sentences(F.col("prediction")), T.sentences(F.col("reference")))
     return _round(df)
@@ -189,7 +210,7 @@ def _(t):
 
 def _bleu_sql():
     grams = lambda c: f"flatten(list_transform([1, 2, 3, 4], lambda n: list_transform(range(greatest(len({c}) - n + 1, 0)), lambda i: n || ' ' || array_to_string({c}[i + 1 : i + n], ' '))))"
-    return f"""WITH {PAIRS}, ws AS (SELECT conv_id * 1000 + turn AS id, {words("lower(prediction)")} AS h, {words("lower(reference)")} AS r1 FROM pairs),
+    return f"""WITH {PAIRS}, ws AS (SELECT conv_id || ':' || turn AS id, {words("lower(prediction)")} AS h, {words("lower(reference)")} AS r1 FROM pairs),
     three AS (SELECT id, h, r1, h[4:] AS r2 FROM ws),
     g AS (SELECT id, -1 AS ref, unnest({grams("h")}) AS g FROM three UNION ALL SELECT id, 0, unnest({grams("r1")}) FROM three UNION ALL SELECT id, 1, unnest({grams("r2")}) FROM three),
     c AS (SELECT id, ref, g, count(*) AS c FROM g GROUP BY ALL),
