@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import arrays as A
-from tokenmill.functions.hashing import hash_hex
+from tokenmill.functions.hashing import hash_below
 from tokenmill.functions.text import clean_review, clean_spaces, highlights_as_list, split_words, standardize_punctuation
 
 WSC_CANDIDATES = 9  # candidates per training row
@@ -183,14 +183,18 @@ def cause_and_effect_layout_text(examples: DataFrame) -> DataFrame:
 
 
 def answer_sentences(raw: DataFrame, set_type: str, carry: Callable[[Column], Column] = _whole) -> DataFrame:
-    """Passage, question and one answer per row."""
-    passages = raw.select("idx", carry(_std("passage.text")).alias("text"), "passage.questions")
-    questions = passages.select("idx", "text", F.explode("questions").alias("q"))
-    answers = questions.select("idx", "text", "q", F.explode("q.answers").alias("a"))
-    meta = F.struct(F.col("idx").alias("passage_idx"), F.col("q.idx").alias("question_idx"), F.col("a.idx").alias("answer_idx"), _std("a.text").alias("answer"))
-    guid = F.format_string(f"{set_type}-p%d-q%d-a%d", F.col("idx"), F.col("q.idx"), F.col("a.idx"))
-    idx = F.concat_ws(",", F.col("idx").cast("string"), F.col("q.idx").cast("string"), F.col("a.idx").cast("string"))
-    return answers.select(_example(guid, F.col("text"), _std("q.question"), F.col("a.label"), idx, meta=meta))
+    """Passage, question and one answer per row. Questions are put in form before the rows of their answers are made."""
+
+    def rows(q: Column) -> Column:
+        return A.let(_std(q["question"]), lambda question: F.transform(q["answers"], lambda a: F.struct(
+            q["idx"].alias("q"), question.alias("question"), a["idx"].alias("a"), a["label"].alias("label"), _std(a["text"]).alias("answer"))))
+
+    passages = raw.select("idx", carry(_std("passage.text")).alias("text"), F.flatten(F.transform("passage.questions", rows)).alias("rows"))  # the text once, before its rows
+    answers = passages.select("idx", "text", F.explode("rows").alias("r")).select("idx", "text", "r.*")
+    meta = F.struct(F.col("idx").alias("passage_idx"), F.col("q").alias("question_idx"), F.col("a").alias("answer_idx"), "answer")
+    guid = F.format_string(f"{set_type}-p%d-q%d-a%d", F.col("idx"), F.col("q"), F.col("a"))
+    idx = F.concat_ws(",", *[F.col(c).cast("string") for c in ("idx", "q", "a")])
+    return answers.select(_example(guid, F.col("text"), F.col("question"), F.col("label"), idx, meta=meta))
 
 
 def answer_sentences_text(examples: DataFrame) -> DataFrame:
@@ -208,23 +212,52 @@ def reading_choice(raw: DataFrame, set_type: str, carry: Callable[[Column], Colu
     return rows.select(_example(guid, F.col("text"), F.col("q.questions"), F.col("q.answers"), idx, meta=meta))
 
 
+def _distinct_below(count: int, bound: Column, seed: str | int, *keys: Column | str) -> Column:
+    """`count` distinct numbers below `bound` (more than `count`), every set of them equally likely (Floyd's draws)."""
+    none = F.array().cast("array<bigint>")
+
+    def step(chosen: Column, i: Column) -> Column:
+        last = bound - count + i
+        return A.let(hash_below(last, seed, *keys, i), lambda t: F.array_append(chosen, F.when(F.array_contains(chosen, t), last - 1).otherwise(t).cast("bigint")))
+
+    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(count).cast("bigint")), none, step)
+
+
+def _wrong_entities(entities: Column, answers: Column, count: int, *keys: Column | str, seed: str | int) -> Column:
+    """Up to `count` random entities that are no answer. Places are drawn, so entities are neither copied nor sorted for a question."""
+
+    def pick(found: Column) -> Column:
+        size = (F.size(entities) - F.size(found)).cast("bigint")
+        skip = lambda k: F.aggregate(found, k, lambda at, p: F.when(at >= p - 1, at + 1).otherwise(at))
+        drawn = F.transform(_distinct_below(count, size, seed, *keys), lambda k: F.get(entities, skip(k).cast("int")))
+        return F.when(size > count, drawn).otherwise(F.array_except(entities, answers))
+
+    return A.let(F.array_sort(F.filter(F.transform(answers, lambda a: F.array_position(entities, a)), lambda p: p > 0)), pick)
+
+
 def entity_cloze(raw: DataFrame, set_type: str, seed: str | int = 42, carry: Callable[[Column], Column] = _whole) -> DataFrame:
     """Entity cloze. Training: a row per answer with up to nine random wrong entities; else one row with all candidates."""
     df = raw.withColumn("__text", _std("passage.text"))
-    entities = F.array_sort(F.array_distinct(F.transform("passage.entities", lambda e: _std(F.col("__text").substr(e["start"] + 1, e["end"] - e["start"] + 1)))))
-    df = df.select("idx", carry(highlights_as_list(F.col("__text"))).alias("text"), entities.alias("entities"), "qas")
-    df = df.select("idx", "text", "entities", F.explode("qas").alias("q"))
-    answers = F.array_sort(F.array_distinct(F.transform(F.coalesce("q.answers", F.array().cast("array<struct<text:string>>")), lambda a: _std(a["text"]))))
-    df = df.select("idx", "text", "entities", F.col("q.idx").alias("q_idx"), _std("q.query").alias("question"), answers.alias("answers"))
+    chars = F.filter(F.split("__text", ""), lambda c: c != "")
+    spans = A.let(chars, lambda cs: F.transform("passage.entities", lambda e: _std(F.array_join(A.take(cs, e["start"], e["end"] - e["start"] + 1), ""))))
+    df = df.select("idx", carry(highlights_as_list(F.col("__text"))).alias("text"), F.array_sort(F.array_distinct(spans)).alias("entities"), "qas")
+    answers = lambda q: F.array_sort(F.array_distinct(F.transform(F.coalesce(q["answers"], F.array().cast("array<struct<text:string>>")), lambda a: _std(a["text"]))))
     base = F.format_string(f"{set_type}-p%d-q%d", F.col("idx"), F.col("q_idx"))
     if set_type != "train":
+        questions = F.transform("qas", lambda q: F.struct(q["idx"].alias("q_idx"), _std(q["query"]).alias("question"), answers(q).alias("answers")))
+        rows = df.select("idx", "text", "entities", F.explode(questions).alias("r")).select("idx", "text", "entities", "r.*")
         meta = F.struct(F.col("idx").alias("passage_idx"), F.col("q_idx").alias("question_idx"), F.col("entities").alias("candidates"), "answers")
-        return df.select(_example(base, F.col("text"), F.col("question"), F.lit("1"), F.col("q_idx"), F.size("entities"), meta))
-    rows = df.select("*", F.array_except("entities", "answers").alias("wrong"), F.posexplode("answers").alias("a_no", "answer"))
-    shuffled = F.transform(
-        F.array_sort(F.transform("wrong", lambda e: F.struct(hash_hex(seed, "idx", "q_idx", "a_no", e).alias("h"), e.alias("e")))), lambda x: x["e"])
-    chosen = F.when(F.size("wrong") > RECORD_CANDIDATES - 1, A.head(shuffled, RECORD_CANDIDATES - 1)).otherwise(F.col("wrong"))
-    rows = rows.withColumn("candidates", F.concat(F.array("answer"), chosen))
+        return rows.select(_example(base, F.col("text"), F.col("question"), F.lit("1"), F.col("q_idx"), F.size("entities"), meta))
+
+    def per_answer(q: Column) -> Column:
+        def row(own: Column, question: Column) -> Column:
+            return F.transform(own, lambda answer, a_no: F.struct(
+                q["idx"].alias("q_idx"), question.alias("question"), a_no.alias("a_no"), answer.alias("answer"),
+                F.concat(F.array(answer), _wrong_entities(F.col("entities"), own, RECORD_CANDIDATES - 1, F.col("idx"), q["idx"], a_no, seed=seed)).alias("candidates")))
+
+        return A.let(answers(q), lambda own: A.let(_std(q["query"]), lambda question: row(own, question)))
+
+    rows = df.select("idx", "text", F.explode(F.flatten(F.transform("qas", per_answer))).alias("r")).select("idx", "text", "r.*")
     meta = F.struct(F.col("idx").alias("passage_idx"), F.col("q_idx").alias("question_idx"), "candidates", F.array("answer").alias("answers"))
     guid = F.concat(base, F.lit("-a"), F.col("a_no").cast("string"))
     idx = F.concat_ws(",", F.col("idx").cast("string"), F.col("q_idx").cast("string"), F.col("a_no").cast("string"))

@@ -12,6 +12,7 @@ from tokenmill.operators.vocab import encode_chars
 from tokenmill.plans.registry import query
 from tokenmill.plans.sequences import _show
 from tokenmill.plans.sqltext import codes, joined, words
+from tokenmill.plans.tasks import word_spans
 from tokenmill.plans.vocab import TOP_SQL, VOCAB_SIZE, _vocab
 
 SP = special_tokens()
@@ -21,7 +22,7 @@ EXAMPLES = f"""ex AS (SELECT doc_id AS guid, 'Source: ' || source || '. ' || tex
   lang || ' ' || source || '.' AS choice1, string_split(text, chr(10))[1] AS choice2, {words("'Source: ' || source || '. ' || text")} AS ws FROM documents)"""
 
 
-def _examples(t, text_b=None, pronoun_at=1):
+def _examples(t, text_b=None):
     line = F.split("text", "\n")[0]
     text = F.concat(F.lit("Source: "), "source", F.lit(". "), "text")
     ws = T.split_words(F.col("text"))
@@ -30,13 +31,23 @@ def _examples(t, text_b=None, pronoun_at=1):
         F.when(F.col("doc_id") % 2 == 0, "cause").otherwise("effect").alias("question"),
         F.col("lang").alias("word"), F.col("source").alias("answer"),
         F.substring(text, 1, 3).alias("span1_text"), F.lit(0).alias("span1_index"), F.lit(3).alias("span1_length"),
-        F.substring(text, 11, 2).alias("span2_text"), F.lit(pronoun_at).alias("span2_index"), F.lit(2).alias("span2_length"),
+        F.substring(text, 11, 2).alias("span2_text"), F.lit(1).alias("span2_index"), F.lit(2).alias("span2_length"),
         ws.alias("candidates"), ws.alias("choices"),
     )
     return t.documents.select(
         F.col("doc_id").alias("guid"), text.alias("text_a"), (line if text_b is None else text_b(line)).alias("text_b"), "lang", "source", "doc_id", meta.alias("meta"))
 
 
+def _examples_by_character(t):
+    """The text has single spaces; the target and the pronoun are two of its words."""
+    df = _examples(t).withColumn("w", T.split_words(F.col("text_a"))).withColumn("text_a", F.array_join("w", " "))
+    spans = word_spans("w", F.col("doc_id"))
+    meta = F.col("meta").withField("span1_length", F.length(spans["span1_text"])).withField("span2_length", F.length(spans["span2_text"]))
+    for name in ("span1_text", "span1_index", "span2_text", "span2_index"):
+        meta = meta.withField(name, spans[name])
+    return df.withColumn("meta", meta).drop("w")
+
+
 BARE = "regexp_replace({}, '[[:punct:]]+$', '')"
 LOWER = "(lower(substr({0}, 1, 1)) || substr({0}, 2))"
 BARE_LOWER = BARE.format(LOWER)
@@ -44,6 +55,7 @@ RSTRIP = "rtrim({}, ' ' || chr(10))"
 QUESTION = BARE.format(RSTRIP.format("text_b"))
 MARKED = "array_to_string(list_transform(ws, lambda w, i: CASE WHEN i = 2 THEN '*' || w || '*' ELSE w END), ' ')"
 PRONOUN = "substr(text_a, 11, 2)"
+SPAN_1, SPAN_2 = "(doc_id % len(ws) + 1)", "((7 * doc_id + 3) % len(ws) + 1)"
 # SQL of every template field, by task.
 FIELDS_SQL = {
     "copa": {
@@ -76,12 +88,12 @@ FIELDS_SQL = {
     "qnli": {"b": "text_b", "spaced_b": "' ' || text_b", "question": "' ' || " + BARE.format("text_a")},
     "squad": {"a": "text_a", "question": "' ' || text_b"},
     "cluewsc": {
-        "text": "'#' || substr(text_a, 1, 3) || '#' || substr(text_a, 4, 7) || '*' || substr(text_a, 11, 2) || '*' || substr(text_a, 13)",
-        "pronoun": f"'代词''*' || {PRONOUN} || '*'''", "is": "'指#' || substr(text_a, 1, 3) || '#.'", "is_quoted": "'指''#' || substr(text_a, 1, 3) || '#''.'",
+        "text": f"array_to_string(list_transform(ws, lambda w, k: CASE WHEN k = {SPAN_1} THEN '#' ELSE '' END || CASE WHEN k = {SPAN_2} THEN '*' || w || '*' ELSE w END || CASE WHEN k = {SPAN_1} THEN '#' ELSE '' END), ' ')",
+        "pronoun": f"'代词''*' || ws[{SPAN_2}] || '*'''", "is": f"'指#' || ws[{SPAN_1}] || '#.'", "is_quoted": f"'指''#' || ws[{SPAN_1}] || '#''.'",
     },
     "qa-cn": {"a": "text_a", "told": "'根据以下信息：' || text_a", "asked": "'请问，' || text_b"},
 }
-# The pronoun is the second word (wsc) or the characters 11 and 12 (cluewsc).
+# The pronoun is the second word (wsc) or any word (cluewsc).
 FIELDS_SQL["cb"] = FIELDS_SQL["rte"]
 FIELDS_SQL["qqp"] = FIELDS_SQL["mrpc"]
 for _name in ("agnews", "yahoo", "tnews", "afqmc", "yelp-polarity", "yelp-full", "xstance", "sst2", "cola"):
@@ -122,7 +134,7 @@ def _register(number, task, text_b=None, where="", text_b_sql=None):
     @query(f"prm{number:02d}_{task.replace('-', '_')}", sql)
     def plan(t):
         picked = F.element_at(F.array(*map(F.lit, labels)), (F.col("doc_id") % len(labels) + 1).cast("int")) if labels else F.lit(None).cast("string")
-        examples = _examples(t, text_b, 10 if task == "cluewsc" else 1).withColumn("label", picked)
+        examples = (_examples_by_character(t) if task == "cluewsc" else _examples(t, text_b)).withColumn("label", picked)
         df = P.render(examples, task, keep=["guid", "label"])
         return df.select(
             "guid", "pattern_id", P.side_text(F.col("parts"), "a").alias("side_a"), P.side_text(F.col("parts"), "b").alias("side_b"),

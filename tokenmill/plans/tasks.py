@@ -8,7 +8,7 @@ from tokenmill.operators import examples as E
 from tokenmill.operators.vocab import encode_chars
 from tokenmill.plans.registry import query
 from tokenmill.plans.sequences import _show
-from tokenmill.plans.sqltext import codes, h_hex, joined, words
+from tokenmill.plans.sqltext import codes, h_below, joined, words
 
 STD = "translate({}, '“”’‘–', '\"\"''''-')"
 # The pieces of a document that stand for the fields of a benchmark row.
@@ -163,23 +163,20 @@ def _(t):
     df = E.TASKS["race"].build(raw, "train", carry=F.md5)
     return df.select("*", F.array_join("meta.choices", "|").alias("choices")).drop("meta")
 
-# Entities are four characters at every fiftieth place; the answers of a question are two of them.
-RECORD = f"""{BASE}, spots AS (SELECT doc_id, text, ls, list_transform(range(0, length(text), 50), lambda s: substr(text, s + 1, 4)) AS raw FROM base WHERE text <> ''),
+# Entities are the words of the text, which has single spaces; the answers of a question are two of them.
+RECORD = f"""{BASE}, spots AS (SELECT doc_id, array_to_string(ws, ' ') AS text, ls, ws AS raw FROM base WHERE len(ws) > 0),
 ents AS (SELECT *, list_sort(list_distinct(raw)) AS ents FROM spots),
 qs AS (SELECT *, unnest(range(len(ls)))::INTEGER AS q, unnest(ls) AS question FROM ents),
 ans AS (SELECT *, list_sort(list_distinct([raw[q % len(raw) + 1], raw[(q + 7) % len(raw) + 1]])) AS ans FROM qs)"""
 
 def _record(t):
-    starts = F.expr("sequence(0, length(text) - 1, 50)")
-    spots = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + 3).alias("end"), F.col("text").substr(s + 1, F.lit(4)).alias("text")))
-
-    def questions(v):
-        at = lambda k: F.struct(v[k % F.size(v)]["text"].alias("text"))
-        return F.transform("ls", lambda line, i: F.struct(i.alias("idx"), line.alias("query"), F.array(at(i), at(i + 7)).alias("answers")))
-
-    both = A.let(spots, lambda v: F.struct(F.transform(v, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("entities"), questions(v).alias("qas")))
-    rows = _base(t).filter("text <> ''").select("doc_id", "text", both.alias("b"))
-    return rows.select(F.col("doc_id").alias("idx"), F.struct("text", "b.entities").alias("passage"), "b.qas")
+    text = F.array_join("ws", " ")
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    starts = A.let(chars, lambda cs: F.filter(A.indices(cs), lambda i: (i == 0) | (F.get(cs, i - 1) == " ")))
+    entities = F.zip_with(starts, "ws", lambda s, w: F.struct(s.alias("start"), (s + F.length(w) - 1).alias("end")))
+    at = lambda k: F.struct(F.get("ws", (k % F.size("ws")).cast("int")).alias("text"))
+    qas = F.transform("ls", lambda line, i: F.struct(i.alias("idx"), line.alias("query"), F.array(at(i), at(i + 7)).alias("answers")))
+    return _base(t).filter(F.size("ws") > 0).select(F.col("doc_id").alias("idx"), F.struct(text.alias("text"), entities.alias("entities")).alias("passage"), qas.alias("qas"))
 
 
 def _record_flat(df):
@@ -190,7 +187,9 @@ def _record_flat(df):
     "tsk09_entity_cloze_train",
     f"""WITH {RECORD}, a AS (SELECT *, unnest(range(len(ans)))::INTEGER AS k, unnest(ans) AS answer FROM ans),
     wrong AS (SELECT *, list_filter(ents, lambda e: NOT list_contains(ans, e)) AS w FROM a),
-    cands AS (SELECT *, CASE WHEN len(w) > 9 THEN list_transform(list_sort(list_transform(w, lambda e: {{'h': {h_hex(42, "doc_id", "q", "k", "e")}, 'e': e}}))[1:9], lambda x: x.e) ELSE w END AS c FROM wrong)
+    drawn AS (SELECT *, list_reduce(list_prepend([]::BIGINT[], list_transform(range(1, 10), lambda i: [{h_below("len(w) - 9 + i", 42, "doc_id", "q", "k", "i")}, len(w) - 10 + i])),
+      lambda acc, x: list_append(acc, CASE WHEN list_contains(acc, x[1]) THEN x[2] ELSE x[1] END)) AS places FROM wrong WHERE len(w) > 9),
+    cands AS (SELECT doc_id, text, q, k, question, answer, list_transform(places, lambda p: w[p + 1]) AS c FROM drawn UNION ALL SELECT doc_id, text, q, k, question, answer, w FROM wrong WHERE len(w) <= 9)
     SELECT 'train-p' || doc_id || '-q' || q || '-a' || k AS guid, md5(replace(text, '@highlight' || chr(10), '- ')) AS text_a, question AS text_b, '0' AS label, doc_id || ',' || q || ',' || k AS idx,
       (len(c) + 1)::INTEGER AS num_choices, array_to_string([answer] || c, '|') AS candidates, answer AS answers FROM cands""",
 )
@@ -254,16 +253,25 @@ def _(t):
     raw = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("question"), F.col("text").alias("comment"), F.col("lang").alias("language"), F.col("lang").alias("label"))
     return E.TASKS["xstance-fr"].build(raw, "train").groupBy(F.col("label").alias("lang")).agg(F.count("*").alias("n"))
 
+# The spans are two words of the text, which has single spaces.
+SPANS = f"""spans AS (SELECT *, array_to_string(ws, ' ') AS text, doc_id % len(ws) AS i, (7 * doc_id + 3) % len(ws) AS j FROM (SELECT doc_id, lang, {words("text")} AS ws FROM documents) WHERE len(ws) > 0),
+placed AS (SELECT *, length(array_to_string(ws[1:i], ' ')) + (i > 0)::INT AS at1, length(array_to_string(ws[1:j], ' ')) + (j > 0)::INT AS at2, ws[i + 1] AS span1, ws[j + 1] AS span2 FROM spans)"""
+
+def word_spans(ws, number):
+    """Two words of a text that a number picks, with their places among the characters of the words joined by spaces."""
+    n = F.size(ws)
+    i, j = ((k % n).cast("int") for k in (number, 7 * number + 3))
+    start = lambda k: F.length(F.array_join(A.head(F.col(ws), k), " ")) + (k > 0).cast("int")
+    return F.struct(F.get(ws, i).alias("span1_text"), start(i).alias("span1_index"), F.get(ws, j).alias("span2_text"), start(j).alias("span2_index"))
+
 def _cluewsc(t):
-    target = F.struct(
-        F.substring("text", 1, 3).alias("span1_text"), F.lit(0).alias("span1_index"),
-        F.expr("substring(text, 11, 2)").alias("span2_text"), F.lit(10).alias("span2_index"))
-    return t.documents.filter("length(text) >= 20").select(F.col("doc_id").alias("id"), "text", target.alias("target"), F.col("lang").alias("label"))
+    ws = t.documents.select("doc_id", "lang", T.split_words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    return ws.select(F.col("doc_id").alias("id"), F.array_join("ws", " ").alias("text"), word_spans("ws", F.col("doc_id")).alias("target"), F.col("lang").alias("label"))
 
 @query(
     "tsk22_pronoun_by_character",
-    "SELECT 'dev-' || doc_id AS guid, text AS text_a, '0' AS text_b, lang AS label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices, substr(text, 1, 3) AS span1_text, substr(text, 11, 2) AS span2_text, "
-    "0 AS span1_index, 10 AS span2_index, 3 AS span1_length, 2 AS span2_length FROM documents WHERE length(text) >= 20",
+    f"WITH {SPANS} SELECT 'dev-' || doc_id AS guid, text AS text_a, at1::VARCHAR AS text_b, lang AS label, doc_id::VARCHAR AS idx, 1::INTEGER AS num_choices, span1 AS span1_text, span2 AS span2_text, "
+    "at1::INTEGER AS span1_index, at2::INTEGER AS span2_index, length(span1)::INTEGER AS span1_length, length(span2)::INTEGER AS span2_length FROM placed",
 )
 def _(t):
     return E.TASKS["cluewsc"].build(_cluewsc(t), "dev").select("*", "meta.*").drop("meta")
