@@ -1,6 +1,7 @@
 """Metrics on hand cases and against step-by-step models."""
 
 import random
+import statistics
 import tracemalloc
 
 import pytest
@@ -116,3 +117,19 @@ def test_best_choice_first_wins_and_padding_loses(spark):
 def test_best_evaluation_keeps_the_first_maximum(spark):
     df = spark.createDataFrame([("r", 1, 0.5), ("r", 2, 0.9), ("r", 3, 0.9)], "run string, epoch int, acc double")
     assert M.best_evaluation(df, ["run"], "acc").first()["epoch"] == 2
+
+
+def test_medians_by_ranks(spark):
+    rng = random.Random(3)
+    rows = [(f"g{k % 4}", rng.choice([None, 0.5, rng.random()]), k) for k in range(403)] + [("one", 7.0, 1), ("none", None, 1)]
+    frame = spark.createDataFrame(rows, "g string, v double, run int").repartition(6)
+    got = {r["g"]: r["median"] for r in M.group_medians(frame, "g", "v", "run").collect()}
+    assert got == {g: statistics.median(vs) for g in {r[0] for r in rows} if (vs := [v for h, v, _ in rows if h == g and v is not None])}
+
+
+def test_run_summary(spark):
+    runs = spark.createDataFrame([(1, 0.5, 3.0), (2, 0.9, None), (3, 0.9, 1.0), (4, 0.1, 2.0)], "run int, acc double, f1 double")
+    got = {r["metric"]: tuple(r)[1:] for r in M.run_summary(runs, ["acc", "f1"], "run", "acc").collect()}
+    assert got["acc"] == (pytest.approx(0.6), pytest.approx(0.7), 0.9) and got["f1"] == (2.0, 2.0, 1.0)
+    plan = M.run_summary(runs, ["acc", "f1"], "run", "acc")._jdf.queryExecution().optimizedPlan().toString()
+    assert "median" not in plan.replace("AS median", "").replace("median#", "")

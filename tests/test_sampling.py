@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from draws import uniform
 from pyspark.sql import functions as F
 
 from tokenmill.operators import sampling as S
@@ -106,3 +107,22 @@ def test_scatter_partitions_rows(spark):
     rows = S.scatter(spark.range(103).withColumnRenamed("id", "doc_id"), ["doc_id"], 10).collect()
     sizes = Counter(r["shard"] for r in rows)
     assert len(rows) == 103 and max(sizes.values()) == 11 and len({r["doc_id"] for r in rows}) == 103
+
+
+def test_task_mix_with_many_tasks(spark):
+    """100,000 tasks, one of which holds a third of the rows."""
+    n = 100_000
+    tasks = spark.range(n).select(F.concat(F.lit("t"), F.lpad("id", 6, "0")).alias("task"), F.col("id").alias("row"))
+    big = spark.range(n // 2).select(F.lit("t050000").alias("task"), (F.col("id") + n).alias("row"))
+    weights = S.task_weights(tasks.union(big), "task", 0.5).orderBy("task").collect()
+    assert len(weights) == n and weights[0]["lo"] == 0
+    assert all(abs(w["hi"] - v["lo"]) < 1e-9 and abs(v["hi"] - v["lo"] - v["n"] ** 0.5) < 1e-6 for w, v in zip(weights, weights[1:]))
+    draws = spark.range(3000).withColumnRenamed("id", "draw")
+    drawn = S.mixed_task_draws(draws, "draw", tasks.union(big), "task", "row", "m", temperature=1.0).collect()
+    assert sorted(r["draw"] for r in drawn) == list(range(3000))
+    assert 800 < sum(r["task"] == "t050000" for r in drawn) < 1200
+    total = n + n // 2
+    for r in drawn:
+        u = uniform("m-task", r["draw"]) * total
+        want = int(u) if u < 50_000 else 50_000 if u < 50_001 + n // 2 else int(u) - n // 2
+        assert r["task"] == f"t{want:06d}" and (r["row"] == want if want != 50_000 else r["row"] == 50_000 or r["row"] >= n)

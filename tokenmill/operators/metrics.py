@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import arrays as A
 from tokenmill.functions.text import normalize_answer, split_words
+from tokenmill.operators.prefix import position
+from tokenmill.session import cut_lineage
 
 NOT_ANSWERABLE = "N/A"
 SMOOTHING = 1e-5  # fixed value of the smoothed token F1
@@ -303,12 +305,25 @@ def best_evaluation(evaluations: DataFrame, keys: Sequence[str], metric: str, ep
     return evaluations.groupBy(*keys).agg(top.alias("best")).select(*keys, "best.*")
 
 
+def group_medians(values: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+    """(group, median): the mean of the one or two middle values, by ranks of a sort over all partitions. Nulls don't count.
+
+    No buffer grows with a group: besides the sort there is one row for each group and range.
+    """
+    known = values.filter(F.col(value).isNotNull()).select(group, value, tie)
+    ranked = cut_lineage(position(known, [value, tie], "__rank", within=[group]))
+    sizes = known.groupBy(group).agg(F.count("*").alias("__n"))
+    middle = ranked.join(sizes, group).filter((F.col("__rank") == F.floor((F.col("__n") - 1) / 2)) | (F.col("__rank") == F.floor(F.col("__n") / 2)))
+    return middle.groupBy(group).agg(F.avg(value).alias("median"))
+
+
 def run_summary(results: DataFrame, metrics: Sequence[str], run: str, target: str) -> DataFrame:
     """Best run by `target`, and mean and median of every metric over all runs."""
     stacked = results.select(run, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x"), F.col(target).alias("__target"))
-    return stacked.groupBy("x.metric").agg(
-        F.avg("x.value").alias("mean"), F.median("x.value").alias("median"),
-        F.max_by("x.value", F.struct(F.col("__target"), F.col(run))).alias("at_best_run"))
+    stacked = stacked.select(run, "x.*", "__target")
+    summed = stacked.groupBy("metric").agg(F.avg("value").alias("mean"), F.max_by("value", F.struct(F.col("__target"), F.col(run))).alias("at_best_run"))
+    # Both sides have a row for each metric.
+    return summed.join(group_medians(stacked, "metric", "value", run), "metric", "left").select("metric", "mean", "median", "at_best_run")
 
 
 def _truth_rows(df: DataFrame) -> DataFrame:

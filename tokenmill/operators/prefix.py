@@ -18,11 +18,11 @@ from tokenmill.functions.hashing import hash_hex
 from tokenmill.session import cut_lineage
 
 
-def _running(df: DataFrame, keys: Sequence[str], value: Column, out: str, within: Sequence[str], first: Column | None = None) -> DataFrame:
+def _running(df: DataFrame, keys: Sequence[str], value: Column, out: str, within: Sequence[str], first: Column | None = None, kind: str = "bigint") -> DataFrame:
     """Sums in the order of `first` (if given) and the keys; a null group is a group."""
     groups, names = [f"__w{i}" for i in range(len(within))], [f"__k{i}" for i in range(len(keys))]
     aliased = [F.col(c).alias(n) for c, n in zip([*within, *keys], [*groups, *names])]
-    narrow = df.select(*aliased, value.cast("bigint").alias("__value"), *([first.alias("__first")] if first is not None else []))
+    narrow = df.select(*aliased, value.cast(kind).alias("__value"), *([first.alias("__first")] if first is not None else []))
     order = [*(["__first"] if first is not None else []), *names]
     ranged = cut_lineage(narrow.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order))
     ranged = ranged.withColumn("__range", F.shiftright(F.monotonically_increasing_id(), 33))  # the partition
@@ -48,9 +48,12 @@ def _list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def running_total(df: DataFrame, order: str | Sequence[str], value: Column, out: str = "before", within: Sequence[str] = ()) -> DataFrame:
-    """Add the sum of `value` over all rows that are earlier in `order` (unique in its group), per `within` group."""
-    return _running(df, _list(order), value, out, within)
+def running_total(df: DataFrame, order: str | Sequence[str], value: Column, out: str = "before", within: Sequence[str] = (), kind: str = "bigint") -> DataFrame:
+    """Add the sum of `value` over all rows that are earlier in `order` (unique in its group), per `within` group.
+
+    Sums are of type `kind`; whole numbers and decimals come out the same however the rows are dealt.
+    """
+    return _running(df, _list(order), value, out, within, kind=kind)
 
 
 def position(df: DataFrame, order: str | Sequence[str], out: str = "pos", within: Sequence[str] = ()) -> DataFrame:

@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def range_join(points: DataFrame, point: str, intervals: DataFrame, lo: str, hi: str, width: int | Column) -> DataFrame:
-    """Rows with lo <= point < hi. Intervals must not overlap for one match per point; empty ones never match."""
-    width = width if isinstance(width, Column) else F.lit(int(width))
-    first, last = F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width)
+def range_join(points: DataFrame, point: str, intervals: DataFrame, lo: str, hi: str, width: int | float | Column) -> DataFrame:
+    """Rows with lo <= point < hi. Intervals must not overlap for one match per point; empty ones never match.
+
+    A fractional `width` is for real numbers, others are for whole ones.
+    """
+    end = F.col(hi) if isinstance(width, float) else F.col(hi) - 1
+    width = width if isinstance(width, Column) else F.lit(width)
+    first, last = F.floor(F.col(lo) / width), F.floor(end / width)
     buckets = intervals.filter(F.col(hi) > F.col(lo)).withColumn("__bucket", F.explode(F.sequence(first, last)))
     keyed = points.withColumn("__bucket", F.floor(F.col(point) / width))
     joined = keyed.join(buckets, "__bucket")

@@ -12,14 +12,16 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tokenmill.functions.hashing import hash_below, hash_hex, hash_uniform
 from tokenmill.operators.prefix import position, running_total, shuffled_position
 from tokenmill.operators.rangejoin import range_join
+from tokenmill.session import cut_lineage
 
 SPLIT_NAMES = ("train", "valid", "test")
 SPLIT_SEED = 1234
+WEIGHT_KIND = "decimal(38,12)"  # of summed task weights
+LEAST_BUCKETS = 1024  # of the line of task weights
 
 
 def parse_split(spec: str, has_valid: bool = False, has_test: bool = False) -> list[float]:
@@ -112,22 +114,25 @@ def partner_positions(docs: DataFrame, order: str, seed: str | int) -> DataFrame
 
 
 def task_weights(tasks: DataFrame, task: str, temperature: float = 0.8, max_limit: int = 200_000) -> DataFrame:
-    """One row per task: size, and its interval on the line of weights min(size, limit)^temperature."""
+    """One row per task: size n, weight min(n, limit)^temperature, and its interval [lo, hi) on the line of weights.
+
+    Weights are summed as decimals, in the order of the tasks over all partitions, so that there may be any number of tasks.
+    """
     sizes = tasks.groupBy(task).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("weight", F.pow(F.least(F.col("n"), F.lit(max_limit)).cast("double"), F.lit(temperature)))
-    # One row per task (a handful), so the window without partitions is over the task list, not over data.
-    w = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sizes.withColumn("hi", F.sum("weight").over(w))
-    return sizes.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy(task)))
+    sizes = cut_lineage(sizes.withColumn("weight", F.pow(F.least(F.col("n"), F.lit(max_limit)).cast("double"), F.lit(temperature))))
+    placed = running_total(sizes, task, F.col("weight"), "__lo", kind=WEIGHT_KIND)
+    return placed.select(task, "n", "weight", F.col("__lo").cast("double").alias("lo"), (F.col("__lo") + F.col("weight").cast(WEIGHT_KIND)).cast("double").alias("hi"))
 
 
 def mixed_task_draws(draws: DataFrame, draw_key: str, tasks: DataFrame, task: str, order: str, seed: str | int, **weighting) -> DataFrame:
     """Draw a task by weight, then a uniform row of that task."""
-    weights = task_weights(tasks, task, **weighting)
-    total = weights.agg(F.max("hi").alias("__total"))
-    points = draws.crossJoin(F.broadcast(total)).withColumn("u", hash_uniform(f"{seed}-task", draw_key) * F.col("__total"))
-    # The task list is one row per task and travels to every task of the join; rows of the tasks do not.
-    chosen = points.join(F.broadcast(weights), (F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi")))
+    weights = cut_lineage(task_weights(tasks, task, **weighting))
+    line = weights.agg(F.max("hi").alias("total"), F.count("*").alias("tasks")).first()
+    if not line["tasks"]:
+        raise ValueError("no task has rows")
+    points = draws.select(draw_key, (hash_uniform(f"{seed}-task", draw_key) * line["total"]).alias("u"))
+    # Buckets are so narrow that a heavy task's draws are dealt over many of them.
+    chosen = range_join(points, "u", weights, "lo", "hi", line["total"] / max(LEAST_BUCKETS, 4 * line["tasks"]))
     chosen = chosen.select(draw_key, task, hash_below(F.col("n"), f"{seed}-row", draw_key).alias("pos"))
     return chosen.join(position(tasks, order, "pos", within=[task]), [task, "pos"])
 
