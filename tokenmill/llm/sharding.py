@@ -1,29 +1,32 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Every document starts in a shard by its hash. In each round a join of documents with the
-counts of their links by shard tells them where most of their neighbours are; those elsewhere ask to move there, and a shard takes as
-many as its quota leaves room for, by a hash. Links that no shard can hold together go to as few shards as have room. Rounds work on linked
-documents only and end when nobody asks. Then the law `rows` is made exact: one sort by shard, linked documents first, ranks everyone;
-what lies beyond a shard's capacity - unlinked documents as far as there are any - moves to the free places of the others. Counts are at
-most one apart, and places within a shard have no gaps.
-
-Only totals of shards reach the driver. Defined results: a null text is empty (size 16); empty texts are linked as equal texts; repeated
-rows are linked documents; of rows equal in all, any may come first; columns other than id and text are ignored.
+Documents with equal texts are linked. Every document starts in a shard by its hash. In each round a join tells the documents of a text where most of
+their neighbours are, or which shards have room for all of them where that one has none; since all neighbours of a document are
+neighbours of each other, they ask to move there together. A shard takes what its quota leaves room for, larger groups first, by running sums over all
+partitions. Whoever is refused asks again, in shards with room by the number of groups of this size that they can take; every round places at
+least one group, and rounds go on until nobody can move. Groups that are larger than a shard fill whole shards first; groups that no shard has room for in the end -
+there are fewer of them than shards, as each is larger than any room left - are cut over the largest rooms.
+Then the law `rows` is made exact: one sort by shard, linked documents first, ranks everyone; what lies beyond a shard's quota, always documents without a
+link, moves to the free places of the others. Counts are at most one apart, and places within a shard have no gaps.
+
+Totals of shards and the groups that are cut reach the driver, no more rows than a few for each shard. Defined results: a null text is empty (size 16);
+empty texts are linked as equal texts; repeated rows are linked documents; of rows equal in all, any may come first; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.functions.arrays import let
 from tokenmill.llm.common import stored
+from tokenmill.operators.prefix import position, running_total
 from tokenmill.session import cut_lineage
 
 SHARDS = 40
-ROUNDS = 5
-SLACK = 1.1  # of a shard's capacity while labels move
 
 
 def _lookup(values: dict[int, float | int], key: Column, default) -> Column:
@@ -31,48 +34,81 @@ def _lookup(values: dict[int, float | int], key: Column, default) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), key), F.lit(default)) if values else F.lit(default)
 
 
-def propagate(linked: DataFrame, total: int, others: dict[int, int], shards: int, rounds: int) -> DataFrame:
-    """`linked` (row, g, shard) with better shards. `others`: documents of each shard that have no link."""
-    capacity = -(-total // shards)
-    for step in range(rounds):
-        cells = linked.groupBy("g", "shard").count()
-        load = {r["shard"]: r["n"] + others.get(r["shard"], 0) for r in cells.groupBy("shard").agg(F.sum("count").alias("n")).collect()}
-        # shards by the number of a text's documents there; as many are kept as the text needs
-        ranked = cells.groupBy("g").agg(F.sum("count").alias("n"), F.reverse(F.array_sort(F.collect_list(F.struct("count", F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 30)).alias("tie"), "shard")))).alias("s"))
-        wanted = ranked.select("g", F.slice(F.transform("s", lambda x: x["shard"]), 1, F.ceil(F.col("n") / capacity).cast("int")).alias("to"), (F.size("s") > 1).alias("spread"))
-        wanted = cut_lineage(wanted.where("spread").drop("spread"))
-        asks = linked.join(wanted, "g", "left").withColumn("target", F.when(F.col("to").isNull() | F.array_contains("to", F.col("shard")), F.col("shard")).otherwise(F.get("to", F.pmod(F.xxhash64("row", F.lit(step)), F.size("to")).cast("int"))))
-        asks = cut_lineage(asks.drop("to"))
-        moves = asks.where("target <> shard").groupBy("shard", "target").count().collect()
-        if not moves:
+def _target(rooms: list[int], step: int) -> Column:
+    """A shard with room for all n documents of a group, as likely as it has room for such groups; the first round prefers the shard where most of them are."""
+    room = F.array(*map(F.lit, rooms))
+    slots = F.transform(room, lambda r: F.floor(r / F.col("n")))
+    total = F.aggregate(slots, F.lit(0).cast("long"), lambda n, s: n + s)
+    begin = F.struct(F.pmod(F.xxhash64("g", F.lit(step)), total).alias("left"), F.lit(-1).alias("at"))
+    walk = lambda found: F.aggregate(F.sequence(F.lit(0), F.lit(len(rooms) - 1)), begin, lambda a, s: F.when(a["at"] >= 0, a).otherwise(
+        F.struct((a["left"] - F.get(found, s)).alias("left"), F.when(a["left"] < F.get(found, s), s).otherwise(-1).alias("at"))))["at"]
+    other = F.when(total > 0, let(slots, walk))
+    return F.when(F.get(room, F.col("shard")) >= F.col("n"), F.col("shard")).otherwise(other) if step == 0 else other
+
+
+def propagate(groups: DataFrame, quota: list[int]) -> tuple[DataFrame, list[tuple[str, int, int, int]]]:
+    """Groups of linked documents (g, n, shard: where most of them are) put into shards that hold up to `quota` documents each.
+
+    Gives (g, shard) of groups that stay whole, and (g, first, end, shard) of the parts of those that are cut.
+    """
+    rooms, cut = list(quota), []
+
+    def spread(g: str, n: int) -> None:
+        first = 0
+        while first < n:
+            s = max(range(len(rooms)), key=lambda s: (rooms[s], -s))
+            size = min(n - first, rooms[s])
+            cut.append((g, first, first + size, s))
+            rooms[s] -= size
+            first += size
+
+    for row in groups.where(F.col("n") > max(quota, default=0)).orderBy(F.desc("n"), "g").collect():  # fewer than shards
+        spread(row["g"], row["n"])
+    waiting = cut_lineage(groups.where(F.col("n") <= max(quota, default=0)))
+    placed, step = [waiting.select("g", "shard").limit(0)], 0
+    while True:
+        asks = waiting.withColumn("target", _target(rooms, step)).where("target is not null").withColumn("order", -F.col("n"))
+        ranked = running_total(asks, ["order", "g"], F.col("n"), "before", within=["target"])
+        fits = F.col("before") + F.col("n") <= F.get(F.array(*map(F.lit, rooms)), F.col("target"))
+        taken = stored(ranked.where(fits).select("g", "n", F.col("target").alias("shard")), "shard-taken")
+        sums = taken.groupBy("shard").agg(F.sum("n").alias("n")).collect()
+        if not sums:
             break
-        into, away = {}, {}
-        for r in moves:
-            into[r["target"]] = into.get(r["target"], 0) + r["count"]
-            away[r["shard"]] = away.get(r["shard"], 0) + r["count"]
-        # documents without a link make room, so quotas count linked ones and what the slack leaves
-        room = {s: max(0.0, SLACK * capacity - load.get(s, 0) + others.get(s, 0)) + 0.5 * away.get(s, 0) for s in into}
-        share = {s: min(1.0, room[s] / n) for s, n in into.items()}
-        uniform = F.shiftrightunsigned(F.xxhash64("row", F.lit(f"move{step}")), 11).cast("double") / float(1 << 53)
-        linked = asks.select("row", "g", F.when(uniform < _lookup(share, F.col("target"), 0.0), F.col("target")).otherwise(F.col("shard")).alias("shard"))
-    return linked.select("row", "g", "shard")
-
-
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: id, size, text_crc32, shard and slot, under the law `rows`."""
+        for row in sums:
+            rooms[row["shard"]] -= row["n"]
+        placed.append(taken.select("g", "shard"))
+        waiting = cut_lineage(waiting.join(taken, "g", "left_anti"))
+        step += 1
+    for row in waiting.orderBy(F.desc("n"), "g").collect():  # fewer than shards
+        spread(row["g"], row["n"])
+    return reduce(DataFrame.unionByName, placed), cut
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """Per row: id, size, text_crc32, shard and slot, under the law `rows`, and whether all documents with this text are in the shard."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.sha2(text, 256).alias("g"))
-    rows = stored(rows.withColumn("row", F.xxhash64("id", "g")), "shard-rows")
+    start = F.pmod(F.xxhash64("id", "g", F.lit("start")), F.lit(shards)).cast("int")
+    rows = stored(rows.withColumns({"row": F.monotonically_increasing_id(), "start": start}), "shard-rows")  # written down, so the number stays
     total = rows.count()
-    start = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")
-    groups = stored(rows.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1"), "shard-groups")  # by itself, so that a hot group's join can be split
-    rows = stored(rows.join(groups, "g", "left").withColumn("linked", F.col("copies").isNotNull()).drop("copies").withColumn("shard", start), "shard-linked")
-    others = {r["shard"]: r["count"] for r in rows.where("not linked").groupBy("shard").count().collect()}
-    labels = propagate(rows.where("linked").select("row", "g", "shard"), total, others, shards, rounds).groupBy("row").agg(F.min("shard").alias("label"))
-    rows = rows.join(labels, "row", "left").withColumn("shard", F.coalesce("label", "shard"))
+    quota = [total // shards + (s < total % shards) for s in range(shards)]
+    cells = rows.groupBy("g", "start").agg(F.count("*").alias("c"))
+    most = F.max_by("start", F.struct("c", F.xxhash64("g", "start")))
+    groups = stored(cells.groupBy("g").agg(F.sum("c").alias("n"), most.alias("shard")).where("n > 1"), "shard-groups")
+    placed, cut = propagate(groups, quota)
+    placed = stored(placed, "shard-placed")  # by itself, so that a hot group's join can be split
+    parts = spark.createDataFrame(cut, "g string, first long, end long, part int")
+    names = F.broadcast(parts.select("g").distinct().withColumn("cut", F.lit(True)))  # fewer than two for each shard
+    rows = stored(rows.join(names, "g", "left").join(placed, "g", "left"), "shard-labels")
+    ranked = position(rows.where("cut").select("g", "row"), "row", "rank", within=["g"])
+    inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
+    numbered = ranked.join(F.broadcast(parts), "g").where(inside).select("row", "part")
+    rows = rows.where("cut is null").withColumn("part", F.lit(None).cast("int")).unionByName(rows.where("cut").join(numbered, "row"))
+    rows = rows.withColumns({"linked": F.col("cut").isNotNull() | F.col("shard").isNotNull(), "whole": F.col("cut").isNull(), "shard": F.coalesce("part", "shard", "start")})
     # one sort; a checkpoint keeps partitions and their order, so the number within a partition is a rank
     order = ["shard", F.desc("linked"), "g", "id"]
-    rows = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "size", "crc", "shard"))
+    rows = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "size", "crc", "shard", "whole"))
     rows = rows.withColumn("m", F.monotonically_increasing_id()).withColumns({"part": F.shiftright("m", 33).cast("int"), "within": F.col("m").bitwiseAND((1 << 33) - 1)})
     counts = rows.groupBy("part", "shard").count().collect()
     load, before = {}, {}
@@ -82,7 +118,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     sizes = {p: sum(r["count"] for r in counts if r["part"] == p) for p in parts}
     before = dict(zip(parts, accumulate([0, *[sizes[p] for p in parts]])))
     first = dict(zip(range(shards), accumulate([0, *[load.get(s, 0) for s in range(shards)]])))
-    quota = {s: total // shards + (s < total % shards) for s in range(shards)}
+    quota = dict(enumerate(quota))
     offsets = rows.sparkSession.createDataFrame([(p, n) for p, n in before.items() if p in sizes], "part int, before long")
     rows = rows.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("within") - _lookup(first, F.col("shard"), 0))
     # the k-th of all documents over quota takes the k-th free place
@@ -93,9 +129,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     for s, n, places in free:
         here = (F.col("k") >= n) & (F.col("k") < n + places)
         to, slot = F.when(here, F.lit(s)).otherwise(to), F.when(here, F.col("k") - n + load.get(s, 0)).otherwise(slot)
-    return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.when(F.col("moves"), to).otherwise(F.col("shard")).cast("int").alias("shard"), F.when(F.col("moves"), slot).otherwise(F.col("rank")).cast("bigint").alias("slot"))
+    return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.when(F.col("moves"), to).otherwise(F.col("shard")).cast("int").alias("shard"), F.when(F.col("moves"), slot).otherwise(F.col("rank")).cast("bigint").alias("slot"), "whole")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     df = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return df.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return df.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "whole")
