@@ -3,8 +3,10 @@
 A batch of changes names documents to insert, delete or revise, with their counts for each tokenizer version. It is committed as two
 folders of the store: a ledger of signed rows (an insert adds, a delete takes back what the ledger holds, a revision takes that back and
 adds the new count, also under a new source or language) and their sums by source, language and version. Totals are the sums of all committed
-batches; no batch reads a text again that it does not change. A commit is idempotent: a batch whose commit mark is there is
-left alone, one that broke off before its mark is written anew in a folder of its own, and readers look at marked folders only.
+batches; no batch reads a text again that it does not change. The ledger lies in buckets by a hash of the id, and a batch reads those of its own
+ids. A commit is idempotent: a batch whose commit mark is there is left alone, one that broke off before its mark is written anew in
+a folder of its own, and readers look at marked folders only. A mark is one file that appears under its name by a rename, whole or not at all; whatever a
+broken commit leaves beside it is passed over.
 
 Defined results: null texts count zero tokens; a null source or language is a group of its own; a change without an id is left out;
 inserting a present id revises it; deleting or revising an absent one does nothing or inserts; of several rows for one id in a batch
@@ -23,6 +25,7 @@ from tokenmill.llm.common import folder
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-2": r"[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]"}
 LEDGER = "doc_id long, source string, lang string, tokenizer string, documents long, tokens long"
+BUCKETS = 64  # of the ledger
 
 
 def changes(df: DataFrame, action: str, tokenizers: dict[str, str], text: Column | None = None) -> DataFrame:
@@ -38,20 +41,38 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str, tokenizers: dict[str, str] | None = None):
         self.spark, self.path, self.tokenizers = spark, path, dict(tokenizers or TOKENIZERS)
 
+    def _files(self):
+        """Hadoop's path class and the store's file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _committed(self) -> dict[str, str]:
-        """Attempt by batch, from the marks."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
+        """Attempt by batch: marks are files named batch-attempt."""
+        path, files = self._files()
+        if not files.exists(path(f"{self.path}/commits")):
             return {}
-        return {r["batch"]: r["attempt"] for r in self.spark.read.schema("batch string, attempt string").parquet(f"{self.path}/commits/*").groupBy("batch").agg(F.min("attempt").alias("attempt")).collect()}
+        names = [s.getPath().getName() for s in files.listStatus(path(f"{self.path}/commits")) if s.isFile()]
+        return dict(tuple(name.rsplit("@", 1)) for name in sorted(names, reverse=True) if "@" in name and not name.startswith("."))
+
+    def _mark(self, batch: str, attempt: str) -> None:
+        path, files = self._files()
+        files.mkdirs(path(f"{self.path}/commits"))
+        draft, mark = path(f"{self.path}/commits/.{batch}@{attempt}"), path(f"{self.path}/commits/{batch}@{attempt}")
+        files.create(draft, True).close()
+        if not files.rename(draft, mark):
+            raise RuntimeError(f"the mark of batch {batch} could not be written")
+
+    def _place(self, part: str, batch: str, attempt: str) -> str:
+        return f"{self.path}/{part}/part={batch}-{attempt}"
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{part}/{batch}-{attempt}" for batch, attempt in sorted(self._committed().items())]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = [self._place(part, batch, attempt) for batch, attempt in sorted(self._committed().items())]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(*paths).drop("part")
 
     def ledger(self) -> DataFrame:
-        return self._read("ledger", LEDGER)
+        return self._read("ledger", f"{LEDGER}, bucket int")
 
     def totals(self) -> DataFrame:
         """Documents and tokens by source, language and tokenizer version; groups that hold nothing any more are gone."""
@@ -70,20 +91,21 @@ class Rollup:
         versions = F.array(*[F.lit(v) for v in self.tokenizers])
         last = last.withColumn("t", F.explode(F.arrays_zip(versions.alias("tokenizer"), F.col("counts").alias("tokens"))))
         last = last.select("doc_id", "gone", "source", "lang", "copies", F.col("t.tokenizer").alias("tokenizer"), (F.col("t.tokens") * F.col("copies")).alias("tokens"))
-        held = self.ledger().join(last.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        own = [r["bucket"] for r in last.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS rows at most
+        held = self.ledger().where(F.col("bucket").isin(own)).join(last.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
         held = held.groupBy("doc_id", "source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
         back = held.select("doc_id", "source", "lang", "tokenizer", (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens"))
         new = last.where("not gone").select("doc_id", "source", "lang", "tokenizer", F.col("copies").alias("documents"), "tokens")
-        back.unionByName(new).write.parquet(f"{self.path}/ledger/{batch}-{attempt}")
-        written = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/{batch}-{attempt}")
+        signed = back.unionByName(new).withColumn("bucket", bucket)
+        signed.repartition("bucket").write.partitionBy("bucket").parquet(self._place("ledger", batch, attempt))
+        written = self.spark.read.schema(LEDGER).parquet(self._place("ledger", batch, attempt))
         sums = written.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        sums.write.parquet(f"{self.path}/sums/{batch}-{attempt}")
-        mark = self.spark.createDataFrame([(batch, attempt)], "batch string, attempt string").coalesce(1)
-        mark.write.mode("errorifexists").parquet(f"{self.path}/commits/{batch}")  # the mark comes last
+        sums.write.parquet(self._place("sums", batch, attempt))
+        self._mark(batch, attempt)  # comes last
         return True
 
 
-
 def op3(spark, sf_dir: str) -> DataFrame:
     """Inserts all documents, deletes those of fewer than 20 characters, revises those with numbers, which are masked; one batch comes twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
