@@ -24,6 +24,18 @@ def documents(lengths):
     return docs
 
 
+def test_chunks_move_no_whole_documents(spark):
+    docs = spark.createDataFrame(documents([5000, 3]), SCHEMA)
+    lines = S.contiguous_chunks(docs, "doc_id", 7, EOS, PAD)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    moved = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning(doc_id" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            moved.append(("tokens" in "".join(lines[i:below]), "Generate explode(" in "".join(lines[i:below])))
+    assert (True, True) in moved and (True, False) not in moved  # what holds tokens has been cut before it moves
+
+
 @pytest.mark.parametrize("lengths", [[3, 0, 20, 5], [7, 7], [1], [100, 2, 2]])
 def test_contiguous_chunks(spark, lengths):
     docs, size = documents(lengths), 7

@@ -48,32 +48,42 @@ def contiguous_chunks(docs: DataFrame, order: str, length: int, eos: int, pad: i
 
     `docs` has (order, tokens, loss_mask). Chunk c covers global tokens [c*length, (c+1)*length); targets are the next tokens
     with `eos` at a document's end; `history` counts earlier tokens of the document the chunk starts in.
+
+    Sizes alone are sorted to find where documents begin. Documents are cut into pieces of `length` tokens where they lie; only pieces meet
+    their place, one key for each, and a piece goes to the one or two chunks that it reaches into.
     """
     mem_len = length if mem_len is None else mem_len
-    size = F.size("tokens").cast("bigint")
-    placed = running_total(docs.withColumn("__n", size), order, F.col("__n"), "__lo")
+    sizes = cut_lineage(docs.select(order, F.size("tokens").cast("bigint").alias("__n")).filter("__n > 0"))
+    last_piece = F.floor((F.col("__n") - 1) / length)
+    places = running_total(sizes, order, F.col("__n"), "__lo").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece)))
 
-    def piece(chunk: Column) -> Column:
-        start = F.greatest(chunk * length, F.col("__lo")) - F.col("__lo")
-        count = F.least((chunk + 1) * length, F.col("__lo") + F.col("__n")) - F.col("__lo") - start
-        closes = start + count == F.col("__n")
+    def piece(k: Column) -> Column:
+        start = k * length
+        whole = F.size("tokens")
 
         def following(name: str, last: int) -> Column:
-            return F.concat(A.take(F.col(name), start + 1, count), F.when(closes, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")))
+            end = F.when(start + length >= whole, F.array(F.lit(last))).otherwise(F.array().cast("array<int>"))
+            return F.concat(A.take(F.col(name).cast("array<int>"), start + 1, length), end)
 
         return F.struct(
-            chunk.alias("chunk"),
-            F.col("__lo").alias("lo"),
-            A.take(F.col("tokens"), start, count).alias("tokens"),
-            following("tokens", eos).alias("target"),
-            following("loss_mask", 1).alias("loss"),
-            F.least(F.lit(mem_len), start).alias("history"),
-        )
+            k.alias("__k"), A.take(F.col("tokens"), start, length).alias("tokens"), following("tokens", eos).alias("target"), following("loss_mask", 1).alias("loss"))
 
-    chunks = F.sequence(F.floor(F.col("__lo") / length), F.floor((F.col("__lo") + F.col("__n") - 1) / length))
-    pieces = placed.filter("__n > 0").select(F.explode(F.transform(chunks, piece)).alias("p")).select("p.*")
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("tokens") - 1) / length))
+    cut = docs.filter(F.size("tokens") > 0).select(order, F.explode(F.transform(numbers, piece)).alias("p")).select(order, "p.*")
+    placed = cut.join(places, [order, "__k"]).withColumn("lo", F.col("__lo") + F.col("__k") * length)
+    first = F.floor(F.col("lo") / length)
+    room = (first + 1) * length - F.col("lo")
+
+    def part(chunk: Column, begin: Column, count: Column) -> Column:
+        arrays = [A.take(F.col(name), begin, count).alias(name) for name in ("tokens", "target", "loss")]
+        return F.struct(chunk.alias("chunk"), (F.col("lo") + begin).alias("lo"), *arrays, F.least(F.lit(mem_len).cast("bigint"), F.col("__k") * length + begin).alias("history"))
+
+    size = F.size("tokens").cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    head, rest = part(first, zero, F.least(size, room)), part(first + 1, room, size - room)
+    pieces = placed.select(F.explode(F.when(size > room, F.array(head, rest)).otherwise(F.array(head))).alias("p")).select("p.*")
     # The last chunk exists even when no token falls into it.
-    total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("lo"))
+    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("lo"))
     none = F.array().cast("array<int>")
     last = total.select(
         F.floor(F.col("lo") / length).alias("chunk"), "lo", none.alias("tokens"), none.alias("target"), none.alias("loss"), F.lit(0).cast("bigint").alias("history"))
