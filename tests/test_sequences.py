@@ -252,3 +252,16 @@ def test_array_helpers(spark):
     ).first()
     assert (row["f"], row["l"], row["n"], row["p"], row["r"]) == (1, 3, -1, [0, 2], [1, 3, 4, 6, 7])
     assert (row["t"], row["fit"], row["cut"]) == ([2, 1], [1, 2, 1, 2, 1, 0, 0], [1, 2, 1])
+
+
+@pytest.mark.parametrize("lengths", [[3, 0, 20, 5], [7], [], [100, 2, 2, 40], [0]])
+@pytest.mark.parametrize("stride", [1, 3, 8])
+def test_windows_over_the_stream(spark, lengths, stride):
+    docs = documents(lengths)
+    flat = [t for _, ts, _ in docs for t in ts]
+    rows = {r["window"]: (r["tokens"], r["loss_mask"]) for r in S.stream_windows(spark.createDataFrame(docs, SCHEMA), "doc_id", 8, stride, PAD).collect()}
+    want = {}
+    for w in range(-(-max(len(flat) - 8, 0) // stride) + 1 if flat else 0):
+        own = flat[w * stride:w * stride + 8]
+        want[w] = (own + [PAD] * (8 - len(own)), [int(i < len(own) and (w == 0 or i >= 8 - stride)) for i in range(8)])
+    assert rows == want

@@ -169,8 +169,15 @@ def sentence_spans(key: str, tokens: Column, sentence_ends: Sequence[int], eos:
 
 def _smallest(hashes: Column, count: Column) -> Column:
     """Boolean per element: whether its hash is among the `count` smallest."""
-    return A.let(F.struct(hashes.alias("h"), F.get(F.array_sort(hashes), F.greatest(count, F.lit(0)) - 1).alias("kth")), lambda v: F.transform(
-        v["h"], lambda h: v["kth"].isNotNull() & (h <= v["kth"])))
+    kth = lambda hs: F.get(F.array_sort(hs), F.greatest(count, F.lit(0)) - 1)
+    return A.let(hashes, lambda hs: A.let(kth(hs), lambda last: F.transform(hs, lambda h: last.isNotNull() & (h <= last))))
+
+
+def _numbers(count: Column, seed: str | int, key: str) -> Column:
+    """Distinct random numbers for the places of a row: four of 32 bits from each digest, each with its place behind it."""
+    digests = F.transform(A.indices(A.repeat(0, F.ceil(count / 4))), lambda b: hash_hex(seed, key, b))
+    parts = F.flatten(F.transform(digests, lambda d: F.array(*[F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(4)])))
+    return F.transform(A.head(parts, count), lambda n, i: n * (1 << 24) + i)
 
 
 def blank_layout(
@@ -393,10 +400,10 @@ def masked_pair(
         "__open": F.concat(one(False), A.repeat(True, F.size(a)), one(False), A.repeat(True, F.size(b)), one(False)),
     })
     wanted = F.least(F.lit(max_predictions), F.greatest(F.lit(1), F.bround(F.size("__t") * share).cast("int")))
-    # Tokens that must stay get a hash behind all others.
-    hashes = F.transform("__open", lambda o, i: F.when(o, hash_hex(seed, key, i)).otherwise("~"))
+    # Tokens that must stay get a number behind all others.
+    numbers = A.let(_numbers(F.size("__open"), seed, key), lambda ns: F.transform("__open", lambda o, i: F.when(o, F.get(ns, i)).otherwise(F.lit(1 << 62))))
     candidates = F.size(F.filter("__open", lambda o: o))
-    df = df.withColumn("__pick", _smallest(hashes, F.least(wanted, candidates)))
+    df = df.withColumn("__pick", _smallest(numbers, F.least(wanted, candidates)))
 
     def replaced(x: Column, i: Column) -> Column:
         kind = hash_uniform(f"{seed}-kind", key, i)

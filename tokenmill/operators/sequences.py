@@ -43,6 +43,13 @@ def in_ids(token: Column, ids: Sequence[int]) -> Column:
 # --- contiguous chunks -----------------------------------------------------------------------------------------------
 
 
+def _stream_places(docs: DataFrame, order: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes of the documents that hold tokens, and (order, __k, __lo, __n) for each of their pieces of `length` tokens; __lo is the document's place."""
+    sizes = cut_lineage(docs.select(order, F.size("tokens").cast("bigint").alias("__n")).filter("__n > 0"))
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / length))
+    return sizes, running_total(sizes, order, F.col("__n"), "__lo").withColumn("__k", F.explode(pieces))
+
+
 def contiguous_chunks(docs: DataFrame, order: str, length: int, eos: int, pad: int, mem_len: int | None = None) -> DataFrame:
     """Cut the concatenation of all documents into chunks of `length` tokens.
 
@@ -53,9 +60,7 @@ def contiguous_chunks(docs: DataFrame, order: str, length: int, eos: int, pad: i
     their place, one key for each, and a piece goes to the one or two chunks that it reaches into.
     """
     mem_len = length if mem_len is None else mem_len
-    sizes = cut_lineage(docs.select(order, F.size("tokens").cast("bigint").alias("__n")).filter("__n > 0"))
-    last_piece = F.floor((F.col("__n") - 1) / length)
-    places = running_total(sizes, order, F.col("__n"), "__lo").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece)))
+    sizes, places = _stream_places(docs, order, length)
 
     def piece(k: Column) -> Column:
         start = k * length
@@ -443,6 +448,33 @@ def sliding_windows(docs: DataFrame, keys: Sequence[str], length: int, stride: i
     return docs.select(*keys, F.explode(windows).alias("w")).select(*keys, "w.*")
 
 
+def stream_windows(docs: DataFrame, order: str, length: int, stride: int, pad: int = 0) -> DataFrame:
+    """The windows of `sliding_windows` over the concatenation of all documents, as of one file: (window, tokens, loss_mask).
+
+    Pieces of `stride` tokens meet their place and go to every window that reaches into them, so a window gets its halo from
+    whatever tasks read the documents around it.
+    """
+    sizes, places = _stream_places(docs, order, stride)
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("tokens") - 1) / stride))
+    cut = F.transform(numbers, lambda k: F.struct(k.alias("__k"), A.take(F.col("tokens"), k * stride, stride).alias("tokens")))
+    pieces = docs.filter(F.size("tokens") > 0).select(order, F.explode(cut).alias("p")).select(order, "p.*").join(places, [order, "__k"])
+    pieces = pieces.select((F.col("__lo") + F.col("__k") * stride).alias("lo"), "tokens")
+    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total"))  # one row
+    pieces = pieces.crossJoin(F.broadcast(total))
+    last = F.ceil(F.greatest(F.col("__total") - length, F.lit(0)) / stride)
+    first = F.greatest(F.floor((F.col("lo") - length) / stride) + 1, F.lit(0))
+    spread = F.sequence(first, F.least(F.floor((F.col("lo") + F.size("tokens") - 1) / stride), last))
+    reached = pieces.filter(first <= last).select("lo", "tokens", F.explode(spread).alias("window"))
+    begin = F.greatest(F.col("window") * stride - F.col("lo"), F.lit(0))
+    part = A.take(F.col("tokens"), begin, F.col("window") * stride + length - F.col("lo") - begin)
+    # A window holds at most `length` tokens, so its group is bounded.
+    grouped = reached.groupBy("window").agg(F.array_sort(F.collect_list(F.struct((F.col("lo") + begin).alias("lo"), part.alias("t")))).alias("ps"))
+    windows = grouped.select("window", F.flatten(F.transform("ps", lambda p: p["t"])).alias("t"))
+    scored = A.pad(A.repeat(1, F.size("t")), length, 0)
+    late = F.concat(A.repeat(0, F.lit(length - stride)), A.drop(scored, length - stride))
+    return windows.select("window", A.pad(F.col("t"), length, pad).alias("tokens"), F.when(F.col("window") == 0, scored).otherwise(late).alias("loss_mask"))
+
+
 def blank_windows(docs: DataFrame, keys: Sequence[str], length: int, stride: int) -> DataFrame:
     """The same windows as prompt and text: a later window shows its first length-stride tokens and asks for the rest."""
     count = F.ceil(F.greatest(F.size("tokens") - length, F.lit(0)) / stride).cast("int") + 1

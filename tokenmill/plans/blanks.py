@@ -256,7 +256,7 @@ def _(t):
     f"""WITH {SAMPLES}, pairs AS (SELECT sample, tokens[2 : 1 + n // 2] AS a, tokens[2 + n // 2 :] AS b FROM samples WHERE n >= 4),
     seqs AS (SELECT sample, [50002] || a || [50001] || b || [50001] AS t, len(a) AS la, len(b) AS lb FROM pairs),
     wanted AS (SELECT *, least(20, greatest(1, round_even(len(t) * 0.15::DOUBLE, 0)::INTEGER), la + lb) AS k, list_filter(range(len(t)), lambda i: i <> 0 AND i <> la + 1 AND i <> la + lb + 2) AS cand FROM seqs),
-    picked AS (SELECT *, list_transform(list_sort(list_transform(cand, lambda i: {{'h': {h_hex("mlm", "sample", "i")}, 'i': i}}))[1 : k], lambda x: x.i) AS ps FROM wanted),
+    picked AS (SELECT *, list_transform(list_sort(list_transform(cand, lambda i: ('0x' || substr({h_hex("mlm", "sample", "i // 4")}, (8 * (i % 4) + 1)::INT, 8))::BIGINT * 16777216 + i))[1 : k], lambda x: x % 16777216) AS ps FROM wanted),
     flags AS (SELECT *, list_transform(range(len(t)), lambda i: list_contains(ps, i)) AS m FROM picked)
     SELECT sample, {joined("list_transform(t, lambda x, i: CASE WHEN NOT m[i] THEN x WHEN " + h_uniform("mlm-kind", "sample", "i - 1") + " < 0.8 THEN 50003 WHEN "
       + h_uniform("mlm-kind", "sample", "i - 1") + " < 0.9 THEN x ELSE " + h_below(256, "mlm-word", "sample", "i - 1") + " END) || list_resize([]::BIGINT[], 300 - len(t), 50000)")} AS text,

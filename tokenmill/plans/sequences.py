@@ -7,6 +7,7 @@ from tokenmill.functions import text as T
 from tokenmill.operators import sequences as S
 from tokenmill.operators.special import end_ids, special_tokens
 from tokenmill.operators.vocab import SENTENCE_END_BLOCK, encode_chars
+from tokenmill.plans.corpus import _regex_sql, _replace_sql
 from tokenmill.plans.registry import query
 from tokenmill.plans.sqltext import codes, h_below, h_uniform, joined, words
 from tokenmill.plans.vocab import SENTENCES_SQL
@@ -192,6 +193,35 @@ def _(t):
     return _show(_tokens(t).select("doc_id", S.last_token_cloze(F.col("tokens")).alias("c")).select("doc_id", "c.*"), "context")
 
 
+DETOKENIZED_SQL = _replace_sql(_regex_sql(_replace_sql("text", T.WIKITEXT_RULES_BEFORE), T.WIKITEXT_BRACKET_RULES), T.WIKITEXT_RULES_AFTER)
+
+
+@query(
+    "tsk33_whole_file_windows",
+    f"""WITH d AS (SELECT doc_id, {codes(f"({DETOKENIZED_SQL})")} AS t FROM documents), placed AS (SELECT t, sum(len(t)) OVER (ORDER BY doc_id) - len(t) AS lo FROM d),
+    toks AS (SELECT lo + unnest(range(len(t))) AS g, unnest(t) AS x FROM placed),
+    pieces AS (SELECT g // 256 AS w, string_agg(x::VARCHAR, ' ' ORDER BY g) AS s, count(*) AS n FROM toks GROUP BY 1),
+    windows AS (SELECT w, concat_ws(' ', s, lead(s, 1) OVER o, lead(s, 2) OVER o, lead(s, 3) OVER o) AS s, sum(n) OVER (ORDER BY w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n, sum(n) OVER () AS total FROM pieces WINDOW o AS (ORDER BY w))
+    SELECT w::BIGINT AS "window", n::INTEGER AS n_tokens, md5(concat_ws(' ', s, CASE WHEN n < 1024 THEN {joined("list_resize([]::INTEGER[], 1024 - n, 0)")} END)) AS tokens,
+      md5({joined("list_transform(range(1, 1025), lambda i: CASE WHEN i <= n AND (w = 0 OR i > 768) THEN 1 ELSE 0 END)")}) AS loss_mask FROM windows WHERE w <= ceil(greatest(total - 1024, 0) / 256)""",
+)
+def _(t):
+    docs = t.documents.select("doc_id", encode_chars(T.detokenize_wikitext(F.col("text"))).alias("tokens"))
+    df = S.stream_windows(docs, "doc_id", 1024, 256)
+    return df.select("window", F.size(F.filter("tokens", lambda c: c > 0)).alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens"), F.md5(F.array_join("loss_mask", " ")).alias("loss_mask"))
+
+
+@query(
+    "tsk33_last_word_set",
+    f"""WITH w AS (SELECT doc_id, text, {words("text")} AS ws FROM documents),
+    c AS (SELECT doc_id, trim(left(rtrim(text, ' ' || chr(10)), length(rtrim(text, ' ' || chr(10))) - length(ws[-1])), ' ' || chr(10)) AS context, ws[-1] AS answer FROM w)
+    SELECT doc_id, {joined(codes("context"))} AS tokens, {joined(codes("' ' || answer"))} AS labels FROM c""",
+)
+def _(t):
+    cloze = t.documents.select("doc_id", S.last_word_cloze(F.col("text")).alias("c"))
+    return _show(cloze.select("doc_id", encode_chars(F.col("c.context")).alias("tokens"), encode_chars(F.concat(F.lit(" "), "c.answer")).alias("labels")), "tokens", "labels")
+
+
 # Questions about a document: the answer is its tenth word, or a word it does not hold.
 QA_SQL = f"""qa AS (SELECT doc_id, text AS context, (length(source) + 20)::INTEGER AS question_size,
   CASE WHEN doc_id % 5 = 0 THEN 'zzz' ELSE coalesce({words("text")}[10], '') END AS answer FROM documents)"""
