@@ -166,6 +166,16 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs).count() == len(ROWS)
 
 
+def test_stop_words_by_language(spark):
+    dutch = "het huis staat aan een rivier waar wij elke dag voorbij lopen terwijl onze hond vooruit rent naar zijn vrienden bij molen nummer acht " * 10
+    plain = " ".join(f"word{k}" for k in range(220))
+    rows = [(1, dutch, "nl"), (2, dutch, None), (3, plain, "en"), (3, plain, "en"), (4, plain, "nl"), (5, None, None), (6, "", "en"), (7, plain + " the of and to in" * 2, "en"), (8, plain.replace("word", "#$"), "xx")]
+    frame = spark.createDataFrame([(*r, True, "x") for r in rows], "doc_id long, text string, lang string, known boolean, w string")
+    got = Counter((r["doc_id"], r["failed"]) for r in quality.quality(frame).collect())
+    assert got == Counter({(1, "repetition"): 1, (2, "repetition"): 1, (3, "stop_words"): 2, (4, ""): 1, (5, "length"): 1, (6, "length"): 1, (7, ""): 1, (8, "symbols"): 1})
+    assert all("stop_words" not in r["failed"] for r in quality.quality(frame.drop("lang")).collect())
+
+
 def test_warc(spark):
     html = "WARC/1.1\r\n\r\n" + "x" * 1200 + "\r\n\r\né"
     rows = [(1, "http://a/\r\n", html), (2, None, html), (3, "u", html), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (None, "u", "short"), (3, "u", html)]

@@ -25,9 +25,11 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: no later step repeats or loses it."""
+    """`df` written to the shared folder and read again: no later step repeats or loses it. It goes when the session's driver ends."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
