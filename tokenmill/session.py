@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +13,7 @@ def build_session(app: str = "tokenmill", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
@@ -24,17 +23,9 @@ def build_session(app: str = "tokenmill", master: str | None = None, shuffle_par
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, named by spark.checkpoint.dir.
-
-    A local master without that setting (tests, bench) gets a fresh temporary folder; a cluster without it is an error,
-    because a machine-local folder is lost with its executor.
-    """
+    """The folder all executors see: spark.checkpoint.dir, or where it is unset one below the warehouse, on any master."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return tempfile.mkdtemp(prefix="tokenmill-")
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tokenmill-scratch"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
