@@ -182,8 +182,11 @@ def _model(path: str) -> bytes:
         return file.read()
 
 
-def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
-    """Columns `keep` (all by default) and `ids` (array of int), and `whole`: whether decoding them gives the normalized text back."""
+def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, block: int = BLOCK_BYTES) -> DataFrame:
+    """Columns `keep` (all by default) and `ids` (array of int), and `whole`: whether decoding them gives the normalized text back.
+
+    Smaller blocks (in bytes) take less memory and more time; the ids are the same.
+    """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "whole")]
     head = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     sent = df.sparkSession.sparkContext.broadcast(_model(model))
@@ -192,7 +195,7 @@ def encode(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
         coder = Encoder(sent.value)
         for batch in batches:
             column = batch.column("t")
-            for first, last in pieces(utf8(column)[1], BLOCK_BYTES):
+            for first, last in pieces(utf8(column)[1], block):
                 part = batch.slice(first, last - first)
                 texts = part.column("t")
                 ids, counts = coder.encode(t.as_py() for t in texts)
