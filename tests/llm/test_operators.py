@@ -271,6 +271,24 @@ def test_urls_sample_is_of_distinct_urls(spark, monkeypatch):
     assert sum(n > 1 for _, _, n in tested) > 1  # a tenth of the urls' rows, yet one row each
 
 
+def test_threshold_of_all_judged_urls(spark, monkeypatch):
+    rows = [(k, f"http://a{k % 7}.org/fr/{k * 13}" if k % 2 else f"https://b{k % 5}.net/{k * 7}") for k in range(300)] + [(k, f"http://c{k}.com/fr/{k}") for k in range(300, 330)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    wanted = pages.where("page_id < 300 and pmod(xxhash64(url), 5) = 0").select("url").distinct().count()
+    tested, score = [], urls.score_urls
+    monkeypatch.setattr(urls, "score_urls", lambda df, counts, order: tested.append(df.where("test").count()) or score(df, counts, order))
+    results = []
+    for limit in (20_000, 10):
+        monkeypatch.setattr(urls, "SAMPLE_ROWS", limit)
+        results.append(sorted(map(tuple, urls.filter_urls(pages).collect())))
+    assert wanted > 40 and tested == [wanted, wanted] and results[0] == results[1]
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 0)
+    for top in (3, 30):
+        rows = [(float(x), str(a), int(n)) for x, a, n in zip(rng.integers(-top, top, 40) / 7, rng.choice(["allow", "block"], 40), rng.integers(1, 9, 40))]
+        assert urls.fit_threshold(spark.createDataFrame(rows, "score double, ruled string, n long")) == urls.best_threshold([(x, a == "allow", n) for x, a, n in rows])
+
+
 def test_threshold_weighs_rows():
     rng = np.random.default_rng(6)
     for _ in range(50):

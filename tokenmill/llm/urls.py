@@ -7,9 +7,10 @@ two log-likelihoods, divided by its length.
 
 The counts are of all urls that a rule judges, and stay in Spark: a character's probability depends on its window, the up to ORDER characters
 before it and itself. The distinct windows of the urls to score are joined with the counts, order by order, and come back to blocks of
-about BLOCK_URLS urls, where a frequent window is one row for each block. Only the threshold is fitted on a bounded sample, about SAMPLE_ROWS distinct
-urls of each side by their hash: a fifth of it is scored by the counts of all other urls, each weighs as many as its rows, and the threshold is the one at which the shares of
-accepted and of rejected ones that are judged rightly add up to most, the smallest of equals.
+about BLOCK_URLS urls, where a frequent window is one row for each block. The threshold is fitted on the scores of judged urls too: a fifth of the distinct
+ones, by their hash and however many they are, is scored by the counts of all other urls, each weighs as many as its rows, and the threshold is the one at which the shares of
+accepted and of rejected ones that are judged rightly add up to most, the smallest of equals. Up to SAMPLE_ROWS scores go to the driver; more are sorted and summed in Spark,
+with the same threshold.
 
 Defined results: null urls and urls without :// have an empty host and path, and no rule; an empty url scores 0; without examples of both
 sides every url without a rule is allowed; repeated rows repeat; columns other than id and url are ignored.
@@ -25,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.llm.common import stored
+from tokenmill.operators.prefix import running_total
 
 ORDER = 5
-SAMPLE_ROWS = 20_000  # distinct urls of each side, for the threshold
+SAMPLE_ROWS = 20_000  # scores that the driver fits the threshold on; Spark fits it on more
 BLOCK_URLS = 256
 ALPHABET = 1 << 16  # characters that the shortest context spreads its rest over
 
@@ -141,28 +143,39 @@ def best_threshold(tested: list[tuple[float, bool, int]]) -> float:
     good, bad = (sum(n for _, a, n in tested if a == side) for side in (True, False))
     threshold = -math.inf
     if good and bad:
-        best, kept, blocked = 1.0, good, 0  # nothing is blocked
+        best, gain = 0, 0  # nothing is blocked; the sum of both shares, times good * bad, grows with each rejected row below
         for k, (score, accepted, n) in enumerate(tested):
-            kept, blocked = kept - n * accepted, blocked + n * (not accepted)
-            if (k + 1 == len(tested) or tested[k + 1][0] > score) and kept / good + blocked / bad > best:
-                best, threshold = kept / good + blocked / bad, math.nextafter(score, math.inf)
+            gain += -n * bad if accepted else n * good
+            if (k + 1 == len(tested) or tested[k + 1][0] > score) and gain > best:
+                best, threshold = gain, math.nextafter(score, math.inf)
     return threshold
 
 
+def fit_threshold(tested: DataFrame) -> float:
+    """`best_threshold` of urls (score, ruled, n), however many they are."""
+    if tested.count() <= SAMPLE_ROWS:
+        return best_threshold([(r["score"], r["ruled"] == "allow", r["n"]) for r in tested.select("score", "ruled", "n").collect()])
+    own = [F.coalesce(F.sum(F.when(F.col("ruled") == side, F.col("n"))), F.lit(0)) for side in ("allow", "block")]
+    good, bad = tested.agg(own[0].alias("good"), own[1].alias("bad")).first()
+    if not good or not bad:
+        return -math.inf
+    exact = lambda n: F.lit(n).cast("decimal(19,0)")
+    step = F.sum(F.when(F.col("ruled") == "allow", -F.col("n").cast("decimal(18,0)") * exact(bad)).otherwise(F.col("n").cast("decimal(18,0)") * exact(good)))
+    gains = running_total(tested.groupBy("score").agg(step.cast("decimal(38,0)").alias("step")), "score", F.col("step"), "gain", kind="decimal(38,0)")
+    gains = gains.select("score", (F.col("gain") + F.col("step")).cast("decimal(38,0)").alias("gain"))
+    best = gains.agg(F.max(F.struct("gain", (-F.col("score")).alias("minus"))).alias("best")).first()["best"]
+    return math.nextafter(-best["minus"], math.inf) if best["gain"] > 0 else -math.inf
+
+
 def learn(judged: DataFrame, order: int = ORDER) -> tuple[DataFrame, float] | None:
     """Scores (u, score) of the distinct urls without a rule, and the threshold; None where a side has no examples."""
     urls = stored(judged.where(F.length("u") > 0).groupBy("u", "ruled").agg(F.count("*").alias("n")), "url-distinct")
-    sizes = {r["ruled"]: r["count"] for r in urls.where("ruled is not null").groupBy("ruled").count().collect()}
-    if len(sizes) < 2:
+    if urls.where("ruled is not null").select("ruled").distinct().count() < 2:
         return None
-    h = F.xxhash64("u")
-    uniform = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_ROWS / n))]), F.col("ruled"))
-    urls = urls.withColumn("test", F.col("ruled").isNotNull() & F.coalesce(uniform < share, F.lit(False)) & (F.pmod(h, F.lit(5)) == 0))
+    urls = urls.withColumn("test", F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("u"), F.lit(5)) == 0))
     counts = stored(count_grams(urls.where("ruled is not null"), order), "url-counts")
     scores = stored(score_urls(urls.where("ruled is null or test"), counts, order), "url-scores")
-    tested = scores.where("ruled is not null").select("score", "ruled", "n").collect()
-    return scores.where("ruled is null").select("u", "score"), best_threshold([(r["score"], r["ruled"] == "allow", r["n"]) for r in tested])
+    return scores.where("ruled is null").select("u", "score"), fit_threshold(scores.where("ruled is not null"))
 
 
 def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
