@@ -133,3 +133,14 @@ def test_run_summary(spark):
     assert got["acc"] == (pytest.approx(0.6), pytest.approx(0.7), 0.9) and got["f1"] == (2.0, 2.0, 1.0)
     plan = M.run_summary(runs, ["acc", "f1"], "run", "acc")._jdf.queryExecution().optimizedPlan().toString()
     assert "median" not in plan.replace("AS median", "").replace("median#", "")
+
+
+def test_bags_stay_in_their_rows(spark, monkeypatch):
+    rows = [(1, "a b a c a", "a a b d"), (2, "", "x"), (3, None, "x"), (4, "b b", "b"), (5, "same same", "same same same")]
+    df = spark.createDataFrame(rows, "k int, l string, r string")
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    got = M.bag_overlap(df, ["k"], words(F.col("l")), words(F.col("r")))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {1: (3, 5, 4), 2: (0, 0, 1), 4: (1, 2, 1), 5: (2, 2, 3)}
+    twice = M.bag_overlap(df.withColumn("k", F.when(F.col("k") < 5, 1).otherwise(5)).where("l is not null"), ["k"], words(F.col("l")), words(F.col("r")))
+    assert {r["k"]: tuple(r)[1:] for r in twice.collect()} == {1: (4, 7, 6), 5: (2, 2, 3)}

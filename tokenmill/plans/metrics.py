@@ -70,8 +70,9 @@ LINES = """lines AS (SELECT doc_id, unnest(range(len(ls)))::INTEGER AS line_no,
 truths AS (SELECT a.doc_id, a.line_no, a.line AS prediction, b.line_no AS truth_no, b.line AS truth FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND abs(a.line_no - b.line_no) = 1)"""
 
 
-def _truths(t):
-    beside = A.let(F.split("text", "\n"), lambda ls: F.transform(
+def _truths(t, of=lambda line: line):
+    """Lines, and lines with their neighbours; of a line `of` is taken, once."""
+    beside = A.let(F.transform(F.split("text", "\n"), of), lambda ls: F.transform(
         ls, lambda line, i: F.struct(line.alias("line"), F.get(ls, i - 1).alias("before"), F.get(ls, i + 1).alias("after"))))
     around = t.documents.select("doc_id", F.posexplode(beside).alias("line_no", "x")).select("doc_id", "line_no", "x.*")
     both = F.array(
@@ -93,10 +94,15 @@ counts AS (SELECT doc_id, line_no, truth_no, w, sum(a) AS a, sum(b) AS b FROM si
 f1s AS (SELECT doc_id, line_no, truth_no, CASE WHEN sum(least(a, b)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * sum(least(a, b)) / (sum(a) + sum(b)) END AS f1 FROM counts GROUP BY ALL)"""
 
 
+def _line_f1(t):
+    _, truths = _truths(t, M.answer_words)
+    _, texts = _truths(t)
+    return M.token_f1(truths, ["doc_id", "line_no", "truth_no"], "prediction", "truth", words=lambda ws: ws, keyed=texts)
+
+
 @query("agg07_token_f1", f"WITH {BAGS} SELECT doc_id, line_no, truth_no, round(coalesce(f1, 0), 6) AS f1 FROM truths LEFT JOIN f1s USING (doc_id, line_no, truth_no)")
 def _(t):
-    _, truths = _truths(t)
-    return _round(M.token_f1(truths, ["doc_id", "line_no", "truth_no"], "prediction", "truth"))
+    return _round(_line_f1(t))
 
 
 @query(
@@ -105,8 +111,8 @@ def _(t):
     SELECT round(100.0::DOUBLE * avg(coalesce(f1, 0)), 6) AS f1 FROM lines LEFT JOIN best USING (doc_id, line_no)""",
 )
 def _(t):
-    lines, truths = _truths(t)
-    scored = M.token_f1(truths, ["doc_id", "line_no", "truth_no"], "prediction", "truth")
+    lines, _ = _truths(t)
+    scored = _line_f1(t)
     key = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("line_no").cast("string")).alias("q")
     return _round(M.best_over_truths(scored.select(key, "f1"), lines.select(key), "q", "f1"))
 
