@@ -265,3 +265,10 @@ def test_windows_over_the_stream(spark, lengths, stride):
         own = flat[w * stride:w * stride + 8]
         want[w] = (own + [PAD] * (8 - len(own)), [int(i < len(own) and (w == 0 or i >= 8 - stride)) for i in range(8)])
     assert rows == want
+
+
+def test_documents_are_encoded_once_for_their_pieces(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "d" * 9)], "doc_id long, text string")
+    pieces = S._sentence_pieces(docs.select("doc_id", F.transform(F.split("text", "c"), lambda s: F.split(s, "")).alias("sentences")), "doc_id")
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+    assert [r["doc_id"] for r in pieces.where("sentences is null").collect()] == []

@@ -45,7 +45,8 @@ def in_ids(token: Column, ids: Sequence[int]) -> Column:
 
 def _stream_places(docs: DataFrame, order: str, length: int) -> tuple[DataFrame, DataFrame]:
     """Sizes of the documents that hold tokens, and (order, __k, __lo, __n) for each of their pieces of `length` tokens; __lo is the document's place."""
-    sizes = cut_lineage(docs.select(order, F.size("tokens").cast("bigint").alias("__n")).filter("__n > 0"))
+    # Filtered behind the checkpoint: a filter before it would make all tokens a second time.
+    sizes = cut_lineage(docs.select(order, F.size("tokens").cast("bigint").alias("__n"))).filter("__n > 0")
     pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / length))
     return sizes, running_total(sizes, order, F.col("__n"), "__lo").withColumn("__k", F.explode(pieces))
 
@@ -74,7 +75,7 @@ def contiguous_chunks(docs: DataFrame, order: str, length: int, eos: int, pad: i
             k.alias("__k"), A.take(F.col("tokens"), start, length).alias("tokens"), following("tokens", eos).alias("target"), following("loss_mask", 1).alias("loss"))
 
     numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("tokens") - 1) / length))
-    cut = docs.filter(F.size("tokens") > 0).select(order, F.explode(F.transform(numbers, piece)).alias("p")).select(order, "p.*")
+    cut = docs.select(order, F.explode(F.when(F.size("tokens") > 0, F.transform(numbers, piece))).alias("p")).select(order, "p.*")
     placed = cut.join(places, [order, "__k"]).withColumn("lo", F.col("__lo") + F.col("__k") * length)
     first = F.floor(F.col("lo") / length)
     room = (first + 1) * length - F.col("lo")
@@ -93,7 +94,7 @@ def contiguous_chunks(docs: DataFrame, order: str, length: int, eos: int, pad: i
     last = total.select(
         F.floor(F.col("lo") / length).alias("chunk"), "lo", none.alias("tokens"), none.alias("target"), none.alias("loss"), F.lit(0).cast("bigint").alias("history"))
     # A chunk holds at most `length` tokens, so its group is bounded.
-    ordered = F.array_sort(F.collect_list(F.struct("lo", "tokens", "target", "loss", "history")))
+    ordered = F.sort_array(F.collect_list(F.struct("lo", "tokens", "target", "loss", "history")))
     grouped = pieces.unionByName(last).groupBy("chunk").agg(ordered.alias("ps"))
 
     def column(name: str, filler: int) -> Column:
@@ -147,7 +148,7 @@ def _parts(draws: DataFrame, docs: DataFrame, order: str, start: Column, stop: C
     number = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("tokens") - 1) / PIECE_TOKENS))
     cut = lambda name, i: A.take(F.col(name).cast("array<int>"), i * PIECE_TOKENS, PIECE_TOKENS)
     pieces = F.transform(number, lambda i: F.struct(i.alias("piece"), cut("tokens", i).alias("tokens"), cut("loss_mask", i).alias("loss")))
-    table = docs.filter(F.size("tokens") > 0).select(order, F.explode(pieces).alias("__p")).select(order, "__p.*")
+    table = docs.select(order, F.explode(F.when(F.size("tokens") > 0, pieces)).alias("__p")).select(order, "__p.*")
     joined = draws.join(table, [order, "piece"], "left")
     low = F.greatest(F.col("__start") - F.col("piece") * PIECE_TOKENS, F.lit(0))
     count = F.col("__stop") - F.col("piece") * PIECE_TOKENS - low
@@ -172,7 +173,7 @@ def packed_sequences(
     parts = _parts(draws, docs, order, F.col("from"), F.least("to", "size"))
     closing = lambda last: F.when(F.col("last") & (F.col("to") > F.col("size")), F.array(F.lit(last))).otherwise(F.array().cast("array<int>"))
     parts = parts.withColumns({"tokens": F.concat("tokens", closing(eos)), "loss": F.concat("loss", closing(1))})
-    ordered = F.array_sort(F.collect_list(F.struct("draw", "piece", "tokens", "loss")))  # at most `length`+1 tokens per sample
+    ordered = F.sort_array(F.collect_list(F.struct("draw", "piece", "tokens", "loss")))  # at most `length`+1 tokens per sample
     grouped = parts.groupBy(sample).agg(ordered.alias("ps"))
     return grouped.select(
         sample,
@@ -231,7 +232,7 @@ def block_samples(
     span = 2 * half + length + 2
     fields = [sample, "draw", "before", "__size", "__long", "__entry", "__lo"]
     parts = _parts(joined.select(*fields, order, "size"), docs, order, F.col("__lo"), F.least(F.col("__lo") + span, F.col("size")))
-    joined = parts.groupBy(*fields).agg(F.array_sort(F.collect_list(F.struct("piece", "tokens", "loss"))).alias("ps"))  # at most `span` tokens
+    joined = parts.groupBy(*fields).agg(F.sort_array(F.collect_list(F.struct("piece", "tokens", "loss"))).alias("ps"))  # at most `span` tokens
 
     def window(name: str, last: int) -> Column:
         whole = F.col("__lo") + span >= F.col("__size")
@@ -257,7 +258,7 @@ def block_samples(
     none = F.array().cast("array<int>")
     part = lambda name, first: F.when(only_eos, none).otherwise(F.concat(F.array(F.lit(first)), A.take(F.col(name), F.col("from"), F.col("kept"))))
     pieces = joined.withColumn("kept", kept).select(sample, "draw", part("tokens", cls).alias("tokens"), part("loss", 0).alias("loss"))
-    ordered = F.array_sort(F.collect_list(F.struct("draw", "tokens", "loss")))
+    ordered = F.sort_array(F.collect_list(F.struct("draw", "tokens", "loss")))
     grouped = pieces.groupBy(sample).agg(ordered.alias("ps"))
     return grouped.select(
         sample, F.flatten(F.transform("ps", lambda p: p["tokens"])).alias("tokens"), F.flatten(F.transform("ps", lambda p: p["loss"])).alias("loss_mask"))
@@ -268,10 +269,11 @@ def block_samples(
 
 def _sentence_pieces(docs: DataFrame, order: str) -> DataFrame:
     """(order, piece, sentences): PAIR_SENTENCES sentences of a document at a time, those without tokens left out."""
-    full = docs.select(order, F.filter("sentences", lambda s: F.size(s) > 0).alias("__s")).filter(F.size("__s") > 0)
+    full = docs.select(order, F.filter("sentences", lambda s: F.size(s) > 0).alias("__s"))
     number = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("__s") - 1) / PAIR_SENTENCES))
     cut = F.transform(number, lambda i: F.struct(i.alias("piece"), A.take(F.col("__s"), i * PAIR_SENTENCES, PAIR_SENTENCES).alias("sentences")))
-    return full.select(order, F.explode(cut).alias("p")).select(order, "p.*")
+    # Not a filter, which would make the sentences a second time.
+    return full.select(order, F.explode(F.when(F.size("__s") > 0, cut)).alias("p")).select(order, "p.*")
 
 
 class SentenceIndex:
@@ -313,7 +315,7 @@ class SentenceIndex:
         joined = parts.join(self.pieces.select(self.order, "piece", F.flatten("sentences").alias("__t")), [self.order, "piece"])
         low = F.greatest(F.col("lo") - F.col("__lo"), F.lit(0))
         part = A.take(F.col("__t"), low, F.col("hi") - F.col("__lo") - low)
-        grouped = joined.select(*keys, F.struct("piece", part.alias("t")).alias("__p")).groupBy(*keys).agg(F.array_sort(F.collect_list("__p")).alias("__ps"))
+        grouped = joined.select(*keys, F.struct("piece", part.alias("t")).alias("__p")).groupBy(*keys).agg(F.sort_array(F.collect_list("__p")).alias("__ps"))
         return grouped.select(*keys, F.flatten(F.transform("__ps", lambda p: p["t"])).alias("tokens"))
 
 
@@ -457,7 +459,7 @@ def stream_windows(docs: DataFrame, order: str, length: int, stride: int, pad: i
     sizes, places = _stream_places(docs, order, stride)
     numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("tokens") - 1) / stride))
     cut = F.transform(numbers, lambda k: F.struct(k.alias("__k"), A.take(F.col("tokens"), k * stride, stride).alias("tokens")))
-    pieces = docs.filter(F.size("tokens") > 0).select(order, F.explode(cut).alias("p")).select(order, "p.*").join(places, [order, "__k"])
+    pieces = docs.select(order, F.explode(F.when(F.size("tokens") > 0, cut)).alias("p")).select(order, "p.*").join(places, [order, "__k"])
     pieces = pieces.select((F.col("__lo") + F.col("__k") * stride).alias("lo"), "tokens")
     total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total"))  # one row
     pieces = pieces.crossJoin(F.broadcast(total))
@@ -468,7 +470,7 @@ def stream_windows(docs: DataFrame, order: str, length: int, stride: int, pad: i
     begin = F.greatest(F.col("window") * stride - F.col("lo"), F.lit(0))
     part = A.take(F.col("tokens"), begin, F.col("window") * stride + length - F.col("lo") - begin)
     # A window holds at most `length` tokens, so its group is bounded.
-    grouped = reached.groupBy("window").agg(F.array_sort(F.collect_list(F.struct((F.col("lo") + begin).alias("lo"), part.alias("t")))).alias("ps"))
+    grouped = reached.groupBy("window").agg(F.sort_array(F.collect_list(F.struct((F.col("lo") + begin).alias("lo"), part.alias("t")))).alias("ps"))
     windows = grouped.select("window", F.flatten(F.transform("ps", lambda p: p["t"])).alias("t"))
     scored = A.pad(A.repeat(1, F.size("t")), length, 0)
     late = F.concat(A.repeat(0, F.lit(length - stride)), A.drop(scored, length - stride))
@@ -534,7 +536,7 @@ def sections(lines: DataFrame, key: str) -> DataFrame:
     island = F.sum(many).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     islands = lines.filter(F.size("sentences") > 0).withColumn("island", island).groupBy(key, "island").agg(
         F.max(F.when(F.size("sentences") > 1, F.col("sentences"))).alias("opening"),
-        F.array_sort(F.collect_list(F.when(F.size("sentences") == 1, F.struct("line_no", F.col("sentences")[0].alias("s"))))).alias("singles"),
+        F.sort_array(F.collect_list(F.when(F.size("sentences") == 1, F.struct("line_no", F.col("sentences")[0].alias("s"))))).alias("singles"),
     )
     islands = islands.withColumn("singles", F.transform("singles", lambda x: x["s"]))
     joins_opening = (F.size("singles") == 1) & F.col("opening").isNotNull()

@@ -351,7 +351,7 @@ def decode_ids(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame
 
 def encode_chars(text: Column) -> Column:
     """Character-level ids: the code points."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c)))
 
 
 def decode_chars(tokens: Column) -> Column:
