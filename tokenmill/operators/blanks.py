@@ -73,7 +73,7 @@ def place_spans(lengths: Column, total: Column, offset: Column, seed: str | int,
     """Random spans of the given lengths that keep a gap of at least one token, inside [offset, offset + total)."""
     def placed(v: Column) -> Column:
         room = F.greatest(v["total"] - F.aggregate(v["ls"], F.lit(0), lambda acc, x: acc + x) - F.size(v["ls"]) + 2, F.lit(1))
-        places = F.array_sort(F.transform(v["ls"], lambda _, i: hash_below(room, seed, *keys, i).cast("int")))
+        places = F.sort_array(F.transform(v["ls"], lambda _, i: hash_below(room, seed, *keys, i).cast("int")))
         ends = A.running_sums(F.transform(v["ls"], lambda n: n + 1))
         return A.let(F.struct(places.alias("p"), ends.alias("e"), v["ls"].alias("ls"), v["offset"].alias("o")), lambda w: F.transform(
             w["ls"],
@@ -94,7 +94,7 @@ def document_ranges(tokens: Column, eos: int, cls: int) -> Column:
     def ranges(v: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.transform(A.positions_where(v, lambda x: x == eos), lambda i: i + 1))
         starts = F.filter(starts, lambda s: s <= F.size(v))
-        return A.let(starts, lambda ss: F.array_sort(
+        return A.let(starts, lambda ss: F.sort_array(
             F.transform(ss, lambda s, k: A.let(
                 F.struct(
                     (s + F.when(F.get(v, s) == cls, 1).otherwise(0)).cast("int").alias("begin"),
@@ -155,7 +155,7 @@ def sentence_spans(key: str, tokens: Column, sentence_ends: Sequence[int], eos:
         ))
 
     def chosen(v: Column) -> Column:
-        ordered = F.array_sort(F.transform(v["spans"], lambda s: F.struct(hash_hex(seed, key, s["start"]).alias("h"), s.alias("s"))))
+        ordered = F.sort_array(F.transform(v["spans"], lambda s: F.struct(hash_hex(seed, key, s["start"]).alias("h"), s.alias("s"))))
         begin = F.struct(F.lit(0).alias("total"), _none(SPANS).alias("spans"))
         target = _int_share(ratio, v["size"])
         return F.aggregate(ordered, begin, lambda acc, x: F.when((F.size(acc["spans"]) > 0) & (acc["total"] >= target), acc).otherwise(
@@ -169,7 +169,7 @@ def sentence_spans(key: str, tokens: Column, sentence_ends: Sequence[int], eos:
 
 def _smallest(hashes: Column, count: Column) -> Column:
     """Boolean per element: whether its hash is among the `count` smallest."""
-    kth = lambda hs: F.get(F.array_sort(hs), F.greatest(count, F.lit(0)) - 1)
+    kth = lambda hs: F.get(F.sort_array(hs), F.greatest(count, F.lit(0)) - 1)
     return A.let(hashes, lambda hs: A.let(kth(hs), lambda last: F.transform(hs, lambda h: last.isNotNull() & (h <= last))))
 
 
@@ -216,8 +216,8 @@ def blank_layout(
             rank(s).alias("rank"),
         )))
 
-    df = df.withColumn("__by_place", A.let(F.array_sort("spans"), placed))
-    by_rank = F.array_sort(F.transform("__by_place", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["at"].alias("at"))))
+    df = df.withColumn("__by_place", A.let(F.sort_array("spans"), placed))
+    by_rank = F.sort_array(F.transform("__by_place", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["at"].alias("at"))))
     df = df.withColumn("__by_rank", by_rank)
     tokens = F.col("tokens")
 
@@ -285,7 +285,7 @@ def blank_layout(
 
 def encoder_decoder_layout(df: DataFrame, special: Special) -> DataFrame:
     """Masked source and, as a second sequence, all spans in text order behind their `sop`, closed by one `eop`."""
-    df = df.withColumn("__by_place", F.array_sort("spans"))
+    df = df.withColumn("__by_place", F.sort_array("spans"))
     before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("__by_place", k - 1)["end"])
     tokens = F.col("tokens")
     source = F.concat(
@@ -338,10 +338,12 @@ def generation_layout(
     kept = F.size("tokens") - F.col("__count")
     source, target = A.head(F.col("tokens"), kept), A.drop(F.col("tokens"), kept)
     counted = A.counting(0, F.col("__count") + 1) if block_positions else F.concat(F.array(F.lit(0)), A.repeat(1, F.col("__count")))
+    # The lambda keeps Spark from one generated method for all five arrays, which would be too long for the JVM to compile.
+    loss = A.let(kept, lambda n: F.concat(A.repeat(0, n + 1), A.drop(F.col("loss_mask").cast("array<int>"), n)))
     suffix = df.filter("suffix").withColumns({
         "text": F.concat(source, F.array(F.lit(special.gmask), F.lit(special.sop)), A.head(target, F.col("__count") - 1)),
         "target": F.concat(source, F.array(F.lit(special.gmask)), target),
-        "loss_mask": F.concat(A.repeat(0, kept + 1), A.drop(F.col("loss_mask").cast("array<int>"), kept)),
+        "loss_mask": loss,
         "position": F.concat(A.counting(0, kept + 1), A.repeat(kept.cast("int"), F.col("__count"))),
         "block_position": F.concat(A.repeat(0, kept), counted),
         "sep": (kept + 1).cast("int"),
@@ -349,7 +351,9 @@ def generation_layout(
     infill = df.filter("not suffix").withColumn(
         "spans", spread_spans(key, F.col("tokens"), F.array(F.col("__count")), 1.0, special.eos, special.cls, f"{seed}-place"))
     infill = blank_layout(infill.filter(F.size("spans") == 1), key, special, seed, mask_id=special.gmask, block_positions=block_positions)
-    return suffix.unionByName(infill.drop("spans")).drop("__lo", "__hi", "__count", "tokens")
+    # As constants, so that a caller's filter on `suffix` leaves out the other half's work.
+    halves = [half.withColumn("suffix", F.lit(own)).drop("spans") for half, own in ((suffix, True), (infill, False))]
+    return halves[0].unionByName(halves[1]).drop("__lo", "__hi", "__count", "tokens")
 
 
 def short_samples(

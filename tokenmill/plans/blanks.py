@@ -13,7 +13,7 @@ from tokenmill.functions import text as T
 from tokenmill.operators import blanks as B
 from tokenmill.operators.sequences import pad_batch
 from tokenmill.operators.special import end_ids, special_tokens
-from tokenmill.operators.vocab import SENTENCE_END_MASKING, encode_chars
+from tokenmill.operators.vocab import SENTENCE_END_MASKING
 from tokenmill.plans.registry import query
 from tokenmill.plans.sequences import _show
 from tokenmill.plans.sqltext import codes, h_below, h_hex, h_uniform, joined, words
@@ -25,10 +25,10 @@ LAYOUT = ("text", "target", "loss_mask", "position", "block_position")
 
 
 def _samples(t):
-    ids = F.transform(encode_chars(F.col("text")), lambda c: F.when(c == 10, SP.eos).otherwise(c))
-    docs = t.documents.select("doc_id", ids.alias("ids"))
-    cuts = F.transform(A.counting(0, F.ceil(F.size("ids") / SAMPLE).cast("int")), lambda w: F.concat(F.array(F.lit(SP.cls)), A.take(F.col("ids"), w * SAMPLE, SAMPLE)))
-    pieces = docs.select("doc_id", F.posexplode(cuts).alias("piece", "tokens"))
+    # Texts are cut into the samples' characters first, so that no array is as long as a document.
+    cuts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SAMPLE}}}"), F.lit(0))
+    ids = lambda cut: F.transform(F.split(cut, ""), lambda c: F.when(c == "\n", SP.eos).otherwise(F.ascii(c)))
+    pieces = t.documents.select("doc_id", F.posexplode(F.transform(cuts, lambda cut: F.concat(F.array(F.lit(SP.cls)), ids(cut)))).alias("piece", "tokens"))
     return pieces.select(
         F.concat_ws("-", "doc_id", "piece").alias("sample"),
         F.concat_ws("-", "doc_id", F.floor(F.col("piece") / 16)).alias("batch"),
