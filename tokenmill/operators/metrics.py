@@ -1,6 +1,6 @@
 """Scores of predictions against references.
 
-Bag overlaps are counted by (key, n-gram), so a very long text or a very frequent word spreads over all tasks; sums and
+Bag overlaps are counted within rows where keys are unique, else by (key, n-gram), so that no key's rows have to meet in one; sums and
 averages combine before the shuffle.
 """
 
