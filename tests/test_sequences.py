@@ -221,6 +221,17 @@ def test_window_counts(spark, size, windows):
     assert set(range(1, min(size, 8) + 1)) <= set(scored)
 
 
+def test_windows_in_form(spark):
+    df = spark.createDataFrame([(n, list(range(1, n + 1))) for n in (0, 5, 8, 9, 12, 40)], "d int, tokens array<int>")
+    plain = {(r["d"], r["window"]): (r["tokens"], r["loss_mask"]) for r in S.sliding_windows(df, ["d"], 8, 3).collect()}
+    for (n, w), (tokens, mask) in plain.items():
+        own = list(range(1, n + 1))[3 * w:3 * w + 8]
+        assert tokens == own + [0] * (8 - len(own)) and mask == [int(i < len(own) and (w == 0 or i >= 5)) for i in range(8)]
+    written = S.sliding_windows(df.withColumn("tokens", F.col("tokens").cast("array<string>")), ["d"], 8, 3, pad="0", form=lambda a: F.array_join(a, " "))
+    assert "transform(" not in written._jdf.queryExecution().optimizedPlan().toString()  # nothing of a window is interpreted
+    assert {(r["d"], r["window"]): (r["tokens"], r["loss_mask"]) for r in written.collect()} == {k: tuple(" ".join(map(str, a)) for a in v) for k, v in plain.items()}
+
+
 def test_passage_windows_skip_does_not_stop(spark):
     context = "x" * 25 + "ans" + "x" * 12
     df = spark.createDataFrame([(1, context, 0, "ans")], "d int, context string, question_size int, answer string")

@@ -428,26 +428,30 @@ def truncate_pair(df: DataFrame, key: str, limit: int, seed: str | int) -> DataF
 # --- evaluation windows ----------------------------------------------------------------------------------------------
 
 
-def sliding_windows(docs: DataFrame, keys: Sequence[str], length: int, stride: int, pad: int = 0) -> DataFrame:
+def _as_is(array: Column) -> Column:
+    return array
+
+
+def sliding_windows(
+    docs: DataFrame, keys: Sequence[str], length: int, stride: int, pad: int | str = 0, form: Callable[[Column], Column] = _as_is
+) -> DataFrame:
     """Overlapping windows of `length` tokens every `stride`; each token is scored once.
 
-    The first window scores all of its tokens, later ones only their last `stride` positions.
+    The first window scores all of its tokens, later ones only their last `stride` positions. `form` says how a row holds an array, for
+    instance as text; the mask that nearly all windows share is put in form only once.
     """
     over = F.greatest(F.size("tokens") - length, F.lit(0))
     count = F.ceil(over / stride).cast("int") + 1
-
-    def window(number: Column) -> Column:
-        tokens = A.take(F.col("tokens"), number * stride, length)
-        scored = A.pad(A.repeat(1, F.size(tokens)), length, 0)
-        late = F.concat(A.repeat(0, F.lit(length - stride)), A.drop(scored, length - stride))
-        return F.struct(
-            number.alias("window"),
-            A.pad(tokens, length, pad).alias("tokens"),
-            F.when(number == 0, scored).otherwise(late).alias("loss_mask"),
-        )
-
-    windows = F.transform(A.counting(0, count), window)
-    return docs.select(*keys, F.explode(windows).alias("w")).select(*keys, "w.*")
+    # Only the numbers are exploded: the slices of a window are compiled with the explode, and no row with a whole document is written.
+    numbered = docs.select(*keys, "tokens", F.explode(A.counting(0, count)).alias("window"))
+    windows = numbered.select(*keys, "window", A.take(F.col("tokens"), F.col("window") * stride, length).alias("tokens"))
+    size, shown = F.size("tokens"), max(length - stride, 0)
+    scored = A.pad(A.repeat(1, size), length, 0)
+    full = F.concat(A.repeat(0, F.lit(shown)), A.repeat(1, F.lit(length - shown)))  # a constant
+    late = F.concat(A.repeat(0, F.lit(shown)), A.repeat(1, size - shown), A.repeat(0, length - size))
+    mask = F.when(F.col("window") == 0, form(scored)).when(size == length, form(full)).otherwise(form(late))
+    padded = F.when(size < length, form(A.pad(F.col("tokens"), length, pad))).otherwise(form(F.col("tokens")))
+    return windows.select(*keys, "window", padded.alias("tokens"), mask.alias("loss_mask"))
 
 
 def stream_windows(docs: DataFrame, order: str, length: int, stride: int, pad: int = 0) -> DataFrame:

@@ -164,7 +164,8 @@ WINDOWS = """windows AS (SELECT doc_id, unnest(range((greatest(len(tokens) - 256
       {joined("list_transform(range(1, 257), lambda i: CASE WHEN i <= len(toks) AND (w = 0 OR i > 192) THEN 1 ELSE 0 END)")} AS loss_mask FROM windows""",
 )
 def _(t):
-    return _show(S.sliding_windows(_tokens(t), ["doc_id"], 256, 64), "tokens", "loss_mask")
+    written = _tokens(t).withColumn("tokens", F.col("tokens").cast("array<string>"))  # once for the four windows of a token
+    return S.sliding_windows(written, ["doc_id"], 256, 64, pad="0", form=lambda a: F.array_join(a, " "))
 
 
 @query(
