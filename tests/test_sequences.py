@@ -9,6 +9,7 @@ from draws import below, uniform
 from pyspark.sql import functions as F
 
 from tokenmill.functions import arrays as A
+from tokenmill.functions.hashing import hash_uniform, heads
 from tokenmill.operators import sequences as S
 
 EOS, CLS, PAD, END = 900, 901, 902, 7
@@ -212,6 +213,22 @@ def test_truncate_pair_matches_one_by_one(spark):
         assert r["tokens_a"] == list(range(r["tokens_a"][0], r["tokens_a"][0] + a)) if a else True
 
 
+def test_truncate_pair_of_texts(spark):
+    rows = [(k if k else None, "aé€𝄞b" * k, "\n x" * (40 - k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, tokens_a string, tokens_b string")
+    texts = S.truncate_pair(df, "k", 9, "t", size=F.length, take=lambda text, start, count: text.substr(start + 1, count))
+    chars = df.withColumns({c: F.filter(F.split(c, ""), lambda x: x != "") for c in ("tokens_a", "tokens_b")})
+    want = {r["k"]: ("".join(r["tokens_a"]), "".join(r["tokens_b"])) for r in S.truncate_pair(chars, "k", 9, "t").collect()}
+    assert {r["k"]: (r["tokens_a"], r["tokens_b"]) for r in texts.collect()} == want
+
+
+def test_heads(spark):
+    df = spark.createDataFrame([(7, 500), (None, 500), (8, 0)], "k long, n int")
+    coins = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: (hash_uniform("s", "k", i) < 0.5).cast("int"))
+    for r in df.select("n", heads(F.col("n"), "s", "k").alias("got"), F.aggregate(coins, F.lit(0), lambda a, x: a + x).alias("want")).collect():
+        assert r["got"] == (r["want"] if r["n"] else 0)
+
+
 @pytest.mark.parametrize(("size", "windows"), [(0, 1), (5, 1), (8, 1), (9, 2), (11, 2), (12, 3)])
 def test_window_counts(spark, size, windows):
     df = spark.createDataFrame([(1, list(range(1, size + 1)))], "d int, tokens array<int>")

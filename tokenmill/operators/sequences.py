@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenmill.functions import arrays as A
-from tokenmill.functions.hashing import hash_below, hash_uniform
+from tokenmill.functions.hashing import hash_below, hash_uniform, heads
 from tokenmill.operators.prefix import position, running_total
 from tokenmill.operators.rangejoin import range_join
 from tokenmill.operators.sampling import weight_line, weighted_draws
@@ -413,16 +413,20 @@ def pair_losses(size_a: Column, size_b: Column, limit: int | Column) -> tuple[Co
     return loss_a.cast("int"), (surplus - loss_a).cast("int")
 
 
-def truncate_pair(df: DataFrame, key: str, limit: int, seed: str | int) -> DataFrame:
-    """Cut `tokens_a` and `tokens_b` to `limit` tokens together; each lost token goes from the front or the back by a coin flip."""
-    loss_a, loss_b = pair_losses(F.size("tokens_a"), F.size("tokens_b"), limit)
+def truncate_pair(
+    df: DataFrame, key: str, limit: int, seed: str | int, size: Callable[[Column], Column] = F.size, take: Callable[[Column, Column, Column], Column] = A.take
+) -> DataFrame:
+    """Cut `tokens_a` and `tokens_b` to `limit` tokens together; each lost token goes from the front or the back by a coin flip.
+
+    `size` and `take` are for tokens in another form than arrays, such as texts whose characters are the tokens.
+    """
+    sizes = {side: size(F.col(f"tokens_{side}")) for side in "ab"}
+    losses = dict(zip("ab", pair_losses(sizes["a"], sizes["b"], limit)))
 
-    def cut(side: str, loss: Column) -> Column:
-        flips = F.transform(A.counting(0, loss), lambda i: (hash_uniform(f"{seed}-{side}", key, i) < 0.5).cast("int"))
-        front = F.aggregate(flips, F.lit(0), lambda acc, x: acc + x)
-        return A.take(F.col(f"tokens_{side}"), front, F.size(f"tokens_{side}") - loss)
+    def cut(side: str) -> Column:
+        return take(F.col(f"tokens_{side}"), heads(losses[side], f"{seed}-{side}", key), sizes[side] - losses[side])
 
-    return df.withColumns({"tokens_a": cut("a", loss_a), "tokens_b": cut("b", loss_b)})
+    return df.withColumns({f"tokens_{side}": cut(side) for side in "ab"})
 
 
 # --- evaluation windows ----------------------------------------------------------------------------------------------

@@ -149,9 +149,11 @@ def _(t):
     SELECT doc_id, {joined("list_slice(a, fa + 1, len(a) - la + fa)")} AS tokens_a, {joined("list_slice(b, fb + 1, len(b) - lb + fb)")} AS tokens_b FROM fronts""",
 )
 def _(t):
+    # Characters are the tokens, so the texts are cut and what is left is encoded.
     cut = F.instr("text", "\n")
-    df = _tokens(t, cut.alias("cut")).select("doc_id", A.head(F.col("tokens"), F.col("cut")).alias("tokens_a"), A.drop(F.col("tokens"), F.col("cut")).alias("tokens_b"))
-    return _show(S.truncate_pair(df, "doc_id", 125, "trim"), "tokens_a", "tokens_b")
+    df = t.documents.select("doc_id", F.left("text", cut).alias("tokens_a"), F.col("text").substr(cut + 1, F.length("text")).alias("tokens_b"))
+    df = S.truncate_pair(df, "doc_id", 125, "trim", size=F.length, take=lambda text, start, count: text.substr(start + 1, count))
+    return _show(df.withColumns({c: encode_chars(F.col(c)) for c in ("tokens_a", "tokens_b")}), "tokens_a", "tokens_b")
 
 
 WINDOWS = """windows AS (SELECT doc_id, unnest(range((greatest(len(tokens) - 256, 0) + 63) // 64 + 1)) AS w,
