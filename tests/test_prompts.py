@@ -1,8 +1,12 @@
 """Truncation, slots and layouts of prompts."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from tokenmill.operators import examples as E
 from tokenmill.operators import layout as L
 from tokenmill.operators import prompts as P
 from tokenmill.operators.examples import TASKS
@@ -94,3 +98,14 @@ def test_single_token_words(spark):
 )
 def test_interactive_context(spark, text, expected):
     assert spark.createDataFrame([(text,)], "t string").select(P.interactive_context(F.col("t")).alias("o")).first()["o"] == expected
+
+
+def test_question_generation_takes_the_last_start(spark):
+    kind = "data array<struct<paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string,answer_start:int>>>>>>>>"
+    rng = random.Random(4)
+    many = [(rng.choice(["x", "y", "zz", "", None]), i) for i in range(300)]
+    qas = [("a", "who", many), ("b", "what", []), ("c", "where", [("x", 5), ("y", 1), ("x", 2)]), ("d", "why", None)]
+    df = E.question_generation(spark.createDataFrame([([([("text", qas), ("none", [])],)],), ([],), (None,)], kind), "train")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
+    want = [("train-" + q + (f"-{t}" if t is not None else ""), question, t, s, q) for q, question, answers in qas for t, s in dict(answers or []).items()]
+    assert Counter((r["guid"], r["meta"]["question"], r["meta"]["answer"], r["meta"]["answer_start"], r["idx"]) for r in df.collect()) == Counter(want)
