@@ -109,3 +109,12 @@ def test_question_generation_takes_the_last_start(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
     want = [("train-" + q + (f"-{t}" if t is not None else ""), question, t, s, q) for q, question, answers in qas for t, s in dict(answers or []).items()]
     assert Counter((r["guid"], r["meta"]["question"], r["meta"]["answer"], r["meta"]["answer_start"], r["idx"]) for r in df.collect()) == Counter(want)
+
+
+def test_answer_sentences_makes_its_rows_once(spark):
+    kind = "idx long, passage struct<text:string,questions:array<struct<idx:int,question:string,answers:array<struct<idx:int,text:string,label:int>>>>>"
+    rows = [(1, ("“t”", [(0, "q – ’1’", [(0, "“a”", 1), (None, "b", 0)]), (1, "none", [])])), (None, ("u", [(3, "q‘", [(7, None, 1)])])), (2, ("v", []))]
+    df = E.answer_sentences(spark.createDataFrame(rows, kind), "dev")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+    got = sorted((r["guid"], r["text_a"], r["text_b"], r["meta"]["answer"], r["label"]) for r in df.collect())
+    assert got == [("dev-p1-q0-a0", '"t"', "q - '1'", '"a"', "1"), ("dev-p1-q0-anull", '"t"', "q - '1'", "b", "0"), ("dev-pnull-q3-a7", "u", "q'", None, "1")]
