@@ -118,3 +118,16 @@ def test_answer_sentences_makes_its_rows_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
     got = sorted((r["guid"], r["text_a"], r["text_b"], r["meta"]["answer"], r["label"]) for r in df.collect())
     assert got == [("dev-p1-q0-a0", '"t"', "q - '1'", '"a"', "1"), ("dev-p1-q0-anull", '"t"', "q - '1'", "b", "0"), ("dev-pnull-q3-a7", "u", "q'", None, "1")]
+
+
+def test_marked_spans(spark):
+    rows = [(text, a, b, n, k) for text in ("", "x", "aé𝄞d", "abcdef") for a in (-1, 0, 2, 5, None) for b in (0, 1, 3, 9) for n in (0, 1, 2) for k in (1, 3)]
+    meta = "meta struct<span1_index:int,span2_index:int,span1_length:int,span2_length:int>"
+    df = spark.createDataFrame([(t, (a, b, n, k)) for t, a, b, n, k in rows], f"text_a string, {meta}").select("*", P._spans_marked().alias("got"))
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()  # no array of all characters
+    for r in df.collect():
+        (s1, s2, n1, n2), want = r["meta"], ""
+        for i, c in enumerate(r["text_a"]):
+            opened = "#" * (i == s1) + "*" * (i == s2)
+            want += opened + c + "*" * (i == s2 + n2 - 1) + "#" * (s1 is not None and i == s1 + n1 - 1)
+        assert r["got"] == want, r

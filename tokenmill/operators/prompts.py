@@ -160,14 +160,18 @@ def _qnli_fields() -> dict[str, Column]:
 def _spans_marked() -> Column:
     """Characters with * around the pronoun and # around the target; where both touch, # goes outside."""
     m = lambda name: F.col(f"meta.{name}")
-    chars = F.filter(F.split(_a(), ""), lambda c: c != "")
     pronoun_end, target_end = m("span2_index") + m("span2_length") - 1, m("span1_index") + m("span1_length") - 1
+    # Where a mark stands, and its rank there: marks behind a character come before marks in front of the next one.
+    places = [(pronoun_end, 1, 0, "*"), (target_end, 1, 1, "#"), (m("span1_index"), 0, 2, "#"), (m("span2_index"), 0, 3, "*")]
+    text, size = _a(), F.length(_a())
+    marks = F.array(*[F.when((i >= 0) & (i < size), F.struct((i + behind).alias("at"), F.lit(rank).alias("rank"), F.lit(mark).alias("mark"))) for i, behind, rank, mark in places])
 
-    def mark(c: Column, i: Column) -> Column:
-        opened = F.concat(F.when(i == m("span1_index"), "#").otherwise(""), F.when(i == m("span2_index"), "*").otherwise(""), c)
-        return F.concat(opened, F.when(i == pronoun_end, "*").otherwise(""), F.when(i == target_end, "#").otherwise(""))
+    def cut(found: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(found, k - 1)["at"]).otherwise(0)
+        pieces = F.transform(found, lambda x, k: F.concat(text.substr(before(k) + 1, x["at"] - before(k)), x["mark"]))
+        return F.concat(F.array_join(pieces, ""), text.substr(before(F.size(found)) + 1, size))
 
-    return F.array_join(F.transform(chars, mark), "")
+    return A.let(F.sort_array(F.filter(marks, lambda x: x.isNotNull())), cut)
 
 
 def _cluewsc_fields() -> dict[str, Column]:
