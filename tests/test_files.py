@@ -1,6 +1,7 @@
 """Readers, writers and the stream on small files with edge rows."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -142,6 +143,24 @@ def test_nested_predictions(spark):
     assert got[5] == [{"idx": 1, "answers": [{"idx": 0, "label": "a"}, {"idx": 1, "label": "b"}]}, {"idx": 0, "answers": [{"idx": 0, "label": "c"}]}]
 
 
+def test_nested_predictions_shuffle_once(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, 1, 2, 3]), rng.choice([None, 4, 5, 6]), rng.choice([None, 0, 1, 2]), rng.choice([None, "a", "b"])) for k in range(200)]
+    rng.shuffle(rows)
+    df = W.nested_predictions(spark.createDataFrame(rows, "pos long, passage_idx int, question_idx int, answer_idx int, label string").repartition(5))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for _, passage, question, answer, label in sorted(rows):
+        want.setdefault(passage, {}).setdefault(question, []).append((answer, label))
+    assert {r["idx"]: {q["idx"]: [tuple(a) for a in q["answers"]] for q in r["passage"]["questions"]} for r in df.collect()} == want
+    assert {r["idx"]: [q["idx"] for q in r["passage"]["questions"]] for r in df.collect()} == {p: list(qs) for p, qs in want.items()}
+    flat = spark.createDataFrame(rows, "pos long, passage_idx int, question_idx int, answer_idx int, label string").fillna(-1, ["question_idx", "answer_idx"]).fillna("", ["label"])
+    for r in W.nested_predictions(flat, order=("question_idx", "answer_idx")).collect():
+        none = lambda x, y: y if x is None else x
+        assert [(q["idx"], [tuple(a) for a in q["answers"]]) for q in r["passage"]["questions"]] == sorted(
+            (none(q, -1), sorted((none(a, -1), none(label, "")) for a, label in found)) for q, found in want[r["idx"]].items())
+
+
 def test_best_answers(spark):
     df = spark.createDataFrame([(1, 0, "N / A"), (1, 1, ""), (1, 2, "x"), (1, 3, "y"), (2, 0, "n/a")], "q int, w int, prediction string")
     assert {r["q"]: r["prediction"] for r in W.best_answers(df, "q", "w").collect()} == {1: "x", 2: ""}

@@ -303,9 +303,11 @@ def _(t):
 def _(t):
     questions = _multirc(t).select(F.col("idx").alias("passage_idx"), F.explode("passage.questions").alias("q"))
     answers = questions.select("passage_idx", F.col("q.idx").alias("question_idx"), F.explode("q.answers").alias("a"))
-    rows = answers.select("passage_idx", "question_idx", F.col("a.idx").alias("answer_idx"), F.col("a.label").alias("label"), F.struct(F.col("question_idx"), F.col("a.idx")).alias("pos"))
+    rows = answers.select("passage_idx", "question_idx", F.col("a.idx").alias("answer_idx"), F.col("a.label").alias("label"))
+    numbers = ("question_idx", "answer_idx", "label")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(-1)) for c in numbers})  # of words that are there, so never null; the schema doesn't know
     path = _folder(t)
-    W.nested_predictions(rows).write.json(path)
+    W.nested_predictions(rows, order=("question_idx", "answer_idx")).write.json(path)
     return t.spark.read.text(path).select(F.get_json_object("value", "$.idx").cast("bigint").alias("idx"), F.get_json_object("value", "$.passage").alias("passage"))
 
 

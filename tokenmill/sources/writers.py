@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.functions import arrays as A
 from tokenmill.operators.prefix import position
 from tokenmill.session import cut_lineage
 
@@ -64,18 +65,37 @@ def label_predictions(predictions: DataFrame, labels: Sequence[str] | None = Non
     return rows.orderBy("idx") if order else rows
 
 
-def nested_predictions(predictions: DataFrame, order: str = "pos") -> DataFrame:
-    """One row per passage with its questions and their answers, both by first appearance.
+def nested_predictions(predictions: DataFrame, order: str | Sequence[str] = "pos") -> DataFrame:
+    """One row per passage with its questions and their answers, both by first appearance in the order of one or more columns.
 
-    The format holds a passage in one line, so the group is as large as the passage the answers came from.
+    The format holds a passage in one line, so the group is as large as the passage the answers came from. Rows are shuffled once, by passage,
+    as one list for each column: numbers take their own width there. Questions are runs of the sorted answers.
     """
-    answers = predictions.groupBy("passage_idx", "question_idx").agg(
-        F.min(order).alias("__first"),
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(F.col("answer_idx").alias("idx"), "label").alias("a")))).alias("as"))
-    question = F.struct(F.col("question_idx").alias("idx"), F.transform("as", lambda x: x["a"]).alias("answers"))
-    passages = answers.groupBy("passage_idx").agg(F.array_sort(F.collect_list(F.struct("__first", question.alias("q")))).alias("qs"))
-    questions = F.transform("qs", lambda x: x["q"])
-    return passages.select(F.col("passage_idx").alias("idx"), F.struct(questions.alias("questions")).alias("passage"))
+    order = [order] if isinstance(order, str) else list(order)
+    columns = dict.fromkeys([*order, "question_idx", "answer_idx", "label"])
+    # Lists leave out nulls, so a column that may hold them is wrapped; all lists of a passage are in one order.
+    wrapped = {c for c in columns if predictions.schema[c].nullable}
+    lists = [F.collect_list(F.struct(F.col(c).alias("v")) if c in wrapped else F.col(c)).alias(c) for c in columns]
+
+    def whole(x: Column) -> Column:
+        value = {c: x[c]["v"] if c in wrapped else x[c] for c in columns}
+        place = F.struct(*[value[c].alias(c) for c in order])
+        return F.struct(value["question_idx"].alias("q"), place.alias("o"), value["answer_idx"].alias("idx"), value["label"].alias("label"))
+
+    answers = F.sort_array(F.transform(F.arrays_zip(*columns), whole))
+
+    def questions(found: Column) -> Column:
+        starts = A.positions_where(A.indices(found), lambda i: (i == 0) | ~F.get(found, i)["q"].eqNullSafe(F.get(found, i - 1)["q"]))
+
+        def question(at: Column, k: Column, begun: Column) -> Column:
+            own = A.take(found, at, F.coalesce(F.get(begun, k + 1), F.size(found)) - at)
+            nested = F.struct(F.get(found, at)["q"].alias("idx"), F.transform(own, lambda x: F.struct(x["idx"], x["label"])).alias("answers"))
+            return F.struct(F.get(found, at)["o"].alias("first"), nested.alias("q"))
+
+        return A.let(starts, lambda begun: F.transform(F.sort_array(F.transform(begun, lambda at, k: question(at, k, begun))), lambda x: x["q"]))
+
+    passages = predictions.groupBy("passage_idx").agg(*lists)
+    return passages.select(F.col("passage_idx").alias("idx"), F.struct(A.let(answers, questions).alias("questions")).alias("passage"))
 
 
 def candidate_predictions(predictions: DataFrame, candidates: str = "candidates") -> DataFrame:
