@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -128,6 +129,26 @@ def test_run(spark, samples, tmp_path):
     assert Counter((r["doc_id"], r["n_ids"]) for r in pipeline.run(spark, str(tmp_path)).collect()) == Counter((i, len(ids)) for (i, ids), n in want.items() for _ in range(n))
 
 
+def test_stages_take_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    rows = [(k, f"{k} the house of {SECRET} and über " * (k % 7), "en", "s") for k in range(60)]
+    try:
+        spark.conf.set(setting, "10000")
+        want = sorted(map(tuple, pipeline.encode_pieces(spark, table(spark, rows), "").collect()))
+        got = pipeline.in_batches(pipeline.encode_pieces, 7)(spark, table(spark, rows).coalesce(1), "")
+        assert sorted(map(tuple, got.collect())) == want
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+        assert max(r["n"] for r in spark.range(60).coalesce(1).mapInArrow(sizes, "n long").collect()) == 7
+        assert pipeline.STAGES[-1][1](spark, table(spark, rows), "").columns and spark.conf.get(setting) == str(pipeline.BATCH_ROWS)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

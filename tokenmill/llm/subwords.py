@@ -78,7 +78,7 @@ class Encoder:
         self.unknown, self.lost = lib.unk_id(), min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.text = [b"" if lib.is_control(i) else bytes([int(lib.id_to_piece(i)[3:5], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by one number for two pieces, which takes less memory than a tuple
 
     def merged(self, text: str) -> list[str]:
         """Adjacent parts whose union scores best become one, the first of equals, while there are such."""
@@ -95,12 +95,12 @@ class Encoder:
 
     def allowed(self, u: int, t: int) -> bool:
         """Whether piece t may follow piece u; u = -1 asks whether t may stand alone."""
-        known = self.pairs.get((u, t))
+        known = self.pairs.get(pair := (u << 32) | t)
         if known is None:
             if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
             own = [self.pieces[t]] if u < 0 else [self.pieces[u], self.pieces[t]]
-            known = self.pairs[u, t] = self.merged("".join(own)) == own
+            known = self.pairs[pair] = self.merged("".join(own)) == own
         return known
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ class Encoder:
                     new = state[0] + scores[piece]
                     if best is None or new > score:
                         if not free:
-                            answer = pairs.get((state[2], piece))
+                            answer = pairs.get((state[2] << 32) | piece)
                             if not (self.allowed(state[2], piece) if answer is None else answer):
                                 continue
                         best, score = (new, start, piece), new
