@@ -193,3 +193,42 @@ def test_shuffled_rows_are_distinct_words(spark):
     encoded = V.encode_words(frame, ["k"], F.col("ws"), vocab, unk=9)
     assert all(r["tokens"] == [min(i % 7, 5) if i % 7 < 5 else 9 for i in range(1000)] for r in encoded.collect())
     assert encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("most", [10**6, 0, 1, 7])
+def test_items_are_replaced_within_their_rows(spark, most):
+    rng = random.Random(6)
+    word = lambda: rng.choice([None, "", *(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(9))])
+    rows = [(k % 50 or None, f"l{k % 3}", [word() for _ in range(rng.randrange(0, 30))]) for k in range(200)] + [(7, None, None), (8, "x", [])]
+    frame = spark.createDataFrame(rows, "k int, l string, ws array<string>")
+    table = [(f"w{k}", [k] * (k % 4)) for k in range(35)] + [("w3", [1, None]), ("w5", None), (None, [99]), ("", [0])]
+    dictionary = spark.createDataFrame(table, "word string, pieces array<int>")
+    default = F.array(F.lit(-1), F.lit(None).cast("int"))
+    found = V.answered(V.distinct_places(frame, ["k", "l"], F.col("ws")), "word", dictionary, 0, 3)
+    want = V.assembled(found, ["k", "l"], F.coalesce("pieces", default), "tokens")
+    got = V.replaced(frame, ["k", "l"], F.col("ws"), dictionary.toDF("item", "value"), default, "tokens", None, most)
+    order = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert order(got) == order(want)
+
+
+def test_a_row_is_shuffled_once(spark):
+    """Not once for each of its distinct words; only words beyond those that are sent go by themselves."""
+    frame = spark.range(20).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), i % 50)).alias("ws"))
+    dictionary = spark.createDataFrame([(f"w{k}", [k, k]) for k in range(50)], "word string, pieces array<int>")
+    out = V.expand_words(frame, ["k"], F.col("ws"), dictionary)
+    assert all(r["tokens"] == [i % 50 for i in range(1000) for _ in range(2)] for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # answers come with the row
+    vocab = spark.createDataFrame([("w", 1), ("##1", 2), ("##12", 3), (None, 4), ("##2", 5)], "token string, id int")
+    words = spark.createDataFrame([("w112",), ("",), (None,), ("##1",)], "word string")
+    pieces = V.wordpiece_dictionary(words, vocab, 0)
+    assert {r["word"]: r["pieces"] for r in pieces.collect()} == {"w112": [1, 2, 3], "": [0], None: [0], "##1": [0]}
+    assert "Exchange" not in pieces._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted(spark):
+    frame = spark.createDataFrame([(["a", "b", "a", None],), (["a"],), ([],), (None,)], "ws array<string>")
+    assert {r["word"]: r["n"] for r in V.distinct_words(frame, F.col("ws")).collect()} == {"a": 3, "b": 1, None: 1}
+    text = spark.createDataFrame([("Ab, [MASK] cd\x0b! ΑΣ x",), ("Ab, cd\tE!",), ("ΑΣ É x",), (None,)], "t string")
+    got = [r[0] for r in text.select(V.basic_tokens(F.col("t"))).collect()]
+    assert got == [["ab", ",", "[MASK]", "cd", "!", "ας", "x"], ["ab", ",", "cd", "e", "!"], ["ας", "e", "x"], None]

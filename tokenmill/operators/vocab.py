@@ -90,14 +90,25 @@ def top_words(frequencies: DataFrame, size: int) -> DataFrame:
 
 
 def basic_tokens(text: Column) -> Column:
-    """Lower-case, accent-free words with every punctuation mark and CJK character on its own."""
-    text = F.regexp_replace(F.regexp_replace(text, CONTROL, ""), CJK, r" $1 ")
-    pieces = F.transform(
-        split_words(text),
-        lambda w: F.when(w.isin(*PROTECTED_WORDS), F.array(w)).otherwise(
-            F.regexp_extract_all(strip_accents(F.lower(w)), F.lit(f"{PUNCTUATION}|[^!-/:-@\\[-`{{-~\\p{{P}}]+"), F.lit(0))),
-    )
-    return F.flatten(pieces)
+    """Lower-case, accent-free words with every punctuation mark and CJK character on its own.
+
+    Only a text that holds a protected word is taken apart into its words first (white space ends the context of lower-casing),
+    and only one beyond printable ASCII is searched for what basic tokenization drops.
+    """
+    marks = rf"\[(?:{'|'.join(w[1:-1] for w in PROTECTED_WORDS)})\]"
+
+    def words(whole: Column, plain: Callable[[Column], Column]) -> Column:
+        single = F.transform(
+            split_words(whole),
+            lambda w: F.when(w.isin(*PROTECTED_WORDS), F.array(w)).otherwise(
+                F.regexp_extract_all(plain(w), F.lit(f"{PUNCTUATION}|[^!-/:-@\\[-`{{-~\\p{{P}}]+"), F.lit(0))),
+        )
+        at_once = F.regexp_extract_all(plain(whole), F.lit(f"(?U){PUNCTUATION}|[^!-/:-@\\[-`{{-~\\p{{P}}\\s]+"), F.lit(0))
+        return F.when(whole.rlike(marks), F.flatten(single)).otherwise(at_once)
+
+    cleaned = F.regexp_replace(F.regexp_replace(text, CONTROL, ""), CJK, r" $1 ")
+    beyond = let(cleaned, lambda whole: words(whole, lambda part: strip_accents(F.lower(part))))
+    return F.when(text.rlike(r"[^\t\n\r\x20-\x7E]"), beyond).otherwise(words(text, F.lower))
 
 
 def sentence_end(token: Column, marks: str = SENTENCE_END_MASKING) -> Column:
@@ -210,52 +221,172 @@ def assembled(rows: DataFrame, keys: Sequence[str], value: Column, out: str) ->
     return grouped.select(*keys, F.flatten(F.transform(F.array_sort(spread), lambda x: x["v"])).alias(out))
 
 
+def replaced(df: DataFrame, keys: Sequence[str], items: Column, table: DataFrame, default: Column, out: str, counts: DataFrame | None = None, most: int = BROADCAST_WORDS) -> DataFrame:
+    """(keys, out): the arrays that `table(item, value)` gives for a row's items, in their order; `default` for an item that it lacks. Rows with equal keys become one.
+
+    Up to `most` items are sent to the tasks: all of the table, or those that stand most often by `counts(item, n)`; no other item is in more than
+    a share of 1/most of all places, so none is a hot key of the join that answers the rest. A row is shuffled once, as its sent answers, beside its other items.
+    """
+    table = cut_lineage(table.filter("item IS NOT NULL").withColumn("value", F.coalesce("value", default)))
+    kind = table.schema["value"].dataType.elementType.simpleString()
+    some, n = table, table.count()
+    if n > most:
+        counts = item_counts(df, items) if counts is None else counts
+        top = counts.filter("item IS NOT NULL").orderBy(F.desc("n"), "item").limit(most).select("item")
+        some = top.join(table, "item", "left").withColumn("value", F.coalesce("value", default))
+    single = some.groupBy("item").agg(F.count("*").alias("rows"), F.first("value").alias("value")).filter("rows = 1").select("item", "value").toArrow()
+    closed = n <= most and single.num_rows == n  # an item with several rows in the table is joined with them
+    sent = df.sparkSession.sparkContext.broadcast(single)
+    other = df.sparkSession.range(1).select(default.cast(f"array<{kind}>").alias("value")).first()["value"]
+    head = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    rows = df.select(*keys, items.alias("__items"))
+
+    def coded(column: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Sizes of the rows, and for each item its place in `words` (behind them: nowhere) and the distinct items in which it can be found."""
+        own = pc.dictionary_encode(column.flatten(), null_encoding="encode")
+        known = np.asarray(pc.fill_null(pc.index_in(own.dictionary, value_set=words), len(words))).astype(np.int64)
+        if not closed:  # no row of the table answers null
+            known[np.asarray(pc.is_null(own.dictionary))] = len(words) + 1
+        return np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64), known, own
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each row: how many values each of its items has, and the values; items that are not known here have none."""
+        answers = sent.value.column("value").combine_chunks()
+        words, kind_of = sent.value.column("item").combine_chunks(), answers.type.value_type
+        lengths = np.concatenate([np.asarray(pc.list_value_length(answers)).astype(np.int64), [len(other) if closed else 0, len(other)]])
+        starts = np.cumsum(lengths) - lengths
+        starts[-1] -= len(other) if closed else 0
+        flat = pa.concat_arrays([answers.flatten(), pa.array(other, kind_of)])
+        for whole in batches:
+            for first in range(0, whole.num_rows, PLACE_ROWS):
+                batch = whole.slice(first, PLACE_ROWS)
+                counted, known, own = coded(batch.column("__items"), words)
+                at = known[np.asarray(own.indices)]
+                sizes = lengths[at]
+                ends = np.cumsum(sizes)
+                values = flat.take(pa.array(np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + sizes, sizes)))
+                rims = np.concatenate([[0], np.cumsum(counted)])
+                lists = pa.ListArray.from_arrays(pa.array(rims.astype(np.int32)), pa.array(sizes.astype(np.int32)))
+                cuts = np.concatenate([[0], ends])[rims].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), lists, pa.ListArray.from_arrays(pa.array(cuts), values)], [*keys, "sizes", "values"])
+
+    def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each place of an item that is not known here."""
+        words = sent.value.column("item").combine_chunks()
+        for whole in batches:
+            for first in range(0, whole.num_rows, PLACE_ROWS):
+                batch = whole.slice(first, PLACE_ROWS)
+                counted, known, own = coded(batch.column("__items"), words)
+                codes = np.asarray(own.indices).astype(np.int64)
+                open_ = np.flatnonzero(known[codes] == len(words))
+                rims = np.cumsum(counted)
+                row = np.searchsorted(rims, open_, "right")
+                place = open_ - (rims - counted)[row]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in keys), own.dictionary.take(pa.array(codes[open_])), pa.array(place.astype(np.int32))], [*keys, "item", "place"])
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Values of each group by place; values of one place, which only rows with equal keys have, by themselves."""
+        for whole in batches:
+            for first in range(0, whole.num_rows, PLACE_ROWS):
+                batch = whole.slice(first, PLACE_ROWS)
+                group = batch.column("__parts")
+                per_group = np.asarray(pc.list_value_length(group)).astype(np.int64)
+                parts = group.flatten()
+                part_place, sizes_of, values = (pc.struct_field(parts, name) for name in ("place", "sizes", "values"))
+                alone = np.asarray(pc.is_null(sizes_of))
+                n_values = np.asarray(pc.list_value_length(values)).astype(np.int64)
+                items_of = np.where(alone, 1, np.asarray(pc.fill_null(pc.list_value_length(sizes_of), 0))).astype(np.int64)
+                part = np.repeat(np.arange(len(parts)), items_of)
+                begins = np.cumsum(items_of) - items_of
+                place = np.arange(len(part)) - begins[part]
+                size = np.zeros(len(part), np.int64)
+                size[~alone[part]] = np.asarray(sizes_of.flatten())
+                place[begins[alone]], size[begins[alone]] = np.asarray(pc.fill_null(part_place, 0))[alone], n_values[alone]
+                start = np.cumsum(size) - size
+                row = np.repeat(np.arange(len(group)), per_group)[part]
+                kept = np.flatnonzero(size)
+                kept = kept[np.lexsort((place[kept], row[kept]))]
+                flat = values.flatten()
+                again = np.flatnonzero((np.diff(row[kept]) == 0) & (np.diff(place[kept]) == 0))
+                for run in np.split(again, np.flatnonzero(np.diff(again) > 1) + 1) if len(again) else []:
+                    tied = kept[run[0]:run[-1] + 2]
+                    kept[run[0]:run[-1] + 2] = sorted(tied, key=lambda i: [(v is not None, v) for v in flat.slice(start[i], size[i]).to_pylist()])
+                ends = np.cumsum(size[kept])
+                taken = flat.take(pa.array(np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[kept] - ends + size[kept], size[kept])))
+                cuts = np.concatenate([[0], ends])[np.searchsorted(row[kept], np.arange(len(group) + 1))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.ListArray.from_arrays(pa.array(cuts), taken)], [*keys, out])
+
+    answers = rows.mapInArrow(here, f"{head}sizes array<int>, values array<{kind}>").select(*keys, F.lit(None).cast("int").alias("place"), "sizes", "values")
+    if not closed:
+        rest = rows.mapInArrow(elsewhere, f"{head}item {table.schema['item'].dataType.simpleString()}, place int").join(table, "item", "left")
+        answers = answers.unionByName(rest.select(*keys, "place", F.lit(None).cast("array<int>").alias("sizes"), F.coalesce("value", default).alias("values")))
+    grouped = answers.groupBy(*keys).agg(F.collect_list(F.struct("place", "sizes", "values")).alias("__parts"))
+    return grouped.mapInArrow(ordered, f"{head}`{out}` array<{kind}>")
+
+
 def encode_words(df: DataFrame, keys: Sequence[str], words: Column, vocab: DataFrame, unk: int, out: str = "tokens") -> DataFrame:
     """Whole-word ids in text order; `vocab` is (token, id). Rows without words come back with an empty array."""
-    table = vocab.select(F.col("token").alias("word"), F.col("id").cast("int").alias("id"))
-    return assembled(answered(distinct_places(df, keys, words), "word", table), keys, F.array(F.coalesce("id", F.lit(unk))), out)
+    table = vocab.select(F.col("token").alias("item"), F.array(F.coalesce(F.col("id").cast("int"), F.lit(unk))).alias("value"))
+    return replaced(df, keys, words, table, F.array(F.lit(unk)), out)
 
 
-def expand_words(df: DataFrame, keys: Sequence[str], words: Column, dictionary: DataFrame, out: str = "tokens") -> DataFrame:
-    """Replace every word by its pieces from `dictionary(word, pieces)`; words that it lacks give none."""
+def expand_words(df: DataFrame, keys: Sequence[str], words: Column, dictionary: DataFrame, out: str = "tokens", counts: DataFrame | None = None) -> DataFrame:
+    """Replace every word by its pieces from `dictionary(word, pieces)`; words that it lacks give none. `counts` are those of `distinct_words`, if at hand."""
     none = F.array().cast(dictionary.schema["pieces"].dataType)
-    return assembled(answered(distinct_places(df, keys, words), "word", dictionary), keys, F.coalesce("pieces", none), out)
+    table = dictionary.select(F.col("word").alias("item"), F.col("pieces").alias("value"))
+    return replaced(df, keys, words, table, none, out, counts if counts is None else counts.withColumnRenamed("word", "item"))
+
+
+def item_counts(df: DataFrame, items: Column) -> DataFrame:
+    """(item, n): each distinct item of the arrays and how often it stands; Arrow counts some rows at once, before Spark does."""
+    kind = df.select(items.alias("i")).schema["i"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, PLACE_ROWS):
+                counted = pc.value_counts(batch.column("i").slice(first, PLACE_ROWS).flatten())
+                yield pa.RecordBatch.from_struct_array(counted).rename_columns(["item", "n"])
+
+    return df.select(items.alias("i")).mapInArrow(run, f"item {kind}, n long").groupBy("item").agg(F.sum("n").alias("n"))
 
 
 def distinct_words(df: DataFrame, words: Column) -> DataFrame:
-    return df.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
+    """(word, n): each distinct word and how often it stands."""
+    return item_counts(df, words).withColumnRenamed("item", "word")
 
 
 def wordpiece_dictionary(words: DataFrame, vocab: DataFrame, unk: int, max_chars: int = 100) -> DataFrame:
     """Greedy longest-match pieces of each distinct word; over-long or unmatched words become `unk`.
 
-    Every substring that could be a piece meets the vocabulary once; the longest match per start position is kept and the
-    word is then walked from its start over those matches.
+    `vocab` is bounded by its size and shipped to the tasks once; Python sees distinct words in Arrow batches.
     """
-    table = vocab.select(F.col("token").alias("piece"), F.col("id").cast("int").alias("id"))
-    longest = table.agg(F.max(F.length(F.regexp_replace("piece", "^##", ""))).alias("__longest"))  # one row
-    spots = words.filter(F.length("word") <= max_chars).crossJoin(F.broadcast(longest))
-    spots = spots.select("word", "__longest", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    spans = spots.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - F.col("start") + 1, "__longest"))).alias("len"))
-    candidate = F.concat(F.when(F.col("start") > 1, "##").otherwise(""), F.expr("substring(word, start, len)"))
-    matches = spans.withColumn("piece", candidate).join(table, "piece")
-    best = matches.groupBy("word", "start").agg(F.max(F.struct("len", "id")).alias("best"))
-    steps = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("start", "best"))).alias("steps"))
-    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.length("word")),
-        empty,
-        lambda acc, i: F.when(
-            (acc["at"] == i) & F.map_contains_key("steps", i),
-            F.struct(
-                (i + F.try_element_at("steps", i)["len"]).cast("int").alias("at"),
-                F.concat(acc["ids"], F.array(F.try_element_at("steps", i)["id"])).alias("ids"),
-            ),
-        ).otherwise(acc),
-    )
-    joined = words.join(steps, "word", "left").withColumn("walk", F.when(F.col("steps").isNotNull(), walked))
-    whole = F.col("walk.at") == F.length("word") + 1
-    return joined.select("word", F.when(whole, F.col("walk.ids")).otherwise(F.array(F.lit(unk))).alias("pieces"))
+    rows = vocab.filter("token IS NOT NULL").groupBy("token").agg(F.max(F.col("id").cast("int")).alias("id")).collect()
+    sent = words.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in rows})
+
+    def walk(word: str | None, ids: dict[str, int | None], longest: int) -> list[int | None]:
+        out: list[int | None] = []
+        at, end = 0, len(word or "")
+        if not end or end > max_chars:
+            return [unk]
+        while at < end:
+            for stop in range(min(end, at + longest), at, -1):
+                piece = "##" + word[at:stop] if at else word[:stop]
+                if piece in ids:
+                    out.append(ids[piece])
+                    at = stop
+                    break
+            else:
+                return [unk]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = sent.value
+        longest = max((len(t.removeprefix("##")) for t in ids), default=0)
+        for batch in batches:
+            pieces = [walk(word, ids, longest) for word in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(pieces, pa.list_(pa.int32()))], ["word", "pieces"])
+
+    return words.select("word").mapInArrow(run, "word string, pieces array<int>")
 
 
 def _byte_letters() -> list[str]:
@@ -344,8 +475,9 @@ def decode_ids(df: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame
     if "name" in vocab.columns:
         last = F.coalesce(F.array_position(F.array(*map(F.lit, COMMAND_TOKENS)), F.col("name")), F.lit(0))
     surface = vocab.groupBy("id").agg(F.max_by("token", F.struct(last, "token")).alias("token"))
-    found = answered(distinct_places(df, keys, F.col(tokens), "id"), "id", surface)
-    joined = assembled(found, keys, F.when(F.col("token").isNull(), F.array().cast("array<string>")).otherwise(F.array("token")), "__tokens")
+    none = F.array().cast("array<string>")
+    table = surface.select(F.col("id").alias("item"), F.when(F.col("token").isNull(), none).otherwise(F.array("token")).alias("value"))
+    joined = replaced(df, keys, F.col(tokens), table, none, "__tokens")
     return joined.select(*keys, F.regexp_replace(F.array_join("__tokens", " "), " ##", "").alias(out))
 
 

@@ -58,8 +58,8 @@ parts AS (SELECT DISTINCT '##' || substr(token, s, l) AS token FROM top, range(1
 pieces AS (SELECT token, (row_number() OVER (ORDER BY token))::INTEGER AS id FROM parts)"""
 
 
-def _pieces(t, basic):
-    top = V.top_words(basic.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("n")), 60).select("token")
+def _pieces(counts):
+    top = V.top_words(counts, 60).select("token")
     spots = top.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("s"))
     spans = spots.select("token", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.length("token") - F.col("s") + 1))).alias("l"))
     part = F.expr("substring(token, s, l)")
@@ -81,11 +81,11 @@ def _pieces(t, basic):
     SELECT doc_id, string_agg({joined("ids")}, ' ' ORDER BY i) AS tokens FROM placed JOIN dictionary USING (word) GROUP BY doc_id""",
 )
 def _(t):
-    # The words are read four times, so they are written once; so is the vocabulary.
+    # The words are read three times, so they are written once; so are their counts.
     basic = cut_lineage(t.documents.select("doc_id", V.basic_tokens(F.col("text")).alias("ws")))
-    pieces = F.broadcast(cut_lineage(_pieces(t, basic)))
-    dictionary = V.wordpiece_dictionary(V.distinct_words(basic, F.col("ws")), pieces, unk=0)
-    return V.expand_words(basic, ["doc_id"], F.col("ws"), dictionary).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+    counts = cut_lineage(V.distinct_words(basic, F.col("ws")))
+    dictionary = V.wordpiece_dictionary(counts, _pieces(counts), unk=0)
+    return V.expand_words(basic, ["doc_id"], F.col("ws"), dictionary, counts=counts).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 MERGES, ENCODED_MERGES = 24, 12
