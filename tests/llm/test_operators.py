@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -79,6 +80,34 @@ def test_jaccard_links_in_slices(monkeypatch):
     assert dict(zip(out["k"], out["reached"])) == {k: 3 for k in (3, 5, 10, 20, 30)}
 
 
+def test_tree_of_copies_takes_bounded_memory():
+    n = 3000  # all in one chunk's pair, with few bits: every node meets every other
+    tree = jaccard.Tree(np.full((n, 10), ~np.uint64(0)), np.full(n, 640))
+    tracemalloc.start()
+    try:
+        assert sum(len(a) for a, _ in tree.links((3, 4))) == n * (n - 1) // 2
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_bitmaps_of_large_sets():
+    rng = np.random.default_rng(8)
+    sizes = [*range(1, 60), 64, 128, 200, 255, 256, 257, 300, 400, 511, 512, 513, 700, 1024, 1500]
+    widths = [jaccard.bitmap_width(n) for n in sizes]
+    assert widths == sorted(widths) and all(w >= n for n, w in zip(sizes, widths)) and jaccard.bitmap_width(512) == 512
+    small = lambda s: (len(s), int.from_bytes(jaccard.bitmap_column([s])[0].as_py(), "little"))
+    for n in sizes:
+        own = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+        for m in {n, max(1, 3 * n // 4), n - n // 8}:
+            a, b = own[:n], np.concatenate([own[:m], own[n:n + n // 16]])
+            if 4 * m >= 3 * (n + n // 16):  # the overlap is of all sizes that may link
+                assert jaccard.may_link(small(a), small(b), (3, 4)) and jaccard.may_link(small(b), small(a), (3, 4))
+    apart = [small(rng.integers(0, 1 << 63, n, np.uint64)) for n in (300, 400, 512, 513, 640, 700) for _ in range(60)]
+    met = sum(jaccard.may_link(a, b, (3, 4)) for k, a in enumerate(apart) for b in apart[:k])
+    assert met <= len(apart) ** 2 // 2 // 1000
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 101), (101, 102), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
