@@ -4,13 +4,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tokenmill.llm import secrets, subwords
+from tokenmill.llm import jaccard, secrets, subwords
 from tokenmill.llm.common import may_hold
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -149,6 +150,59 @@ def test_stages_take_small_batches(spark):
         spark.conf.set(setting, before)
 
 
+def test_first_stages_take_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    rows = [(k, f"the house of {k} and the river", "en", "s") for k in range(20)]
+    try:
+        for _, stage in pipeline.STAGES[:2]:
+            spark.conf.set(setting, "10000")
+            stage(spark, table(spark, rows), "")
+            assert int(spark.conf.get(setting)) <= 1000
+    finally:
+        spark.conf.set(setting, before)
+
+
+class Handed:
+    """Stands for a frame and hands out the function that mapInArrow gets."""
+
+    def __init__(self):
+        self.schema, self.dataType, self.sparkSession, self.sparkContext = {"id": self}, self, self, self
+
+    def simpleString(self):
+        return "long"
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+@pytest.mark.parametrize("rows", [2, 5, 20])
+def test_join_blocks_span_batches(rows, monkeypatch):
+    whole = pa.RecordBatch.from_pydict({"id": list(range(20)), "h": list(range(20)), "t": ["a b c d e f", "g h i j k l", None, "a b c d e f", ""] * 4})
+    cuts = [whole.slice(0, 0), *(whole.slice(k, rows) for k in range(0, 20, rows)), whole.slice(0, 0)]
+
+    def reports():
+        out = [r for b in jaccard._classes(Handed(), 5)(iter(cuts)) for r in b.to_pylist()]
+        assert [r["id"] for r in out] == list(range(20)) and [r["n"] for r in out] == [2, 2, 0, 2, 0] * 4
+        return [sorted(r["held"]) for r in out if r["common"]]
+
+    assert reports() == [[4, 4, 8, 8]]
+    none = np.zeros(0, np.int64)
+    met = [(r["token"], r["k"]) for b in jaccard._prefixes(Handed(), none.view(np.uint64), none, 5, (3, 4))(iter(cuts)) for r in b.to_pylist()]
+    assert len(met) == len(set(met)) == 2
+    if rows < 20:
+        for limit, value in (("BLOCK_TOKENS", 12), ("BLOCK_ROWS", 10)):
+            monkeypatch.setattr(jaccard, limit, value)
+            assert reports() == [[4, 4]] * 2
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
