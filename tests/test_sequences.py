@@ -300,3 +300,9 @@ def test_documents_are_encoded_once_for_their_pieces(spark):
     pieces = S._sentence_pieces(docs.select("doc_id", F.transform(F.split("text", "c"), lambda s: F.split(s, "")).alias("sentences")), "doc_id")
     assert pieces._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
     assert [r["doc_id"] for r in pieces.where("sentences is null").collect()] == []
+
+
+def test_last_token_of_texts_without_tokens(spark):
+    docs = spark.createDataFrame([(0, [3, 4, 5]), (1, [7]), (2, []), (3, None)], "doc_id long, tokens array<int>")
+    rows = docs.orderBy("doc_id").select(S.last_token_cloze(F.col("tokens")).alias("c")).select("c.*").collect()
+    assert [tuple(r) for r in rows] == [([3, 4], 5), ([], 7), ([], None), (None, None)]

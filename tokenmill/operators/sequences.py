@@ -505,7 +505,8 @@ def last_word_cloze(text: Column) -> Column:
 
 
 def last_token_cloze(tokens: Column) -> Column:
-    return F.struct(A.head(tokens, F.size(tokens) - 1).alias("context"), F.element_at(tokens, -1).alias("answer"))
+    """Everything before the last token as context, the last token as answer; null where there is none."""
+    return F.struct(A.head(tokens, F.size(tokens) - 1).alias("context"), F.get(tokens, F.size(tokens) - 1).alias("answer"))
 
 
 def passage_windows(df: DataFrame, keys: Sequence[str], max_source: int, answer_required: bool = False) -> DataFrame:
