@@ -217,3 +217,14 @@ def test_key_map(spark):
     got = {r["v"]: r["maybe"] for r in may_hold(rows, F.col("v"), some, F.col("v")).collect()}
     assert len(got) == len(keys) and all(got[k] for k in keys if k % 2 == 0) and sum(got.values()) <= sum(k % 2 == 0 for k in keys) + 2
     assert not any(r["maybe"] for r in may_hold(rows, F.col("v"), some.limit(0), F.col("v")).collect())
+
+
+def test_sets_travel_as_pressed_texts():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "of", "Ärger", "thonea", "und", f"w{rng.randrange(300)}"]) for _ in range(400)) for _ in range(30)] + ["a  b", "", "x y z a b c"]
+    sets = list(jaccard.Shingles(5)(pa.array(texts)))
+    column = jaccard.text_column(pa.array(texts), sets)
+    assert 2 * column.nbytes < 8 * sum(map(len, sets))
+    order = rng.sample(range(len(texts)), len(texts))
+    back = jaccard.sets_of(pa.chunked_array([column.slice(0, 7), column.slice(7)]), np.array(order), 5)
+    assert all(np.array_equal(own, sets[k]) for own, k in zip(back, order, strict=True))
