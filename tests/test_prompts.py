@@ -131,3 +131,13 @@ def test_marked_spans(spark):
             opened = "#" * (i == s1) + "*" * (i == s2)
             want += opened + c + "*" * (i == s2 + n2 - 1) + "#" * (s1 is not None and i == s1 + n1 - 1)
         assert r["got"] == want, r
+
+
+def test_answers_of_a_long_question_are_rows_one_by_one(spark):
+    words = " ".join(f"{k:011d}" for k in range(14_000))  # beside each of its answers the question takes 2.3 GB
+    raw = spark.createDataFrame([(1, words)], "idx long, line string").withColumn("answers", F.transform(F.split("line", " "), lambda w, i: F.struct(i.alias("idx"), w.alias("text"), F.lit(1).alias("label"))))
+    question = F.struct(F.lit(0).alias("idx"), F.col("line").alias("question"), F.col("answers"))
+    none = F.struct(F.lit(1).alias("idx"), F.lit("none").alias("question"), F.slice("answers", 1, 0).alias("answers"))
+    examples = E.answer_sentences_text(E.answer_sentences(raw.select("idx", F.struct(F.lit("text").alias("text"), F.array(question, none).alias("questions")).alias("passage")), "dev"))
+    got = examples.agg(F.count("*"), F.min(F.length("text_b")), F.max(F.length("text_b")), F.count_distinct("guid"), F.max_by("idx", F.col("meta.answer"))).first()
+    assert tuple(got) == (14_000, len(words) + 20, len(words) + 20, 14_000, "1,0,13999")
