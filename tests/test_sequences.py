@@ -306,3 +306,22 @@ def test_last_token_of_texts_without_tokens(spark):
     docs = spark.createDataFrame([(0, [3, 4, 5]), (1, [7]), (2, []), (3, None)], "doc_id long, tokens array<int>")
     rows = docs.orderBy("doc_id").select(S.last_token_cloze(F.col("tokens")).alias("c")).select("c.*").collect()
     assert [tuple(r) for r in rows] == [([3, 4], 5), ([], 7), ([], None), (None, None)]
+
+
+def test_sentences_are_made_twice(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    kind = "doc_id long, weight long, sentences array<array<int>>"
+    docs = spark.createDataFrame([(i, 9 + i, [[1, 2, 3]] * (4 + i % 3)) for i in range(20)], kind)
+    sentences = docs.select("doc_id", "sentences").repartition(1).mapInPandas(count, "doc_id long, sentences array<array<int>>")
+    index = S.SentenceIndex(sentences, "doc_id")
+    ranges = spark.createDataFrame([(i, i, 0, 1, 0, 0) for i in range(20)], "k long, doc_id long, from long, to long, lo long, hi long")
+    ranges = ranges.join(index.documents().select("doc_id", "first"), "doc_id").select("k", "doc_id", "from", "to", F.col("first").alias("lo"), (F.col("first") + 5).alias("hi"))
+    assert made.value == 20  # for the sizes; their sums and joins read what is written down
+    assert [tuple(r) for r in index.tokens(ranges, ["k"]).orderBy("k").collect()] == [(i, [1, 2, 3, 1, 2]) for i in range(20)]
+    assert made.value == 40

@@ -282,7 +282,8 @@ class SentenceIndex:
     def __init__(self, docs: DataFrame, order: str):
         self.order = order
         self.pieces = _sentence_pieces(docs, order)
-        sizes = self.pieces.select(order, "piece", F.transform("sentences", lambda s: F.size(s)).alias("sizes"))
+        # Written down, so that the sums' passes over the sizes do not make the sentences again.
+        sizes = cut_lineage(self.pieces.select(order, "piece", F.transform("sentences", lambda s: F.size(s)).alias("sizes")))
         total = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda n, s: n + s)
         placed = running_total(sizes.withColumn("__n", total), [order, "piece"], F.col("__n"), "lo")
         self.rows = cut_lineage(placed.select(order, "piece", "sizes", "lo", (F.col("lo") + F.col("__n")).alias("hi")))

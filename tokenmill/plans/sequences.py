@@ -106,7 +106,7 @@ def _(t):
 
 def _sentence_docs(t):
     sents = F.transform(T.sentences(F.col("text")), lambda s: encode_chars(s))
-    return t.documents.select("doc_id", F.length("text").cast("bigint").alias("weight"), sents.alias("sentences")).filter(F.size("sentences") > 0)
+    return t.documents.select("doc_id", F.length("text").cast("bigint").alias("weight"), sents.alias("sentences"))
 
 
 # The first good one of 24 tries is taken; more are needed once in 2^24 samples.
