@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions import arrays as A
 from tokenmill.functions.hashing import hash_uniform, heads
 from tokenmill.operators import sequences as S
+from tokenmill.operators.vocab import encode_chars
 
 EOS, CLS, PAD, END = 900, 901, 902, 7
 SCHEMA = "doc_id long, tokens array<int>, loss_mask array<int>"
@@ -325,3 +326,18 @@ def test_sentences_are_made_twice(spark):
     assert made.value == 20  # for the sizes; their sums and joins read what is written down
     assert [tuple(r) for r in index.tokens(ranges, ["k"]).orderBy("k").collect()] == [(i, [1, 2, 3, 1, 2]) for i in range(20)]
     assert made.value == 40
+
+
+def test_texts_as_tokens(spark):
+    """Characters in place of ids: the same chunks and windows, also beyond one plane, and a token moves about once however many windows it is in."""
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("ab\n é𝄞썐") for _ in range(n)) if n is not None else None) for i, n in enumerate([40, 0, 7, 1, None, 3000, 14])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    cut = F.least(F.lit(3), F.length("text"))
+    prompt, text = F.col("text").substr(F.lit(1), cut), F.col("text").substr(cut + 1, F.length("text"))
+    as_ids = docs.select("doc_id", S.from_prompt(encode_chars(prompt), encode_chars(text)).alias("i")).select("doc_id", "i.*")
+    as_text = docs.select("doc_id", S.from_prompt(prompt, text, F.length, S.digits).alias("i")).select("doc_id", "i.*")
+    for make in (lambda d, **how: S.contiguous_chunks(d, "doc_id", 16, EOS, PAD, **how), lambda d, **how: S.stream_windows(d, "doc_id", 16, 4, **how)):
+        assert sorted(make(as_text, encode=encode_chars).collect()) == sorted(make(as_ids).collect())
+    plan = S.stream_windows(as_text, "doc_id", 16, 4, encode=encode_chars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan[plan.index("Aggregate [block"):].split("\n", 1)[1]  # no array of ids below the group, which is one of blocks

@@ -23,12 +23,20 @@ from tokenmill.session import cut_lineage
 PAIR_TRIES = 4  # sentence-pair attempts per round; the first good one counts
 PAIR_SENTENCES = 64  # of a document that a pair joins with
 PIECE_TOKENS = 1024  # of a document that a draw joins with; a draw reads the pieces that it needs
+BLOCK_WINDOWS = 64  # windows over the stream that are cut from one row
 FIRST_DRAWS = 4  # draws per sample in the first round; unfilled samples get four times as many in each further round
 
 
-def from_prompt(prompt: Column, text: Column) -> Column:
-    """Training item of a document: prompt tokens carry no loss, text tokens do."""
-    return F.struct(F.concat(prompt, text).alias("tokens"), F.concat(A.repeat(0, F.size(prompt)), A.repeat(1, F.size(text))).alias("loss_mask"))
+def digits(value: int, count: Column) -> Column:
+    return F.repeat(F.lit(str(value)), count)
+
+
+def from_prompt(prompt: Column, text: Column, size: Callable[[Column], Column] = F.size, repeat: Callable[[int, Column], Column] = A.repeat) -> Column:
+    """Training item of a document: prompt tokens carry no loss, text tokens do.
+
+    `size` and `repeat` are for texts whose characters are the tokens (F.length and `digits`).
+    """
+    return F.struct(F.concat(prompt, text).alias("tokens"), F.concat(repeat(0, size(prompt)), repeat(1, size(text))).alias("loss_mask"))
 
 
 def loss_from_runs(runs: Column) -> Column:
@@ -43,64 +51,118 @@ def in_ids(token: Column, ids: Sequence[int]) -> Column:
 # --- contiguous chunks -----------------------------------------------------------------------------------------------
 
 
-def _stream_places(docs: DataFrame, order: str, length: int) -> tuple[DataFrame, DataFrame]:
+class Form:
+    """Tokens as arrays of ids, or with `encode` as texts whose characters are the tokens, and losses as texts of digits.
+
+    Texts take a fraction of the bytes of arrays when they are shuffled, and are encoded once they have met.
+    """
+
+    def __init__(self, encode: Callable[[Column], Column] | None):
+        self.encode, self.kind = encode, "array<int>" if encode is None else "string"
+
+    def size(self, tokens: Column) -> Column:
+        return F.size(tokens) if self.encode is None else F.length(tokens)
+
+    def take(self, tokens: Column, start: Column | int, count: Column | int) -> Column:
+        if self.encode is None:
+            return A.take(tokens, start, count)
+        start, count = (x if isinstance(x, Column) else F.lit(x) for x in (start, count))
+        return tokens.substr((start + 1).cast("int"), F.greatest(count, F.lit(0)).cast("int"))
+
+    def pieces(self, tokens: Column, length: int) -> Column:
+        """The tokens cut every `length` of them, in one pass; null without tokens."""
+        if self.encode is not None:
+            cut = F.regexp_extract_all(tokens, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
+        else:
+            numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size(tokens) - 1) / length))
+            cut = F.transform(numbers, lambda k: A.take(tokens, k * length, length))
+        return F.when(self.size(tokens) > 0, cut)
+
+    def one(self, token: int) -> Column:
+        return F.array(F.lit(token)) if self.encode is None else F.lit(chr(token))
+
+    def flag(self, value: int) -> Column:
+        return F.array(F.lit(value)) if self.encode is None else F.lit(str(value))
+
+    def none(self) -> Column:
+        return F.array().cast("array<int>") if self.encode is None else F.lit("")
+
+    def joined(self, parts: Column) -> Column:
+        return F.flatten(parts) if self.encode is None else F.array_join(parts, "")
+
+    def ids(self, tokens: Column) -> Column:
+        return tokens if self.encode is None else self.encode(tokens)
+
+    def flags(self, loss: Column) -> Column:
+        if self.encode is None:
+            return loss
+        return F.when(loss == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(loss, ""), lambda c: F.ascii(c) - 48))
+
+
+def _stream_places(docs: DataFrame, order: str, length: int, form: Form) -> tuple[DataFrame, DataFrame]:
     """Sizes of the documents that hold tokens, and (order, __k, __lo, __n) for each of their pieces of `length` tokens; __lo is the document's place."""
     # Filtered behind the checkpoint: a filter before it would make all tokens a second time.
-    sizes = cut_lineage(docs.select(order, F.size("tokens").cast("bigint").alias("__n"))).filter("__n > 0")
+    sizes = cut_lineage(docs.select(order, form.size(F.col("tokens")).cast("bigint").alias("__n"))).filter("__n > 0")
     pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / length))
     return sizes, running_total(sizes, order, F.col("__n"), "__lo").withColumn("__k", F.explode(pieces))
 
 
-def contiguous_chunks(docs: DataFrame, order: str, length: int, eos: int, pad: int, mem_len: int | None = None) -> DataFrame:
+def contiguous_chunks(
+    docs: DataFrame, order: str, length: int, eos: int, pad: int, mem_len: int | None = None, encode: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Cut the concatenation of all documents into chunks of `length` tokens.
 
     `docs` has (order, tokens, loss_mask). Chunk c covers global tokens [c*length, (c+1)*length); targets are the next tokens
     with `eos` at a document's end; `history` counts earlier tokens of the document the chunk starts in.
 
     Sizes alone are sorted to find where documents begin. Documents are cut into pieces of `length` tokens where they lie; only pieces meet
-    their place, one key for each, and a piece goes to the one or two chunks that it reaches into.
+    their place, one key for each, and a piece goes to the one or two chunks that it reaches into. Targets are the tokens of a piece and one more,
+    so they are made in the chunk. With `encode` the tokens are texts (see Form).
     """
     mem_len = length if mem_len is None else mem_len
-    sizes, places = _stream_places(docs, order, length)
-
-    def piece(k: Column) -> Column:
-        start = k * length
-        whole = F.size("tokens")
-
-        def following(name: str, last: int) -> Column:
-            end = F.when(start + length >= whole, F.array(F.lit(last))).otherwise(F.array().cast("array<int>"))
-            return F.concat(A.take(F.col(name).cast("array<int>"), start + 1, length), end)
-
-        return F.struct(
-            k.alias("__k"), A.take(F.col("tokens"), start, length).alias("tokens"), following("tokens", eos).alias("target"), following("loss_mask", 1).alias("loss"))
-
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("tokens") - 1) / length))
-    cut = docs.select(order, F.explode(F.when(F.size("tokens") > 0, F.transform(numbers, piece))).alias("p")).select(order, "p.*")
+    form = Form(encode)
+    sizes, places = _stream_places(docs, order, length, form)
+
+    def with_next(tokens: Column, loss: Column) -> Column:
+        """Each piece with the token, and the loss, that follow it."""
+        after = lambda ps, k, last: F.coalesce(form.take(F.get(ps, k + 1), 0, 1), last)
+        return A.let(F.struct(tokens.alias("t"), loss.alias("l")), lambda v: F.transform(v["t"], lambda p, k: F.struct(
+            k.cast("bigint").alias("__k"), p.alias("tokens"), after(v["t"], k, form.one(eos)).alias("next"),
+            F.get(v["l"], k).alias("loss"), after(v["l"], k, form.flag(1)).alias("next_loss"))))
+
+    pieces = with_next(form.pieces(F.col("tokens"), length), form.pieces(F.col("loss_mask").cast(form.kind), length))
+    cut = docs.select(order, F.explode(F.when(form.size(F.col("tokens")) > 0, pieces)).alias("p")).select(order, "p.*")
     placed = cut.join(places, [order, "__k"]).withColumn("lo", F.col("__lo") + F.col("__k") * length)
     first = F.floor(F.col("lo") / length)
     room = (first + 1) * length - F.col("lo")
+    size = form.size(F.col("tokens")).cast("bigint")
+    zero = F.lit(0).cast("bigint")
 
-    def part(chunk: Column, begin: Column, count: Column) -> Column:
-        arrays = [A.take(F.col(name), begin, count).alias(name) for name in ("tokens", "target", "loss")]
-        return F.struct(chunk.alias("chunk"), (F.col("lo") + begin).alias("lo"), *arrays, F.least(F.lit(mem_len).cast("bigint"), F.col("__k") * length + begin).alias("history"))
+    def part(chunk: Column, begin: Column, count: Column, torn: bool) -> Column:
+        arrays = [form.take(F.col(name), begin, count).alias(name) for name in ("tokens", "loss")]
+        after = [(form.take(F.col(of), begin + count, 1) if torn else F.col(name)).alias(name) for name, of in (("next", "tokens"), ("next_loss", "loss"))]
+        return F.struct(chunk.alias("chunk"), (F.col("lo") + begin).alias("lo"), *arrays, *after, F.least(F.lit(mem_len).cast("bigint"), F.col("__k") * length + begin).alias("history"))
 
-    size = F.size("tokens").cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    head, rest = part(first, zero, F.least(size, room)), part(first + 1, room, size - room)
-    pieces = placed.select(F.explode(F.when(size > room, F.array(head, rest)).otherwise(F.array(head))).alias("p")).select("p.*")
+    whole, head, rest = part(first, zero, size, False), part(first, zero, room, True), part(first + 1, room, size - room, False)
+    parts = placed.select(F.explode(F.when(size > room, F.array(head, rest)).otherwise(F.array(whole))).alias("p")).select("p.*")
     # The last chunk exists even when no token falls into it.
     total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("lo"))
-    none = F.array().cast("array<int>")
-    last = total.select(
-        F.floor(F.col("lo") / length).alias("chunk"), "lo", none.alias("tokens"), none.alias("target"), none.alias("loss"), F.lit(0).cast("bigint").alias("history"))
+    empty = [form.none().alias(name) for name in ("tokens", "loss", "next", "next_loss")]
+    last = total.select(F.floor(F.col("lo") / length).alias("chunk"), "lo", *empty, F.lit(0).cast("bigint").alias("history"))
     # A chunk holds at most `length` tokens, so its group is bounded.
-    ordered = F.sort_array(F.collect_list(F.struct("lo", "tokens", "target", "loss", "history")))
-    grouped = pieces.unionByName(last).groupBy("chunk").agg(ordered.alias("ps"))
+    ordered = F.sort_array(F.collect_list(F.struct("lo", "tokens", "loss", "next", "next_loss", "history")))
+    grouped = parts.unionByName(last).groupBy("chunk").agg(ordered.alias("ps"))
+    # A part and its next token are encoded once, for the tokens and the targets.
+    encoded = F.transform("ps", lambda p: F.struct(
+        form.ids(F.concat(p["tokens"], p["next"])).alias("t"), form.flags(F.concat(form.take(p["loss"], 1, length), p["next_loss"])).alias("l")))
+    chunks = grouped.select("chunk", encoded.alias("es"), F.element_at("ps", 1)["history"].alias("history"))
 
-    def column(name: str, filler: int) -> Column:
-        return A.pad(F.flatten(F.transform("ps", lambda p: p[name])), length, filler).alias(name)
+    def column(part: Callable[[Column], Column], filler: int, name: str) -> Column:
+        return A.pad(F.flatten(F.transform("es", part)), length, filler).alias(name)
 
-    return grouped.select("chunk", column("tokens", pad), column("target", pad), column("loss", 0), F.element_at("ps", 1)["history"].alias("history"))
+    return chunks.select(
+        "chunk", column(lambda e: A.head(e["t"], F.size(e["t"]) - 1), pad, "tokens"), column(lambda e: A.drop(e["t"], 1), pad, "target"),
+        column(lambda e: e["l"], 0, "loss"), "history")
 
 
 # --- weighted packing ------------------------------------------------------------------------------------------------
@@ -459,28 +521,34 @@ def sliding_windows(
     return windows.select(*keys, "window", padded.alias("tokens"), mask.alias("loss_mask"))
 
 
-def stream_windows(docs: DataFrame, order: str, length: int, stride: int, pad: int = 0) -> DataFrame:
+def stream_windows(
+    docs: DataFrame, order: str, length: int, stride: int, pad: int = 0, encode: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """The windows of `sliding_windows` over the concatenation of all documents, as of one file: (window, tokens, loss_mask).
 
-    Pieces of `stride` tokens meet their place and go to every window that reaches into them, so a window gets its halo from
-    whatever tasks read the documents around it.
+    Pieces of documents meet their place and go to every block of BLOCK_WINDOWS windows that reaches into them, so a block gets its halo from
+    whatever tasks read the documents around it, and a token moves about once, not once for each of its windows. With `encode` the tokens are
+    texts (see Form).
     """
-    sizes, places = _stream_places(docs, order, stride)
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("tokens") - 1) / stride))
-    cut = F.transform(numbers, lambda k: F.struct(k.alias("__k"), A.take(F.col("tokens"), k * stride, stride).alias("tokens")))
-    pieces = docs.select(order, F.explode(F.when(F.size("tokens") > 0, cut)).alias("p")).select(order, "p.*").join(places, [order, "__k"])
-    pieces = pieces.select((F.col("__lo") + F.col("__k") * stride).alias("lo"), "tokens")
+    form = Form(encode)
+    sizes, places = _stream_places(docs, order, PIECE_TOKENS, form)
+    cut = docs.select(order, F.posexplode(form.pieces(F.col("tokens"), PIECE_TOKENS)).alias("__k", "tokens"))
+    pieces = cut.withColumn("__k", F.col("__k").cast("bigint")).join(places, [order, "__k"])
+    pieces = pieces.select((F.col("__lo") + F.col("__k") * PIECE_TOKENS).alias("lo"), "tokens")
     total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total"))  # one row
-    pieces = pieces.crossJoin(F.broadcast(total))
     last = F.ceil(F.greatest(F.col("__total") - length, F.lit(0)) / stride)
-    first = F.greatest(F.floor((F.col("lo") - length) / stride) + 1, F.lit(0))
-    spread = F.sequence(first, F.least(F.floor((F.col("lo") + F.size("tokens") - 1) / stride), last))
-    reached = pieces.filter(first <= last).select("lo", "tokens", F.explode(spread).alias("window"))
-    begin = F.greatest(F.col("window") * stride - F.col("lo"), F.lit(0))
-    part = A.take(F.col("tokens"), begin, F.col("window") * stride + length - F.col("lo") - begin)
-    # A window holds at most `length` tokens, so its group is bounded.
-    grouped = reached.groupBy("window").agg(F.sort_array(F.collect_list(F.struct((F.col("lo") + begin).alias("lo"), part.alias("t")))).alias("ps"))
-    windows = grouped.select("window", F.flatten(F.transform("ps", lambda p: p["t"])).alias("t"))
+    step, reach = BLOCK_WINDOWS * stride, (BLOCK_WINDOWS - 1) * stride + length  # from block to block, and of one block
+    first = F.greatest(F.floor((F.col("lo") - reach) / step) + 1, F.lit(0))
+    final = F.least(F.floor((F.col("lo") + form.size(F.col("tokens")) - 1) / step), F.floor(last / BLOCK_WINDOWS))
+    reached = pieces.crossJoin(F.broadcast(total)).filter(first <= final).select("lo", "tokens", F.explode(F.sequence(first, final)).alias("block"))
+    begin = F.greatest(F.col("block") * step - F.col("lo"), F.lit(0))
+    part = form.take(F.col("tokens"), begin, F.col("block") * step + reach - F.col("lo") - begin)
+    # A block holds at most `reach` tokens, so its group is bounded.
+    grouped = reached.groupBy("block").agg(F.sort_array(F.collect_list(F.struct((F.col("lo") + begin).alias("lo"), part.alias("t")))).alias("ps"))
+    blocks = grouped.select("block", form.ids(form.joined(F.transform("ps", lambda p: p["t"]))).alias("b")).crossJoin(F.broadcast(total))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(BLOCK_WINDOWS - 1).cast("bigint"), last - F.col("block") * BLOCK_WINDOWS))
+    numbered = blocks.select("block", "b", F.explode(numbers).alias("i"))
+    windows = numbered.select((F.col("block") * BLOCK_WINDOWS + F.col("i")).alias("window"), A.take(F.col("b"), F.col("i") * stride, length).alias("t"))
     scored = A.pad(A.repeat(1, F.size("t")), length, 0)
     late = F.concat(A.repeat(0, F.lit(length - stride)), A.drop(scored, length - stride))
     return windows.select("window", A.pad(F.col("t"), length, pad).alias("tokens"), F.when(F.col("window") == 0, scored).otherwise(late).alias("loss_mask"))

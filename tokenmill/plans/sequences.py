@@ -21,11 +21,12 @@ def _tokens(t, *more):
     return t.documents.select("doc_id", *more, encode_chars(F.col("text")).alias("tokens"))
 
 
-def _items(t):
-    """Documents whose first line is the prompt (no loss) and whose rest is the text."""
+def _items(t, as_text=False):
+    """Documents whose first line is the prompt (no loss) and whose rest is the text; their characters are the tokens."""
     cut = F.greatest(F.instr("text", "\n"), F.lit(0))
     prompt, text = F.col("text").substr(F.lit(1), cut), F.col("text").substr(cut + 1, F.length("text"))
-    return t.documents.select("doc_id", S.from_prompt(encode_chars(prompt), encode_chars(text)).alias("i")).select("doc_id", "i.*")
+    item = S.from_prompt(prompt, text, F.length, S.digits) if as_text else S.from_prompt(encode_chars(prompt), encode_chars(text))
+    return t.documents.select("doc_id", item.alias("i")).select("doc_id", "i.*")
 
 
 def _show(df, *arrays):
@@ -55,7 +56,7 @@ def _(t):
     FROM flat GROUP BY g // {L}""",
 )
 def _(t):
-    return _show(S.contiguous_chunks(_items(t), "doc_id", L, SP.eos, SP.pad), "tokens", "target", "loss")
+    return _show(S.contiguous_chunks(_items(t, as_text=True), "doc_id", L, SP.eos, SP.pad, encode=encode_chars), "tokens", "target", "loss")
 
 
 def _draws_sql(seed, n_draws, cost):
@@ -209,8 +210,8 @@ DETOKENIZED_SQL = _replace_sql(_regex_sql(_replace_sql("text", T.WIKITEXT_RULES_
       md5({joined("list_transform(range(1, 1025), lambda i: CASE WHEN i <= n AND (w = 0 OR i > 768) THEN 1 ELSE 0 END)")}) AS loss_mask FROM windows WHERE w <= ceil(greatest(total - 1024, 0) / 256)""",
 )
 def _(t):
-    docs = t.documents.select("doc_id", encode_chars(T.detokenize_wikitext(F.col("text"))).alias("tokens"))
-    df = S.stream_windows(docs, "doc_id", 1024, 256)
+    docs = t.documents.select("doc_id", T.detokenize_wikitext(F.col("text")).alias("tokens"))
+    df = S.stream_windows(docs, "doc_id", 1024, 256, encode=encode_chars)
     return df.select("window", F.size(F.filter("tokens", lambda c: c > 0)).alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens"), F.md5(F.array_join("loss_mask", " ")).alias("loss_mask"))
 
 
