@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenmill.functions import arrays as A
-from tokenmill.functions.hashing import hash_below, hash_hex, hash_uniform
+from tokenmill.functions.hashing import first_above, hash_below, hash_hex, hash_uniform, hashes_of
 from tokenmill.operators.special import Special
 
 NO_INTS = "array<int>"
@@ -54,19 +54,17 @@ def span_length_cdf(mean: float = 3.0, max_length: int = 40) -> list[float]:
 def span_lengths(key: str, size: Column, ratio: float, seed: str | int, cdf: Sequence[float], single: Column | None = None) -> Column:
     """Random span lengths until they cover int(ratio * size) tokens; the last one may reach beyond. One length if `single`."""
     target = _int_share(ratio, size)
-    table = F.array(*[F.lit(c) for c in cdf])
     start = F.struct(F.lit(0).alias("total"), _none().alias("lengths"))
+    length = lambda i: first_above(hash_hex(seed, key, i), cdf[:-1]) + 1
 
     def draw(acc: Column, i: Column) -> Column:
-        length = A.let(hash_uniform(seed, key, i), lambda u: F.least(F.size(F.filter(table, lambda c: c <= u)) + 1, F.lit(len(cdf))))
-        grown = A.let(length, lambda n: F.struct((acc["total"] + n).alias("total"), F.concat(acc["lengths"], F.array(n)).alias("lengths")))
+        grown = A.let(length(i), lambda n: F.struct((acc["total"] + n).alias("total"), F.array_append(acc["lengths"], n).alias("lengths")))
         return F.when(acc["total"] >= target, acc).otherwise(grown)
 
     many = F.aggregate(A.counting(0, target), start, draw)["lengths"]
     if single is None:
         return many
-    one = A.let(hash_uniform(seed, key, F.lit(0)), lambda u: F.array(F.least(F.size(F.filter(table, lambda c: c <= u)) + 1, F.lit(len(cdf)))))
-    return F.when(single, one).otherwise(many)
+    return F.when(single, F.array(length(F.lit(0)))).otherwise(many)
 
 
 def place_spans(lengths: Column, total: Column, offset: Column, seed: str | int, *keys) -> Column:
@@ -231,7 +229,7 @@ def blank_layout(
 
     last_end = F.coalesce(F.get("__by_place", F.size("__by_place") - 1)["end"], F.lit(0))
     source = F.concat(
-        F.flatten(F.transform("__by_place", lambda s: F.concat(A.take(tokens, s["before"], s["start"] - s["before"]), F.array(mask_of(s))))),
+        A.let(A.plain(tokens), lambda ts: A.flat_pairs(F.transform("__by_place", lambda s: F.array(A.take(ts, s["before"], s["start"] - s["before"]), F.array(mask_of(s)))))),
         A.drop(tokens, last_end),
     )
     df = df.withColumn("__source", source)
@@ -242,13 +240,13 @@ def blank_layout(
         bias = F.when(F.col("sep") - 1 < max_length - 1, hash_below(F.greatest(free, F.lit(1)), f"{seed}-bias", key).cast("int")).otherwise(0)
     df = df.withColumn("__bias", bias)
 
-    def span(s: Column) -> Column:
-        return A.take(tokens, s["start"], s["end"] - s["start"])
+    def span(ts: Column, s: Column) -> Column:
+        return A.take(ts, s["start"], s["end"] - s["start"])
 
-    def shown(s: Column) -> Column:
+    def shown(ts: Column, s: Column) -> Column:
         if span_corruption <= 0:
-            return span(s)
-        return F.transform(span(s), lambda x, j: F.when(hash_uniform(f"{seed}-span", key, s["start"] + j) < span_corruption, special.dblock).otherwise(x))
+            return span(ts, s)
+        return F.transform(span(ts, s), lambda x, j: F.when(hash_uniform(f"{seed}-span", key, s["start"] + j) < span_corruption, special.dblock).otherwise(x))
 
     def size(s: Column) -> Column:
         return s["end"] - s["start"] + 1
@@ -258,23 +256,32 @@ def blank_layout(
         # Segments of the source between masks; candidates lie next to a segment border, except the very first one.
         cuts = F.concat(F.transform("__by_place", lambda s: s["at"]), F.filter(F.array(F.col("sep")), lambda n: last_end < F.size("tokens")))
         segments = A.let(cuts, lambda cs: F.transform(cs, lambda c, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(cs, k - 1) + 1).alias("b"), c.alias("e"))))
-        near = F.array_distinct(F.flatten(F.transform(segments, lambda g: F.concat(
-            F.when(g["b"] != 0, A.counting(g["b"], F.least(g["e"], g["b"] + context_range) - g["b"])).otherwise(_none()),
-            F.when(g["e"] != 0, A.counting(F.greatest(g["b"], g["e"] - context_range), g["e"] - F.greatest(g["b"], g["e"] - context_range))).otherwise(_none()),
-        ))))
-        df = df.withColumn("__near", near)
+
+        def candidates(g: Column) -> Column:
+            """Places behind the border at a segment's start, then those before the one at its end, each once and ascending."""
+            behind = F.when(g["b"] != 0, F.least(g["e"], g["b"] + context_range)).otherwise(g["b"])
+            return A.let(F.struct(g["b"].alias("b"), g["e"].alias("e"), behind.alias("f")), lambda v: F.array(
+                A.counting(v["b"], v["f"] - v["b"]),
+                A.let(F.greatest(v["f"], v["e"] - context_range), lambda before: F.when(v["e"] != 0, A.counting(before, v["e"] - before)).otherwise(_none()))))
+
+        df = df.withColumn("__near", A.flat_pairs(F.transform(segments, candidates)))
         picked = A.let(
-            _smallest(F.transform("__near", lambda p: hash_hex(f"{seed}-context", key, p)), _int_share(context_corruption, F.size("tokens"))),
+            _smallest(hashes_of(F.col("__near"), f"{seed}-context", key), _int_share(context_corruption, F.size("tokens"))),
             lambda flags: F.filter("__near", lambda p, k: F.get(flags, k)))
-        visible = A.let(picked, lambda ps: F.transform("__source", lambda x, i: F.when(F.array_contains(ps, i), special.dblock).otherwise(x)))
+        # What lies between the picked places is copied as it is.
+        places = F.struct(F.concat(F.array(F.lit(-1)), picked).alias("p"), A.plain(F.col("__source")).alias("s"))
+        visible = A.let(places, lambda v: A.flat_pairs(F.transform(v["p"], lambda p, k: F.array(
+            F.when(k == 0, _none()).otherwise(F.array(F.lit(special.dblock))),
+            A.take(v["s"], p + 1, F.coalesce(F.get(v["p"], k + 1), F.col("sep")) - p - 1)))))
 
     def position(s: Column) -> Column:
         return F.lit(max_length) if sentinels else s["at"] + F.col("__bias")
 
     counted = lambda s: A.counting(1, size(s)) if block_positions else A.repeat(1, size(s))
+    held = A.plain(tokens)
     return df.withColumns({
-        "text": F.concat(visible, F.flatten(F.transform("__by_rank", lambda s, k: F.concat(F.array(sop_of(k)), shown(s))))),
-        "target": F.concat("__source", F.flatten(F.transform("__by_rank", lambda s: F.concat(span(s), F.array(F.lit(special.eop)))))),
+        "text": F.concat(visible, A.let(held, lambda ts: A.flat_pairs(F.transform("__by_rank", lambda s, k: F.array(F.array(sop_of(k)), shown(ts, s)))))),
+        "target": F.concat("__source", A.let(held, lambda ts: A.flat_pairs(F.transform("__by_rank", lambda s: F.array(span(ts, s), F.array(F.lit(special.eop))))))),
         "position": F.concat(
             F.transform(A.indices(F.col("__source")), lambda i: (i + F.col("__bias")).cast("int")),
             F.flatten(F.transform("__by_rank", lambda s: A.repeat(position(s).cast("int"), size(s))))),
@@ -314,8 +321,11 @@ def masked_layout(df: DataFrame, special: Special) -> DataFrame:
 def token_blanks(df: DataFrame, key: str, special: Special, seed: str | int, ratio: float = 0.15, cdf: Sequence[float] | None = None) -> DataFrame:
     """Add random token spans; samples that cannot hold all of their spans are dropped."""
     df = df.withColumn("lengths", span_lengths(key, F.size("tokens"), ratio, f"{seed}-length", cdf or span_length_cdf()))
-    df = df.withColumn("spans", spread_spans(key, F.col("tokens"), F.col("lengths"), ratio, special.eos, special.cls, f"{seed}-place"))
-    return df.filter(F.size("spans") == F.size("lengths")).drop("lengths")
+    spread = spread_spans(key, F.col("tokens"), F.col("lengths"), ratio, special.eos, special.cls, f"{seed}-place")
+    # Not a filter on the spans, below which Spark would make lengths and spans again for each of their uses.
+    whole = A.let(F.struct(spread.alias("s"), F.size("lengths").alias("n")), lambda v: F.when(F.size(v["s"]) == v["n"], F.array(v["s"])))
+    kept = [c for c in df.columns if c not in ("lengths", "spans")]
+    return A.exploded(df, kept, whole, "spans")
 
 
 def generation_layout(
