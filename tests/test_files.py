@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tokenmill.operators.sequences import sections
+from tokenmill.plans.files import _qa_files
 from tokenmill.sources import readers as R
 from tokenmill.sources import writers as W
 from tokenmill.streaming.ingest import ingest_corpus
@@ -175,3 +176,19 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         query.awaitTermination()
         rows = [r["doc_id"] for r in spark.read.parquet(target).collect()]
         assert sorted(rows) == sorted(want)
+
+
+def test_question_files_collect_behind_the_shuffle(spark, tmp_path):
+    texts = ["a \"b\"\nc \\ d", "", "é]}{[,", "x" * 50]
+    rows = [(k, [([(texts[k % 4], [(f"{k}-0", texts[(k + 1) % 4], [("w", 3)]), (f"{k}-1", None, [])])],)]) for k in range(0, 450)] + [(-1, [([],)])]
+    kind = "doc_id long, data array<struct<paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string,answer_start:int>>>>>>>>"
+    articles = spark.createDataFrame(rows, kind)
+    files = _qa_files(articles)
+    plan = files._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = [i for i, line in enumerate(plan) if "Exchange" in line]
+    assert len(at) == 1 and all(i < at[0] for i, line in enumerate(plan) if "HashAggregate" in line)
+    files.write.option("maxRecordsPerFile", 1).text(f"{tmp_path}/qa")
+    back = R.nested_qa(spark, f"{tmp_path}/qa")
+    assert sorted(r["n"] for r in back.select(F.size("data").alias("n")).collect()) == [1, 50, 200, 200]
+    plain = lambda df: sorted((str(r) for r in df.select(F.explode("data").alias("d")).collect()))
+    assert plain(back) == plain(articles)
